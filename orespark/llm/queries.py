@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import url_filter
+from . import line_dedup, quality, url_filter
 from .common import read_table
 
 
@@ -18,7 +18,24 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_url_filter": op1_url_filter}
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics, base rules and the trees' verdict on every document."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    trees = quality.train(docs, read_table(spark, sf_dir, "labels"))
+    return quality.quality_rules(docs, trees, keep_columns=["doc_id"])
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents without the boilerplate lines of their source: how many went, and the digest of what stays."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return line_dedup.line_dedup(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
+    "op2_quality_rules": op2_quality_rules,
+    "op5_line_dedup": op5_line_dedup,
+}
 
 ORACLES: dict[str, str] = {
     "op1_url_filter": r"""
@@ -35,5 +52,23 @@ m as (
   from h left join r on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath)
 )
 select page_id, host, path, rhost || rpath as rule, coalesce(action, 'allow') verdict from m where k = 1
+""",
+    "op5_line_dedup": r"""
+with d as (select doc_id, coalesce(source, chr(0)) host, text, string_split(text, chr(10)) lines from documents),
+e as (select doc_id, host, unnest(list_distinct(lines)) line from d),
+t as (select host, count(*) pages from d group by host),
+b as (
+  select host, line from e join t using (host) where regexp_matches(line, '[^ \t\n\v\f\r]')
+  group by host, line, pages having count(*) >= 5 and count(*) >= pages * cast(0.08 as double)
+),
+p as (select doc_id, host, text, lines, generate_subscripts(lines, 1) i from d),
+q as (select p.doc_id, p.i, p.lines[p.i] line, b.line is null keeps from p left join b on b.host = p.host and b.line = p.lines[p.i]),
+r as (
+  select doc_id, count(*) n_lines, bool_or(keeps and regexp_matches(line, '[^ \t\n\v\f\r]')) other,
+         count(*) filter (not keeps) n, string_agg(line, chr(10) order by i) filter (keeps) rest
+  from q group by doc_id
+)
+select doc_id, n_lines, case when other then n else 0 end n_dropped, sha256(case when other then rest else text end) text_sha256
+from r join d using (doc_id)
 """
 }
