@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers as P
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, quality, url_filter
+from . import bpe, line_dedup, quality, url_filter
 from .common import read_table
 
 
@@ -31,10 +32,23 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded by a rank file: token count and digests."""
+    return bpe.encode_documents(read_table(spark, sf_dir, "documents"), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, digests=True)
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    counts = bpe.token_counts(read_table(spark, sf_dir, "documents"), P.path("byte_bpe_50k.json"), P.PATTERN)
+    return counts.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_quality_rules": op2_quality_rules,
     "op5_line_dedup": op5_line_dedup,
+    "op7_bpe": op7_bpe,
+    "op9_token_counts": op9_token_counts,
 }
 
 ORACLES: dict[str, str] = {
