@@ -8,8 +8,8 @@ import public_tokenizers as P
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, quality, url_filter
-from .common import read_table
+from . import bpe, line_dedup, quality, simhash, url_filter
+from .common import read_table, written
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,17 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(docs, trees, keep_columns=["doc_id"])
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how alike they are."""
+    return simhash.compare_with_edits(read_table(spark, sf_dir, "documents"))
+
+
+def near_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and links of every document's fingerprint within the Hamming radius, by permuted block tables."""
+    table = written(simhash.fingerprint_table(read_table(spark, sf_dir, "documents")), "fingerprints")
+    return simhash.near_documents(table)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents without the boilerplate lines of their source: how many went, and the digest of what stays."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -46,9 +57,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_quality_rules": op2_quality_rules,
+    "op4_simhash": op4_simhash,
     "op5_line_dedup": op5_line_dedup,
     "op7_bpe": op7_bpe,
     "op9_token_counts": op9_token_counts,
+    "near_fingerprints": near_fingerprints,
 }
 
 ORACLES: dict[str, str] = {
