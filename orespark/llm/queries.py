@@ -8,7 +8,7 @@ import public_tokenizers as P
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, quality, simhash, url_filter
+from . import bpe, line_dedup, packing, quality, simhash, url_filter
 from .common import read_table, written
 
 
@@ -43,6 +43,12 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens: one row per piece."""
+    docs = read_table(spark, sf_dir, "documents")
+    return packing.pack(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, digests=True)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded by a rank file: token count and digests."""
     return bpe.encode_documents(read_table(spark, sf_dir, "documents"), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, digests=True)
@@ -59,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op4_simhash": op4_simhash,
     "op5_line_dedup": op5_line_dedup,
+    "op6_packing": op6_packing,
     "op7_bpe": op7_bpe,
     "op9_token_counts": op9_token_counts,
     "near_fingerprints": near_fingerprints,
