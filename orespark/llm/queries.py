@@ -8,7 +8,7 @@ import public_tokenizers as P
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, packing, pii, quality, simhash, url_filter
+from . import bpe, line_dedup, packing, pii, quality, simhash, substring_dedup, url_filter
 from .common import read_table, written
 
 
@@ -54,6 +54,11 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(read_table(spark, sf_dir, "documents"), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, digests=True)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of 20-word windows that start earlier in the corpus."""
+    return substring_dedup.substring_dedup(read_table(spark, sf_dir, "documents"), digests=True)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document."""
     counts = bpe.token_counts(read_table(spark, sf_dir, "documents"), P.path("byte_bpe_50k.json"), P.PATTERN)
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": op5_line_dedup,
     "op6_packing": op6_packing,
     "op7_bpe": op7_bpe,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_pii": op10_pii,
     "near_fingerprints": near_fingerprints,
