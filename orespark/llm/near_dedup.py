@@ -234,3 +234,16 @@ def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, tables
     joined = rows.join(names, "class", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
+    """docs without near duplicates: all rows but those whose id isn't its component's smallest. Of rows that
+    repeat an id and text, one stays; null ids stay."""
+    found = classes(docs, id_col=id_col, text_col=text_col, **parameters)
+    gone = written(found.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    left = docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+    twice = written(found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_twice")), "repeated-ids")
+    if not twice.limit(1).count():
+        return left
+    alone = left.join(twice, F.col(f"`{id_col}`") == F.col("_twice"), "left_anti")
+    return alone.unionByName(left.join(twice, F.col(f"`{id_col}`") == F.col("_twice"), "left_semi").dropDuplicates([id_col, text_col]))

@@ -233,13 +233,15 @@ def redacted(text: str, spans: list[Span]) -> str:
 def redact(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with personal data in text_col replaced (null stays null)."""
 
+    names = docs.columns
+    at = names.index(text_col)
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = docs.columns.index(text_col)
         for batch in slices(batches, text_col):
             made = []
             for text in batch.column(at).to_pylist():
                 base = base_spans(text) if text else []
                 made.append(redacted(text, [*base, *model.added(text, base)]) if text else text)
-            yield pa.RecordBatch.from_arrays([pa.array(made, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns)], docs.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns)], names)
 
     return docs.mapInArrow(of, docs.schema)
