@@ -8,7 +8,7 @@
    partner in either collection drop out before tables are formed.
 3. Exact bounds. A shingle that only one candidate class has can't be shared: classes whose shared part is too small for any
    link go, and so do pairs whose shared parts are too small for each other.
-4. Links. In each table's bucket every class is first compared with one centre (the class with the largest shared part), so
+4. Links. In each table's bucket every class is first compared with one centre (the class whose shingles most other classes have: an original rather than an edited copy), so
    that large groups cost one pair per class. Components of these links are formed; then only pairs of a bucket that are
    still in different components are compared, so no link that could join two components is left out.
 5. Components by large-star / small-star; a document's component is the smallest id reachable.
@@ -121,7 +121,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
 
 def _shared(sets: DataFrame, n_parts: int) -> DataFrame:
-    """class, shared: how many of its shingles another class has too (at least; hashes are cut to 32 bits within a part)."""
+    """class, shared: how many of its shingles another class has too (at least; hashes are cut to 32 bits within a part);
+    holders: the classes of each of its shingles, summed."""
     schema = pa.schema([("part", pa.int64()), ("slice", pa.int64()), ("hashes", pa.binary()), ("owners", pa.binary()), ("classes", pa.binary())])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,22 +150,24 @@ def _shared(sets: DataFrame, n_parts: int) -> DataFrame:
         again, done, out = counts[inverse] > 1, 0, []
         for r, h in zip(rows, hashes, strict=True):
             owners = np.cumsum(np.frombuffer(r["owners"], np.uint32), dtype=np.int64)
-            out.append({"slice": r["slice"], "classes": None, "counts": np.bincount(owners, again[done : done + len(h)]).astype(np.uint32).tobytes()})
+            mine = slice(done, done + len(h))
+            both = np.stack([np.bincount(owners, again[mine]), np.bincount(owners, counts[inverse[mine]])])
+            out.append({"slice": r["slice"], "classes": None, "counts": both.astype(np.int64).tobytes()})
             done += len(h)
         return pa.Table.from_pylist(out, pa.schema([("slice", pa.int64()), ("classes", pa.binary()), ("counts", pa.binary())]))
 
     def total(key, group):
         rows = group.to_pylist()
         classes = next(r["classes"] for r in rows if r["classes"] is not None)
-        out = np.zeros(len(classes) // 16, np.int64)
+        out = np.zeros((2, len(classes) // 16), np.int64)
         for r in rows:
             if r["counts"] is not None:
-                found = np.frombuffer(r["counts"], np.uint32)
-                out[: len(found)] += found
-        return pa.table({"class": pa.array([classes[i : i + 16] for i in range(0, len(classes), 16)], pa.binary()), "shared": out})
+                found = np.frombuffer(r["counts"], np.int64).reshape(2, -1)
+                out[:, : found.shape[1]] += found
+        return pa.table({"class": pa.array([classes[i : i + 16] for i in range(0, len(classes), 16)], pa.binary()), "shared": out[0], "holders": out[1]})
 
     packed = sets.mapInArrow(spread, "part long, slice long, hashes binary, owners binary, classes binary")
-    return packed.groupBy("part").applyInArrow(count, "slice long, classes binary, counts binary").groupBy("slice").applyInArrow(total, "class binary, shared long")
+    return packed.groupBy("part").applyInArrow(count, "slice long, classes binary, counts binary").groupBy("slice").applyInArrow(total, "class binary, shared long, holders long")
 
 
 def _possible(a: str, b: str, percent: int) -> Column:
@@ -202,10 +205,10 @@ def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, tables
     sets = written(_sets(docs, found, size), "sets")
     shared = _shared(sets, part_count(docs))
     found = written(found.join(shared, "class").filter(100 * F.col("shared") >= percent * F.col("n")), "linkable")
-    attributes = ["class", "n", "shared"]
+    attributes = ["class", "n", "shared", "holders"]
     bands = found.select(*attributes, F.posexplode("left").alias("i", "g"), "right").select(*attributes, "i", "g", F.posexplode("right").alias("j", "h"))
     bands = bands.select(*attributes, F.xxhash64("i", "g", "j", "h").alias("key"))
-    rank = F.struct((F.col("shared") / F.col("n")).alias("part"), "class", "n", "shared")
+    rank = F.struct((F.col("holders") / F.col("n")).alias("mean"), "class", "n", "shared")
     buckets = bands.groupBy("key").agg(F.count("*").alias("k"), F.max(rank).alias("c")).filter("k > 1")
     bands = written(bands.join(buckets, "key"), "bands")
     pairs = bands.alias("a").filter(F.col("c.class") != F.col("class")).filter(_possible("a", "c", percent))

@@ -109,7 +109,7 @@ HITS_SCHEMA = pa.schema([("slice", pa.int64()), *((n, pa.binary()) for n in ("ke
 
 
 def _by_document(key, group):
-    """Of a slice: each document's hit positions."""
+    """Of a slice: each document's positions among those found by the parts and those known in the slice."""
     rows = group.to_pylist()
     head = next(r for r in rows if r["keys"] is not None)
     hits = np.unique(np.concatenate([_values(r["gaps"]) for r in rows if r["gaps"] is not None] + [_values(head["known"])]))
@@ -121,13 +121,23 @@ def _by_document(key, group):
     return pa.table({"key": keys[docs], "tag": tags[docs], "hits": pa.array(found, pa.binary())})
 
 
-CANDIDATES = "part long, hashes binary, docs binary, gaps binary, keys binary, tags binary"
-CANDIDATES_SCHEMA = pa.schema([("part", pa.int64()), *((n, pa.binary()) for n in ("hashes", "docs", "gaps", "keys", "tags"))])
+CANDIDATES = "part long, slice long, hashes binary, gaps binary, docs binary, starts binary, keys binary, tags binary, first binary, known binary"
+CANDIDATES_SCHEMA = pa.schema([("part", pa.int64()), ("slice", pa.int64()), *((n, pa.binary()) for n in ("hashes", "gaps", "docs", "starts", "keys", "tags", "first", "known"))])
+
+
+def _earliest(hashes: np.ndarray, keys: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Whether a window is as early as any of its content (by id, then start)."""
+    order = np.lexsort((pos, keys, hashes))
+    head = np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]])
+    lead = order[np.flatnonzero(head)[np.cumsum(head) - 1]]
+    out = np.zeros(len(hashes), bool)
+    out[order] = (keys[order] == keys[lead]) & (pos[order] == pos[lead])
+    return out
 
 
 def _candidates(n_parts: int):
-    """Packed hashes of the 20-word windows around hits: of equal ones in a slice the earliest; the others are marked
-    at once (part < 0)."""
+    """Packed hashes of the 20-word windows around hits: of equal ones in a slice the earliest; the others are known
+    to be later (in the slice's own row, part < 0)."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -146,52 +156,40 @@ def _candidates(n_parts: int):
                 continue
             hashes = windows(words.hash, SIZE)[at]
             owner = np.searchsorted(first, at, "right") - 1
-            pos = at - first[owner]
-            keys, tags = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("key", "tag"))
-            order = np.lexsort((tags[owner], pos, keys[owner], hashes))
-            head = np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]])
-            lead = order[np.flatnonzero(head)[np.cumsum(head) - 1]]
-            same = (keys[owner[order]] == keys[owner[lead]]) & (pos[order] == pos[lead])
-            later, kept = np.sort(order[~same]), order[same]
-            rows = [_rows(-1 - number, hashes, owner, pos, keys, tags, later)] if len(later) else []
+            keys = batch.column("key").to_numpy(zero_copy_only=False).astype(np.int64)
+            early = _earliest(hashes, keys[owner], at - first[owner])
+            rows = [{"part": -1 - number, "slice": number, "keys": keys.tobytes(), "tags": _int64(batch, "tag"), "first": first.astype(np.uint32).tobytes(), "known": _gaps(at[~early])}]
+            kept = np.flatnonzero(early)
             part = ((hashes[kept] >> np.uint64(32)) % np.uint64(n_parts)).astype(np.int64)
-            kept = kept[np.lexsort((kept, part))]
-            part = np.sort(part)
-            edges = np.searchsorted(part, np.arange(n_parts + 1))
+            order = np.argsort(part, kind="stable")
+            edges = np.searchsorted(part[order], np.arange(n_parts + 1))
             for p in range(n_parts):
-                if edges[p] < edges[p + 1]:
-                    rows.append(_rows(p, hashes, owner, pos, keys, tags, kept[edges[p] : edges[p + 1]]))
+                mine = kept[order[edges[p] : edges[p + 1]]]
+                if len(mine):
+                    docs, doc = np.unique(owner[mine], return_inverse=True)
+                    rows.append({"part": p, "slice": number, "hashes": hashes[mine].tobytes(), "gaps": _gaps(at[mine]), "docs": _gaps(doc), "starts": first[docs].astype(np.uint32).tobytes(), "keys": keys[docs].tobytes()})
             number += 1
             yield pa.RecordBatch.from_pylist(rows, CANDIDATES_SCHEMA)
 
     return of
 
 
-def _rows(part, hashes, owner, pos, keys, tags, mine) -> dict:
-    docs, number = np.unique(owner[mine], return_inverse=True)
-    return {"part": part, "hashes": hashes[mine].tobytes() if part >= 0 else None, "docs": _gaps(number), "gaps": pos[mine].astype(np.uint32).tobytes(), "keys": keys[docs].tobytes(), "tags": tags[docs].tobytes()}
-
-
 def _later(key, group):
-    """Marked windows by document: all of a slice's known ones, or of a part all but each content's earliest."""
-    rows = group.to_pylist()
-    own_keys, own_tags = ([np.frombuffer(r[c], np.int64) for r in rows] for c in ("keys", "tags"))
-    number = [_values(r["docs"]) for r in rows]
-    keys = np.concatenate([k[n] for k, n in zip(own_keys, number, strict=True)])
-    tags = np.concatenate([k[n] for k, n in zip(own_tags, number, strict=True)])
-    pos = np.concatenate([np.frombuffer(r["gaps"], np.uint32) for r in rows]).astype(np.int64)
-    if key[0].as_py() >= 0:
-        hashes = np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in rows])
-        order = np.lexsort((pos, keys, hashes))
-        head = np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]])
-        lead = order[np.flatnonzero(head)[np.cumsum(head) - 1]]
-        later = order[(keys[order] != keys[lead]) | (pos[order] != pos[lead])]
-        keys, tags, pos = keys[later], tags[later], pos[later]
-    order = np.lexsort((pos, tags, keys))
-    keys, tags, pos = keys[order], tags[order], pos[order]
-    fresh = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (tags[1:] != tags[:-1])])) if len(keys) else np.zeros(0, np.int64)
-    marks = [_gaps(x) for x in np.split(pos, fresh[1:])] if len(fresh) else []
-    return pa.table({"key": keys[fresh], "tag": tags[fresh], "marks": pa.array(marks, pa.binary())})
+    """Of a part: the offsets of all windows but each content's earliest."""
+    if key[0].as_py() < 0:
+        return group.select(["slice", "keys", "tags", "first", "known"]).append_column("gaps", pa.nulls(group.num_rows, pa.binary()))
+    rows = group.select(["slice", "hashes", "gaps", "docs", "starts", "keys"]).to_pylist()
+    at, doc = [_values(r["gaps"]) for r in rows], [_values(r["docs"]) for r in rows]
+    keys = np.concatenate([np.frombuffer(r["keys"], np.int64)[d] for r, d in zip(rows, doc, strict=True)])
+    pos = np.concatenate([a - np.frombuffer(r["starts"], np.uint32)[d] for r, a, d in zip(rows, at, doc, strict=True)])
+    early = _earliest(np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in rows]), keys, pos)
+    out, done = [], 0
+    for r, a in zip(rows, at, strict=True):
+        mine = ~early[done : done + len(a)]
+        done += len(a)
+        if mine.any():
+            out.append({"slice": r["slice"], "gaps": _gaps(a[mine])})
+    return pa.Table.from_pylist(out, HITS_SCHEMA)
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
@@ -204,8 +202,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hits = packed.groupBy("part").applyInArrow(_probe, HITS).groupBy("slice").applyInArrow(_by_document, "key long, tag long, hits binary")
     hits = hits.groupBy("key", "tag").agg(F.first("hits").alias("hits"))  # equal rows of one document have equal hits
     near = rows.join(hits, ["key", "tag"]).select("key", "tag", "text", "hits")
-    marks = near.mapInArrow(_candidates(n_parts), CANDIDATES).groupBy("part").applyInArrow(_later, "key long, tag long, marks binary")
-    marks = marks.groupBy("key", "tag").agg(F.collect_list("marks").alias("marks"))
+    marks = near.mapInArrow(_candidates(n_parts), CANDIDATES).groupBy("part").applyInArrow(_later, HITS)
+    marks = marks.groupBy("slice").applyInArrow(_by_document, "key long, tag long, hits binary")
+    marks = marks.groupBy("key", "tag").agg(F.first("hits").alias("marks"))
     own = "kept_sha256" if digests else "kept"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,12 +213,10 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for text, mine in zip(batch.column("text").to_pylist(), batch.column("marks").to_pylist(), strict=True):
                 words = text.encode().split()
                 n = len(words)
-                if mine:
-                    cover = np.zeros(n + 1, np.int64)
-                    for raw in mine:
-                        at = _values(raw)
-                        np.add.at(cover, at, 1)
-                        np.add.at(cover, at + SIZE, -1)
+                if mine is not None:
+                    cover, at = np.zeros(n + 1, np.int64), _values(mine)
+                    np.add.at(cover, at, 1)
+                    np.add.at(cover, at + SIZE, -1)
                     words = list(compress(words, (np.cumsum(cover)[:n] == 0).tolist()))
                 n_words.append(n), n_removed.append(n - len(words))
                 rest = b" ".join(words)
