@@ -10,7 +10,7 @@
    link go, and so do pairs whose shared parts are too small for each other.
 4. Links. In each table's bucket every class is first compared with one centre (the class whose shingles most other classes have: an original rather than an edited copy), so
    that large groups cost one pair per class. Components of these links are formed; then only pairs of a bucket that are
-   still in different components are compared, so no link that could join two components is left out.
+   still in different components are compared, inside the tasks that hold them, so no link that could join two components is left out.
 5. Components by large-star / small-star; a document's component is the smallest id reachable.
 
 Null or wordless texts have an empty set and no link. A null id has no links and a null component, and is
@@ -194,6 +194,50 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "x").join(two, "y").select("x", "y", "x_set", "y_set").mapInArrow(of, "x binary, y binary")
 
 
+def _links(group: pa.Table, i: int, crossed: bool, percent: int, verify: bool) -> list[tuple[bytes, bytes]]:
+    """Of one group: with verify, links between components (one for each class and component); else the classes with a
+    possible partner, as (class, class)."""
+    names, n, shared, at = group.column("class").to_pylist(), *(group.column(c).to_numpy() for c in ("n", "shared", "at"))
+    left, right = (np.array(group.column(c).to_pylist(), np.int64) for c in ("left", "right"))
+    side = group.column("side").to_numpy()
+    sets = [np.frombuffer(x, np.uint64) for x in group.column("set").to_pylist()] if verify else []
+    out = []
+    for x in range(len(names)):
+        most = np.minimum(shared, shared[x])
+        good = (at != at[x]) & (100 * most >= percent * (n + n[x] - most)) & (right == right[x]).any(axis=1)
+        good &= (side != side[x]) if crossed else True
+        if not verify:
+            out += [(names[x], names[x])] * bool(good.any())
+            continue
+        good[: x + 1] = False
+        good &= ~(left[:, :i] == left[x, :i]).any(axis=1)  # else an earlier group has the pair
+        linked = set()
+        for y in np.flatnonzero(good).tolist():
+            if at[y] not in linked:
+                both = np.sort(np.concatenate([sets[x], sets[y]]))
+                common = int((both[1:] == both[:-1]).sum())
+                if 100 * common >= percent * (len(both) - common):
+                    linked.add(at[y])
+                    out.append((names[x], names[y]))
+    return out
+
+
+def _compared(rest: DataFrame, percent: int, verify: bool, block: int = 1024) -> DataFrame:
+    """x, y: see _links. Classes meet by each group of the first collection; groups of more than `block` classes are
+    split into blocks, and each pair of blocks is a task of its own. No pair leaves its task unless it is a link."""
+    rows = rest.select("*", F.posexplode("left").alias("i", "g"))
+    sizes = rows.groupBy("i", "g").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("k")).filter("k > 1").drop("k")
+    rows = rows.join(sizes, ["i", "g"]).withColumn("side", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).withColumns({"u": F.least("side", "other"), "v": F.greatest("side", "other")})
+
+    def of(key, group):
+        i, _, u, v = (k.as_py() for k in key)
+        found = _links(group, i, u != v, percent, verify)
+        return pa.table({c: pa.array([f[k] for f in found], pa.binary()) for k, c in enumerate("xy")})
+
+    return rows.drop("other", "blocks").groupBy("i", "g", "u", "v").applyInArrow(of, "x binary, y binary")
+
+
 def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, tables: int = TABLES, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     docs = texts(docs, id_col, text_col)
@@ -226,12 +270,12 @@ def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, tables
     groups = components(edges)
     # what stars may have missed: pairs of a bucket in different components
     placed = found.select("class").join(names, "class").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("class", F.coalesce("component", "rep").alias("at"))
-    rest = bands.select("key", *attributes).join(placed, "class")
-    mixed = rest.groupBy("key").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).filter("lo <> hi").select("key")
-    rest = written(rest.join(mixed, "key"), "rest")
-    apart = rest.alias("a").join(rest.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.class") < F.col("b.class")) & (F.col("a.at") != F.col("b.at")) & _possible("a", "b", percent))
-    apart = apart.select(F.col("a.class").alias("x"), F.col("b.class").alias("y")).distinct().join(pairs, ["x", "y"], "left_anti")
-    more = written(links(_verified(apart, sets, percent)), "more")
+    mixed = bands.select("key", "class").join(placed, "class").groupBy("key").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).filter("lo <> hi").select("key")
+    rest = bands.select("key", "class").join(mixed, "key").select("class").distinct()
+    rest = written(found.join(rest, "class").join(placed, "class").select("class", "n", "shared", "left", "right", "at"), "rest")
+    open_ = _compared(rest, percent, verify=False).select(F.col("x").alias("class")).distinct()
+    rest = rest.join(open_, "class", "left_semi").join(sets, "class")
+    more = written(links(_compared(rest, percent, verify=True)), "more")
     if more.limit(1).count():
         groups = components(edges.unionByName(more))
     joined = rows.join(names, "class", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
