@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts, written
+from .common import slices, squeeze, texts, unsqueeze, written
 
 BLOCK_BYTES = 16 << 20
 #: Bytes of text whose distinct pre-tokens one part holds.
@@ -80,24 +80,24 @@ class Numbers(dict):
 
 
 def pack(words: list[bytes]) -> tuple[bytes, bytes]:
-    return np.fromiter(map(len, words), np.uint32, len(words)).tobytes(), b"".join(words)
+    return squeeze(np.fromiter(map(len, words), np.uint32, len(words))), squeeze(b"".join(words))
 
 
 def unpack(lengths: bytes, blob: bytes) -> list[bytes]:
-    ends = np.cumsum(np.frombuffer(lengths, np.uint32)).tolist()
+    ends, blob = np.cumsum(unsqueeze(lengths, np.uint32)).tolist(), unsqueeze(blob)
     return [blob[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
 
 
-BLOCKS = "block long, part int, at binary, lengths binary, blob binary, ids binary, bytes binary, sizes binary, low binary, high binary, times binary"
+BLOCKS = "block long, part int, at binary, lengths binary, blob binary, ids binary, bytes binary, sizes binary, numbers binary, times binary"
 
 
 def blocks(docs: DataFrame, pattern: str, n_parts: int, counts: bool, special: str | None) -> DataFrame:
     """Rows of two kinds. part >= 0: distinct pre-tokens of a block (lengths, blob) and their local numbers (gaps in at).
-    part -1: the block's documents (ids, bytes, sizes) and local numbers in two planes (low 16 bits, high 8 bits): of each
-    position, or with counts of each distinct pre-token of a document, and its times."""
-    names = [x.split()[0] for x in BLOCKS.split(", ")]
+    part -1: the block's documents (ids, bytes, sizes) and the local numbers of all positions; or with counts of each
+    distinct pre-token of a document (as differences), and its times."""
+    columns = [x.split()[0] for x in BLOCKS.split(", ")]
     types = {"block": pa.int64(), "part": pa.int32()}
-    schema = pa.schema([(n, types.get(n, pa.binary())) for n in names])
+    schema = pa.schema([(n, types.get(n, pa.binary())) for n in columns])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, block = splitter(pattern), TaskContext.get().partitionId() << 32
@@ -114,11 +114,16 @@ def blocks(docs: DataFrame, pattern: str, n_parts: int, counts: bool, special: s
                 sequences.append(np.fromiter(map(number, found), np.uint32, len(found)))
             sizes = np.array([len(s) for s in sequences], np.uint32)
             flat = np.concatenate(sequences) if len(numbers) else np.zeros(0, np.uint32)
-            times = None
+            frequent = np.argsort(-np.bincount(flat, minlength=len(numbers)), kind="stable")  # small numbers for common ones
+            rank = np.empty(len(frequent), np.uint32)
+            rank[frequent] = np.arange(len(frequent), dtype=np.uint32)
+            flat, times = rank[flat], np.zeros(0, np.int64)
             if counts and len(flat):
                 keys, times = np.unique(np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes) << np.uint64(32) | flat, return_counts=True)
                 flat, sizes = keys.astype(np.uint32), np.bincount((keys >> np.uint64(32)).astype(np.int64), minlength=len(sizes)).astype(np.uint32)
-            words = [w.encode() for w in numbers]
+                flat = np.diff(flat, prepend=np.uint32(0))
+            names = list(numbers)
+            words = [names[i].encode() for i in frequent.tolist()]
             part = np.fromiter((zlib.crc32(w) % n_parts for w in words), np.int32, len(words))
             order = np.argsort(part, kind="stable")
             ends = np.searchsorted(part[order], np.arange(n_parts + 1))
@@ -127,13 +132,12 @@ def blocks(docs: DataFrame, pattern: str, n_parts: int, counts: bool, special: s
                 mine = order[ends[p] : ends[p + 1]]
                 if len(mine):
                     lengths, blob = pack([words[i] for i in mine])
-                    rows.append({"block": block, "part": p, "at": np.diff(mine, prepend=0).astype(np.uint32).tobytes(), "lengths": lengths, "blob": blob})
+                    rows.append({"block": block, "part": p, "at": squeeze(np.diff(mine, prepend=0).astype(np.uint32)), "lengths": lengths, "blob": blob})
             sizes_of = batch.column("text").cast(pa.binary())
             n_bytes = np.array([len(x) for x in sizes_of.to_pylist()], np.int64)
             rows.append({
                 "block": block, "part": -1, "ids": _ids(batch.column("doc_id")), "bytes": n_bytes.tobytes(), "sizes": sizes.tobytes(),
-                "low": flat.astype(np.uint16).tobytes(), "high": (flat >> np.uint32(16)).astype(np.uint8).tobytes(),
-                "times": None if times is None else np.minimum(times, 255).astype(np.uint8).tobytes() + times[times >= 255].astype(np.uint32).tobytes(),
+                "numbers": squeeze(flat), "times": squeeze(times.astype(np.uint32)),
             })
             yield pa.RecordBatch.from_pylist(rows, schema)
             block += 1
@@ -151,16 +155,6 @@ def _ids_back(raw: bytes, n: int) -> pa.Array:
     return pa.array(np.frombuffer(raw, np.int64, n), mask=np.frombuffer(raw, np.uint8, n, 8 * n).astype(bool))
 
 
-def _numbers(row: dict) -> np.ndarray:
-    return np.frombuffer(row["low"], np.uint16).astype(np.uint32) | (np.frombuffer(row["high"], np.uint8).astype(np.uint32) << np.uint32(16))
-
-
-def _times(raw: bytes, n: int) -> np.ndarray:
-    times = np.frombuffer(raw, np.uint8, n).astype(np.int64)
-    times[times == 255] = np.frombuffer(raw, np.uint32, -1, n)
-    return times
-
-
 def _bounds(sizes: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes, dtype=np.int64)])
 
@@ -186,10 +180,10 @@ def encoded_parts(table: DataFrame, encode, ids: bool) -> DataFrame:
         for r, ws in zip(rows, words, strict=True):
             if ids:
                 found = [seen[w] for w in ws]
-                n, tokens = np.fromiter(map(len, found), np.uint32, len(ws)) // 4, b"".join(found)
+                n, tokens = np.fromiter(map(len, found), np.uint32, len(ws)) // 4, squeeze(np.frombuffer(b"".join(found), np.uint32))
             else:
                 n, tokens = np.fromiter(map(seen.__getitem__, ws), np.uint32, len(ws)), None
-            out.append({"block": r["block"], "at": r["at"], "n": n.tobytes(), "tokens": tokens})
+            out.append({"block": r["block"], "at": r["at"], "n": squeeze(n), "tokens": tokens})
         return pa.Table.from_pylist(out, pa.schema([("block", pa.int64()), ("at", pa.binary()), ("n", pa.binary()), ("tokens", pa.binary())]))
 
     return table.filter("part >= 0").select("block", "part", "at", "lengths", "blob").groupBy("part").applyInArrow(of, schema)
@@ -197,7 +191,7 @@ def encoded_parts(table: DataFrame, encode, ids: bool) -> DataFrame:
 
 def _gathered(parts: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray], list[bytes]]:
     rows = parts.to_pylist()
-    return [np.cumsum(np.frombuffer(r["at"], np.uint32), dtype=np.int64) for r in rows], [np.frombuffer(r["n"], np.uint32) for r in rows], [r["tokens"] for r in rows]
+    return [np.cumsum(unsqueeze(r["at"], np.uint32), dtype=np.int64) for r in rows], [unsqueeze(r["n"], np.uint32) for r in rows], [r["tokens"] for r in rows]
 
 
 def token_counts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -215,12 +209,12 @@ def token_counts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
         for a, b in zip(at, n, strict=True):
             pieces[a] = b
         sizes = np.frombuffer(row["sizes"], np.uint32)
-        numbers = _numbers(row)
-        each = pieces[numbers] * _times(row["times"], len(numbers)) if len(numbers) else np.zeros(0, np.int64)
+        numbers = np.cumsum(unsqueeze(row["numbers"], np.uint32), dtype=np.uint32)
+        each = pieces[numbers] * unsqueeze(row["times"], np.uint32) if len(numbers) else np.zeros(0, np.int64)
         total = np.diff(_bounds(each)[_bounds(sizes)])
         return pa.table({"doc_id": _ids_back(row["ids"], len(sizes)), "n_bytes": np.frombuffer(row["bytes"], np.int64), "n_tokens": total.astype(np.int64)})
 
-    documents = table.filter("part = -1").select("block", "ids", "bytes", "sizes", "low", "high", "times")
+    documents = table.filter("part = -1").select("block", "ids", "bytes", "sizes", "numbers", "times")
     return documents.groupBy("block").cogroup(encoded_parts(table, encode, ids=False).groupBy("block")).applyInArrow(of, "doc_id long, n_bytes long, n_tokens long")
 
 
@@ -241,12 +235,12 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
         lengths = np.zeros(len(own), np.int64)
         for a, b, raw in zip(at, n, tokens, strict=True):
             lengths[a] = b
-            ends = np.cumsum(b.astype(np.int64) * 4).tolist()
+            raw, ends = unsqueeze(raw, np.uint32).tobytes(), np.cumsum(b.astype(np.int64) * 4).tolist()
             for i, start, end in zip(a.tolist(), [0, *ends[:-1]], ends, strict=True):
                 own[i] = raw[start:end]
         sizes = np.frombuffer(row["sizes"], np.uint32)
         stops = np.cumsum(sizes).tolist()
-        numbers = _numbers(row)
+        numbers = unsqueeze(row["numbers"], np.uint32)
         doc_ids = _ids_back(row["ids"], len(sizes))
         names = byte_table(path)
         flat = [np.frombuffer(x, np.uint32).tolist() for x in own]
@@ -269,6 +263,6 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
             decoded_sha.append(hashlib.sha256(b"".join(map(plain.__getitem__, mine))).hexdigest())
         return pa.table({"doc_id": doc_ids, "n_tokens": pa.array(n_tokens, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(decoded_sha, pa.string())})
 
-    documents = table.filter("part = -1").select("block", "ids", "sizes", "low", "high")
+    documents = table.filter("part = -1").select("block", "ids", "sizes", "numbers")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, ids array<int>, decoded binary"
     return documents.groupBy("block").cogroup(encoded_parts(table, encode, ids=True).groupBy("block")).applyInArrow(of, schema)

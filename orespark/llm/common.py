@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,3 +64,22 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def squeeze(values: np.ndarray | bytes) -> bytes:
+    """Zstandard over bytes, or over an array's byte planes (all lowest bytes first), which small numbers leave almost empty."""
+    import zstandard
+
+    if not isinstance(values, bytes):
+        values = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(values)
+
+
+def unsqueeze(raw: bytes, kind: type | None = None) -> np.ndarray | bytes:
+    """What squeeze() was given: bytes, or an array of the kind."""
+    import zstandard
+
+    data = zstandard.ZstdDecompressor().decompress(raw)
+    if kind is None:
+        return data
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)

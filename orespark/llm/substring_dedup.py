@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import part_count
-from .common import slices, texts
+from .common import slices, squeeze, texts, unsqueeze
 from .wordhash import Words, inside, windows
 
 SIZE = 20
@@ -42,11 +42,11 @@ PACKED_SCHEMA = pa.schema([("part", pa.int64()), ("slice", pa.int64()), *((n, pa
 
 
 def _gaps(sorted_values: np.ndarray) -> bytes:
-    return np.diff(sorted_values, prepend=0).astype(np.uint32).tobytes()
+    return squeeze(np.diff(sorted_values, prepend=0).astype(np.uint32))
 
 
 def _values(gaps: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(gaps, np.uint32), dtype=np.int64)
+    return np.cumsum(unsqueeze(gaps, np.uint32), dtype=np.int64)
 
 
 def _anchors(n_parts: int):
