@@ -90,7 +90,7 @@ def resample_trace(traces: DataFrame, step: float) -> DataFrame:
     """hole_id, md and position every `step` from the first vertex on; positions past the end stay at the last vertex."""
     ends = traces.groupBy("hole_id").agg(F.min("md").alias("lo"), F.max("md").alias("hi"))
     count = F.greatest(F.lit(1), F.ceil((F.col("hi") + step - F.col("lo")) / step).cast("int"))
-    marks = ends.select("hole_id", (F.col("lo") + F.explode(F.sequence(F.lit(0), count - 1)) * F.lit(step)).alias("md_out"))
+    marks = ends.select("hole_id", "lo", F.explode(F.sequence(F.lit(0), count - 1)).alias("k")).select("hole_id", (F.col("lo") + F.col("k") * F.lit(float(step))).alias("md_out"))
     return interpolate_positions(marks, traces, "md_out", clamp=True).withColumnRenamed("md_out", "md")
 
 

@@ -64,34 +64,55 @@ def strike_dip_symbols(df: DataFrame, x_col: str = "easting", y_col: str = "nort
     })
 
 
-def _unit(v: list[Column]) -> tuple[list[Column], Column]:
-    size = F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
-    return [F.try_divide(c, size) for c in v], size
+def _cross(a: str, b: str) -> dict[str, Column]:
+    p, q = ([F.col(f"{v}{x}") for x in "xyz"] for v in (a, b))
+    return {"x": p[1] * q[2] - p[2] * q[1], "y": p[2] * q[0] - p[0] * q[2], "z": p[0] * q[1] - p[1] * q[0]}
 
 
-def _cross(a: list[Column], b: list[Column]) -> list[Column]:
-    return [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
+def _with_vector(df: DataFrame, name: str, parts: dict[str, Column], fallback: tuple[float, float, float] | None = None) -> DataFrame:
+    """df with name + x/y/z; as a unit vector (fallback where it has no length) if a fallback is given."""
+    df = df.withColumns({f"{name}{a}": c for a, c in parts.items()})
+    if fallback is None:
+        return df
+    size = F.sqrt(sum(F.col(f"{name}{a}") * F.col(f"{name}{a}") for a in "xyz"))
+    return df.withColumn("_size", size).withColumns({f"{name}{a}": F.when(F.col("_size") > 0, F.col(f"{name}{a}") / F.col("_size")).otherwise(v) for a, v in zip("xyz", fallback, strict=True)}).drop("_size")
 
 
-def alpha_beta_normal(alpha: Column, beta: Column, hole: tuple[Column, Column, Column], zero_at: str = "bottom", clockwise: bool = True) -> list[Column]:
-    """Unit normal of a plane from core angles and the hole's direction.
+def alpha_beta_normals(df: DataFrame, hole: tuple[Column, Column, Column], alpha_col: str = "alpha", beta_col: str = "beta", zero_at: str = "bottom", clockwise: bool = True) -> DataFrame:
+    """Adds normal_x/y/z: the unit normal of a plane from its core angles and the hole's direction.
 
     Frame: right = up x hole (up is z, or y for a nearly vertical hole), bottom = hole x right. The reference line is
-    turned by beta about the hole, then tilted towards the hole by alpha.
+    turned by beta (0 where missing) about the hole, then tilted towards the hole by alpha.
     """
-    d, size = _unit(list(hole))
-    d = [F.when(size > 0, c).otherwise(F.lit(v)) for c, v in zip(d, (0.0, 0.0, -1.0), strict=True)]
-    steep = F.abs(d[2]) > 0.99
-    up = [F.lit(0.0), F.when(steep, 1.0).otherwise(0.0), F.when(steep, 0.0).otherwise(1.0)]
-    right, _ = _unit(_cross(up, d))
-    bottom, _ = _unit(_cross(d, right))
-    start = bottom if zero_at == "bottom" else right
-    turn = F.radians(beta if clockwise else -beta)
-    side = _cross(d, start)
-    around = [s * F.cos(turn) + p * F.sin(turn) for s, p in zip(start, side, strict=True)]
-    tilt = F.radians(F.lit(90.0) - alpha)
-    out, size = _unit([F.cos(tilt) * a + F.sin(tilt) * c for a, c in zip(around, d, strict=True)])
-    return [F.when(size > 0, c).otherwise(F.lit(v)) for c, v in zip(out, (0.0, 0.0, 1.0), strict=True)]
+    names = df.columns
+    df = _with_vector(df, "_d", dict(zip("xyz", hole, strict=True)), (0.0, 0.0, -1.0))
+    steep = F.abs("_dz") > 0.99
+    df = _with_vector(df, "_u", {"x": F.lit(0.0), "y": F.when(steep, 1.0).otherwise(0.0), "z": F.when(steep, 0.0).otherwise(1.0)})
+    df = _with_vector(df, "_r", _cross("_u", "_d"), (1.0, 0.0, 0.0))
+    df = _with_vector(df, "_b", _cross("_d", "_r"), (0.0, 1.0, 0.0))
+    start = "_b" if zero_at == "bottom" else "_r"
+    df = _with_vector(df, "_c", _cross("_d", start))
+    beta = F.coalesce(number(ref(beta_col)), F.lit(0.0))
+    df = df.withColumns({"_turn": F.radians(beta if clockwise else -beta), "_tilt": F.radians(F.lit(90.0) - number(ref(alpha_col)))})
+    around = {a: F.cos("_tilt") * (F.col(f"{start}{a}") * F.cos("_turn") + F.col(f"_c{a}") * F.sin("_turn")) + F.sin("_tilt") * F.col(f"_d{a}") for a in "xyz"}
+    df = _with_vector(df, "normal_", around, (0.0, 0.0, 1.0))
+    return df.select(*[ref(c) for c in names if c not in ("normal_x", "normal_y", "normal_z")], *[F.when(F.col("_tilt").isNotNull(), F.col(f"normal_{a}")).alias(f"normal_{a}") for a in "xyz"])
+
+
+def structural_positions(structures: DataFrame, traces: DataFrame) -> DataFrame:
+    """Structures on their trace (holes by trimmed lower-case id; depth, else mid) with normal_x/y/z: from alpha and beta with the
+    interpolated hole direction where there is an alpha, else from dip and azimuth."""
+    from .asof import interpolate_positions
+    from .desurvey import direction
+
+    depths = [number(F.col(c)) for c in ("depth", "mid") if c in structures.columns]
+    key = F.lower(F.trim("hole_id"))
+    rows = structures.withColumns({"hole_id": key, "_at": F.coalesce(*depths)})
+    rows = rows.withColumns({c: F.lit(None).cast("double") for c in ("alpha", "beta", "dip", "azimuth") if c not in rows.columns})
+    placed = interpolate_positions(rows, traces.withColumns({"hole_id": key, "_az": F.col("azimuth"), "_dip": F.col("dip")}), "_at", ["easting", "northing", "elevation", "_az", "_dip"])
+    placed = alpha_beta_normals(placed, direction(F.col("_az"), F.col("_dip")))
+    plane = plane_normal(number(F.col("dip")), number(F.col("azimuth")))
+    return placed.withColumns({f"normal_{a}": F.coalesce(f"normal_{a}", c) for a, c in zip("xyz", plane, strict=True)}).drop("_at", "_az", "_dip")
 
 
 def project_to_section(df: DataFrame, origin: tuple[float, float], azimuth: float, x_col: str = "easting", y_col: str = "northing") -> DataFrame:
