@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, squeeze, texts, unsqueeze, written
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
 #: Bytes of text whose distinct pre-tokens one part holds.
 PART_BYTES = 24 << 20
 SPECIAL = "<|endoftext|>"
