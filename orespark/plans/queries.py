@@ -276,9 +276,9 @@ def category_colours(s: SparkSession, d: str) -> DataFrame:
 
 
 def wrapped_comments(s: SparkSession, d: str) -> DataFrame:
-    """Document texts wrapped as log comments, by length."""
-    words = s.read.parquet(f"{d}/documents.parquet").select("doc_id", payload.wrapped(F.substring("text", 1, 200), 30).alias("wrapped"))
-    return words.select("doc_id", F.size(F.split("wrapped", "<br>")).alias("n_lines"), F.length("wrapped").alias("n_chars"))
+    """Whole texts of turns wrapped as log comments, by length."""
+    words = s.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", payload.wrapped(F.col("text"), 30).alias("wrapped"))
+    return words.select("conv_id", "turn", F.size(F.split("wrapped", "<br>")).alias("n_lines"), F.length("wrapped").alias("n_chars"))
 
 
 def collar_extent(s: SparkSession, d: str) -> DataFrame:
