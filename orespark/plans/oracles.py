@@ -224,4 +224,10 @@ h(rock_type, i, v) as (select rock_type, 0, cast(2166136261 as bigint) from n un
 select rock_type, {r("v / cast(4294967295 as double)", "unit")}, case lower(substr(rock_type, 1, 2)) when 'st' then '#111111' when 'pr' then '#222222' else '#999999' end colour from h where i = length(rock_type)""",
     "collar_extent": f"with {COLLARS} select {r('min(easting / 1e4)', 'west')}, {r('min(northing / 1e5)', 'south')}, {r('max(easting / 1e4)', 'east')}, {r('max(northing / 1e5)', 'north')}, {r('median(northing / 1e5)', 'lat')}, {r('median(easting / 1e4)', 'lon')} from fx_collars",
     "filter_by_project": f"with {COLLARS} select hole_id, project_id from fx_collars where project_id = '1-URGENT'",
+    "projected_collars": f"""with {COLLARS}, g as (select 1 / (2 * cast(298.257222101 as double) - 1) n),
+d as (select hole_id, n, 2 * sqrt(n) / (1 + n) e, sin(radians((northing - 6900000) / cast(100000 as double) - 32)) s, radians((easting - 500000) / cast(5000 as double) + 116.5 - 117) w, 0.9996 * cast(6378137 as double) / (1 + n) * (1 + n * n / 4 + n * n * n * n / 64) q from fx_collars, g),
+t as (select *, sinh(atanh(s) - e * atanh(e * s)) t from d),
+p as (select *, n / 2 - 2 * n * n / 3 + 5 * n * n * n / 16 a1, 13 * n * n / 48 - 3 * n * n * n / 5 a2, 61 * n * n * n / 240 a3, atan2(t, cos(w)) xi, atanh(sin(w) / sqrt(1 + t * t)) eta from t)
+select hole_id, {r("500000 + q * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta))", "easting")},
+{r("10000000 + q * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta))", "northing")} from p""",
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import colours, scale
+from ..functions import colours, projection, scale
 from ..operators import asof, blockmodel, columns, desurvey, intervals, structural, validate
 from ..operators.pivot import long_to_wide
 from ..sources import ingest, loaders
@@ -286,6 +286,12 @@ def collar_extent(s: SparkSession, d: str) -> DataFrame:
     return rounded(payload.collar_extent(tops), "west", "south", "east", "north", "lat", "lon")
 
 
+def projected_collars(s: SparkSession, d: str) -> DataFrame:
+    """Collars as degrees in UTM zone 50 south, projected."""
+    tops = fx.collars(s, d).select("hole_id", ((F.col("northing") - 6.9e6) / 1e5 - 32).alias("latitude"), ((F.col("easting") - 5e5) / 5e3 + 116.5).alias("longitude"))
+    return rounded(projection.with_utm(tops, 50, south=True).select("hole_id", "easting", "northing"), "easting", "northing")
+
+
 def filter_by_project(s: SparkSession, d: str) -> DataFrame:
     return loaders.by_project(fx.collars(s, d), "1-URGENT").select("hole_id", "project_id")
 
@@ -305,5 +311,5 @@ QUERIES: dict[str, Query] = {
     "interval_points": interval_points, "interval_vertices": interval_vertices, "labelled_intervals": labelled_intervals, "unified_dataset": unified_dataset,
     "quantile_colour_bins": quantile_colour_bins, "binned_values": binned_values, "depth_markers": depth_markers, "holes_with_assays": holes_with_assays, "hole_properties": hole_properties,
     "trace_segments": trace_segments, "intervals_by_hole": intervals_by_hole, "structure_discs": structure_discs, "category_colours": category_colours, "wrapped_comments": wrapped_comments,
-    "collar_extent": collar_extent, "filter_by_project": filter_by_project,
+    "collar_extent": collar_extent, "filter_by_project": filter_by_project, "projected_collars": projected_collars,
 }

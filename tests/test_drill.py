@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from orespark.functions import colours, scale
+from orespark.functions import colours, projection, scale
 from orespark.operators import asof, blockmodel, columns, desurvey, intervals, mesh, structural, validate
 from orespark.operators.pivot import long_to_wide
 from orespark.sources import ingest, loaders
@@ -211,3 +211,16 @@ def test_entry(spark):
 
     assert entry.entry(spark).limit(1).count() == 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_utm(spark):
+    """Against the meridian arc by numeric integration, a published point, and symmetry about the meridian."""
+    df = frame(spark, [("tower", "43.64256", "-79.38714"), ("axis", "-31.5", "-81"), ("west", "20", "-82"), ("east", "20", "-80"), ("bad", "x", "-81"), ("null", None, None)], "id string, latitude string, longitude string")
+    got = {r.id: (r.easting, r.northing) for r in projection.with_utm(df, 17).collect()}
+    assert abs(got["tower"][0] - 630084) < 2 and abs(got["tower"][1] - 4833438) < 2
+    f, steps = 1 / projection.INVERSE_FLATTENING, 20_000
+    e2, width = f * (2 - f), math.radians(31.5) / steps
+    arc = sum((1 - e2 * math.sin((k + 0.5) * width) ** 2) ** -1.5 for k in range(steps)) * width * projection.AXIS * (1 - e2)
+    assert abs(got["axis"][0] - 500_000) < 1e-6 and abs(got["axis"][1] + 0.9996 * arc) < 1e-3
+    assert abs(got["west"][0] + got["east"][0] - 1_000_000) < 1e-6 and abs(got["west"][1] - got["east"][1]) < 1e-6
+    assert got["bad"][1] is None and got["null"] == (None, None)
