@@ -1,14 +1,13 @@
 """Packing of documents into sequences: a sharded BM25 index returns unused neighbours of each seed document, which
 greedily fill its window.
 
-1. Every document is tokenized once into a written table (ids, and a sketch of its words: the `sketch` distinct words
-   with the smallest hashes, with their counts; the same words survive in different documents, so overlaps stay
-   visible in proportion; the whole text is read).
-2. Documents are spread by hash over shards of about `shard_docs`, so that a shard is bounded whatever the
-   corpus is. A shard builds an inverted index of its sketches. A seed fills whole windows by itself; the open
+1. Every document is tokenized once into a written table.
+2. Documents are spread by hash over shards of about `shard_docs`, fewer where documents are long, so that a shard is
+   bounded whatever the corpus is. A shard reads the texts back from the ids and builds an inverted index of all their
+   words with their frequencies, and a seed queries it with all of its own. A seed fills whole windows by itself; the open
    rest of its last window takes its best-scored unused neighbours that fit, then the first part of the best one that doesn't,
    whose other part opens the next window as the new seed. Only a shard's last window has padding.
-3. The pieces are joined with the ids by document.
+3. The pieces are cut from the ids where the shard is packed.
 
 Null texts count as empty and hold the end token alone; repeated rows are packed as often as they occur; ties of score go
 to the earlier document of the shard; an empty table gives no pieces. Extra columns are ignored.
@@ -26,68 +25,91 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import SPECIAL, rank_encoder
-from .common import slices, texts, written
+from .common import SLICE_BYTES, slices, texts, written
 from .wordhash import Words
 
 K1, B = 1.2, 0.75
+#: Words with most documents that a shard's index keeps as whole rows.
+DENSE = 512
+#: Token ids of a shard (about; a longer document is whole).
+SHARD_IDS = 8 << 20
 
 
-def tokenized(docs: DataFrame, path: str, pattern: str, end_id: int = 1, sketch: int = 64) -> DataFrame:
-    """row (unique), doc_id, n, ids (binary, 16 bits each, or 32 for a larger vocabulary), terms and times (the sketch)."""
+def tokenized(docs: DataFrame, path: str, pattern: str, end_id: int = 1) -> DataFrame:
+    """row (unique), doc_id, n, ids (binary, 16 bits each, or 32 for a larger vocabulary)."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = rank_encoder(path, pattern, special=True)
         kind = np.uint16 if encoder.n_vocab <= 1 << 16 else np.uint32
         row = TaskContext.get().partitionId() << 40
         for batch in slices(batches):
-            words = Words(batch.column("text"))
-            out = {"row": [], "n": [], "ids": [], "terms": [], "times": []}
-            for i, text in enumerate(batch.column("text").to_pylist()):
+            out = {"row": [], "n": [], "ids": []}
+            for text in batch.column("text").to_pylist():
                 ids = np.append(encoder.encode_to_numpy(text, allowed_special={SPECIAL}), end_id).astype(kind)
-                mine = np.sort(words.hash[words.first[i] : words.first[i + 1]])
-                fresh = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]])) if len(mine) else np.zeros(0, np.int64)
-                times = np.diff(np.append(fresh, len(mine)))[:sketch]
                 out["row"].append(row), out["n"].append(len(ids)), out["ids"].append(ids.tobytes())
-                out["terms"].append((mine[fresh[:sketch]] >> np.uint64(20)).tobytes()), out["times"].append(np.minimum(times, 255).astype(np.uint8).tobytes())
                 row += 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out["row"], pa.int64()), batch.column("doc_id"), pa.array(out["n"], pa.int64()), pa.array(out["ids"], pa.binary()), pa.array(out["terms"], pa.binary()), pa.array(out["times"], pa.binary())],
-                ["row", "doc_id", "n", "ids", "terms", "times"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(out["row"], pa.int64()), batch.column("doc_id"), pa.array(out["n"], pa.int64()), pa.array(out["ids"], pa.binary())], ["row", "doc_id", "n", "ids"])
 
-    return docs.mapInArrow(of, "row long, doc_id long, n long, ids binary, terms binary, times binary")
+    return docs.mapInArrow(of, "row long, doc_id long, n long, ids binary")
+
+
+def bags(encoder, documents: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Hashes (sorted) of all distinct words of every document, given by its ids and an end token, and their frequencies."""
+    terms, times, part, size = [], [], [], 0
+    for k, ids in enumerate(documents):
+        part.append(encoder.decode_bytes(ids[:-1].tolist()))
+        size += len(part[-1])
+        if size < SLICE_BYTES and k + 1 < len(documents):
+            continue
+        words = Words(pa.array(part, pa.binary()))
+        for a, b in zip(words.first[:-1], words.first[1:], strict=True):
+            mine = np.sort(words.hash[a:b])
+            fresh = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]])) if len(mine) else np.zeros(0, np.int64)
+            terms.append(mine[fresh]), times.append(np.diff(np.append(fresh, len(mine))))
+        part, size = [], 0
+    return terms, times
 
 
 class Index:
     """BM25 inverted index of one shard."""
 
     def __init__(self, terms: list[np.ndarray], times: list[np.ndarray], lengths: np.ndarray):
-        sizes = np.array([len(t) for t in terms])
+        sizes = np.array([len(t) for t in terms], np.int64)
         self.n, self.first = len(terms), np.concatenate([[0], np.cumsum(sizes)])
-        owner = np.repeat(np.arange(self.n), sizes)
+        owner = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
         flat = np.concatenate(terms) if self.n else np.zeros(0, np.uint64)
-        tf = np.concatenate(times).astype(np.float64) if self.n else np.zeros(0)
+        self.times = np.concatenate(times) if self.n else np.zeros(0, np.int64)
         order = np.argsort(flat, kind="stable")
-        edges = np.flatnonzero(np.concatenate([[True], flat[order][1:] != flat[order][:-1]])) if len(flat) else np.zeros(0, np.int64)
+        flat = flat[order]
+        edges = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
         df = np.diff(np.append(edges, len(flat)))
-        number = np.zeros(len(flat), np.int64)
-        number[order] = np.repeat(np.arange(len(edges)), df)
-        self.number, self.start, self.stop = number, edges, edges + df
+        self.number = np.zeros(len(flat), np.int32)
+        self.number[order] = np.repeat(np.arange(len(edges), dtype=np.int32), df)
+        self.start, self.size = edges, df
         idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * lengths / max(1.0, lengths.mean() if self.n else 1.0))
-        self.posting = owner[order]
-        self.weight = np.repeat(idf, df) * tf[order] * (K1 + 1) / (tf[order] + norm[self.posting])
-        self.shared = df > 1
+        self.posting, tf = owner[order], self.times[order].astype(np.float64)
+        self.weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[self.posting])
+        often = np.argsort(-df, kind="stable")[:DENSE]
+        often = often[16 * df[often] > self.n]
+        self.row = np.full(len(df), -1)
+        self.row[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), self.n))
+        for k, word in enumerate(often.tolist()):
+            mine = slice(edges[word], edges[word] + df[word])
+            self.dense[k, self.posting[mine]] = self.weight[mine]
 
     def scores(self, doc: int) -> np.ndarray:
-        """BM25 of every document for the sketch of `doc` as the query."""
-        mine = self.number[self.first[doc] : self.first[doc + 1]]
-        mine = mine[self.shared[mine]]
-        if not len(mine):
-            return np.zeros(self.n)
-        starts, sizes = self.start[mine], self.stop[mine] - self.start[mine]
-        at = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-        return np.bincount(self.posting[at], self.weight[at], self.n)
+        """BM25 of every document for the whole text of `doc` as the query."""
+        mine, times = (x[self.first[doc] : self.first[doc + 1]] for x in (self.number, self.times))
+        rows, starts, sizes = self.row[mine], self.start[mine], self.size[mine]
+        rare = (rows < 0) & (sizes > 1)  # a word that only `doc` has finds no other
+        starts, sizes = starts[rare], sizes[rare]
+        at = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum()) if len(sizes) else np.zeros(0, np.int64)
+        out = np.bincount(self.posting[at], self.weight[at] * np.repeat(times[rare], sizes), self.n).astype(np.float64)
+        for k, n in zip(rows[rows >= 0].tolist(), times[rows >= 0].tolist(), strict=True):
+            out += self.dense[k] if n == 1 else self.dense[k] * n
+        return out
 
 
 def fill(lengths: np.ndarray, index: Index, window: int, neighbours: int = 32) -> list[tuple[int, int, int, int, int]]:
@@ -151,34 +173,21 @@ def fill(lengths: np.ndarray, index: Index, window: int, neighbours: int = 32) -
 def pack(docs: DataFrame, path: str, pattern: str, window: int = 2048, end_id: int = 1, shard_docs: int = 4096, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, and ids (array), or with digests ids_crc32."""
     table = written(tokenized(texts(docs, id_col, text_col), path, pattern, end_id), "tokens")
-    n_shards = max(1, -(-table.count() // shard_docs))
+    n_docs, n_ids = table.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    n_shards = max(1, -(-n_docs // shard_docs), -(-n_ids // SHARD_IDS))
+    own = "ids_crc32 long" if digests else "ids array<int>"
 
     def shard(key, group):
         group = group.sort_by("row")
-        rows, lengths = group.column("row").to_pylist(), group.column("n").to_numpy()
-        terms = [np.frombuffer(x, np.uint64) for x in group.column("terms").to_pylist()]
-        times = [np.frombuffer(x, np.uint8) for x in group.column("times").to_pylist()]
-        pieces = np.array(fill(lengths, Index(terms, times, lengths.astype(np.float64)), window), np.int64).reshape(-1, 5)
-        pieces[:, 3] += key[0].as_py() << 32
-        pieces = pieces[np.argsort(pieces[:, 0], kind="stable")]
-        edges = np.searchsorted(pieces[:, 0], np.arange(len(rows) + 1))
-        return pa.table({"row": pa.array(rows, pa.int64()), "pieces": pa.array([pieces[a:b, 1:].tobytes() for a, b in zip(edges, edges[1:], strict=False)], pa.binary())})
-
-    shards = table.select("row", "n", "terms", "times", F.pmod(F.xxhash64("row"), F.lit(n_shards)).alias("shard"))
-    pieces = shards.groupBy("shard").applyInArrow(shard, "row long, pieces binary")
-    own = "ids_crc32 long" if digests else "ids array<int>"
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "ids"):
-            doc_ids, columns, made = [], [], []
-            for doc_id, n, raw, mine in zip(batch.column("doc_id").to_pylist(), batch.column("n").to_pylist(), batch.column("ids").to_pylist(), batch.column("pieces").to_pylist(), strict=True):
-                ids = np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.uint32).astype(np.uint32)
-                view = memoryview(ids.tobytes())
-                for start, length, sequence, offset in np.frombuffer(mine, np.int64).reshape(-1, 4).tolist():
-                    doc_ids.append(doc_id)
-                    columns.append((start, length, n, sequence, offset))
-                    made.append(zlib.crc32(view[4 * start : 4 * (start + length)]) if digests else ids[start : start + length].astype(np.int32))
-            columns = np.array(columns, np.int64).reshape(-1, 5).T
-            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), *map(pa.array, columns), pa.array(made, pa.int64() if digests else pa.list_(pa.int32()))], ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", own.split()[0]])
-
-    return table.select("row", "doc_id", "n", "ids").join(pieces, "row").mapInArrow(cut, f"doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, {own}")
+        doc_ids, lengths = group.column("doc_id").combine_chunks(), group.column("n").to_numpy()
+        documents = [np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.uint32) for raw, n in zip(group.column("ids").to_pylist(), lengths.tolist(), strict=True)]
+        index = Index(*bags(rank_encoder(path, pattern, special=True), documents), lengths.astype(np.float64))
+        pieces = np.array(fill(lengths, index, window), np.int64).reshape(-1, 5)
+        made = [documents[doc][start : start + length] for doc, start, length in pieces[:, :3].tolist()]
+        made = [zlib.crc32(ids.astype(np.uint32).tobytes()) for ids in made] if digests else [ids.astype(np.int32) for ids in made]
+        doc, start, length, sequence, offset = pieces.T
+        columns = [start, length, lengths[doc], sequence + (key[0].as_py() << 32), offset]
+        return pa.Table.from_arrays([doc_ids.take(pa.array(doc)), *map(pa.array, columns), pa.array(made, pa.int64() if digests else pa.list_(pa.int32()))], ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", own.split()[0]])
+
+    shards = table.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(n_shards)))
+    return shards.groupBy("shard").applyInArrow(shard, f"doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, {own}")

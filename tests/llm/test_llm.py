@@ -202,6 +202,25 @@ def test_packing(docs, none, rows):
     assert packing.pack(none, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
 
 
+def test_packing_index(docs):
+    """Scores of a shard's index are BM25 over all words of the texts, with their frequencies."""
+    docs = docs.selectExpr("doc_id", "coalesce(text, '') text")
+    table = packing.tokenized(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).orderBy("row").toPandas()
+    texts = [words(r.text) for part in docs.rdd.glom().collect() for r in part]
+    lengths = table.n.to_numpy().astype(float)
+    encoder = bpe.rank_encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN, special=True)
+    index = packing.Index(*packing.bags(encoder, [np.frombuffer(x, np.uint16) for x in table.ids]), lengths)
+    bags, n = [collections.Counter(w) for w in texts], len(texts)
+    df = collections.Counter(w for b in bags for w in b)
+    assert max(map(len, bags)) > 300 and max(max(b.values()) for b in bags if b) > 20
+    norm = packing.K1 * (1 - packing.B + packing.B * lengths / lengths.mean())
+    for q in range(n):
+        common = {w: np.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) for w in bags[q]}
+        want = [sum(bags[q][w] * i * bags[d][w] * (packing.K1 + 1) / (bags[d][w] + norm[d]) for w, i in common.items() if w in bags[d]) for d in range(n)]
+        got = index.scores(q)
+        assert np.allclose(np.delete(got, q), np.delete(want, q))
+
+
 def test_bpe(docs, none, rows):
     path = P.path("byte_bpe_multi_50k.tiktoken")
     encoder = bpe.rank_encoder(path, P.PATTERN)
