@@ -5,8 +5,8 @@ greedily fill its window.
 2. Documents are spread by hash over shards of about `shard_docs`, fewer where documents are long, so that a shard is
    bounded whatever the corpus is. A shard reads the texts back from the ids and builds an inverted index of all their
    words with their frequencies, and a seed queries it with all of its own. A seed fills whole windows by itself; the open
-   rest of its last window takes its best-scored unused neighbours that fit, then the first part of the best one that doesn't,
-   whose other part opens the next window as the new seed. Only a shard's last window has padding.
+   rest of its last window takes its best-scored unused neighbours that fit, down to the last with a positive score, then
+   the first part of the best one that doesn't, whose other part opens the next window as the new seed. Only a shard's last window has padding.
 3. The pieces are cut from the ids where the shard is packed.
 
 Null texts count as empty and hold the end token alone; repeated rows are packed as often as they occur; ties of score go
@@ -76,6 +76,7 @@ class Index:
     def __init__(self, terms: list[np.ndarray], times: list[np.ndarray], lengths: np.ndarray):
         sizes = np.array([len(t) for t in terms], np.int64)
         self.n, self.first = len(terms), np.concatenate([[0], np.cumsum(sizes)])
+        self.docs = np.arange(self.n)
         owner = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
         flat = np.concatenate(terms) if self.n else np.zeros(0, np.uint64)
         self.times = np.concatenate(times) if self.n else np.zeros(0, np.int64)
@@ -94,25 +95,40 @@ class Index:
         often = often[16 * df[often] > self.n]
         self.row = np.full(len(df), -1)
         self.row[often] = np.arange(len(often))
-        self.dense = np.zeros((len(often), self.n))
+        self.dense = np.zeros((len(often), self.n), np.float32)
         for k, word in enumerate(often.tolist()):
             mine = slice(edges[word], edges[word] + df[word])
             self.dense[k, self.posting[mine]] = self.weight[mine]
+        self._cut(self.row[np.repeat(np.arange(len(df)), df)] < 0)
+
+    def _cut(self, good: np.ndarray) -> None:
+        """Keep the good postings."""
+        total = np.concatenate([[0], np.cumsum(good)])
+        stop = total[self.start + self.size]
+        self.start = total[self.start]
+        self.size = stop - self.start
+        self.posting, self.weight = self.posting[good], self.weight[good]
+
+    def keep(self, unused: np.ndarray) -> None:
+        """Leave out documents that can't be found any more; the scores of the others stay as they are."""
+        good, place = unused[self.docs], np.cumsum(unused[self.docs]) - 1
+        self._cut(good[self.posting])
+        self.docs, self.dense, self.posting = self.docs[good], self.dense[:, good], place[self.posting]
 
     def scores(self, doc: int) -> np.ndarray:
-        """BM25 of every document for the whole text of `doc` as the query."""
+        """BM25 of every document of `docs` for the whole text of `doc` as the query."""
         mine, times = (x[self.first[doc] : self.first[doc + 1]] for x in (self.number, self.times))
         rows, starts, sizes = self.row[mine], self.start[mine], self.size[mine]
-        rare = (rows < 0) & (sizes > 1)  # a word that only `doc` has finds no other
+        rare = sizes > 0
         starts, sizes = starts[rare], sizes[rare]
         at = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum()) if len(sizes) else np.zeros(0, np.int64)
-        out = np.bincount(self.posting[at], self.weight[at] * np.repeat(times[rare], sizes), self.n).astype(np.float64)
+        out, product = np.zeros((2, len(self.docs)), np.float32)
         for k, n in zip(rows[rows >= 0].tolist(), times[rows >= 0].tolist(), strict=True):
-            out += self.dense[k] if n == 1 else self.dense[k] * n
-        return out
+            out += self.dense[k] if n == 1 else np.multiply(self.dense[k], np.float32(n), out=product)
+        return out + np.bincount(self.posting[at], self.weight[at] * np.repeat(times[rare], sizes), len(self.docs))
 
 
-def fill(lengths: np.ndarray, index: Index, window: int, neighbours: int = 32) -> list[tuple[int, int, int, int, int]]:
+def fill(lengths: np.ndarray, index: Index, window: int, batch: int = 32) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset) of one shard."""
     unused = np.ones(len(lengths), bool)
     pieces: list[tuple[int, int, int, int, int]] = []
@@ -143,19 +159,26 @@ def fill(lengths: np.ndarray, index: Index, window: int, neighbours: int = 32) -
         lay(seed, done)
         rest, split = window - offset, -1
         if offset:
-            scores = np.where(unused, index.scores(seed), -1.0)
-            k = min(neighbours, len(scores))
-            best = np.argpartition(-scores, k - 1)[:k]
-            best = best[np.lexsort((best, -scores[best]))]
-            for doc in best[scores[best] > 0].tolist():
-                if lengths[doc] <= rest:
-                    unused[doc] = False
-                    lay(doc, 0)
-                    rest -= lengths[doc]
-                    if not rest:
-                        break
-                elif split < 0:
-                    split = doc
+            if 2 * (left := int(unused.sum())) < len(index.docs) and left:
+                index.keep(unused)
+            scores = index.scores(seed)
+            some, many = np.flatnonzero(unused[index.docs] & (scores > 0)), batch
+            while rest and len(some):
+                mine = scores[some]
+                least = np.partition(mine, len(some) - many)[len(some) - many] if len(some) > many else 0.0
+                best, some = some[mine >= least], some[mine < least]  # equal scores stay together
+                for doc in index.docs[best[np.argsort(-scores[best], kind="stable")]].tolist():
+                    if lengths[doc] <= rest:
+                        unused[doc] = False
+                        lay(doc, 0)
+                        rest -= lengths[doc]
+                        if not rest:
+                            break
+                    elif split < 0:
+                        split = doc
+                if split >= 0:
+                    some = some[lengths[index.docs[some]] <= rest]
+                many *= 4
             if rest:
                 if split < 0:  # no neighbour is left to cut: the shard's next document
                     while scan < len(unused) and not unused[scan]:

@@ -221,6 +221,51 @@ def test_packing_index(docs):
         assert np.allclose(np.delete(got, q), np.delete(want, q))
 
 
+def test_packing_fill():
+    """A window goes on down the ranking: all unused neighbours that fit, then the best that doesn't."""
+    rng = np.random.RandomState(2)
+    for few, longest in ((3, 4), (30, 40), (300, 300)):
+        terms = [np.unique(rng.randint(few, size=rng.randint(1, 6)).astype(np.uint64)) for _ in range(300)]
+        times = [np.ones(len(t), np.int64) for t in terms]
+        lengths = rng.randint(1, longest, size=300)
+        make = lambda: packing.Index(terms, times, lengths.astype(float))  # noqa: B023, E731
+        index, unused, want, seed, place = make(), set(range(300)), [], None, 0
+
+        while seed is not None or unused:
+            if seed is None:
+                seed, done = min(unused), 0
+                unused.discard(seed)
+            want.append((seed, done, lengths[seed] - done))
+            place += lengths[seed] - done
+            rest, scores, split = -place % 256, index.scores(seed), None
+            for doc in sorted(unused, key=lambda d: (-scores[d], d)):  # noqa: B023
+                if scores[doc] > 0 and rest:
+                    if lengths[doc] <= rest:
+                        unused.discard(doc)
+                        want.append((doc, 0, lengths[doc]))
+                        rest, place = rest - lengths[doc], place + lengths[doc]
+                    elif split is None:
+                        split = doc
+            seed = None
+            if rest:
+                split = min(unused, default=None) if split is None else split
+                if split is None:
+                    break
+                unused.discard(split)
+                part = min(rest, lengths[split])
+                want.append((split, 0, part))
+                place += part
+                seed, done = (split, part) if part < lengths[split] else (None, 0)
+        got = [p[:3] for p in packing.fill(lengths, make(), 256)]
+        cut = []  # pieces of one document that a window's end divides are one again
+        for doc, start, n in got:
+            if cut and cut[-1][0] == doc and cut[-1][1] + cut[-1][2] == start and (doc, start) not in {w[:2] for w in want}:
+                cut[-1] = (doc, cut[-1][1], cut[-1][2] + n)
+            else:
+                cut.append((doc, start, n))
+        assert cut == want
+
+
 def test_bpe(docs, none, rows):
     path = P.path("byte_bpe_multi_50k.tiktoken")
     encoder = bpe.rank_encoder(path, P.PATTERN)
