@@ -1,20 +1,25 @@
 """Packing of documents into sequences: a sharded BM25 index returns unused neighbours of each seed document, which
 greedily fill its window.
 
-1. Every document is tokenized once into a written table.
-2. Documents are spread by hash over shards of about `shard_docs`, fewer where documents are long, so that a shard is
-   bounded whatever the corpus is. A shard reads the texts back from the ids and builds an inverted index of all their
+1. Every document is tokenized once into a written table, with a lexical key: the nearest of a few centroids of
+   token use (in practice its language or register), then two minhashes of its rare tokens. Token frequencies and centroids
+   are fitted on a bounded sample (sample_docs); every document is keyed.
+2. Documents are sorted by that key over shards of about `shard_docs`, fewer where documents are long, so that documents
+   with words in common meet and a shard is bounded whatever the corpus is; a hot key goes on over as many shards as it
+   fills. A shard reads the texts back from the ids and builds an inverted index of all their
    words with their frequencies, and a seed queries it with all of its own. A seed fills whole windows by itself; the open
    rest of its last window takes its best-scored unused neighbours that fit, down to the last with a positive score, then
    the first part of the best one that doesn't, whose other part opens the next window as the new seed. Only a shard's last window has padding.
+   shard_docs=None makes one shard of all documents: the exact search over the corpus, for tables that one task can hold.
 3. The pieces are cut from the ids where the shard is packed.
 
 Null texts count as empty and hold the end token alone; repeated rows are packed as often as they occur; ties of score go
-to the earlier document of the shard; an empty table gives no pieces. Extra columns are ignored.
+to the earlier document in the order of keys; an empty table gives no pieces. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .bpe import SPECIAL, rank_encoder
 from .common import SLICE_BYTES, slices, texts, written
-from .wordhash import Words
+from .wordhash import BASE, Words, mix
 
 K1, B = 1.2, 0.75
 #: Words with most documents that a shard's index keeps as whole rows.
@@ -35,61 +40,125 @@ DENSE = 512
 SHARD_IDS = 8 << 20
 
 
-def tokenized(docs: DataFrame, path: str, pattern: str, end_id: int = 1) -> DataFrame:
-    """row (unique), doc_id, n, ids (binary, 16 bits each, or 32 for a larger vocabulary)."""
+#: Documents in the sample, centroids, tokens that the centroids count, and the share of documents of a token that isn't rare.
+SAMPLE, CENTROIDS, COMMON, RARE = 1000, 8, 256, 0.05
+
+
+def token_ids(encoder, texts: list[str], end_id: int) -> list[np.ndarray]:
+    """The ids of each text and the end token: 16 bits each, or 32 for a larger vocabulary."""
+    kind = np.uint16 if encoder.n_vocab <= 1 << 16 else np.uint32
+    return [np.append(encoder.encode_to_numpy(text, allowed_special={SPECIAL}), end_id).astype(kind) for text in texts]
+
+
+class Keys:
+    """Lexical keys of documents, fitted on the distinct tokens of a sample of them."""
+
+    def __init__(self, sample: list[np.ndarray], n_vocab: int):
+        df = np.bincount(np.concatenate(sample), minlength=n_vocab) if sample else np.zeros(n_vocab, np.int64)
+        self.common = np.argsort(-df, kind="stable")[:COMMON]
+        self.rare = df <= RARE * len(sample)
+        column = np.full(n_vocab, -1)
+        column[self.common] = np.arange(len(self.common))
+        self.column = column
+        points = np.stack([self._point(x) for x in sample]) if sample else np.zeros((1, len(self.common)))
+        centres = points[:1]
+        while len(centres) < min(CENTROIDS, len(points)):  # each next one is the sample's farthest from all so far
+            centres = np.vstack([centres, points[np.argmin((points @ centres.T).max(axis=1))]])
+        for _ in range(20):
+            near = np.argmax(points @ centres.T, axis=1)
+            means = np.stack([points[near == k].sum(axis=0) if (near == k).any() else c for k, c in enumerate(centres)])
+            centres = means / np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-9)
+        self.centres = centres
+
+    def _point(self, distinct: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(self.common))
+        at = self.column[distinct]
+        out[at[at >= 0]] = 1
+        return out / max(1.0, np.sqrt(out.sum()))
+
+    def of(self, documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Centroid and two minhashes of each document (every document has its end token)."""
+        flat, first = np.concatenate(documents), np.cumsum([0, *map(len, documents)])[:-1]
+        cluster = np.array([np.argmax(self.centres @ self._point(x)) for x in documents], np.int32)
+        hashes = []
+        for k in (1, 2):
+            spread = mix(np.arange(1, len(self.rare) + 1, dtype=np.uint64) * np.uint64(BASE) + np.uint64(k)) >> np.uint64(1)
+            spread[~self.rare] |= np.uint64(1 << 63)  # a common token only where there is no rare one
+            hashes.append(mix(np.minimum.reduceat(spread[flat], first)).view(np.int64))  # mixed: long texts have small minima
+        return cluster, *hashes
+
+
+def fitted(docs: DataFrame, path: str, pattern: str, end_id: int, sample_docs: int) -> Keys:
+    """Keys from the documents with the smallest hashes, at most sample_docs of them."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = rank_encoder(path, pattern, special=True)
+        for batch in slices(batches):
+            found = [np.unique(x).astype(np.int32) for x in token_ids(encoder, batch.column("text").to_pylist(), end_id)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], ["tokens"])
+
+    sample = docs.orderBy(F.xxhash64("text"), "doc_id").limit(sample_docs).select("doc_id", "text").mapInArrow(of, "tokens array<int>")
+    return Keys([np.array(r.tokens) for r in sample.collect()], rank_encoder(path, pattern, special=True).n_vocab)
+
+
+TOKENS = "row long, doc_id long, n long, ids binary, cluster int, first_hash long, second_hash long"
+
+
+def tokenized(docs: DataFrame, path: str, pattern: str, keys: Keys, end_id: int = 1) -> DataFrame:
+    """row (unique), doc_id, n, ids (binary, 16 bits each, or 32 for a larger vocabulary) and the lexical key."""
+    names = [x.split()[0] for x in TOKENS.split(", ")]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = rank_encoder(path, pattern, special=True)
-        kind = np.uint16 if encoder.n_vocab <= 1 << 16 else np.uint32
         row = TaskContext.get().partitionId() << 40
         for batch in slices(batches):
-            out = {"row": [], "n": [], "ids": []}
-            for text in batch.column("text").to_pylist():
-                ids = np.append(encoder.encode_to_numpy(text, allowed_special={SPECIAL}), end_id).astype(kind)
-                out["row"].append(row), out["n"].append(len(ids)), out["ids"].append(ids.tobytes())
-                row += 1
-            yield pa.RecordBatch.from_arrays([pa.array(out["row"], pa.int64()), batch.column("doc_id"), pa.array(out["n"], pa.int64()), pa.array(out["ids"], pa.binary())], ["row", "doc_id", "n", "ids"])
+            ids = token_ids(encoder, batch.column("text").to_pylist(), end_id)
+            rows = np.arange(row, row + len(ids))
+            columns = [pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), *map(pa.array, keys.of(ids))]
+            yield pa.RecordBatch.from_arrays([pa.array(rows), batch.column("doc_id"), *columns], names)
+            row += len(ids)
 
-    return docs.mapInArrow(of, "row long, doc_id long, n long, ids binary")
+    return docs.mapInArrow(of, TOKENS)
 
 
-def bags(encoder, documents: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Hashes (sorted) of all distinct words of every document, given by its ids and an end token, and their frequencies."""
-    terms, times, part, size = [], [], [], 0
+def words_of(encoder, documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word of every document (given by its ids and an end token), and the document's number."""
+    hashes, owners, part, size, done = [], [], [], 0, 0
     for k, ids in enumerate(documents):
         part.append(encoder.decode_bytes(ids[:-1].tolist()))
         size += len(part[-1])
         if size < SLICE_BYTES and k + 1 < len(documents):
             continue
         words = Words(pa.array(part, pa.binary()))
-        for a, b in zip(words.first[:-1], words.first[1:], strict=True):
-            mine = np.sort(words.hash[a:b])
-            fresh = np.flatnonzero(np.concatenate([[True], mine[1:] != mine[:-1]])) if len(mine) else np.zeros(0, np.int64)
-            terms.append(mine[fresh]), times.append(np.diff(np.append(fresh, len(mine))))
-        part, size = [], 0
-    return terms, times
+        hashes.append(words.hash), owners.append(done + np.repeat(np.arange(len(part)), words.counts))
+        part, size, done = [], 0, k + 1
+    return (np.concatenate(hashes), np.concatenate(owners)) if hashes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and how often each occurs."""
+    keys = np.sort(keys)
+    heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[heads], np.diff(np.append(heads, len(keys)))
 
 
 class Index:
-    """BM25 inverted index of one shard."""
+    """BM25 inverted index of one shard: hashes and owners are the words of its documents."""
 
-    def __init__(self, terms: list[np.ndarray], times: list[np.ndarray], lengths: np.ndarray):
-        sizes = np.array([len(t) for t in terms], np.int64)
-        self.n, self.first = len(terms), np.concatenate([[0], np.cumsum(sizes)])
+    def __init__(self, hashes: np.ndarray, owners: np.ndarray, lengths: np.ndarray):
+        self.n = len(lengths)
         self.docs = np.arange(self.n)
-        owner = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
-        flat = np.concatenate(terms) if self.n else np.zeros(0, np.uint64)
-        self.times = np.concatenate(times) if self.n else np.zeros(0, np.int64)
-        order = np.argsort(flat, kind="stable")
-        flat = flat[order]
-        edges = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
-        df = np.diff(np.append(edges, len(flat)))
-        self.number = np.zeros(len(flat), np.int32)
-        self.number[order] = np.repeat(np.arange(len(edges), dtype=np.int32), df)
+        number = np.unique(hashes, return_inverse=True)[1].astype(np.uint64)
+        by_doc, self.times = _runs(owners.astype(np.uint64) << np.uint64(32) | number)
+        self.first = np.searchsorted(by_doc, np.arange(self.n + 1, dtype=np.uint64) << np.uint64(32))
+        self.number = (by_doc & np.uint64(0xFFFFFFFF)).astype(np.int32)
+        by_word, tf = _runs(number << np.uint64(32) | owners.astype(np.uint64))
+        self.posting = (by_word & np.uint64(0xFFFFFFFF)).astype(np.int32)
+        df = np.bincount((by_word >> np.uint64(32)).astype(np.int64)) if len(by_word) else np.zeros(0, np.int64)
+        edges = np.cumsum(df) - df
         self.start, self.size = edges, df
         idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
         norm = K1 * (1 - B + B * lengths / max(1.0, lengths.mean() if self.n else 1.0))
-        self.posting, tf = owner[order], self.times[order].astype(np.float64)
         self.weight = np.repeat(idf, df) * tf * (K1 + 1) / (tf + norm[self.posting])
         often = np.argsort(-df, kind="stable")[:DENSE]
         often = often[16 * df[often] > self.n]
@@ -122,10 +191,10 @@ class Index:
         rare = sizes > 0
         starts, sizes = starts[rare], sizes[rare]
         at = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum()) if len(sizes) else np.zeros(0, np.int64)
-        out, product = np.zeros((2, len(self.docs)), np.float32)
-        for k, n in zip(rows[rows >= 0].tolist(), times[rows >= 0].tolist(), strict=True):
-            out += self.dense[k] if n == 1 else np.multiply(self.dense[k], np.float32(n), out=product)
-        return out + np.bincount(self.posting[at], self.weight[at] * np.repeat(times[rare], sizes), len(self.docs))
+        out = np.bincount(self.posting[at], self.weight[at] * np.repeat(times[rare], sizes), len(self.docs))
+        query = np.zeros(len(self.dense), np.float32)
+        query[rows[rows >= 0]] = times[rows >= 0]
+        return out + query @ self.dense
 
 
 def fill(lengths: np.ndarray, index: Index, window: int, batch: int = 32) -> list[tuple[int, int, int, int, int]]:
@@ -193,24 +262,46 @@ def fill(lengths: np.ndarray, index: Index, window: int, batch: int = 32) -> lis
         seed = -1
 
 
-def pack(docs: DataFrame, path: str, pattern: str, window: int = 2048, end_id: int = 1, shard_docs: int = 4096, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
+def _shards(batches: Iterator[pa.RecordBatch], shard_docs: int | None) -> Iterator[pa.Table]:
+    """The partition's rows in tables of bounded size: one, if it is about what it should be."""
+    most_docs, most_ids = (2 * shard_docs, 2 * SHARD_IDS) if shard_docs else (math.inf, math.inf)
+    held, n_docs, n_ids = [], 0, 0
+    for batch in batches:
+        for part in (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):
+            n = sum(part.column("n").to_pylist())
+            if held and (n_docs + len(part) > most_docs or n_ids + n > most_ids):
+                yield pa.Table.from_batches(held)
+                held, n_docs, n_ids = [], 0, 0
+            held, n_docs, n_ids = [*held, part], n_docs + len(part), n_ids + n
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def pack(docs: DataFrame, path: str, pattern: str, window: int = 2048, end_id: int = 1, shard_docs: int | None = 4096, sample_docs: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, and ids (array), or with digests ids_crc32."""
-    table = written(tokenized(texts(docs, id_col, text_col), path, pattern, end_id), "tokens")
+    docs = texts(docs, id_col, text_col)
+    keys = fitted(docs, path, pattern, end_id, sample_docs)
+    table = written(tokenized(docs, path, pattern, keys, end_id), "tokens")
     n_docs, n_ids = table.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    n_shards = max(1, -(-n_docs // shard_docs), -(-n_ids // SHARD_IDS))
+    n_shards = max(1, -(-n_docs // shard_docs), -(-n_ids // SHARD_IDS)) if shard_docs else 1
     own = "ids_crc32 long" if digests else "ids array<int>"
+    names = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", own.split()[0]]
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sequences = TaskContext.get().partitionId() << 32
+        for group in _shards(batches, shard_docs):
+            doc_ids, lengths = group.column("doc_id").combine_chunks(), group.column("n").to_numpy()
+            documents = [np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.uint32) for raw, n in zip(group.column("ids").to_pylist(), lengths.tolist(), strict=True)]
+            index = Index(*words_of(rank_encoder(path, pattern, special=True), documents), lengths.astype(np.float64))
+            pieces = np.array(fill(lengths, index, window), np.int64).reshape(-1, 5)
+            for k in range(0, len(pieces), 4096):
+                doc, start, length, sequence, offset = pieces[k : k + 4096].T
+                made = [documents[d][a : a + n] for d, a, n in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
+                made = [zlib.crc32(ids.astype(np.uint32).tobytes()) for ids in made] if digests else [ids.astype(np.int32) for ids in made]
+                columns = [start, length, lengths[doc], sequence + sequences, offset]
+                yield pa.RecordBatch.from_arrays([doc_ids.take(pa.array(doc)), *map(pa.array, columns), pa.array(made, pa.int64() if digests else pa.list_(pa.int32()))], names)
+            sequences += int(pieces[-1, 3]) + 1
 
-    def shard(key, group):
-        group = group.sort_by("row")
-        doc_ids, lengths = group.column("doc_id").combine_chunks(), group.column("n").to_numpy()
-        documents = [np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.uint32) for raw, n in zip(group.column("ids").to_pylist(), lengths.tolist(), strict=True)]
-        index = Index(*bags(rank_encoder(path, pattern, special=True), documents), lengths.astype(np.float64))
-        pieces = np.array(fill(lengths, index, window), np.int64).reshape(-1, 5)
-        made = [documents[doc][start : start + length] for doc, start, length in pieces[:, :3].tolist()]
-        made = [zlib.crc32(ids.astype(np.uint32).tobytes()) for ids in made] if digests else [ids.astype(np.int32) for ids in made]
-        doc, start, length, sequence, offset = pieces.T
-        columns = [start, length, lengths[doc], sequence + (key[0].as_py() << 32), offset]
-        return pa.Table.from_arrays([doc_ids.take(pa.array(doc)), *map(pa.array, columns), pa.array(made, pa.int64() if digests else pa.list_(pa.int32()))], ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", own.split()[0]])
-
-    shards = table.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(n_shards)))
-    return shards.groupBy("shard").applyInArrow(shard, f"doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, {own}")
+    order = ["cluster", "first_hash", "second_hash", "row"]
+    shards = table.repartitionByRange(n_shards, *order).sortWithinPartitions(*order).select("doc_id", "n", "ids")
+    return shards.mapInArrow(of, f"doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, {own}")

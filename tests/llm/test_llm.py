@@ -199,17 +199,21 @@ def test_packing(docs, none, rows):
     for _, s in got.sort_values("offset").groupby("sequence_id"):
         assert (s.offset == s.length.cumsum() - s.length).all() and s.length.sum() <= 2048
     assert got.groupby(got.sequence_id // 2**32).apply(lambda s: (s.groupby("sequence_id").length.sum() < 2048).sum()).max() <= 1
+    assert got.sequence_id.floordiv(2**32).nunique() > 1  # several shards; one shard is the exact search
+    exact = packing.pack(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, shard_docs=None).toPandas()
+    assert exact.sequence_id.max() < 2**32 and exact.length.sum() == got.length.sum() and sum(map(len, exact.ids)) == exact.length.sum()
     assert packing.pack(none, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
 
 
 def test_packing_index(docs):
     """Scores of a shard's index are BM25 over all words of the texts, with their frequencies."""
     docs = docs.selectExpr("doc_id", "coalesce(text, '') text")
-    table = packing.tokenized(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).orderBy("row").toPandas()
+    path = P.path("byte_bpe_50k.tiktoken")
+    table = packing.tokenized(docs, path, P.PATTERN, packing.fitted(docs, path, P.PATTERN, 1, 20)).orderBy("row").toPandas()
     texts = [words(r.text) for part in docs.rdd.glom().collect() for r in part]
     lengths = table.n.to_numpy().astype(float)
-    encoder = bpe.rank_encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN, special=True)
-    index = packing.Index(*packing.bags(encoder, [np.frombuffer(x, np.uint16) for x in table.ids]), lengths)
+    encoder = bpe.rank_encoder(path, P.PATTERN, special=True)
+    index = packing.Index(*packing.words_of(encoder, [np.frombuffer(x, np.uint16) for x in table.ids]), lengths)
     bags, n = [collections.Counter(w) for w in texts], len(texts)
     df = collections.Counter(w for b in bags for w in b)
     assert max(map(len, bags)) > 300 and max(max(b.values()) for b in bags if b) > 20
@@ -226,9 +230,8 @@ def test_packing_fill():
     rng = np.random.RandomState(2)
     for few, longest in ((3, 4), (30, 40), (300, 300)):
         terms = [np.unique(rng.randint(few, size=rng.randint(1, 6)).astype(np.uint64)) for _ in range(300)]
-        times = [np.ones(len(t), np.int64) for t in terms]
         lengths = rng.randint(1, longest, size=300)
-        make = lambda: packing.Index(terms, times, lengths.astype(float))  # noqa: B023, E731
+        make = lambda: packing.Index(np.concatenate(terms), np.repeat(np.arange(300), [len(t) for t in terms]), lengths.astype(float))  # noqa: B023, E731
         index, unused, want, seed, place = make(), set(range(300)), [], None, 0
 
         while seed is not None or unused:
