@@ -3,15 +3,17 @@
 A rule is (host, path, action). It fits a url whose host is the rule's host or a subdomain of it and whose path starts
 with the rule's path; the longest rule (host + path, then host) wins. Every url has a bounded number of candidate keys
 (host suffix x prefix of each rule-path length), and a key is a rule or not: set membership, answered by a cascade.
+Only the suffixes that have as many labels as some rule's host are built, so that the work is linear in the url.
 Level 1 encodes the listed keys; level 2 the false positives of level 1 over all candidate keys of the corpus; level 3 the
 listed keys that level 2 wrongly holds; and so on until a level has no false positive. The first level that
 does not hold a key decides, exactly for every key of the corpus, so urls are never joined with the rules.
 Level 1 takes log2(universe / listed) bits more per key, so that level 2 is about as large as level 1: the cascade
-grows with the list, not with the corpus. Its size is checked (max_bits); a longer list goes to an equi-join.
+grows with the list, not with the corpus. Its filters go along with every task, so their size is checked before they are
+built (max_bits, some 100,000 rules): a longer list goes to an equi-join of the candidate keys, with the same result.
 
 Null urls and urls without "://" have empty host and path and no rule. An empty rule list blocks nothing. Rows keep
-their order-free identity: repeated rows stay repeated, extra columns are ignored. A rule listed twice
-with different actions blocks.
+their order-free identity: repeated rows stay repeated, extra columns stay (host, path, rule and verdict are replaced). A rule listed
+twice with different actions blocks.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from .common import ascii_lower, written
 #: The contract's rules.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 WORD_BITS = 32
+#: Bits that the filters of a cascade may have in all (0.5 MB).
+MAX_BITS = 4 << 20
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -36,16 +40,20 @@ def host_path(url: Column) -> tuple[Column, Column]:
     return F.coalesce(ascii_lower(host), F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def candidate_keys(host: Column, path: Column, path_lengths: list[int]) -> Column:
-    """Array of (key, host length): all host suffixes with all prefixes of the lengths that rules have; longest first."""
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.filter(F.transform(F.array(*[F.lit(n) for n in path_lengths]), lambda n: F.substring(path, F.lit(1), n)), lambda p: p.isNotNull())
-    prefixes = F.filter(F.array_distinct(prefixes), lambda p: F.array_contains(F.array(*[F.lit(n) for n in path_lengths]), F.length(p)))
+def candidate_keys(host: Column, path: Column, labels: list[int], path_lengths: list[int]) -> Column:
+    """Array of (key, host length): host suffixes with all prefixes of the lengths that rules have; longest first."""
+    lengths = F.array(*[F.lit(n) for n in path_lengths])
+    here = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+    suffixes = F.filter(F.array(*[F.when(here >= n, F.substring_index(host, ".", -n)) for n in labels]), lambda s: s.isNotNull())
+    prefixes = F.transform(F.filter(lengths, lambda n: n <= F.length(path)), lambda n: F.substring(path, F.lit(1), n))
     pairs = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.struct((-F.length(s) - F.length(p)).alias("size"), (-F.length(s)).alias("hosts"), F.concat(s, F.lit("\t"), p).alias("key"), F.concat(s, p).alias("rule")))))
     return F.when(host != "", F.array_sort(pairs)).otherwise(F.array_sort(F.filter(pairs, lambda x: F.lit(False))))
 
 
+class TooLarge(ValueError):
+    """A cascade's filters would be larger than max_bits."""
+
+
 class Level:
     """One Bloom filter: an array of 32-bit words that grows with its keys only, sent to the rows as a literal."""
 
@@ -79,7 +87,7 @@ class Level:
 class Cascade:
     """Exact membership of `listed` among the keys of `universe` (both: one column, key)."""
 
-    def __init__(self, listed: DataFrame, universe: DataFrame, max_levels: int = 40):
+    def __init__(self, listed: DataFrame, universe: DataFrame, max_bits: int = MAX_BITS, max_levels: int = 40):
         listed = written(listed.select("key").distinct(), "cascade-listed")
         n = listed.count()
         self.levels: list[Level] = []
@@ -88,7 +96,8 @@ class Cascade:
         size = max(1, universe.agg(F.approx_count_distinct("key")).head()[0])
         # the usual sizing of a filter cascade: false positives of level 1 number about as many as the listed keys
         rate = min(0.5, n * math.sqrt(0.5) / size)
-        self.levels.append(Level(listed, n, -math.log(rate) / math.log(2) ** 2, 0).freeze())
+        self.max_bits = max_bits
+        self._add(listed, n, -math.log(rate) / math.log(2) ** 2)
         inside, outside = listed, None
         while len(self.levels) < max_levels:
             level = self.levels[-1]
@@ -100,10 +109,15 @@ class Cascade:
             m = wrong.count()
             if not m:
                 return
-            self.levels.append(Level(wrong, m, 1.0 / math.log(2), len(self.levels)).freeze())
+            self._add(wrong, m, 1.0 / math.log(2))
             inside, outside = wrong, inside
         raise RuntimeError("the cascade doesn't end: a hash function that doesn't tell keys apart")
 
+    def _add(self, keys: DataFrame, n: int, bits_per_key: float) -> None:
+        if self.bits + n * bits_per_key > self.max_bits:
+            raise TooLarge(f"{n} keys of {bits_per_key:.1f} bits")
+        self.levels.append(Level(keys, n, bits_per_key, len(self.levels)).freeze())
+
     @property
     def bits(self) -> int:
         return sum(x.bits for x in self.levels)
@@ -116,26 +130,26 @@ class Cascade:
         return out
 
 
-def url_filter(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow", max_rules: int = 2_000_000) -> DataFrame:
+def url_filter(pages: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow", max_bits: int = MAX_BITS) -> DataFrame:
     """pages with host, path, rule and verdict. rules: columns host, path, action (block or allow).
 
-    Up to max_rules rules, two cascades answer: which keys are listed (over the corpus's keys), and which listed
-    keys block (over the listed keys). Beyond it, the candidate keys are joined with the rules.
+    Two cascades answer: which keys are listed (over the corpus's keys), and which listed keys block (over the listed
+    keys). Where they would be larger than max_bits, the candidate keys are joined with the rules.
     """
     rules = rules.select(ascii_lower(F.col("host")).alias("host"), F.col("path"), F.col("action")).dropna()
     rules = rules.groupBy("host", "path").agg(F.max(F.col("action") == "block").alias("block"))
     rules = rules.withColumn("key", F.concat("host", F.lit("\t"), "path"))
-    shape = rules.agg(F.count("*").alias("n"), F.collect_set(F.length("path")).alias("lengths")).head()
+    shape = rules.agg(F.count("*").alias("n"), F.collect_set(F.length("path")).alias("lengths"), F.collect_set(F.size(F.split("host", r"\."))).alias("labels")).head()
     host, path = host_path(F.col(f"`{url_col}`"))
     pages = pages.withColumns({"host": host, "path": path})
     if not shape["n"]:
         return pages.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-    keys = candidate_keys(F.col("host"), F.col("path"), sorted(shape["lengths"]))
-    if shape["n"] > max_rules:
-        return _joined(pages, rules, keys, default)
+    keys = candidate_keys(F.col("host"), F.col("path"), sorted(shape["labels"]), sorted(shape["lengths"]))
     universe = pages.select("host", "path").distinct().select(F.explode(F.transform(keys, lambda x: x["key"])).alias("key"))
-    listed = Cascade(rules, universe)
-    blocks = Cascade(rules.filter("block"), rules.select("key"))
+    try:
+        listed, blocks = Cascade(rules, universe, max_bits), Cascade(rules.filter("block"), rules.select("key"), max_bits)
+    except TooLarge:
+        return _joined(pages, rules, keys, default)
     pages = pages.withColumn("_hit", F.get(F.filter(keys, lambda x: listed.holds(x["key"])), F.lit(0)))
     action = F.when(blocks.holds(F.col("_hit.key")), "block").otherwise("allow") if blocks.levels else F.lit("allow")
     verdict = F.when(F.col("_hit").isNull(), F.lit(default)).otherwise(action)
@@ -143,7 +157,7 @@ def url_filter(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
 
 
 def _joined(pages: DataFrame, rules: DataFrame, keys: Column, default: str) -> DataFrame:
-    """The way beyond max_rules: an equi-join per distinct (host, path)."""
+    """The way beyond max_bits: an equi-join per distinct (host, path)."""
     places = pages.select("host", "path").distinct()
     hits = places.select("host", "path", F.explode(keys).alias("k")).join(rules.select(F.col("key").alias("_key"), "block"), F.col("k.key") == F.col("_key"))
     best = hits.groupBy("host", "path").agg(F.min(F.struct("k.size", "k.hosts", "k.rule", "block")).alias("b"))
