@@ -5,10 +5,13 @@ covers. Four labelers vote on each: its exact form (regex), known prefixes and e
 (context), and its mix of characters (shape). Expectation-maximisation over the counts of all vote patterns
 of the corpus (at most kinds x 3**4 rows) estimates each labeler's reliability and each candidate's probability; a
 logistic span classifier is then trained on those probabilities, on a bounded sample of candidates (max_rows, the
-smallest hashes). Spans that it accepts are added; base spans always stay.
+smallest hashes). It sees surface features only, not the votes. Spans that it accepts are added; base spans always stay.
+
+All patterns are linear in the text: a run of characters is entered at its start only and never given back.
 
 Null texts count as empty; repeated rows are judged each on their own; an empty table gives an empty result, a
-corpus without candidates adds no spans. Offsets are code points. Extra columns stay untouched by redact().
+corpus without candidates adds no spans. Offsets are code points. Overlapping base spans of different kinds all stay. Extra
+columns are ignored by find() and stay untouched by redact(), whatever their names.
 """
 
 from __future__ import annotations
@@ -16,8 +19,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -28,23 +33,25 @@ from .common import slices, texts
 
 Span = tuple[str, int, int]
 
-#: The contract's patterns.
+#: The contract's patterns. Runs that the pattern can't leave earlier are possessive, and a run of digits
+#: before dots is entered at its first digit (a match that starts later would have started there).
 BASE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
-    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)+"),
+    "ip": re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)"),
+    "card": re.compile(r"[0-9](?:[\x20-]?[0-9])++"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
 KINDS = [*BASE, "secret"]
 ORDER = {k: i for i, k in enumerate(KINDS)}
 ANY = re.compile(r"[0-9@]|[(\[]at[)\]]")
-EMAIL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+#: The characters before an @ that belong to an address, read backwards.
+LOCAL = re.compile(r"[A-Za-z0-9._%+-]*+")
 
 #: Broad candidates by kind.
 CANDIDATES = {
-    "email": re.compile(r"[A-Za-z0-9._+-]+ ?[(\[]at[)\]] ?[A-Za-z0-9-]+(?:(?: ?[(\[]dot[)\]] ?|\.)[A-Za-z0-9-]+)*"),
+    "email": re.compile(r"(?<![A-Za-z0-9._+-])[A-Za-z0-9._+-]++ ?[(\[]at[)\]] ?[A-Za-z0-9-]++(?:(?: ?[(\[]dot[)\]] ?|\.)[A-Za-z0-9-]++)*"),
     "phone": re.compile(r"(?<![\w.+])\(?[0-9]{2,4}\)?(?:[ .-][0-9]{2,4}){2,4}(?![\w])"),
-    "secret": re.compile(r"(?<![A-Za-z0-9])(?=[A-Za-z0-9_/+-]*[0-9])(?=[A-Za-z0-9_/+-]*[A-Za-z])[A-Za-z0-9_/+-]{16,}={0,2}"),
+    "secret": re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{16,}+={0,2}"),
 }
 #: Exact forms, known prefixes and endings, and cue words of each kind.
 FORMS = {
@@ -52,7 +59,12 @@ FORMS = {
     "phone": re.compile(r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}"),
     "secret": re.compile(r"[A-Z]{4}[A-Z0-9]{16}|[0-9a-f]{32,64}|[a-z]{2,4}[_-][A-Za-z0-9]{16,}|[A-Za-z0-9/+]{40}"),
 }
-GAZETTEER = {"email": ("com", "org", "net", "edu", "de", "fr", "es", "io"), "phone": ("800", "555", "202", "(0", "0"), "secret": ("AKIA", "ASIA", "ghp_", "sk-", "sk_", "xox", "AIza", "eyJ")}
+#: Top-level domains, toll-free and fictional area codes and trunk prefixes, published prefixes of access keys.
+GAZETTEER = {
+    "email": ("com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "dev", "app", "io", "ai", "co", "me", "tv", "eu", "de", "fr", "es", "it", "nl", "be", "ch", "at", "pl", "pt", "se", "no", "dk", "fi", "ie", "uk", "us", "ca", "mx", "br", "ar", "cl", "au", "nz", "jp", "kr", "cn", "in", "sg", "za", "ru", "tr", "gr", "cz"),
+    "phone": ("800", "888", "877", "866", "855", "844", "833", "555", "202", "212", "(800", "(888", "(877", "(866", "(555", "(202", "(212", "(0", "0"),
+    "secret": ("AKIA", "ASIA", "AIza", "ya29", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "npm_", "pypi-", "sk-", "sk_", "pk_", "rk_", "xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-", "hf_", "dop_v1_", "shpat_", "SK", "key-", "eyJ"),
+}
 CUES = {"email": re.compile(r"mail|contact|write", re.I), "phone": re.compile(r"tel|phone|call|fax|mobile", re.I), "secret": re.compile(r"key|token|secret|passw|pwd|auth|api", re.I)}
 
 
@@ -68,10 +80,8 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
     """Matches of the email pattern, looked for around each @ only."""
     floor, at = 0, text.find("@")
     while at >= 0:
-        start = at
-        while start > floor and text[start - 1] in EMAIL_CHARS:
-            start -= 1
-        m = BASE["email"].match(text, start) if start < at else None
+        before = text[max(floor, text.rfind("@", floor, at) + 1) : at]
+        m = BASE["email"].match(text, at - n) if (n := LOCAL.match(before[::-1]).end()) else None
         if m:
             yield m.span()
             floor = m.end()
@@ -107,16 +117,27 @@ def candidates(text: str, taken: list[Span]) -> list[Candidate]:
     """Candidates that no span in `taken` overlaps, and that don't overlap each other (leftmost, then kind)."""
     if not ANY.search(text):
         return []
-    found = [(m.start(), ORDER[k], k, m) for k, p in CANDIDATES.items() for m in p.finditer(text)]
-    out, used = [], [(a, b) for _, a, b in taken]
-    for _, _, kind, m in sorted(found, key=lambda x: x[:2]):
-        a, b = m.span()
-        if all(b <= x or y <= a for x, y in used):
-            used.append((a, b))
+    found = [(m.start(), ORDER[k], k, m) for k, p in CANDIDATES.items() for m in p.finditer(text) if k != "secret" or _mixed(m[0])]
+    taken = sorted(taken, key=lambda s: s[1])
+    starts, ends = [s[1] for s in taken], list(accumulate((s[2] for s in taken), max))
+    out, last = [], 0
+    for a, _, kind, m in sorted(found, key=lambda x: x[:2]):
+        b = m.end()
+        before = bisect_left(starts, b)
+        if a >= last and (not before or ends[before - 1] <= a):
+            last = b
             out.append(_voted(kind, a, b, m[0], text[max(0, a - 32) : a]))
     return out
 
 
+def _mixed(word: str) -> bool:
+    return any(map(str.isdigit, word)) and any(map(str.isalpha, word))
+
+
+#: Character classes of the surface features.
+LETTER_CLASSES = str.maketrans({c: k for k, cs in {"v": "aeiouAEIOU", "c": "bcdfghjklmnpqrstvwxyzBCDFGHJKLMNPQRSTVWXYZ", "0": "123456789"}.items() for c in cs})
+
+
 def _voted(kind: str, a: int, b: int, word: str, before: str) -> Candidate:
     digits, uppers, letters = (sum(map(f, word)) for f in (str.isdigit, str.isupper, str.isalpha))
     distinct, n = len(set(word)), len(word)
@@ -131,7 +152,10 @@ def _voted(kind: str, a: int, b: int, word: str, before: str) -> Candidate:
         known = 1 if word.startswith(GAZETTEER[kind]) else 0
         shape = 1 if digits >= 2 and letters >= 4 and distinct >= 8 else -1
     context = 1 if CUES[kind].search(before) else 0
-    features = [1.0, *(float(kind == k) for k in CANDIDATES), float(form), float(known), float(context), float(shape), min(n, 64) / 64, digits / n, uppers / n, distinct / n]
+    kinds = word[:256].translate(LETTER_CLASSES)  # vowels, consonants and digits alike; other characters are themselves
+    changes = sum(x != y for x, y in zip(kinds, kinds[1:], strict=False)) / len(kinds)
+    surface = [1.0, min(n, 64) / 64, digits / n, uppers / n, min(distinct, 64) / 64, (n - digits - letters) / n, kinds.count("v") / len(kinds), changes, float(before[-1:] in ("=", ":", '"', "'")), float(before[-1:].isspace())]
+    features = [x * (kind == k) for k in CANDIDATES for x in surface]
     return Candidate((kind, a, b), (form, known, context, shape), features)
 
 
@@ -203,20 +227,23 @@ def _joined(spans: list[Span]) -> str:
 
 
 def find(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, counts of the base kinds, base_sha256, spans (base and added) of every document."""
+    """doc_id, counts of the base kinds, base_sha256, spans (base and added) and n_spans of every document."""
+
+    names = ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_spans"]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            counts, digests, spans = [], [], []
+            counts, digests, spans, n_spans = [], [], [], []
             for text in batch.column("text").to_pylist():
                 base = base_spans(text)
                 counts.append([sum(s[0] == k for s in base) for k in BASE])
                 digests.append(hashlib.sha256(_joined(base).encode()).hexdigest())
-                spans.append(_joined(sorted([*base, *model.added(text, base)], key=lambda s: (s[1], ORDER[s[0]]))))
+                every = sorted([*base, *model.added(text, base)], key=lambda s: (s[1], ORDER[s[0]]))
+                spans.append(_joined(every)), n_spans.append(len(every))
             columns = np.array(counts, np.int64).reshape(-1, len(BASE)).T
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, columns), pa.array(digests, pa.string()), pa.array(spans, pa.string())], ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, columns), pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(n_spans, pa.int64())], names)
 
-    schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in BASE) + ", base_sha256 string, spans string"
+    schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in BASE) + ", base_sha256 string, spans string, n_spans long"
     return texts(docs, id_col, text_col).mapInArrow(of, schema)
 
 
