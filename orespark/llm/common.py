@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space that separates words: \x20 and \x09-\x0D (the separators of bytes.split()).
@@ -22,12 +22,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; one of our own only where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary folder on a local
+    master (tests); elsewhere an error, as each executor would write to its own disk."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="orespark-"))
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="orespark-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
@@ -61,11 +63,39 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
 
 
+SALTS = 16
+
+
+def block_pairs(rows: DataFrame, keys: list[str], by: str, block: int) -> DataFrame:
+    """rows grouped by keys and the numbers u <= v of two blocks of a group, so that every two rows of a group meet in some
+    (keys, u, v): in (s, t) if they are in blocks s and t, and rows of one block in several. side: the row's own block.
+
+    A group of up to `block` rows is one block. Larger ones are split by the hash of `by`; their sizes (one row for each
+    such group) are joined over SALTS salts, and each pair of blocks is dealt on its own, so that no task gets a whole
+    hot group. Pairs of blocks with a single row are left out.
+    """
+    large = rows.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).filter("blocks > 1")
+    large = large.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    out = rows.withColumn("salt", F.pmod(F.xxhash64(by, F.lit(1)), F.lit(SALTS)).cast("int")).join(large, [*keys, "salt"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    out = out.withColumn("side", F.pmod(F.xxhash64(by), F.col("blocks")).cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    out = out.withColumns({"u": F.least("side", "other"), "v": F.greatest("side", "other")}).drop("salt", "blocks", "other")
+    pair = [*keys, "u", "v"]
+    return out.repartition(*pair).withColumn("_n", F.count("*").over(Window.partitionBy(*pair))).filter("_n > 1").drop("_n")
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def runs(values: np.ndarray, order: np.ndarray) -> list[np.ndarray]:
+    """`order` (which sorts the values) cut where the value changes: as many pieces as there are values, however many parts."""
+    if not len(order):
+        return []
+    ranked = values[order]
+    return np.split(order, np.flatnonzero(ranked[1:] != ranked[:-1]) + 1)
+
+
 def squeeze(values: np.ndarray | bytes) -> bytes:
     """Zstandard over bytes, or over an array's byte planes (all lowest bytes first), which small numbers leave almost empty."""
     import zstandard

@@ -8,9 +8,12 @@
    partner in either collection drop out before tables are formed.
 3. Exact bounds. A shingle that only one candidate class has can't be shared: classes whose shared part is too small for any
    link go, and so do pairs whose shared parts are too small for each other.
-4. Links. In each table's bucket every class is first compared with one centre (the class whose shingles most other classes have: an original rather than an edited copy), so
-   that large groups cost one pair per class. Components of these links are formed; then only pairs of a bucket that are
-   still in different components are compared, inside the tasks that hold them, so no link that could join two components is left out.
+4. Links. In each table's bucket every class is first compared with one centre (the class whose shingles most other classes
+   have: an original rather than an edited copy), so that large groups cost one pair per class. Components of these
+   links are formed; then only pairs of a bucket that are still in different components are compared, inside the
+   tasks that hold them (a large group in pairs of blocks, each of which is dealt on its own). A task joins
+   the components that it links as it goes, so that it sends at most one link fewer than it has components, and no link
+   that could join two components is left out.
 5. Components by large-star / small-star; a document's component is the smallest id reachable.
 
 Null or wordless texts have an empty set and no link. A null id has no links and a null component, and is
@@ -29,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import part_count
-from .common import slices, texts, written
+from .common import block_pairs, runs, slices, texts, written
 from .components import components
 from .wordhash import BASE, Words, inside, mix, windows
 
@@ -132,12 +135,9 @@ def _shared(sets: DataFrame, n_parts: int) -> DataFrame:
             flat, owner = np.concatenate(own), np.repeat(np.arange(len(own)), [len(x) for x in own])
             part = ((flat >> np.uint64(32)) % np.uint64(n_parts)).astype(np.int64)
             order = np.argsort(part, kind="stable")
-            edges = np.searchsorted(part[order], np.arange(n_parts + 1))
             rows = [{"part": -1 - number, "slice": number, "classes": b"".join(batch.column("class").to_pylist())}]
-            for p in range(n_parts):
-                mine = order[edges[p] : edges[p + 1]]
-                if len(mine):
-                    rows.append({"part": p, "slice": number, "hashes": flat[mine].astype(np.uint32).tobytes(), "owners": np.diff(owner[mine], prepend=0).astype(np.uint32).tobytes()})
+            for mine in runs(part, order):
+                rows.append({"part": int(part[mine[0]]), "slice": number, "hashes": flat[mine].astype(np.uint32).tobytes(), "owners": np.diff(owner[mine], prepend=0).astype(np.uint32).tobytes()})
             yield pa.RecordBatch.from_pylist(rows, schema)
             number += 1
 
@@ -195,11 +195,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _links(group: pa.Table, i: int, crossed: bool, percent: int, verify: bool) -> list[tuple[bytes, bytes]]:
-    """Of one group: with verify, links between components (one for each class and component); else the classes with a
-    possible partner, as (class, class)."""
+    """Of one group: with verify, links that join its components (none between components that earlier ones have joined);
+    else the classes with a possible partner, as (class, class)."""
     names, n, shared, at = group.column("class").to_pylist(), *(group.column(c).to_numpy() for c in ("n", "shared", "at"))
     left, right = (np.array(group.column(c).to_pylist(), np.int64) for c in ("left", "right"))
-    side = group.column("side").to_numpy()
+    side, at = group.column("side").to_numpy(), at.copy()
     sets = [np.frombuffer(x, np.uint64) for x in group.column("set").to_pylist()] if verify else []
     out = []
     for x in range(len(names)):
@@ -211,31 +211,26 @@ def _links(group: pa.Table, i: int, crossed: bool, percent: int, verify: bool) -
             continue
         good[: x + 1] = False
         good &= ~(left[:, :i] == left[x, :i]).any(axis=1)  # else an earlier group has the pair
-        linked = set()
         for y in np.flatnonzero(good).tolist():
-            if at[y] not in linked:
+            if at[y] != at[x]:
                 both = np.sort(np.concatenate([sets[x], sets[y]]))
                 common = int((both[1:] == both[:-1]).sum())
                 if 100 * common >= percent * (len(both) - common):
-                    linked.add(at[y])
+                    at[at == at[y]] = at[x]
                     out.append((names[x], names[y]))
     return out
 
 
-def _compared(rest: DataFrame, percent: int, verify: bool, block: int = 1024) -> DataFrame:
-    """x, y: see _links. Classes meet by each group of the first collection; groups of more than `block` classes are
-    split into blocks, and each pair of blocks is a task of its own. No pair leaves its task unless it is a link."""
-    rows = rest.select("*", F.posexplode("left").alias("i", "g"))
-    sizes = rows.groupBy("i", "g").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("k")).filter("k > 1").drop("k")
-    rows = rows.join(sizes, ["i", "g"]).withColumn("side", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).withColumns({"u": F.least("side", "other"), "v": F.greatest("side", "other")})
+def _compared(rest: DataFrame, percent: int, verify: bool, block: int = 256) -> DataFrame:
+    """x, y: see _links. Classes meet by each group of the first collection, large groups by pairs of blocks."""
 
     def of(key, group):
         i, _, u, v = (k.as_py() for k in key)
         found = _links(group, i, u != v, percent, verify)
         return pa.table({c: pa.array([f[k] for f in found], pa.binary()) for k, c in enumerate("xy")})
 
-    return rows.drop("other", "blocks").groupBy("i", "g", "u", "v").applyInArrow(of, "x binary, y binary")
+    rows = block_pairs(rest.select("*", F.posexplode("left").alias("i", "g")), ["i", "g"], "class", block)
+    return rows.groupBy("i", "g", "u", "v").applyInArrow(of, "x binary, y binary")
 
 
 def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, tables: int = TABLES, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
