@@ -6,11 +6,13 @@ Arrow batch. Chosen features have monotonic constraints: more symbols, repeated
 raise the score.
 
 Null texts count as empty: all statistics 0, base rules fail, not kept. Without any labelled row of either class the model
-accepts what passes the base rules. Repeated rows are judged each on their own. Extra columns stay untouched.
+accepts what passes the base rules. Repeated rows are judged each on their own; of rows that repeat a labelled id the model
+learns from one text (the smallest). Extra columns stay; one that has the name of an added column gives way to it.
 """
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,6 +25,8 @@ from .common import slices
 from .wordhash import Words, inside, windows
 
 SYMBOLS = "#*$%&|<>"
+#: Name of the column that holds the text inside the tasks.
+TEXT = "text of quality_rules"
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -30,6 +34,13 @@ STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 FEATURES = {"log_words": 0, "word_length": 0, "symbols_per_word": -1, "dup_lines_per_line": -1, "repeat_words": -1, "words_per_line": 0, "ends_with_stop": 0, "distinct_words": 0, "upper_share": 0, "short_words": 0, "digit_share": 0}
 
 
+def _bytes(characters: str) -> np.ndarray:
+    """A flag for every byte: whether it is one of the (ASCII) characters."""
+    out = np.zeros(256, bool)
+    out[[ord(c) for c in characters]] = True
+    return out
+
+
 def statistics(strings: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """The contract's counts of each text, and the matrix of features."""
     words = Words(strings)
@@ -37,15 +48,12 @@ def statistics(strings: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray]:
     n = len(n_words)
     doc = np.repeat(np.arange(n), n_words)
     lengths = words.end - words.start
-    lead = ((words.data & 0xC0) != 0x80).astype(np.int32)
-    before = np.concatenate([[0], np.cumsum(lead)])
-    chars = before[words.end] - before[words.start]
+    inner = np.flatnonzero((words.data & 0xC0) == 0x80)  # UTF-8's continuation bytes
+    chars = lengths - (np.searchsorted(inner, words.end) - np.searchsorted(inner, words.start))
     per = lambda values: np.bincount(doc, values, n).astype(np.int64)
-    at_text = lambda marks: np.diff(np.concatenate([[0], np.cumsum(marks)])[words.offsets])
+    at_text = lambda among: np.diff(np.searchsorted(np.flatnonzero(among[words.data]), words.offsets))
     word_chars = per(chars)
-    is_symbol = np.zeros(256, np.int32)
-    is_symbol[[ord(c) for c in SYMBOLS]] = 1
-    n_symbols = at_text(is_symbol[words.data])
+    n_symbols = at_text(_bytes(SYMBOLS))
     repeats = np.zeros(len(words.hash), bool)
     at = inside(words.first, 3)
     if len(at):
@@ -63,9 +71,7 @@ def statistics(strings: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray]:
     fresh = np.ones(len(order), bool)
     fresh[1:] = (words.hash[order][1:] != words.hash[order][:-1]) | (doc[order][1:] != doc[order][:-1])
     distinct = np.bincount(doc[order], fresh, n)
-    ends = at_text(np.isin(words.data, np.frombuffer(b".!?", np.uint8)).astype(np.int32))
-    upper = at_text(((words.data >= 65) & (words.data <= 90)).astype(np.int32))
-    digits = at_text(((words.data >= 48) & (words.data <= 57)).astype(np.int32))
+    ends, upper, digits = at_text(_bytes(".!?")), at_text(_bytes(string.ascii_uppercase)), at_text(_bytes(string.digits))
     w, c, l = np.maximum(n_words, 1), np.maximum(word_chars, 1), np.maximum(n_lines, 1)
     features = np.stack([np.log1p(n_words), word_chars / w, n_symbols / w, n_dup / l, n_repeat / w, n_words / l, ends / w, distinct / w, upper / c, per(chars <= 3) / w, digits / c], axis=1)
     return {"n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols.astype(np.int64), "n_dup_lines": n_dup, "n_repeat_words": n_repeat}, features
@@ -193,13 +199,14 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", max_rows:
     known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("double").alias("_y")).dropna().dropDuplicates(["_id"])
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
     rows = F.broadcast(known).join(docs.select(F.col("doc_id").alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")), "_id")
+    rows = rows.groupBy("_id", "_y").agg(F.min("text").alias("text"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             x = statistics(batch.column("text"))[1]
             yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column("_y")], ["x", "y"])
 
-    found = rows.select("text", "_y").mapInArrow(of, "x array<double>, y double").limit(max_rows).toArrow()
+    found = rows.select("text", "_y").mapInArrow(of, "x array<double>, y double").toArrow()
     if not found.num_rows:
         return Trees(base=10.0)
     x = np.array(found.column("x").to_pylist())
@@ -212,12 +219,12 @@ def quality_rules(docs: DataFrame, trees: Trees, text_col: str = "text", thresho
     """keep_columns of docs (all by default), with the statistics, score, base_failed and kept."""
     own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score", "base_failed", "kept"]
     keep = [c for c in (docs.columns if keep_columns is None else keep_columns) if c not in own]
-    shown = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
+    shown = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias(TEXT))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in shown.schema.fields[:-1]), *(f"{c} long" for c in STATS), "score double, base_failed boolean, kept boolean"])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
-            stats, x = statistics(batch.column("_text"))
+        for batch in slices(batches, TEXT):
+            stats, x = statistics(batch.column(TEXT))
             score = trees.probability(x)
             failed = (stats["n_words"] < MIN_WORDS) | (100 * stats["n_repeat_words"] > REPEAT_PERCENT * stats["n_words"])
             made = [*(pa.array(stats[c], pa.int64()) for c in STATS), pa.array(score), pa.array(failed), pa.array(~failed & (score >= threshold))]
