@@ -112,7 +112,7 @@ e as (select doc_id, host, unnest(list_distinct(lines)) line from d),
 t as (select host, count(*) pages from d group by host),
 b as (
   select host, line from e join t using (host) where regexp_matches(line, '[^ \t\n\v\f\r]')
-  group by host, line, pages having count(*) >= 5 and count(*) >= pages * cast(0.08 as double)
+  group by host, line, pages having count(*) >= 5 and count(*) > pages * cast(0.08 as double)
 ),
 p as (select doc_id, host, text, lines, generate_subscripts(lines, 1) i from d),
 q as (select p.doc_id, p.i, p.lines[p.i] line, b.line is null keeps from p left join b on b.host = p.host and b.line = p.lines[p.i]),
