@@ -12,7 +12,7 @@ table gives no rows.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -21,12 +21,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, texts, written
+from .common import SALTS, block_pairs, slices, texts, written
 from .wordhash import Words, inside, windows
 
 BITS = 64
 RADIUS = 3
-BLOCKS = 6
+#: One table per choice of two of five blocks: 10 tables, keys of 25 bits or more.
+BLOCKS = 5
 
 
 def fingerprints(strings: pa.Array) -> np.ndarray:
@@ -71,33 +72,80 @@ def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return texts(docs, id_col, text_col).mapInArrow(of, "doc_id long, fingerprint long")
 
 
-def near_fingerprints(table: DataFrame, radius: int = RADIUS, n_blocks: int = BLOCKS) -> DataFrame:
+def _tables(radius: int, n_blocks: int) -> list[int]:
+    """Bit masks of the tables' keys: one table per choice of n_blocks - radius of the blocks."""
+    edges = [BITS * i // n_blocks for i in range(n_blocks + 1)]
+    masks = [sum(1 << b for b in range(lo, hi)) for lo, hi in zip(edges, edges[1:], strict=False)]
+    return [sum(masks[i] for i in chosen) for chosen in combinations(range(n_blocks), n_blocks - radius)]
+
+
+def _met(table: DataFrame, radius: int, n_blocks: int, block: int) -> tuple[DataFrame, Callable]:
+    """Different fingerprints dealt by the tables' keys (hot buckets in pairs of blocks), and a function that finds the
+    links of such a group: index pairs of fingerprints at most `radius` bits apart that no earlier table brings together."""
+    masks = _tables(radius, n_blocks)
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    entries = table.select("fingerprint").dropna().distinct()
+    keys = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fingerprint").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)])
+    rows = entries.select("fingerprint", F.explode(keys).alias("k")).select("fingerprint", "k.t", "k.key")
+
+    def links(key, group: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        t, _, u, v = (k.as_py() for k in key)
+        values, side = group.column("fingerprint").to_numpy().view(np.uint64), group.column("side").to_numpy()
+        for i in range(len(values) - 1):
+            differ = values[i + 1 :] ^ values[i]
+            good = np.bitwise_count(differ) <= radius
+            if u != v:
+                good &= side[i + 1 :] != side[i]
+            near = np.flatnonzero(good)
+            for m in masks[:t]:
+                near = near[differ[near] & np.uint64(m) != 0]
+            if len(near):
+                yield values, np.full(len(near), i), near + i + 1
+
+    return block_pairs(rows, ["t", "key"], "fingerprint", block).groupBy("t", "key", "u", "v"), links
+
+
+def near_fingerprints(table: DataFrame, radius: int = RADIUS, n_blocks: int = BLOCKS, block: int = 2048) -> DataFrame:
     """Pairs (a, b), a < b, of different fingerprints at most `radius` bits apart, by permuted block tables.
 
     At most `radius` of the n_blocks blocks hold the differing bits, so the others agree: one table per choice of
     n_blocks - radius blocks has those blocks as its key. A pair is reported by the first table that it agrees in, so
-    no distinct step follows. Equal fingerprints are one entry, however many documents share them.
+    no distinct step follows. Equal fingerprints are one entry, however many documents share them. The output holds
+    every pair, so k near fingerprints give up to k * k / 2 rows: near_documents() counts them inside the tasks instead.
     """
-    entries = table.select("fingerprint").distinct()
-    edges = [BITS * i // n_blocks for i in range(n_blocks + 1)]
-    masks = [sum(1 << b for b in range(lo, hi)) for lo, hi in zip(edges, edges[1:], strict=False)]
-    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
-    tables = [signed(sum(masks[i] for i in chosen)) for chosen in combinations(range(n_blocks), n_blocks - radius)]
-    keys = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fingerprint").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(tables)])
-    rows = entries.select("fingerprint", F.explode(keys).alias("k")).select("fingerprint", "k.t", "k.key")
-    a, b = rows.alias("a"), rows.alias("b")
-    differ = F.col("a.fingerprint").bitwiseXOR(F.col("b.fingerprint"))
-    first = F.coalesce(*[F.when(differ.bitwiseAND(F.lit(m)) == 0, F.lit(i)) for i, m in enumerate(tables)])
-    joined = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.fingerprint") < F.col("b.fingerprint")) & (F.bit_count(differ) <= radius) & (first == F.col("a.t")))
-    return joined.select(F.col("a.fingerprint").alias("a"), F.col("b.fingerprint").alias("b"))
+    groups, links = _met(table, radius, n_blocks, block)
+
+    def of(key, group):
+        found = [(v[i], v[j]) for v, i, j in links(key, group)]
+        a, b = (np.concatenate([f[k] for f in found]).view(np.int64) if found else np.zeros(0, np.int64) for k in (0, 1))
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return groups.applyInArrow(of, "a long, b long")
+
+
+def link_counts(table: DataFrame, radius: int = RADIUS, n_blocks: int = BLOCKS, block: int = 2048) -> DataFrame:
+    """fingerprint, n_links: how many other fingerprints are within the radius, of those that have any. Pairs are counted in
+    the tasks that compare them; a task sends one row per fingerprint."""
+    groups, links = _met(table, radius, n_blocks, block)
+
+    def of(key, group):
+        counts = np.zeros(group.num_rows, np.int64)
+        for _, i, j in links(key, group):
+            counts[i[0]] += len(j)
+            counts[j] += 1
+        values, some = group.column("fingerprint").to_numpy(), counts > 0
+        return pa.table({"fingerprint": values[some], "n": counts[some]})
+
+    return groups.applyInArrow(of, "fingerprint long, n long").groupBy("fingerprint").agg(F.sum("n").alias("n_links"))
 
 
 def near_documents(table: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, class_id (smallest id with an equal fingerprint) and n_links (other fingerprints within the radius)."""
-    pairs = near_fingerprints(table, radius)
-    links = pairs.select(F.explode(F.array("a", "b")).alias("fingerprint")).groupBy("fingerprint").agg(F.count("*").alias("n_links"))
-    classes = table.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id")).join(links, "fingerprint", "left")
-    return table.join(classes, "fingerprint").select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    """doc_id, class_id (smallest id with an equal fingerprint) and n_links (other fingerprints within the radius) of every
+    row of table (doc_id, fingerprint). A null fingerprint has neither class nor links."""
+    classes = table.dropna(subset="fingerprint").groupBy("fingerprint").agg(F.min("doc_id").alias("class_id")).join(link_counts(table, radius), "fingerprint", "left")
+    classes = classes.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))  # a fingerprint may be a third of all rows
+    salted = table.withColumn("salt", (F.rand(1) * SALTS).cast("int"))
+    return salted.join(classes, ["fingerprint", "salt"], "left").select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
