@@ -4,7 +4,8 @@ A task splits its texts into blocks of bounded size. A block's pre-tokens become
 appearance; the number sequence (the positions) is written once to the shared folder, and only the block's distinct
 pre-tokens are shuffled, packed by hash into bounded parts. Each part encodes each of its distinct pre-tokens once for the
 whole corpus and sends the ids back to the blocks, which reassemble their documents by position. A hot
-pre-token is one entry per block, so no key can be hot. Token counts travel the same way with frequencies in place of positions.
+pre-token is one entry per block, so no key can be hot. Decoding joins a document's ids with the token-byte table where the
+ids are (the vocabulary has a fixed size). Token counts travel the same way with frequencies in place of positions.
 
 Null texts count as empty; repeated rows and repeated ids are documents of their own; a text longer than a block is a
 block by itself. Extra columns are ignored. Empty tables give empty results.
@@ -20,15 +21,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, squeeze, texts, unsqueeze, written
+from .common import runs, slices, squeeze, texts, unsqueeze, written
 
 BLOCK_BYTES = 32 << 20
 #: Bytes of text whose distinct pre-tokens one part holds.
-PART_BYTES = 24 << 20
+PART_BYTES = 64 << 20
 SPECIAL = "<|endoftext|>"
 
 
@@ -125,14 +127,10 @@ def blocks(docs: DataFrame, pattern: str, n_parts: int, counts: bool, special: s
             names = list(numbers)
             words = [names[i].encode() for i in frequent.tolist()]
             part = np.fromiter((zlib.crc32(w) % n_parts for w in words), np.int32, len(words))
-            order = np.argsort(part, kind="stable")
-            ends = np.searchsorted(part[order], np.arange(n_parts + 1))
             rows = []
-            for p in range(n_parts):
-                mine = order[ends[p] : ends[p + 1]]
-                if len(mine):
-                    lengths, blob = pack([words[i] for i in mine])
-                    rows.append({"block": block, "part": p, "at": squeeze(np.diff(mine, prepend=0).astype(np.uint32)), "lengths": lengths, "blob": blob})
+            for mine in runs(part, np.argsort(part, kind="stable")):
+                lengths, blob = pack([words[i] for i in mine])
+                rows.append({"block": block, "part": int(part[mine[0]]), "at": squeeze(np.diff(mine, prepend=0).astype(np.uint32)), "lengths": lengths, "blob": blob})
             sizes_of = batch.column("text").cast(pa.binary())
             n_bytes = np.array([len(x) for x in sizes_of.to_pylist()], np.int64)
             rows.append({
@@ -218,6 +216,47 @@ def token_counts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
     return documents.groupBy("block").cogroup(encoded_parts(table, encode, ids=False).groupBy("block")).applyInArrow(of, "doc_id long, n_bytes long, n_tokens long")
 
 
+class TokenBytes:
+    """The token-byte table as Arrow's binary array, by id: a vocabulary, of fixed size whatever the corpus is."""
+
+    def __init__(self, path: str):
+        self.table = pa.array(byte_table(path), pa.binary())
+
+    def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+        """Bytes of each run ids[bounds[i]:bounds[i + 1]]: the ids joined with the table, their bytes one after another."""
+        if not len(ids):
+            return [b""] * (len(bounds) - 1)
+        joined = self.table.take(pa.array(ids))
+        ends = np.frombuffer(joined.buffers()[1], np.int32)[: len(ids) + 1][bounds]
+        blob = joined.buffers()[2].to_pybytes() if joined.buffers()[2] is not None else b""
+        return [blob[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
+@lru_cache(maxsize=2)
+def token_bytes(path: str) -> TokenBytes:
+    return TokenBytes(path)
+
+
+def decode_documents(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+    """doc_id and decoded (binary) of every row of encoded: its array of ids joined with the token-byte table of the rank file.
+
+    The vocabulary is joined in the tasks that hold the ids, so no token is shuffled. Null ids count as none; repeated rows
+    are decoded as often as they occur; extra columns are ignored; an id outside the vocabulary raises IndexError.
+    """
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = token_bytes(path)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                lists = part.column("ids")
+                bounds = _bounds(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(table.decode(lists.flatten().to_numpy(zero_copy_only=False), bounds), pa.binary())], ["doc_id", "decoded"])
+
+    rows = encoded.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{ids_col}`").cast("array<int>").alias("ids"))
+    return rows.mapInArrow(of, "doc_id long, decoded binary")
+
+
 def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """doc_id, ids (array of int), decoded (binary: the ids joined with the token-byte table); with digests only
     doc_id, n_tokens, ids_sha256, decoded_sha256."""
@@ -228,40 +267,43 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
         encoder = rank_encoder(path, pattern)
         return [np.array(encoder.encode_ordinary(w.decode()), np.uint32).tobytes() for w in words]
 
+    def assembled(sizes: np.ndarray, numbers: np.ndarray, own: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """For runs of documents: their pre-tokens' numbers, ids by position, and bounds of both for each document."""
+        stops, at = _bounds(sizes), 0
+        while at < len(sizes):
+            to = max(at + 1, int(np.searchsorted(stops, stops[at] + (1 << 20), "right")) - 1)
+            mine = numbers[stops[at] : stops[to]]
+            n = lengths[mine]
+            ends = _bounds(n)
+            ids = own[np.repeat(starts[mine] - ends[:-1], n) + np.arange(ends[-1])]
+            yield mine, ids, stops[at : to + 1] - stops[at], ends[stops[at : to + 1] - stops[at]]
+            at = to
+
     def of(key, left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
         at, n, tokens = _gathered(right)
-        own: list[bytes] = [b""] * sum(map(len, at))
-        lengths = np.zeros(len(own), np.int64)
+        starts, lengths, parts, done = np.zeros(sum(map(len, at)), np.int64), np.zeros(sum(map(len, at)), np.int64), [], 0
         for a, b, raw in zip(at, n, tokens, strict=True):
-            lengths[a] = b
-            raw, ends = unsqueeze(raw, np.uint32).tobytes(), np.cumsum(b.astype(np.int64) * 4).tolist()
-            for i, start, end in zip(a.tolist(), [0, *ends[:-1]], ends, strict=True):
-                own[i] = raw[start:end]
-        sizes = np.frombuffer(row["sizes"], np.uint32)
-        stops = np.cumsum(sizes).tolist()
-        numbers = unsqueeze(row["numbers"], np.uint32)
-        doc_ids = _ids_back(row["ids"], len(sizes))
-        names = byte_table(path)
-        flat = [np.frombuffer(x, np.uint32).tolist() for x in own]
+            parts.append(unsqueeze(raw, np.uint32))
+            lengths[a], starts[a] = b, done + _bounds(b)[:-1]
+            done += len(parts[-1])
+        own = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        sizes, numbers = np.frombuffer(row["sizes"], np.uint32), unsqueeze(row["numbers"], np.uint32)
+        doc_ids, names = _ids_back(row["ids"], len(sizes)), token_bytes(path)
+        shown = [(",".join(map(str, own[a : a + k].tolist())) + ",").encode() for a, k in zip(starts.tolist(), lengths.tolist(), strict=True)] if digests else []
+        n_tokens, ids_out, decoded_out = [], [], []
+        for mine, ids, words, bounds in assembled(sizes, numbers, own, starts, lengths):
+            decoded, mine = names.decode(ids, bounds), mine.tolist()
+            n_tokens += np.diff(bounds).tolist()
+            if digests:
+                decoded_out += [hashlib.sha256(x).hexdigest() for x in decoded]
+                ids_out += [hashlib.sha256(b"".join(map(shown.__getitem__, mine[a:b]))[:-1]).hexdigest() for a, b in zip(words[:-1].tolist(), words[1:].tolist(), strict=True)]
+            else:
+                decoded_out += decoded
+                ids_out += np.split(ids.astype(np.int32), bounds[1:-1])
         if not digests:
-            plain = [b"".join(map(names.__getitem__, x)) for x in flat]
-            ids, decoded = [], []
-            for a, b in zip([0, *stops[:-1]], stops, strict=True):
-                mine = numbers[a:b].tolist()
-                ids.append(np.frombuffer(b"".join(map(own.__getitem__, mine)), np.uint32).astype(np.int32))
-                decoded.append(b"".join(map(plain.__getitem__, mine)))
-            return pa.table({"doc_id": doc_ids, "ids": pa.array(ids, pa.list_(pa.int32())), "decoded": pa.array(decoded, pa.binary())})
-        plain = [b"".join(map(names.__getitem__, x)) for x in flat]
-        shown = [(",".join(map(str, x)) + ",").encode() for x in flat]
-        n_tokens, ids_sha, decoded_sha = [], [], []
-        for a, b in zip([0, *stops[:-1]], stops, strict=True):
-            mine = numbers[a:b]
-            n_tokens.append(int(lengths[mine].sum()))
-            mine = mine.tolist()
-            ids_sha.append(hashlib.sha256(b"".join(map(shown.__getitem__, mine))[:-1]).hexdigest())
-            decoded_sha.append(hashlib.sha256(b"".join(map(plain.__getitem__, mine))).hexdigest())
-        return pa.table({"doc_id": doc_ids, "n_tokens": pa.array(n_tokens, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(decoded_sha, pa.string())})
+            return pa.table({"doc_id": doc_ids, "ids": pa.array(ids_out, pa.list_(pa.int32())), "decoded": pa.array(decoded_out, pa.binary())})
+        return pa.table({"doc_id": doc_ids, "n_tokens": pa.array(n_tokens, pa.int64()), "ids_sha256": pa.array(ids_out, pa.string()), "decoded_sha256": pa.array(decoded_out, pa.string())})
 
     documents = table.filter("part = -1").select("block", "ids", "sizes", "numbers")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, ids array<int>, decoded binary"

@@ -10,7 +10,12 @@ Any 20 consecutive words hold one whole aligned block of 10 (a block that starts
 3. Marked windows are joined back to their documents and their words removed.
 
 Within a slice of texts, equal windows are resolved on the spot and sent once, so a passage that a third of all
-documents share is one entry per slice. Texts are shuffled once, by document; all three steps read that exchange.
+documents share is one entry per slice. Texts are shuffled once, by document; all three steps read that exchange. A slice
+sends one row to each part that it has windows of: at most slices x parts rows, and never more than windows, so rows grow
+with the corpus beyond some terabytes (a row a window is where the packing ends).
+
+Windows are told apart by 64-bit hashes, within one of `n_parts` hash ranges: of n distinct windows about n * n / 2**65 pairs are
+taken for equal, less than one below 6e9 windows (some 50 GB of text) and about 3,000 at 3e11.
 
 Null texts count as empty. A null id sorts first. Rows that repeat an id count as the same document: a window is not
 earlier than one with the same id and start, so equal rows are judged alike. Extra columns are ignored;
@@ -30,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import part_count
-from .common import slices, squeeze, texts, unsqueeze
+from .common import runs, slices, squeeze, texts, unsqueeze
 from .wordhash import Words, inside, windows
 
 SIZE = 20
@@ -65,12 +70,9 @@ def _anchors(n_parts: int):
             any_aligned[inverse[aligned]] = True
             part = ((unique >> np.uint64(32)) % np.uint64(n_parts)).astype(np.int64)
             order = np.lexsort((index, part))
-            edges = np.searchsorted(part[order], np.arange(n_parts + 1))
             rows = [{"part": -1 - number, "slice": number, "keys": _int64(batch, "key"), "tags": _int64(batch, "tag"), "first": words.first.astype(np.uint32).tobytes(), "known": _gaps(at[counts[inverse] > 1])}]
-            for p in range(n_parts):
-                mine = order[edges[p] : edges[p + 1]]
-                if len(mine):
-                    rows.append({"part": p, "slice": number, "hashes": unique[mine].astype(np.uint32).tobytes(), "gaps": _gaps(at[index[mine]]), "aligned": np.packbits(any_aligned[mine]).tobytes()})
+            for mine in runs(part, order):
+                rows.append({"part": int(part[mine[0]]), "slice": number, "hashes": unique[mine].astype(np.uint32).tobytes(), "gaps": _gaps(at[index[mine]]), "aligned": np.packbits(any_aligned[mine]).tobytes()})
             yield pa.RecordBatch.from_pylist(rows, PACKED_SCHEMA)
             number += 1
 
@@ -161,13 +163,10 @@ def _candidates(n_parts: int):
             rows = [{"part": -1 - number, "slice": number, "keys": keys.tobytes(), "tags": _int64(batch, "tag"), "first": first.astype(np.uint32).tobytes(), "known": _gaps(at[~early])}]
             kept = np.flatnonzero(early)
             part = ((hashes[kept] >> np.uint64(32)) % np.uint64(n_parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            edges = np.searchsorted(part[order], np.arange(n_parts + 1))
-            for p in range(n_parts):
-                mine = kept[order[edges[p] : edges[p + 1]]]
-                if len(mine):
-                    docs, doc = np.unique(owner[mine], return_inverse=True)
-                    rows.append({"part": p, "slice": number, "hashes": hashes[mine].tobytes(), "gaps": _gaps(at[mine]), "docs": _gaps(doc), "starts": first[docs].astype(np.uint32).tobytes(), "keys": keys[docs].tobytes()})
+            for run in runs(part, np.argsort(part, kind="stable")):
+                mine = kept[run]
+                docs, doc = np.unique(owner[mine], return_inverse=True)
+                rows.append({"part": int(part[run[0]]), "slice": number, "hashes": hashes[mine].tobytes(), "gaps": _gaps(at[mine]), "docs": _gaps(doc), "starts": first[docs].astype(np.uint32).tobytes(), "keys": keys[docs].tobytes()})
             number += 1
             yield pa.RecordBatch.from_pylist(rows, CANDIDATES_SCHEMA)
 
