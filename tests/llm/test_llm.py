@@ -4,12 +4,15 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 
+from orespark.llm.wordhash import BASE, BYTES, mix
 from orespark.llm import bpe, components, line_dedup, near_dedup, packing, pii, quality, simhash, substring_dedup, url_filter
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -56,7 +59,7 @@ def counted(got, key=lambda r: tuple(r)):
 
 
 def test_url_filter(spark):
-    urls = [None, "", "no scheme", "HTTP://A.Example.NET/en/x?q", "http://net", "http://net/", "http://x.org/fr/1#a", "http://org/de/", "http://example.com/de/1", "https://é.example.com/de/?", "http://myexample.com/de/"]
+    urls = [None, "", "no scheme", "HTTP://A.Example.NET/en/x?q", "http://net", "http://net/", "http://x.org/fr/1#a", "http://org/de/", "http://example.com/de/1", "https://é.example.com/de/?", "http://myexample.com/de/", "http://net/", "http://org/fr/", "http://.org/fr/", "http://" + "a." * 10_000 + "org/fr/" + "x" * 10_000, "http://" + "a" * 100_000 + ".net", "://" * 30_000]
     pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)], "page_id long, url string, verdict string")
     rules = spark.createDataFrame(url_filter.RULES, "host string, path string, action string")
 
@@ -68,8 +71,8 @@ def test_url_filter(spark):
         fit = [(len(h + p), h + p, a) for h, p, a in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
         return (host, path, *(max(fit)[1:] if fit else (None, "allow")))
 
-    for limit in (1000, 0):  # cascade, and the join beyond its size
-        got = url_filter.url_filter(pages, rules, max_rules=limit).collect()
+    for limit in (1 << 20, 0):  # cascade, and the join beyond its size
+        got = url_filter.url_filter(pages, rules, max_bits=limit).collect()
         assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got} == {i: judge(u) for i, u in enumerate(urls)}
     assert url_filter.url_filter(pages.limit(0), rules).count() == 0
     listed, universe = spark.range(0, 3000, 3).selectExpr("cast(id as string) key"), spark.range(3000).selectExpr("cast(id as string) key")
@@ -145,11 +148,24 @@ def test_compared_blocks(spark):
     for i in range(40):
         s = np.unique(np.array([x if random.random() > 0.06 else random.randrange(1000, 10**9) for x in base], np.uint64))
         rows.append((i.to_bytes(16, "big"), len(s), len(s), [1, 2], [3, 4], i, s.tobytes()))
+    rows.append(((99).to_bytes(16, "big"), 100, 100, [1, 2], [3, 4], 99, np.arange(5000, 5100, dtype=np.uint64).tobytes()))
     rest = spark.createDataFrame(rows, "class binary, n long, shared long, left array<long>, right array<long>, at long, set binary")
-    got = {(bytes(r.x), bytes(r.y)) for r in near_dedup._compared(rest, 80, verify=True, block=7).collect()}
+    made = near_dedup._compared(rest, 80, verify=True, block=7)
+    plan = made._jdf.queryExecution().toString()
+    assert "hashpartitioning(i#" in plan and re.search(r"Exchange hashpartitioning\(i#\d+, g#\d+L?, u#\d+, v#\d+", plan), "each pair of blocks is dealt on its own"
+    got = [(bytes(r.x), bytes(r.y)) for r in made.collect()]
     sets = {r[0]: set(np.frombuffer(r[6], np.uint64).tolist()) for r in rows}
     want = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
-    assert {tuple(sorted(p)) for p in got} == want
+
+    def roots(pairs):
+        root = {x: x for x in sets}
+        for a, b in pairs:
+            old, new = root[a], root[b]
+            root = {x: new if r == old else r for x, r in root.items()}
+        return {frozenset(x for x in sets if root[x] == r) for r in set(root.values())}
+
+    assert {tuple(sorted(p)) for p in got} <= want and roots(got) == roots(want) and len(roots(want)) > 1
+    assert len(got) < len(want), "a task doesn't send links between components that it has joined"
 
 
 def test_components(spark):
@@ -185,6 +201,52 @@ def test_simhash(docs, none, rows, spark):
     table = spark.createDataFrame([(i, v - (1 << 64) if v >> 63 else v) for i, v in enumerate(values)], "doc_id long, fingerprint long")
     found = {tuple(sorted((r.a % (1 << 64), r.b % (1 << 64)))) for r in simhash.near_fingerprints(table).collect()}
     assert found == {(a, b) for a in set(values) for b in set(values) if a < b and (a ^ b).bit_count() <= 3} and found
+    for radius, block in ((3, 2048), (3, 4), (5, 16)):  # blocks of a few rows: every bucket is hot
+        links = {r.fingerprint % (1 << 64): r.n_links for r in simhash.link_counts(table, radius, radius + 2, block).collect()}
+        count = {a: sum(a != b and (a ^ b).bit_count() <= radius for b in set(values)) for a in set(values)}
+        assert links == {a: n for a, n in count.items() if n}
+    table = table.unionByName(spark.createDataFrame([(None, 5), (None, 5), (1000, 4), (1000, 4), (1001, None)], table.schema))
+    got = counted(simhash.near_documents(table).collect())
+    every = [(i, v % (1 << 64)) for i, v in enumerate(values)] + [(None, 5), (None, 5), (1000, 4), (1000, 4)]
+    first = {}
+    for i, v in every:
+        if i is not None:
+            first[v] = min(i, first.get(v, i))
+    count = {a: sum(a != b and (a ^ b).bit_count() <= 3 for _, b in {(0, x) for _, x in every}) for _, a in every}
+    assert got == counted([(i, first.get(v), count[v]) for i, v in every] + [(1001, None, 0)])
+    assert simhash.near_documents(table.limit(0)).count() == 0
+
+
+def test_fingerprint_values(docs, rows):
+    """Fingerprints and likeness by their definition: signed votes of adjacent word pairs, weighted by length."""
+
+    def hashed(word):
+        total, power = 0, 1
+        for c in word.encode():
+            total, power = (total + int(BYTES[c]) * power) % (1 << 64), power * BASE % (1 << 64)
+        return int(mix(np.array([total], np.uint64))[0])
+
+    def fingerprint(text):
+        w = [m for m in SPACE.finditer(text)]
+        h = [hashed(m[0]) for m in w]
+        if len(h) < 2:
+            return h[0] if h else 0
+        votes = [0.0] * 64
+        for a, b, m, n in zip(h, h[1:], w, w[1:], strict=False):
+            pair = int(mix(np.array([(a + b * BASE + 2) % (1 << 64)], np.uint64))[0])
+            weight = min(64, len(text[m.start() : n.end()].encode()))
+            for bit in range(64):
+                votes[bit] += weight if pair >> bit & 1 else -weight
+        return sum(1 << bit for bit in range(64) if votes[bit] > 0)
+
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    want = []
+    for k, (i, t) in enumerate(order):
+        after, take = order[(k + 1) % len(order)][1], len(t) // 4
+        a, b, c = map(fingerprint, (t, t[: len(t) - take] + after[:take], after))
+        want.append((i, f"{a:016x}", f"{b:016x}", 1 - (a ^ b).bit_count() / 64, 1 - (a ^ c).bit_count() / 64))
+    got = simhash.compare_with_edits(docs).select("doc_id", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    assert counted(got.collect()) == counted(want)
 
 
 def test_packing(docs, none, rows):
@@ -274,6 +336,11 @@ def test_bpe(docs, none, rows):
     encoder = bpe.rank_encoder(path, P.PATTERN)
     got = bpe.encode_documents(docs, path, P.PATTERN).collect()
     assert counted(got, lambda r: (r.doc_id, tuple(r.ids), bytes(r.decoded))) == counted([(i, tuple(encoder.encode_ordinary(t or "")), (t or "").encode()) for i, t in rows])
+    extra = docs.sparkSession.createDataFrame([(None, None, 1), (70, [], 2), (70, [], 2), (71, [0, 1, 49_000] * 50_000, 3)], "doc_id long, ids array<int>, decoded int")
+    back = bpe.decode_documents(bpe.encode_documents(docs, path, P.PATTERN).select("doc_id", "ids").unionByName(extra.drop("decoded")), path).collect()
+    plain = bpe.byte_table(path)
+    assert counted(back, lambda r: (r.doc_id, bytes(r.decoded))) == counted([*((i, (t or "").encode()) for i, t in rows), (None, b""), (70, b""), (70, b""), (71, b"".join(plain[i] for i in (0, 1, 49_000)) * 50_000)])
+    assert counted(bpe.decode_documents(extra, path).collect(), lambda r: r.doc_id) == counted([None, 70, 70, 71], lambda x: x)
     tokenizer = bpe.json_tokenizer(P.path("byte_bpe_50k.json"))
     counts = bpe.token_counts(docs, P.path("byte_bpe_50k.json"), P.PATTERN).collect()
     assert counted(counts) == counted([(i, len((t or "").encode()), len(tokenizer.encode(t or "", add_special_tokens=False).ids)) for i, t in rows])
@@ -296,6 +363,32 @@ def test_substring_dedup(docs, none, rows):
     assert substring_dedup.substring_dedup(none).count() == 0
 
 
+def plain_spans(text):
+    """The contract's base spans by the plain patterns."""
+    kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    good = {
+        "email": lambda m: True,
+        "ip": lambda m: all(int(x) <= 255 for x in m.split(".")),
+        "card": lambda m: 14 <= len(d := re.sub("[ -]", "", m)) <= 19 and sum((int(c) * 2 - 9 * (int(c) > 4)) if k % 2 else int(c) for k, c in enumerate(d[::-1])) % 10 == 0,
+        "phone": lambda m: 10 <= len(re.sub("[^0-9]", "", m)) <= 15,
+    }
+    found = [(k, *m.span()) for k, p in kinds.items() for m in re.finditer(p, text) if good[k](m[0])]
+    return sorted(found, key=lambda s: (s[1], list(kinds).index(s[0])))
+
+
+def joined(spans):
+    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
+
+
+def added(model, text):
+    """All spans, and their number: base ones, and candidates outside them that the classifier accepts."""
+    base = plain_spans(text)
+    more = [c.span for c in pii.candidates(text, base) if sum(w * x for w, x in zip(model.weights, c.features, strict=True)) >= 0]
+    assert all(b <= x or y <= a for _, a, b in more for _, x, y in base)
+    every = sorted([*base, *more], key=lambda s: (s[1], pii.KINDS.index(s[0])))
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in every), len(every)
+
+
 def test_pii(docs, none, rows):
     text = rows[-1][1]
     base = pii.base_spans(text)
@@ -308,10 +401,20 @@ def test_pii(docs, none, rows):
     assert clean.columns == docs.columns and "<CARD>" in clean.filter("doc_id = 62").collect()[0].text and clean.filter("doc_id = 1").collect()[0].text is None
     assert pii.train(none).weights is None and pii.find(none, pii.Model({}, None)).count() == 0
     random.seed(8)
-    for _ in range(3000):
-        t = "".join(random.choices("a@.-+1 (9", k=25))
-        spans = [("email", *m.span()) for m in pii.BASE["email"].finditer(t)]
-        assert [s for s in pii.base_spans(t) if s[0] == "email"] == spans
+    for _ in range(5000):
+        t = "".join(random.choices("a1@.-+ (9", k=random.randint(1, 30)))
+        assert pii.base_spans(t) == plain_spans(t), t
+    long = {"1": "1" * 10**6, "-": "-" * 10**6 + "1", "x": "1 " + "x" * 10**6, "@": "a@" * 500_000, ".": "1." * 500_000, "+": "+1-" * 300_000, "_": "_1a" * 300_000}
+    for t in long.values():  # a quadratic pattern needs hours for these
+        began = time.time()
+        spans = pii.base_spans(t)
+        pii.candidates(t, spans)
+        assert time.time() - began < 30 and spans == sorted(spans, key=lambda s: s[1])
+    for c, t in long.items():
+        assert pii.base_spans(t[:3000]) == plain_spans(t[:3000]), c
+    clash = docs.select("doc_id", "text", F.lit("clash").alias("spans"), F.lit(1).alias("n_ip"))
+    again = pii.find(clash.unionByName(clash), model).collect()
+    assert counted(again) == counted(2 * [(i, *(sum(s[0] == k for s in plain_spans(t or "")) for k in pii.BASE), joined(plain_spans(t or "")), *added(model, t or "")) for i, t in rows])
     truth = [random.random() < 0.4 for _ in range(4000)]
     votes = collections.Counter(("secret", tuple((1 if y == (random.random() < r) else -1) for r in (0.9, 0.8, 0.7, 0.6))) for y in truth)
     found, _ = pii.estimate([(k, v, n) for (k, v), n in votes.items()])
