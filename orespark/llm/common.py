@@ -66,19 +66,30 @@ def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
 SALTS = 16
 
 
-def block_pairs(rows: DataFrame, keys: list[str], by: str, block: int) -> DataFrame:
+def block_pairs(rows: DataFrame, keys: list[str], by: str, block: int, apart: str | None = None) -> DataFrame:
     """rows grouped by keys and the numbers u <= v of two blocks of a group, so that every two rows of a group meet in some
-    (keys, u, v): in (s, t) if they are in blocks s and t, and rows of one block in several. side: the row's own block.
+    (keys, u, v): in (s, t) if they are in blocks s and t, and rows of one block in (s, s). side: the row's own block.
 
     A group of up to `block` rows is one block. Larger ones are split by the hash of `by`; their sizes (one row for each
     such group) are joined over SALTS salts, and each pair of blocks is dealt on its own, so that no task gets a whole
     hot group. Pairs of blocks with a single row are left out.
+
+    apart: only rows that differ in this column need to meet. The rows of a large group's most common value then go to
+    blocks of their own, which meet those of the other rows, but not each other.
     """
-    large = rows.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).filter("blocks > 1")
+    values = [F.count("*").alias("k")]
+    large = (rows.groupBy(*keys, apart).agg(*values) if apart else rows.groupBy(*keys).agg(*values, F.lit(None).alias("v"))).withColumnsRenamed({apart: "v"} if apart else {})
+    large = large.groupBy(*keys).agg(F.sum("k").alias("n"), F.max(F.struct("k", "v")).alias("top")).filter(F.col("n") > block)
+    main = F.col("top.k") if apart else F.lit(0)
+    large = large.select(*keys, F.col("top.v").alias("_main"), F.ceil((F.col("n") - main) / block).cast("int").alias("_mixed"), F.ceil(main / block).cast("int").alias("_pure"))
     large = large.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    out = rows.withColumn("salt", F.pmod(F.xxhash64(by, F.lit(1)), F.lit(SALTS)).cast("int")).join(large, [*keys, "salt"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    out = out.withColumn("side", F.pmod(F.xxhash64(by), F.col("blocks")).cast("int")).select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    out = out.withColumns({"u": F.least("side", "other"), "v": F.greatest("side", "other")}).drop("salt", "blocks", "other")
+    out = rows.withColumn("salt", F.pmod(F.xxhash64(by, F.lit(1)), F.lit(SALTS)).cast("int")).join(large, [*keys, "salt"], "left")
+    mixed, pure = F.coalesce("_mixed", F.lit(1)), F.coalesce("_pure", F.lit(0))
+    own = F.coalesce(F.col(apart) == F.col("_main"), F.lit(False)) if apart else F.lit(False)
+    side = F.when(own, mixed + F.pmod(F.xxhash64(by), pure)).otherwise(F.pmod(F.xxhash64(by), mixed)).cast("int")
+    others = F.when(~own, F.sequence(F.lit(0), mixed + pure - 1)).when(mixed > 0, F.sequence(F.lit(0), mixed - 1))
+    out = out.withColumn("side", side).select("*", F.explode(others).alias("other"))
+    out = out.withColumns({"u": F.least("side", "other"), "v": F.greatest("side", "other")}).drop("salt", "_main", "_mixed", "_pure", "other")
     pair = [*keys, "u", "v"]
     return out.repartition(*pair).withColumn("_n", F.count("*").over(Window.partitionBy(*pair))).filter("_n > 1").drop("_n")
 

@@ -229,7 +229,7 @@ def _compared(rest: DataFrame, percent: int, verify: bool, block: int = 256) ->
         found = _links(group, i, u != v, percent, verify)
         return pa.table({c: pa.array([f[k] for f in found], pa.binary()) for k, c in enumerate("xy")})
 
-    rows = block_pairs(rest.select("*", F.posexplode("left").alias("i", "g")), ["i", "g"], "class", block)
+    rows = block_pairs(rest.select("*", F.posexplode("left").alias("i", "g")), ["i", "g"], "class", block, apart="at")
     return rows.groupBy("i", "g", "u", "v").applyInArrow(of, "x binary, y binary")
 
 

@@ -166,6 +166,12 @@ def test_compared_blocks(spark):
 
     assert {tuple(sorted(p)) for p in got} <= want and roots(got) == roots(want) and len(roots(want)) > 1
     assert len(got) < len(want), "a task doesn't send links between components that it has joined"
+    for joined in (0, 30, 41):  # so many of the classes are in one component already
+        at = {r[0]: 0 if k < joined else r[5] + 1 for k, r in enumerate(rows)}
+        known = [(rows[0][0], r[0]) for r in rows[:joined]]
+        some = spark.createDataFrame([(*r[:5], at[r[0]], r[6]) for r in rows], rest.schema)
+        got = [(bytes(r.x), bytes(r.y)) for r in near_dedup._compared(some, 80, verify=True, block=7).collect()]
+        assert all(at[a] != at[b] for a, b in got) and roots([*known, *got]) == roots([*known, *(p for p in want if at[p[0]] != at[p[1]])])
 
 
 def test_components(spark):
