@@ -61,12 +61,46 @@ def commodity_colour(column: str | None) -> str | None:
 
 
 def seeded_unit(text: Column) -> Column:
-    """32-bit FNV-1a hash of a text's characters, scaled to [0, 1]."""
+    """32-bit FNV-1a hash of a text's UTF-16 units, scaled to [0, 1]."""
+    units = F.filter(F.split(F.hex(F.encode(text, "UTF-16BE")), "(?<=\\G.{4})"), lambda u: u != "")
 
-    def step(h: Column, c: Column) -> Column:
-        return (h.bitwiseXOR(F.ascii(c).cast("long")) * F.lit(16777619)).bitwiseAND(F.lit(4294967295))
+    def step(h: Column, u: Column) -> Column:
+        return (h.bitwiseXOR(F.conv(u, 16, 10).cast("long")) * F.lit(16777619)).bitwiseAND(F.lit(4294967295))
 
-    return F.aggregate(F.filter(F.split(text, ""), lambda c: c != ""), F.lit(2166136261).cast("long"), step) / F.lit(4294967295.0)
+    return F.aggregate(units, F.lit(2166136261).cast("long"), step) / F.lit(4294967295.0)
+
+
+def hsl(hue: Column, saturation: float, lightness: float) -> Column:
+    """#rrggbb of a colour with hue in [0, 1] (the usual piecewise-linear conversion)."""
+    top = lightness * (1 + saturation) if lightness <= 0.5 else lightness + saturation - lightness * saturation
+    low = 2 * lightness - top
+
+    def part(shift: float) -> Column:
+        h = F.pmod(hue + shift, F.lit(1.0))
+        value = F.when(h < 1 / 6, low + (top - low) * 6 * h).when(h < 1 / 2, F.lit(top)).when(h < 2 / 3, low + (top - low) * 6 * (2 / 3 - h)).otherwise(F.lit(low))
+        return F.lpad(F.lower(F.hex(F.floor(value * 255 + 0.5).cast("long"))), 2, "0")
+
+    return F.concat(F.lit("#"), part(1 / 3), part(0.0), part(-1 / 3))
+
+
+GREY = "#9e9e9e"
+
+
+def category_hash_colour(value: Column) -> Column:
+    """A category's own colour, whatever its case; grey where it is blank."""
+    text = F.trim(value.cast("string"))
+    return F.when(F.coalesce(text, F.lit("")) == "", GREY).otherwise(hsl(seeded_unit(F.lower(text)), 0.70, 0.50))
+
+
+def segment_hash_hue(hole: Column, index: Column) -> Column:
+    """Hue in [0, 1) of a segment without a value: 14 bands along the hole, shifted by the hole."""
+    seed = F.concat(F.coalesce(hole.cast("string"), F.lit("")), F.lit(":"), index.cast("string"))
+    return F.pmod(seeded_unit(seed) * 0.15 + (index % 14) / 14.0 * 0.85, F.lit(1.0))
+
+
+def golden_hue(index: Column) -> Column:
+    """Hue in [0, 1) of the i-th hole, a golden angle apart."""
+    return F.pmod(index * 137.5, F.lit(360.0)) / 360.0
 
 
 def value_hue(value: Column, low: float, high: float) -> Column:

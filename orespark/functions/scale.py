@@ -2,36 +2,64 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.ingest import number, ref
 
 
+PER_RANGE = 2_000_000
+
+
+def ranked(df: DataFrame, order_col: str, weight: Column | None = None) -> DataFrame:
+    """df with _stop and _total: the running sum of weights (1 each by default) in the order of a numeric column, and their sum.
+
+    Values are cut into ranges at fixed quantiles (approximate ones, one pass; about PER_RANGE rows each), and each range is
+    summed by itself and shifted by the sums of those before it: a few numbers, known before the plan is made, so that
+    neither the number of partitions nor a repeated task can change a rank.
+    """
+    weight = F.lit(1) if weight is None else weight
+    n = max(1, min(10_000, -(-df.count() // PER_RANGE)))
+    cuts = sorted(set(df.approxQuantile(order_col, [i / n for i in range(1, n)], 1 / (4 * n)))) if n > 1 else []
+    place = F.size(F.filter(F.lit(cuts), lambda c: c < ref(order_col))) if cuts else F.lit(0)
+    rows = df.withColumns({"_range": place, "_weight": weight.cast("long")})
+    sums = {r["_range"]: r["w"] for r in rows.groupBy("_range").agg(F.sum("_weight").alias("w")).collect()}
+    before = dict(zip(sorted(sums), accumulate([0, *(sums[k] for k in sorted(sums))]), strict=False))
+    shift = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("_range")) if before else F.lit(0)
+    own = F.sum("_weight").over(Window.partitionBy("_range").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumns({"_stop": own + shift.cast("long"), "_total": F.lit(sum(sums.values()))}).drop("_range", "_weight")
+
+
 def quantile_bins(df: DataFrame, value_col: str, n: int, group_cols: list[str] | None = None) -> DataFrame:
     """group, bin, lo, hi: values at the ranks floor(i / n * N) and min(N - 1, floor((i + 1) / n * N)) of the sorted values.
 
-    Ranks come from a range sort: each partition is numbered by itself and shifted by the counts of those before it
-    (one row per partition), so no task sees all values. With groups, ranks are per group.
+    Without groups, distinct values are ranked by ranges (see ranked), so no task sees all of them. With groups, ranks are per group.
     """
     values = df.select(*map(ref, group_cols or []), number(ref(value_col)).alias("v")).dropna(subset=["v"])
     counts = values.groupBy(*map(ref, group_cols or []), "v").agg(F.count("*").alias("k"))
     if group_cols:
         w = Window.partitionBy(*map(ref, group_cols))
-        ranked = counts.withColumns({"stop": F.sum("k").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)), "N": F.sum("k").over(w)})
+        placed = counts.withColumns({"stop": F.sum("k").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)), "N": F.sum("k").over(w)})
     else:
-        part = counts.repartitionByRange("v").withColumn("_p", F.spark_partition_id())
-        sums = part.groupBy("_p").agg(F.sum("k").alias("in_part"))
-        sums = sums.withColumns({"before": F.sum("in_part").over(Window.orderBy("_p")) - F.col("in_part"), "N": F.sum("in_part").over(Window.partitionBy())})
-        ranked = part.withColumn("stop", F.sum("k").over(Window.partitionBy("_p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
-        ranked = ranked.join(F.broadcast(sums.select("_p", "before", "N")), "_p").withColumn("stop", F.col("stop") + F.col("before"))
+        placed = ranked(counts, "v", F.col("k")).withColumnsRenamed({"_stop": "stop", "_total": "N"})
     at = lambda i: F.least(F.col("N") - 1, F.floor(F.lit(i / n) * F.col("N")))
     holds = lambda r: (r >= F.col("stop") - F.col("k")) & (r < F.col("stop"))
     edges = F.array_compact(F.array(*[F.when(holds(at(i)), F.lit(i)) for i in range(n + 1)]))
-    found = ranked.select(*map(ref, group_cols or []), "v", F.explode(edges).alias("i")).groupBy(*map(ref, group_cols or [])).agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("m"))
+    found = placed.select(*map(ref, group_cols or []), "v", F.explode(edges).alias("i")).groupBy(*map(ref, group_cols or [])).agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("m"))
     return found.select(*map(ref, group_cols or []), "m", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("bin")).select(*map(ref, group_cols or []), "bin", F.element_at("m", F.col("bin")).alias("lo"), F.element_at("m", F.col("bin") + 1).alias("hi"))
 
 
+def systematic_sample(df: DataFrame, order_col: str, most: int = 3000) -> DataFrame:
+    """Rows floor(i * N / most), i < most, in the order of a numeric column without ties (a row id); all where there are at
+    most `most`: a scene's limit."""
+    placed = ranked(df.filter(ref(order_col).isNotNull()), order_col)
+    n, total = F.col("_stop") - 1, F.col("_total")
+    i = F.ceil(n * most / total)
+    return placed.filter((total <= most) | (F.floor(i * total / most) == n)).drop("_stop", "_total")
+
+
 def bin_index(value: Column, edges: list[tuple[float, float]]) -> Column:
     """The first bin that holds the value: lo <= value <= hi (the last one has no upper end)."""
     if edges and edges[0] == edges[-1] and edges[0][0] == edges[0][1]:
@@ -43,8 +71,20 @@ def bin_index(value: Column, edges: list[tuple[float, float]]) -> Column:
     return out
 
 
-def bin_label(lo: Column, hi: Column, digits: int = 2) -> Column:
-    return F.concat(F.format_number(lo, digits), F.lit(" - "), F.format_number(hi, digits))
+def bin_label(lo: Column, hi: Column) -> Column:
+    """"lo – hi", with fewer decimals for larger numbers."""
+
+    def shown(v: Column) -> Column:
+        size = F.abs(v)
+        fixed = lambda k: F.format_string(f"%.{k}f", v)
+        return F.when(v.isNull(), "n/a").when(size >= 1000, fixed(0)).when(size >= 10, fixed(1)).when(size >= 0.1, fixed(2)).otherwise(fixed(3))
+
+    return F.concat(shown(lo), F.lit(" – "), shown(hi))
+
+
+def bin_colour(value: Column, edges: list[tuple[float, float]], colours: list[str], fallback: str) -> Column:
+    """Colour of the value's bin, the fallback outside all of them or without a value."""
+    return F.coalesce(F.get(F.array(*map(F.lit, colours)), F.nullif(bin_index(value, edges), F.lit(-1))), F.lit(fallback))
 
 
 def equal_width_index(value: Column, low: float, high: float, n: int) -> Column:

@@ -24,6 +24,9 @@ SOURCE_NAMES: dict[str, list[str]] = {
     "declination": ["declination", "dec"],
     "comments": ["comment", "comments", "structcomment", "geology_comment", "geologycomment", "geology comment", "lithology_comment", "lithology comment", "geology_description", "geologydescription"],
 }
+# What differs in the other dialect of names, which keeps descriptions apart from comments and knows strikes.
+DESCRIPTIONS = ["geology_description", "geologydescription", "geology_comment", "geologycomment", "geology comment", "lithology_comment", "lithology comment", "description", "comments"]
+STRIKES = ["strike", "str"]
 # The same for block models.
 BLOCK_SOURCE_NAMES: dict[str, list[str]] = {
     "x": ["x", "easting", "center_x", "xc", "xcentre", "xcenter", "x_centre", "x_center", "cx"],
@@ -33,12 +36,15 @@ BLOCK_SOURCE_NAMES: dict[str, list[str]] = {
     "dy": ["dy", "size_y", "sy", "sizey", "dim_y", "block_size_y"],
     "dz": ["dz", "size_z", "sz", "sizez", "dim_z", "block_size_z"],
 }
+# Canonical columns of each table.
 GEOMETRY = ["x", "y", "z", "dx", "dy", "dz"]
 COLLAR = ["hole_id", "datasource_hole_id", "project_id", "latitude", "longitude", "elevation", "easting", "northing", "crs"]
-SURVEY = ["hole_id", "depth", "azimuth", "dip"]
+SURVEY = ["hole_id", "depth", "to", "azimuth", "dip"]
 STRUCTURE = ["hole_id", "depth", "dip", "azimuth", "alpha", "beta", "comments"]
+ASSAY = ["hole_id", "from", "to", "mid"]
+GEOLOGY = ["hole_id", "from", "to", "mid", "geology_code", "comments"]
 GEOTECHNICAL = ["rqd", "fracture_count", "fracture_frequency", "core_recovery", "tce"]
-#: Texts that stand for a missing value.
+# Texts that stand for a missing value.
 MISSING = ["", "nan", "null", "none"]
 #: Order in which rows of a source came; attached when it is read, dropped by no operator.
 ROW = "_row_id"

@@ -1,7 +1,8 @@
 """Joins along a hole: nearest vertex, and linear interpolation between vertices.
 
 Both put queries and trace vertices into one ordered stream per hole (a union and two window functions) instead of a range
-join, so the cost is a sort however many vertices a hole has.
+join, so the cost is two sorts however many vertices a hole has. The look ahead is a look back over the reversed order: both
+are running values, linear in the rows of a hole.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..model import ROW
 from ..sources.ingest import number, ref
+from .desurvey import direction as unit_direction
 
 POSITION = ["easting", "northing", "elevation"]
 
@@ -35,10 +37,10 @@ def nearest_vertex(queries: DataFrame, traces: DataFrame, depth_col: str, column
     rows = _stream(queries, traces, number(ref(depth_col)), payload, False, ties)
     order = [F.col("_t"), F.col("_side"), F.col("_tie").asc() if duplicates == "last" else F.col("_tie").desc()]
     w = Window.partitionBy("_h").orderBy(*order)
-    forward = Window.partitionBy("_h").orderBy(F.col("_t"), F.col("_side"), F.col("_tie").desc() if duplicates == "last" else F.col("_tie").asc())
+    forward = Window.partitionBy("_h").orderBy(F.col("_t").desc(), F.col("_side").desc(), F.col("_tie").asc() if duplicates == "last" else F.col("_tie").desc())
     rows = rows.withColumn("_b", F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     # of the next depth's duplicates the wanted one must come first in the forward look
-    rows = rows.withColumn("_f", F.first("_v", ignorenulls=True).over(forward.rowsBetween(0, Window.unboundedFollowing)))
+    rows = rows.withColumn("_f", F.last("_v", ignorenulls=True).over(forward.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.filter("_q is not null")
     back = F.col("_f").isNull() | (F.col("_b").isNotNull() & (F.col("_t") - F.col("_b._md") <= F.col("_f._md") - F.col("_t")))
     rows = rows.withColumn("_p", F.when(back, F.col("_b")).otherwise(F.col("_f")))
@@ -59,31 +61,48 @@ def attach_structure_positions(structures: DataFrame, traces: DataFrame, depth_c
     return nearest_vertex(structures, traces, depth_col if depth_col in structures.columns else "mid", POSITION)
 
 
-def interpolate_positions(queries: DataFrame, traces: DataFrame, depth_col: str = "depth", columns: list[str] | None = None, clamp: bool = False) -> DataFrame:
+def interpolate_positions(queries: DataFrame, traces: DataFrame, depth_col: str = "depth", columns: list[str] | None = None, clamp: bool = False, direction: bool = False) -> DataFrame:
     """queries with `columns` interpolated at their depth: on the first segment that encloses it, beyond the ends along the
     end segments (or held at the end vertex, with clamp). A single vertex stands for every depth. Holes without a trace drop out.
+
+    direction adds dir_x, dir_y, dir_z, the unit direction of the hole there: from azimuth and dip interpolated between the
+    segment's ends (its start's, if the end has none), else along the segment, else (a single vertex, or a segment without
+    length) straight down.
     """
     columns = columns or POSITION
     ties = [ROW] if ROW in traces.columns else columns
     w = Window.partitionBy("hole_id").orderBy("md", *map(ref, ties))
-    point = F.struct(number(F.col("md")).alias("md"), *[number(ref(c)).alias(c) for c in columns])
+    angles = [(number(F.col(c)) if c in traces.columns else F.lit(None).cast("double")).alias(f"_{c}") for c in ("azimuth", "dip")] if direction else []
+    if direction:
+        columns = [*columns, *[c for c in POSITION if c not in columns]]
+    point = F.struct(number(F.col("md")).alias("md"), *[number(ref(c)).alias(c) for c in columns], *angles)
     marked = traces.filter(number(F.col("md")).isNotNull()).withColumns({"_here": point})
     marked = marked.withColumns({"_next": F.lead("_here").over(w), "_back": F.lag("_here").over(w)})
     rows = _stream(queries, marked, number(ref(depth_col)), F.struct("_here", "_next", "_back"), True, ["_here"])
     w = Window.partitionBy("_h").orderBy("_t", "_side", "_tie")
     rows = rows.withColumns({
         "_b": F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        "_f": F.first("_v", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)),
+        "_f": F.last("_v", ignorenulls=True).over(Window.partitionBy("_h").orderBy(F.col("_t").desc(), F.col("_side").desc(), F.col("_tie").desc()).rowsBetween(Window.unboundedPreceding, 0)),
     }).filter("_q is not null and (_b is not null or _f is not null)")
     a = F.when(F.col("_b").isNull(), F.col("_f._here")).when(F.col("_b._next").isNull(), F.coalesce("_b._back", "_b._here")).otherwise(F.col("_b._here"))
     b = F.when(F.col("_b").isNull(), F.col("_f._next")).when(F.col("_b._next").isNull(), F.col("_b._here")).otherwise(F.col("_b._next"))
-    rows = rows.withColumns({"_s": a, "_e": b})
+    rows = rows.withColumns({"_s": a, "_e": b}).withColumns({"_s": F.coalesce("_s", "_e"), "_e": F.coalesce("_e", "_s")})
     length = F.col("_e.md") - F.col("_s.md")
     part = F.when(length > 0, (F.col("_t") - F.col("_s.md")) / length).otherwise(0.0)
     if clamp:
         part = F.least(F.lit(1.0), F.greatest(F.lit(0.0), part))
+    turned = []
+    if direction:
+        near = F.coalesce("_b", "_f")
+        alone = near.getField("_next").isNull() & near.getField("_back").isNull()
+        both = F.col("_e._azimuth").isNotNull() & F.col("_e._dip").isNotNull()
+        angle = [F.when(both, F.col(f"_s._{c}") + part * (F.col(f"_e._{c}") - F.col(f"_s._{c}"))).otherwise(F.col(f"_s._{c}")) for c in ("azimuth", "dip")]
+        step = [F.col("_e").getField(c) - F.col("_s").getField(c) for c in POSITION]
+        size = F.sqrt(sum(x * x for x in step))
+        known = F.col("_s._azimuth").isNotNull() & F.col("_s._dip").isNotNull()
+        turned = [F.when(alone, down).when(known, d).when(size >= 1e-10, x / size).otherwise(down).alias(n) for n, d, x, down in zip(("dir_x", "dir_y", "dir_z"), unit_direction(*angle), step, map(F.lit, (0.0, 0.0, -1.0)), strict=True)]
     value = lambda c: F.col("_s").getField(c) + F.coalesce(part * (F.col("_e").getField(c) - F.col("_s").getField(c)), F.lit(0.0))
-    return rows.select(*[F.col("_q").getField(c).alias(c) for c in queries.columns], *[value(c).alias(c if c not in queries.columns else f"{c}_trace") for c in columns])
+    return rows.select(*[F.col("_q").getField(c).alias(c) for c in queries.columns], *[value(c).alias(c if c not in queries.columns else f"{c}_trace") for c in columns], *turned)
 
 
 def resample_trace(traces: DataFrame, step: float) -> DataFrame:
@@ -99,7 +118,7 @@ def join_assays_to_traces(assays: DataFrame, traces: DataFrame, on: list[str], l
     right = traces
     if last_only:
         others = [c for c in traces.columns if c not in on]
-        row = F.struct(*[ref(c) for c in [ROW, *others] if c in others or c == ROW and ROW in traces.columns])
+        row = F.struct(*[ref(c) for c in dict.fromkeys([ROW, *others]) if c in others])
         right = traces.groupBy(*map(ref, on)).agg(F.max(row).alias("_r")).select(*map(ref, on), *[F.col("_r").getField(c).alias(c) for c in others])
     right = right.select(*[ref(c).alias(f"_on_{c}" if c in on else f"{c}_trace" if c in assays.columns else c) for c in right.columns])
     same = F.lit(True)

@@ -7,7 +7,7 @@ import operator
 from collections.abc import Callable, Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +30,8 @@ def criteria_column(df: DataFrame, criteria: Criteria, unknown_excludes: bool =
         return criteria(df)
     if isinstance(criteria, str):
         return F.expr(criteria)
+    if not isinstance(criteria, Mapping):
+        raise TypeError(f"criteria are a mapping, a query string or a function, not {type(criteria).__name__}")
     parts = [F.lit(True)]
     for name, wanted in criteria.items():
         if wanted is None:
@@ -91,7 +93,7 @@ def size_stats(df: DataFrame) -> DataFrame:
 
 
 def property_stats(df: DataFrame, names: list[str]) -> dict[str, dict]:
-    """For each column: numeric with min and max if all its values are numbers, else its categories in order of appearance."""
+    """property_table() and property_categories() as a dictionary, for small domains: categories come to the driver."""
     marks = [f(ref(c)).alias(f"{i}{k}") for i, c in enumerate(names) for k, f in (("n", F.count), ("v", lambda x: F.count(number(x))), ("lo", lambda x: F.min(number(x))), ("hi", lambda x: F.max(number(x))))]
     row, out = df.agg(*marks).head(), {}
     for i, c in enumerate(names):
@@ -151,27 +153,51 @@ class BlockModel:
 
 
 def load_metadata(source: str | Mapping) -> dict:
-    """A mapping as it is, or a JSON text or file's content."""
-    return dict(source) if isinstance(source, Mapping) else json.loads(source)
+    """A mapping as it is, a JSON text, or the path of a JSON file (read by Spark, so any store will do)."""
+    if isinstance(source, Mapping):
+        return dict(source)
+    if source.lstrip().startswith("{"):
+        return json.loads(source)
+    return json.loads(SparkSession.active().read.text(source, wholetext=True).head()[0])
+
+
+def property_table(df: DataFrame, names: list[str]) -> DataFrame:
+    """property, numeric, min, max, n_categories: numeric if all its non-null values are numbers, else its distinct values are
+    counted. One aggregate over the blocks."""
+    marks = [F.struct(F.lit(c).alias("property"), (F.count(ref(c)) > 0).alias("some"), (F.count(ref(c)) == F.count(number(ref(c)))).alias("all"), F.min(number(ref(c))).alias("min"), F.max(number(ref(c))).alias("max"), F.count_distinct(ref(c)).alias("n")) for c in names]
+    rows = df.agg(F.array(*marks).alias("m")).select(F.explode("m").alias("m")).select("m.*")
+    numeric = F.col("some") & F.col("all")
+    return rows.select("property", numeric.alias("numeric"), F.when(numeric, F.col("min")).alias("min"), F.when(numeric, F.col("max")).alias("max"), F.when(~numeric, F.col("n")).alias("n_categories"))
+
+
+def property_categories(df: DataFrame, name: str) -> DataFrame:
+    """value, place: distinct values of a column and their place in order of appearance (by row id, else by value)."""
+    seen = df.dropna(subset=[name]).groupBy(ref(name).alias("value")).agg((F.min(ROW) if ROW in df.columns else F.min(ref(name))).alias("_o"))
+    return seen.select("value", (F.rank().over(Window.orderBy("_o", "value")) - 1).alias("place"))
 
 
 def overlaps(df: DataFrame, id_col: str = ROW) -> DataFrame:
     """Pairs (block_a < block_b) of blocks that overlap on all axes.
 
-    Blocks meet in grid cells as large as the largest block: an equi-join on the cell. A pair counts in the cell of its
-    common corner only, so no distinct step follows.
+    Blocks are classed by the power of two that holds their largest size. A pair meets in the grid of its larger class, where
+    each of the two covers at most 8 cells: an equi-join of the blocks of a class with those of it and of smaller classes, so
+    one huge block meets the small ones inside it but doesn't bring these together. A pair counts in the cell of its common
+    corner only, so no distinct step follows.
     """
-    size = df.agg(F.max(F.greatest("dx", "dy", "dz"))).head()[0]
-    if not size or size <= 0:
+    size = F.greatest("dx", "dy", "dz")
+    rows = df.select(ref(id_col).alias("id"), F.ceil(F.log2(F.when(size > 0, size))).cast("int").alias("class"), *[(F.col(a) + s * F.col(f"d{a}") / 2).alias(f"{n}{a}") for a in "xyz" for n, s in (("lo", -1), ("hi", 1))]).dropna()
+    levels = sorted(r[0] for r in rows.select("class").distinct().collect())  # a few powers of two
+    if not levels:
         return df.select(ref(id_col).alias("block_a"), ref(id_col).alias("block_b")).limit(0)
-    rows = df.select(ref(id_col).alias("id"), *[(F.col(a) + s * F.col(f"d{a}") / 2).alias(f"{n}{a}") for a in "xyz" for n, s in (("lo", -1), ("hi", 1))]).dropna()
+    rows = rows.select("*", F.explode(F.filter(F.lit(levels), lambda k: k >= F.col("class"))).alias("level")).withColumn("cell", F.pow(F.lit(2.0), "level"))
     for a in "xyz":
-        rows = rows.select("*", F.explode(F.sequence(F.floor(F.col(f"lo{a}") / size), F.floor(F.col(f"hi{a}") / size))).alias(f"c{a}"))
-    a, b = rows.alias("a"), rows.alias("b")
-    cell = reduce(operator.and_, [F.col(f"a.c{x}") == F.col(f"b.c{x}") for x in "xyz"])
+        rows = rows.select("*", F.explode(F.sequence(F.floor(F.col(f"lo{a}") / F.col("cell")), F.floor(F.col(f"hi{a}") / F.col("cell")))).alias(f"c{a}"))
+    a, b = rows.filter("class = level").alias("a"), rows.alias("b")
+    cell = reduce(operator.and_, [F.col(f"a.{x}") == F.col(f"b.{x}") for x in ("level", "cx", "cy", "cz")])
     meet = reduce(operator.and_, [(F.col(f"a.lo{x}") < F.col(f"b.hi{x}") - TOLERANCE) & (F.col(f"b.lo{x}") < F.col(f"a.hi{x}") - TOLERANCE) for x in "xyz"])
-    corner = reduce(operator.and_, [F.floor(F.greatest(f"a.lo{x}", f"b.lo{x}") / size) == F.col(f"a.c{x}") for x in "xyz"])
-    return a.join(b, cell & (F.col("a.id") < F.col("b.id")) & meet & corner).select(F.col("a.id").alias("block_a"), F.col("b.id").alias("block_b"))
+    corner = reduce(operator.and_, [F.floor(F.greatest(f"a.lo{x}", f"b.lo{x}") / F.col("a.cell")) == F.col(f"a.c{x}") for x in "xyz"])
+    once = (F.col("b.class") < F.col("a.class")) & (F.col("a.id") != F.col("b.id")) | (F.col("a.id") < F.col("b.id"))
+    return a.join(b, cell & once & meet & corner).select(F.least("a.id", "b.id").alias("block_a"), F.greatest("a.id", "b.id").alias("block_b"))
 
 
 def exterior_faces(df: DataFrame, id_col: str = ROW) -> DataFrame:

@@ -15,11 +15,12 @@ FROM_NAMES = ["from", "samp_from", "sample_from", "depth_from", "fromdepth", "fr
 TO_NAMES = ["to", "samp_to", "sample_to", "depth_to", "todepth", "to_depth"]
 
 
-def significant_intercepts(df: DataFrame, field: str, min_grade: float, min_length: float, from_col: str = "from", to_col: str = "to", hole_col: str = "hole_id", label: bool = False) -> DataFrame:
-    """hole, from, to, length, grade (length-weighted), n_samples of runs of contiguous rows with grade >= min_grade.
+def significant_intercepts(df: DataFrame, field: str, min_grade: float, min_length: float, from_col: str = "from", to_col: str = "to", hole_col: str = "hole_id", label: bool = True) -> DataFrame:
+    """hole, assay_field, from, to, length, avg_grade (length-weighted), n_samples, label of runs of contiguous rows with
+    grade >= min_grade; hole and bounds keep the names of their columns.
 
-    Rows are contiguous if they start where the previous qualifying row of the hole ends. label adds "12.0 m @ 1.50 field"
-    with Python's rounding (an Arrow UDF on the few result rows).
+    Rows are contiguous if they start where the previous qualifying row of the hole ends. The label is "12.0 m @ 1.50 field"
+    with Python's rounding (an Arrow UDF on the few result rows; label=False leaves it out).
     """
     if field not in df.columns:
         raise ValueError(f"no column {field}")
@@ -29,7 +30,8 @@ def significant_intercepts(df: DataFrame, field: str, min_grade: float, min_leng
     rows = rows.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     length = F.col("b") - F.col("a")
     out = rows.groupBy("hole_id", "run").agg(F.min("a").alias("from"), F.max_by("b", F.struct("a", "b")).alias("to"), F.try_divide(F.sum(F.col("g") * length), F.sum(length)).alias("grade"), F.count("*").alias("n_samples"))
-    out = out.withColumn("length", F.col("to") - F.col("from")).filter(F.col("length") >= min_length - GAP).select("hole_id", "from", "to", "length", "grade", "n_samples")
+    out = out.withColumn("length", F.col("to") - F.col("from")).filter(F.col("length") >= min_length)
+    out = out.select(F.col("hole_id").alias(hole_col), F.lit(field).alias("assay_field"), F.col("from").alias(from_col), F.col("to").alias(to_col), "length", F.col("grade").alias("avg_grade"), "n_samples")
     if not label:
         return out
 
@@ -37,11 +39,21 @@ def significant_intercepts(df: DataFrame, field: str, min_grade: float, min_leng
     def text(length: pd.Series, grade: pd.Series) -> pd.Series:
         return pd.Series([f"{a:.1f} m @ {g:.2f} {field}" for a, g in zip(length, grade, strict=True)])
 
-    return out.withColumn("label", text("length", "grade"))
+    return out.withColumn("label", text("length", "avg_grade"))
+
+
+#: Cells or bins that one interval may cover; more is a wrong bound, which would otherwise fill the disk.
+MOST_CELLS = 1_000_000
+
+
+def _few(good: Column, low: Column, high: Column) -> Column:
+    """The numbers low..high where the row is good; an error where they are more than MOST_CELLS."""
+    many = F.raise_error(F.concat(F.lit("an interval covers too many cells: "), (high - low).cast("string"))).cast("array<bigint>")
+    return F.when(good & (high - low >= MOST_CELLS), many).when(good, F.sequence(low, high))
 
 
 def composite(df: DataFrame, value_col: str, length: float, from_col: str = "from", to_col: str = "to", method: str = "average") -> DataFrame:
-    """hole_id, from, to, value: fixed-length bins from each hole's first depth on; overlap-weighted average, or sum of
+    """hole_id, from, to and the value column: fixed-length bins from each hole's first depth on; overlap-weighted average, or sum of
     value * overlap. A null value weighs, but adds nothing. Bins without overlap are left out.
 
     Each interval goes to its own bins by number (an explode), so bins and intervals are never joined.
@@ -54,13 +66,13 @@ def composite(df: DataFrame, value_col: str, length: float, from_col: str = "fro
     bins = F.ceil((F.col("stop") + length - F.col("start")) / length)
     low = F.greatest(F.lit(0).cast("long"), F.floor((F.col("a") - F.col("start")) / length) - 1)
     high = F.least(bins - 1, F.ceil((F.col("b") - F.col("start")) / length))
-    rows = rows.select("*", F.explode(F.when(high >= low, F.sequence(low, high))).alias("bin"))
+    rows = rows.select("*", F.explode(_few(high >= low, low, high)).alias("bin"))
     rows = rows.withColumns({"from": F.col("start") + F.col("bin") * F.lit(float(length)), "to": F.col("start") + (F.col("bin") + 1) * F.lit(float(length))})
     rows = rows.filter((F.col("a") < F.col("to")) & (F.col("b") > F.col("from")))
     over = F.greatest(F.lit(0.0), F.least("b", "to") - F.greatest("a", "from"))
     total = F.coalesce(F.sum(F.col("v") * over), F.lit(0.0))
     value = total if method == "sum" else F.coalesce(F.try_divide(total, F.sum(over)), F.lit(0.0))
-    return rows.groupBy("hole_id", "from", "to").agg(value.alias("value"))
+    return rows.groupBy("hole_id", "from", "to").agg(value.alias(value_col))
 
 
 def merge_numeric_categorical(numeric: DataFrame, categorical: DataFrame, on: tuple[str, ...] = ("hole_id", "from", "to")) -> DataFrame:
@@ -81,7 +93,7 @@ def overlapping(segments: DataFrame, intervals: DataFrame, width: float) -> Data
     Both are cut into depth cells of `width`; pairs meet by an equi-join on hole and cell, and count in the cell where the
     later of the two begins, so none counts twice. A hot hole spreads over its cells.
     """
-    cells = lambda a, b: F.explode(F.when(F.col(b) > F.col(a), F.sequence(F.floor(F.col(a) / width), F.floor(F.col(b) / width)))).alias("_cell")
+    cells = lambda a, b: F.explode(_few(F.col(b) > F.col(a), F.floor(F.col(a) / width), F.floor(F.col(b) / width))).alias("_cell")
     s = segments.select("*", cells("seg_from", "seg_to"))
     i = intervals.select("*", cells("from", "to"))
     joined = s.join(i, ["hole_id", "_cell"])
@@ -113,15 +125,21 @@ def with_data(segments: DataFrame, intervals: DataFrame, width: float) -> DataFr
 
 
 def interval_points(df: DataFrame, value_col: str, drop_missing: bool = True, key_with_value: bool = False, allow_points: bool = False) -> DataFrame:
-    """hole_id, z (middle), val, from_val, to_val, half: one row per interval of a hole, the first in source order.
+    """hole_id, z (middle), val, from_val, to_val, half: one row per interval of a hole, the first in source order (deeper
+    ones first: order by z descending when shown).
 
-    key_with_value: intervals with different values stay apart. allow_points: zero-length intervals stay.
+    key_with_value: intervals with different values stay apart. allow_points: zero-length intervals stay, and rows without
+    bounds are points at their depth or md.
     """
     a, b = first_column(df, FROM_NAMES), first_column(df, TO_NAMES)
-    if a is None or b is None:
+    points = [number(ref(c)) for c in ("depth", "md") if c in df.columns] if allow_points else []
+    if (a is None or b is None) and not points:
         raise ValueError("no interval columns")
     order = [ROW] if ROW in df.columns else sorted(c for c in df.columns if c not in ("hole_id", a, b))
-    rows = df.select("hole_id", number(ref(a)).alias("from_val"), number(ref(b)).alias("to_val"), ref(value_col).alias("val"), *[ref(c).alias(f"_o{i}") for i, c in enumerate(order)])
+    low, high = (number(ref(c)) if c else F.lit(None).cast("double") for c in (a, b))
+    whole = low.isNotNull() & high.isNotNull()
+    low, high = (F.when(whole, x).otherwise(F.coalesce(*points)) if points else x for x in (low, high))
+    rows = df.select("hole_id", low.alias("from_val"), high.alias("to_val"), ref(value_col).alias("val"), *[ref(c).alias(f"_o{i}") for i, c in enumerate(order)])
     rows = rows.filter((F.col("to_val") >= F.col("from_val")) if allow_points else (F.col("to_val") > F.col("from_val")))
     if drop_missing:
         rows = rows.filter(~is_missing(F.col("val")))
@@ -131,6 +149,12 @@ def interval_points(df: DataFrame, value_col: str, drop_missing: bool = True, ke
     return rows.select("hole_id", ((F.col("from_val") + F.col("to_val")) / 2).alias("z"), "val", "from_val", "to_val", ((F.col("to_val") - F.col("from_val")) / 2).alias("half"))
 
 
+def comment_points(df: DataFrame, text_col: str) -> DataFrame:
+    """hole_id, from, to and the text ("" where there is none): the first row of each valid interval, blanks included."""
+    texts = df.withColumn(text_col, F.coalesce(ref(text_col).cast("string"), F.lit("")))
+    return interval_points(texts, text_col, drop_missing=False).select("hole_id", F.col("from_val").alias("from"), F.col("to_val").alias("to"), F.col("val").alias(text_col))
+
+
 def labelled_intervals(df: DataFrame, label_col: str) -> DataFrame:
     """Rows of a strip log: valid intervals whose label isn't missing."""
     a, b = first_column(df, FROM_NAMES), first_column(df, TO_NAMES)

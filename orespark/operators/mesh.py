@@ -10,9 +10,18 @@ BLOCK = "struct<id:string,name:string,attributes:map<string,string>,material:str
 DOCUMENT = f"schema_version string, units string, blocks array<{BLOCK}>"
 
 
-def load_grade_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """One row per mesh of JSON documents; wrong version or missing parts fail."""
-    docs = spark.read.schema(DOCUMENT).option("multiLine", True).json(path)
+def load_grade_blocks(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row per mesh of JSON documents, one a file or (lines) one a line; wrong version or missing parts fail."""
+    return parse_grade_blocks(spark.read.schema(DOCUMENT).option("multiLine", not lines).json(path))
+
+
+def parse_grade_blocks_text(df: DataFrame, text_col: str) -> DataFrame:
+    """The same from documents held as texts in a column."""
+    return parse_grade_blocks(df.select(F.from_json(text_col, DOCUMENT).alias("d")).select("d.*"))
+
+
+def parse_grade_blocks(docs: DataFrame) -> DataFrame:
+    """One row per mesh of parsed documents (schema DOCUMENT)."""
     bad = docs.filter((F.coalesce("schema_version", F.lit("")) != VERSION) | F.col("blocks").isNull())
     if bad.limit(1).count():
         raise ValueError("grade blocks: schema_version must be 1.0 and blocks a list")

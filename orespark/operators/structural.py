@@ -99,20 +99,21 @@ def alpha_beta_normals(df: DataFrame, hole: tuple[Column, Column, Column], alpha
     return df.select(*[ref(c) for c in names if c not in ("normal_x", "normal_y", "normal_z")], *[F.when(F.col("_tilt").isNotNull(), F.col(f"normal_{a}")).alias(f"normal_{a}") for a in "xyz"])
 
 
-def structural_positions(structures: DataFrame, traces: DataFrame) -> DataFrame:
-    """Structures on their trace (holes by trimmed lower-case id; depth, else mid) with normal_x/y/z: from alpha and beta with the
-    interpolated hole direction where there is an alpha, else from dip and azimuth."""
+def structural_positions(structures: DataFrame, traces: DataFrame, zero_at: str = "bottom", clockwise: bool = True) -> DataFrame:
+    """Structures on their trace (holes by trimmed lower-case id; depth, else mid) with position and normal_x/y/z: from alpha and
+    beta (0 where missing) with the hole's direction there, else from dip and azimuth; rows with neither go."""
     from .asof import interpolate_positions
-    from .desurvey import direction
 
     depths = [number(F.col(c)) for c in ("depth", "mid") if c in structures.columns]
-    key = F.lower(F.trim("hole_id"))
-    rows = structures.withColumns({"hole_id": key, "_at": F.coalesce(*depths)})
+    key = F.lower(F.trim(F.col("hole_id").cast("string")))
+    rows = structures.withColumns({"_own": F.col("hole_id"), "_at": F.coalesce(*depths), "hole_id": key})
     rows = rows.withColumns({c: F.lit(None).cast("double") for c in ("alpha", "beta", "dip", "azimuth") if c not in rows.columns})
-    placed = interpolate_positions(rows, traces.withColumns({"hole_id": key, "_az": F.col("azimuth"), "_dip": F.col("dip")}), "_at", ["easting", "northing", "elevation", "_az", "_dip"])
-    placed = alpha_beta_normals(placed, direction(F.col("_az"), F.col("_dip")))
+    oriented = number(F.col("alpha")).isNotNull() | (number(F.col("dip")).isNotNull() & number(F.col("azimuth")).isNotNull())
+    placed = interpolate_positions(rows.filter((F.col("hole_id") != "") & oriented), traces.withColumn("hole_id", key), "_at", direction=True)
+    placed = alpha_beta_normals(placed, (F.col("dir_x"), F.col("dir_y"), F.col("dir_z")), zero_at=zero_at, clockwise=clockwise)
     plane = plane_normal(number(F.col("dip")), number(F.col("azimuth")))
-    return placed.withColumns({f"normal_{a}": F.coalesce(f"normal_{a}", c) for a, c in zip("xyz", plane, strict=True)}).drop("_at", "_az", "_dip")
+    placed = placed.withColumns({f"normal_{a}": F.coalesce(f"normal_{a}", c) for a, c in zip("xyz", plane, strict=True)})
+    return placed.withColumn("hole_id", F.col("_own")).drop("_own", "_at", "dir_x", "dir_y", "dir_z")
 
 
 def project_to_section(df: DataFrame, origin: tuple[float, float], azimuth: float, x_col: str = "easting", y_col: str = "northing") -> DataFrame:

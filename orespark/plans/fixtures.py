@@ -46,6 +46,6 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def segments(spark: SparkSession, sf_dir: str, length: float = 3.0) -> DataFrame:
-    """3 m segments from 0 to 12 m of every hole with intervals."""
-    holes = intervals(spark, sf_dir).select("hole_id").distinct()
-    return holes.select("hole_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")).select("hole_id", (F.col("k") * F.lit(length)).alias("seg_from"), ((F.col("k") + 1) * F.lit(length)).alias("seg_to"))
+    """3 m segments from 0 to the last depth of every hole with intervals."""
+    holes = intervals(spark, sf_dir).groupBy("hole_id").agg(F.max("to").alias("end"))
+    return holes.select("hole_id", F.explode(F.sequence(F.lit(0), F.ceil(F.col("end") / length).cast("int") - 1)).alias("k")).select("hole_id", (F.col("k") * F.lit(length)).alias("seg_from"), ((F.col("k") + 1) * F.lit(length)).alias("seg_to"))

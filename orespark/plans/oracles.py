@@ -8,7 +8,7 @@ COLLARS = """fx_collars as (
 SURVEYS = """fx_surveys as (
   select concat('DH', l_orderkey) hole_id, (l_linenumber - 1) * cast(25.0 as double) depth, max(l_quantity) * cast(7.0 as double) azimuth,
          cast(-90.0 as double) + max(l_tax) * 500 dip from lineitem group by l_orderkey, l_linenumber)"""
-INTERVALS = """fx_intervals as (
+INTERVALS = """fx_intervals as materialized (
   select concat('DH', l_orderkey) hole_id, (l_linenumber - 1) * cast(2.0 as double) "from", l_linenumber * cast(2.0 as double) "to",
          max(l_discount) * 100 au_ppm, max(l_returnflag) geology_code from lineitem group by l_orderkey, l_linenumber)"""
 STRUCTURES = """fx_structures as (
@@ -20,9 +20,9 @@ BLOCKS = """fx_blocks as (
          p_size / cast(10.0 as double) grade, p_retailprice / 400 density, p_type rock_type from part)"""
 WIDE = """fx_wide as (
   select * replace (s as dx, s as dy, s as dz) from (select *, case when block_id % 7 = 0 then cast(15.0 as double) else cast(10.0 as double) end s from fx_blocks))"""
-SEGMENTS = """fx_segments as (
+SEGMENTS = """fx_segments as materialized (
   select hole_id, k * cast(3.0 as double) seg_from, (k + 1) * cast(3.0 as double) seg_to
-  from (select distinct hole_id from fx_intervals), (select unnest([0, 1, 2, 3]) k))"""
+  from (select hole_id, unnest(range(cast(ceil(max("to") / 3) as int))) k from fx_intervals group by hole_id))"""
 SHIFTED = """fx_shifted as (
   select hole_id, case when k % 97 = 0 then null when k % 53 = 0 then "to" when k % 7 = 0 then "from" - 0.5 else "from" end "from", "to", au_ppm, geology_code
   from (select *, cast(substr(hole_id, 3) as bigint) + cast("to" / 2 as bigint) k from fx_intervals))"""
@@ -96,7 +96,7 @@ g as (select *, sum(case when p is null or abs("from" - p) > 1e-6 then 1 else 0
 hits as (
   select hole_id, min("from") "from", max("to") "to", sum(au_ppm * ("to" - "from")) / sum("to" - "from") grade, count(*) n_samples
   from g group by hole_id, run having max("to") - min("from") >= 2 - 1e-6)"""
-SEGMENT_JOIN = """sj as (select s.*, i.* exclude (hole_id), least(seg_to, "to") - greatest(seg_from, "from") ov from fx_segments s join fx_intervals i on s.hole_id = i.hole_id and i."from" < s.seg_to and i."to" > s.seg_from)"""
+SEGMENT_JOIN = """sj as materialized (select s.*, i.* exclude (hole_id), least(seg_to, "to") - greatest(seg_from, "from") ov from fx_segments s join fx_intervals i on s.hole_id = i.hole_id and i."from" < s.seg_to and i."to" > s.seg_from)"""
 
 
 def composited(value: str) -> str:
@@ -120,7 +120,7 @@ sp as (
 
 ORACLES: dict[str, str] = {
     "significant_intercepts": f"""with {INTERVALS}, {INTERCEPTS}
-select hole_id, {r('"from"', '"from"')}, {r('"to"', '"to"')}, {r('"to" - "from"', "length")}, {r("grade", "grade")}, n_samples from hits""",
+select hole_id, {r('"from"', '"from"')}, {r('"to"', '"to"')}, {r('"to" - "from"', "length")}, {r("grade", "avg_grade")}, n_samples, 'au_ppm' assay_field, format('{{:.1f}} m @ {{:.2f}} au_ppm', "to" - "from", grade) as label from hits""",
     "located_intercepts_in_section": f"""with {traces("minimum_curvature")}, {INTERVALS}, {INTERCEPTS}, hm as (select *, ("from" + "to") / 2 mid from hits), {nearest("hm", "mid")},
 sv as (select *, (easting - 502500) * sin(radians(45)) + (northing - 6900000) * cos(radians(45)) along, (easting - 502500) * cos(radians(45)) - (northing - 6900000) * sin(radians(45)) across from nv where easting is not null)
 select hole_id, "from", "to", {r("grade", "grade")}, {POSITION}, {r("along", "along")}, {r("across", "across")} from sv where abs(across) <= 1000""",
@@ -154,11 +154,11 @@ mk as (select hole_id, lo_ + k * cast(7 as double) md_out, least(lo_ + k * cast(
 {interpolated("mk", "t")} select hole_id, {r("md_out", "md")}, {POSITION} from ip""",
     "composite_average": composited("case when sum(ov) > 0 then coalesce(sum(v * ov), 0) / sum(ov) else 0 end"),
     "composite_sum": composited("coalesce(sum(v * ov), 0)"),
-    "overlap_weighted_value": f"""with {INTERVALS}, {SEGMENTS}, {SEGMENT_JOIN}, m as (select hole_id, seg_from, seg_to, sum(au_ppm * ov) / sum(ov) v from sj group by all)
+    "overlap_weighted_value": f"""with {INTERVALS}, {SEGMENTS}, {SEGMENT_JOIN}, m as materialized (select hole_id, seg_from, seg_to, sum(au_ppm * ov) / sum(ov) v from sj group by all)
 select hole_id, seg_from, seg_to, {r("v", '"value"')} from fx_segments left join m using (hole_id, seg_from, seg_to)""",
     "dominant_category": f"""with {INTERVALS}, {SEGMENTS}, {SEGMENT_JOIN}, k as (select *, row_number() over (partition by hole_id, seg_from, seg_to order by ov desc, "from", "to") n from sj)
 select hole_id, seg_from, seg_to, geology_code category from k where n = 1""",
-    "has_data_segments": f"with {INTERVALS}, {SEGMENTS}, {SEGMENT_JOIN} select hole_id, seg_from, seg_to, exists (select 1 from sj where sj.hole_id = s.hole_id and sj.seg_from = s.seg_from) has_data from fx_segments s",
+    "has_data_segments": f"with {INTERVALS}, {SEGMENTS}, {SEGMENT_JOIN}, hit as materialized (select distinct hole_id, seg_from, true hit from sj) select hole_id, seg_from, seg_to, coalesce(hit, false) has_data from fx_segments left join hit using (hole_id, seg_from)",
     "merge_numeric_categorical": f"""with {INTERVALS} select hole_id, "from", "to", {r("au_ppm", "au_ppm")}, geology_code
 from (select hole_id, "from", "to", au_ppm from fx_intervals where au_ppm >= 5) full join (select hole_id, "from", "to", geology_code from fx_intervals where geology_code <> 'N') using (hole_id, "from", "to")""",
     "join_assays_to_traces": f"""with {INTERVALS}, {SURVEYS} select a.hole_id, a.md, {r("a.au_ppm", "au_ppm")}, {r("t.azimuth", "azimuth")}, {r("t.dip", "au_ppm_trace")}
@@ -182,7 +182,7 @@ where block_size is null or block_size <= 0 or abs(max_size / block_size - round
     + " union all ".join(f"select block_id, '{a}' axis, {a} block_centre, d{a} block_dim from fx_wide where {a} - d{a} / 2 < 0 - 1e-6 or {a} + d{a} / 2 > {m} + 1e-6" for a, m in (("x", 190), ("y", 200), ("z", "1e9"))),
     "block_overlaps": f"""with {BLOCKS}, {WIDE} select a.block_id block_a, b.block_id block_b from fx_wide a join fx_wide b on a.block_id < b.block_id
 where """ + " and ".join(f"a.{x} - a.d{x} / 2 < b.{x} + b.d{x} / 2 - 1e-6 and b.{x} - b.d{x} / 2 < a.{x} + a.d{x} / 2 - 1e-6" for x in "xyz"),
-    "exterior_faces": f"""with {BLOCKS}, k as (select * from fx_blocks where block_id % 11 <> 0), f as ("""
+    "exterior_faces": f"""with {BLOCKS}, k as (select * replace (case when block_id % 11 = 0 then x + 1000 else x end as x) from fx_blocks), f as ("""
     + " union all ".join(f"select block_id, '{a}' axis, {s} side, " + ", ".join(f"floor({x}{f' + {s} * d{a}' if x == a else ''} + 0.5) k{x}" for x in "xyz") + " from k" for a in "xyz" for s in (-1, 1))
     + ") select block_id, axis, side from f where not exists (select 1 from k where floor(k.x + 0.5) = kx and floor(k.y + 0.5) = ky and floor(k.z + 0.5) = kz)",
     "plan_view": f"with {COLLARS} select hole_id, elevation, project_id color_value from fx_collars where elevation between 310 and 320",
@@ -222,6 +222,11 @@ select hole_id, {POSITION}, {r("sin(radians(azimuth)) * sin(radians(dip))", "nor
     "category_colours": f"""with recursive {BLOCKS}, n as (select distinct rock_type from fx_blocks),
 h(rock_type, i, v) as (select rock_type, 0, cast(2166136261 as bigint) from n union all select rock_type, i + 1, (xor(v, cast(ascii(substr(rock_type, i + 1, 1)) as bigint)) * 16777619) & 4294967295 from h where i < length(rock_type))
 select rock_type, {r("v / cast(4294967295 as double)", "unit")}, case lower(substr(rock_type, 1, 2)) when 'st' then '#111111' when 'pr' then '#222222' else '#999999' end colour from h where i = length(rock_type)""",
+    "wrapped_comments": r"""with recursive t as (select conv_id, turn, [x for x in regexp_split_to_array(text, '\s+') if x <> ''] w from conversations),
+h(conv_id, turn, w, i, o, n) as (select conv_id, turn, w, 1, coalesce(w[1], ''), length(coalesce(w[1], '')) from t union all
+  select conv_id, turn, w, i + 1, case when n + 1 + length(w[i + 1]) <= 30 then o || ' ' || w[i + 1] else o || '<br>' || w[i + 1] end,
+    case when n + 1 + length(w[i + 1]) <= 30 then n + 1 + length(w[i + 1]) else length(w[i + 1]) end from h where i < len(w))
+select conv_id, turn, cast(len(string_split(o, '<br>')) as bigint) n_lines, sha256(o) digest from h where i >= len(w)""",
     "collar_extent": f"with {COLLARS} select {r('min(easting / 1e4)', 'west')}, {r('min(northing / 1e5)', 'south')}, {r('max(easting / 1e4)', 'east')}, {r('max(northing / 1e5)', 'north')}, {r('median(northing / 1e5)', 'lat')}, {r('median(easting / 1e4)', 'lon')} from fx_collars",
     "filter_by_project": f"with {COLLARS} select hole_id, project_id from fx_collars where project_id = '1-URGENT'",
     "projected_collars": f"""with {COLLARS}, g as (select 1 / (2 * cast(298.257222101 as double) - 1) n),

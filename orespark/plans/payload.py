@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..model import ROW
 from ..sources.ingest import number, ref
 
 
+# Zoom from which each detail level of a photo is shown.
+LODS = ((0.0, "thumb"), (4.0, "mid"), (7.0, "full"))
+
+
 def trace_segments(traces: DataFrame, color_by: str | None = None) -> DataFrame:
     """hole_id, points: array of (md, easting, northing, elevation[, color]) in order of md."""
     fields = ["md", "easting", "northing", "elevation"]
@@ -44,30 +51,18 @@ def discs(structures: DataFrame, radius: float = 5.0, color_by: str = "defect")
     return rows.select("hole_id", "easting", "northing", "elevation", *[c.alias(f"normal_{a}") for c, a in zip(n, "xyz", strict=True)], "dip", "azimuth", F.lit(radius).alias("radius"), (ref(color_by) if color_by in structures.columns else F.lit(None)).cast("string").alias("color_value"))
 
 
-def systematic_sample(df: DataFrame, order: list[str], most: int = 3000) -> DataFrame:
-    """Rows floor(i * N / most) of the order, all where there are at most `most` (a scene's limit)."""
-    total = df.count()
-    if total <= most:
-        return df
-    part = df.repartitionByRange(*map(ref, order)).sortWithinPartitions(*map(ref, order)).withColumn("_p", F.spark_partition_id())
-    sums = part.groupBy("_p").count()
-    sums = sums.select("_p", (F.sum("count").over(Window.orderBy("_p")) - F.col("count")).alias("_before"))
-    n = F.row_number().over(Window.partitionBy("_p").orderBy(*map(ref, order))) - 1 + F.col("_before")
-    placed = part.join(F.broadcast(sums), "_p").withColumn("_n", n)
-    i = F.ceil(F.col("_n") * F.lit(most) / F.lit(total))
-    return placed.filter(F.floor(i * F.lit(total) / F.lit(most)) == F.col("_n")).drop("_p", "_before", "_n")
-
-
 def depth_markers(ranges: DataFrame, interval: float) -> DataFrame:
     """hole_id, depth: multiples of the interval from lo to hi (columns of ranges)."""
     low, high = F.ceil(F.col("lo") / interval), F.floor(F.col("hi") / interval)
     return ranges.select("hole_id", F.explode(F.when(high >= low, F.sequence(low, high))).alias("_k")).select("hole_id", (F.col("_k") * F.lit(float(interval))).alias("depth"))
 
 
-def photo_url(lods: Column, zoom: Column, fallback: Column) -> Column:
-    """URL of the detail level for a zoom: thumb below 4, mid below 7, else full; the next one that exists."""
-    level = lambda n: F.try_element_at(lods, F.lit(n))
-    return F.when(zoom < 4, F.coalesce(level("thumb"), level("mid"), level("full"), fallback)).when(zoom < 7, F.coalesce(level("mid"), level("full"), level("thumb"), fallback)).otherwise(F.coalesce(level("full"), level("mid"), level("thumb"), fallback))
+def photo_url(lods: Column, zoom: Column, fallback: Column, breakpoints: tuple[tuple[float, str], ...] = LODS) -> Column:
+    """URL of the last detail level whose zoom is reached (the first one below all), else the photo's own, else ""."""
+    wanted = F.lit(breakpoints[0][1])
+    for least, name in breakpoints:
+        wanted = F.when(zoom >= least, F.lit(name)).otherwise(wanted)
+    return F.coalesce(F.nullif(F.try_element_at(lods, wanted), F.lit("")), F.nullif(fallback, F.lit("")), F.lit(""))
 
 
 def photo_pixels(length: Column, zoom: Column) -> Column:
@@ -76,7 +71,7 @@ def photo_pixels(length: Column, zoom: Column) -> Column:
 
 def photos_in_range(photos: DataFrame, low: float, high: float) -> DataFrame:
     """Photos that overlap a depth range, by set (blank: default) and depth."""
-    named = photos.withColumn("photo_set", F.coalesce(F.nullif(F.trim("photo_set"), F.lit("")), F.lit("default")))
+    named = with_set(photos)
     return named.filter((F.col("from_depth") < high) & (F.col("to_depth") > low)).orderBy("photo_set", F.coalesce("from_depth", F.lit(0.0)))
 
 
@@ -103,9 +98,103 @@ def collar_extent(collars: DataFrame) -> DataFrame:
     return collars.agg(F.min(lon).alias("west"), F.min(lat).alias("south"), F.max(lon).alias("east"), F.max(lat).alias("north"), F.median(lat).alias("lat"), F.median(lon).alias("lon"))
 
 
-def unified_holes(df: DataFrame, columns: list[str]) -> DataFrame:
-    """hole_id, rows: each hole's rows as an array in order of depth."""
-    row = F.struct("depth", *[ref(c) for c in columns if c != "depth"])
-    return df.groupBy("hole_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+def with_set(photos: DataFrame) -> DataFrame:
+    """photo_set as text, blank ones "default"."""
+    return photos.withColumn("photo_set", F.coalesce(F.nullif(F.col("photo_set").cast("string"), F.lit("")), F.lit("default")))
+
+
+def photos_by_set(photos: DataFrame) -> DataFrame:
+    """photo_set, first_row (sets appear in its order), photos: the set's photos by depth (a missing depth is 0), then source order."""
+    photo = F.struct(F.coalesce(number(F.col("from_depth")), F.lit(0.0)).alias("at"), F.col(ROW), *[ref(c) for c in photos.columns if c not in ("photo_set", ROW)])
+    return with_set(photos).groupBy("photo_set").agg(F.min(ROW).alias("first_row"), F.array_sort(F.collect_list(photo)).alias("photos"))
+
+
+def rows_by_hole(df: DataFrame, columns: list[str], order: list[str], hole_col: str = "hole_id") -> DataFrame:
+    """hole_id, rows: each hole's rows (trimmed id, blank ones go) as an array sorted by `order`, which comes first in a row."""
+    row = F.struct(*map(ref, dict.fromkeys([*order, *columns])))
+    keyed = df.withColumn("hole_id", F.trim(ref(hole_col).cast("string"))).filter("hole_id <> ''")
+    return keyed.groupBy("hole_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+
+
+def merge_holes(one: DataFrame, two: DataFrame, rows_col: str = "rows") -> DataFrame:
+    """hole_id, rows: the rows of both tables of holes, those of the first before those of the second."""
+    right = two.select(F.col("hole_id").alias("_h"), ref(rows_col).alias("_more"))
+    none = F.array().cast(one.schema[rows_col].dataType)
+    return one.join(right, F.col("hole_id") == F.col("_h"), "full_outer").select(F.coalesce("hole_id", "_h").alias("hole_id"), F.concat(F.coalesce(ref(rows_col), none), F.coalesce("_more", none)).alias(rows_col))
+
+
+def centroid(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: the mean of each column."""
+    return df.agg(*[F.avg(number(ref(c))).alias(c) for c in columns])
+
+
+def scene_bounds(df: DataFrame, columns: tuple[str, ...] = ("easting", "northing", "elevation")) -> DataFrame:
+    """One row: min and max of each axis."""
+    return df.agg(*[f(number(ref(c))).alias(f"{n}_{c}") for c in columns for n, f in (("min", F.min), ("max", F.max))])
+
+
+def finite_values(df: DataFrame, value_col: str) -> DataFrame:
+    """hole_id, value: the finite values of all intervals."""
+    return df.select("hole_id", number(ref(value_col)).alias("value")).dropna(subset=["value"])
+
+
+def map_points(collars: DataFrame, color_by: str | None = None) -> DataFrame:
+    """collars, with color_value where there is a column to colour by."""
+    return collars.withColumn("color_value", ref(color_by)) if color_by in collars.columns else collars
+
+
+def depth_range(md1: Column, md2: Column) -> tuple[Column, Column]:
+    """Measured-depth range of a segment, in order; nulls where it has no length."""
+    good = F.abs(md1 - md2) > 0
+    return F.when(good, F.least(md1, md2)), F.when(good, F.greatest(md1, md2))
+
+
+def trace_pairs(traces: DataFrame) -> DataFrame:
+    """hole_id, segment, seg_from, seg_to: consecutive vertices of each hole that have a depth range."""
+    w = Window.partitionBy("hole_id").orderBy("md", *([ROW] if ROW in traces.columns else []))
+    low, high = depth_range(number(F.col("md")), F.lead(number(F.col("md"))).over(w))
+    return traces.select("hole_id", (F.row_number().over(w) - 1).alias("segment"), low.alias("seg_from"), high.alias("seg_to")).dropna(subset=["seg_from"])
+
+
+def normalized_bounds(df: DataFrame) -> DataFrame:
+    """min_x, min_y, max_x, max_y from the same columns, or from x, y, width, height (missing ones 0); a box without a positive
+    size fails the query when it is read."""
+    if "width" in df.columns or "height" in df.columns or ("x" in df.columns and "max_x" not in df.columns):
+        x, y, width, height = (F.coalesce(number(F.col(c)), F.lit(0.0)) if c in df.columns else F.lit(0.0) for c in ("x", "y", "width", "height"))
+        box = {"min_x": x, "min_y": y, "max_x": x + width, "max_y": y + height}
+    else:
+        box = {c: number(F.col(c)) for c in ("min_x", "min_y", "max_x", "max_y")}
+    out = df.withColumns(box)
+    wrong = F.raise_error(F.concat(F.lit("bounds without a positive size: "), F.to_json(F.struct(*box)))).cast("double")
+    for a in "xy":
+        out = out.withColumn(f"max_{a}", F.when(F.col(f"max_{a}") - F.col(f"min_{a}") <= 0, wrong).otherwise(F.col(f"max_{a}")))
+    return out
+
+
+def search_holes(collars: DataFrame, text: str) -> DataFrame:
+    """Collars whose hole id holds the pattern, whatever the case; all for a blank one."""
+    wanted = text.strip().lower()
+    return collars.filter(F.lower("hole_id").rlike(wanted)) if wanted else collars
+
+
+def focused_holes(holes: DataFrame, focus: str = "", order: str = "hole_id", most: int | None = None) -> DataFrame:
+    """hole_id, place: the focused hole first, then the others in their order (the first `most`: as many plots as a grid has)."""
+    rank = F.when(F.col("hole_id") == focus, 0).otherwise(1)
+    placed = holes.select("hole_id", rank.alias("_r"), ref(order).alias("_o")).orderBy("_r", "_o")
+    placed = placed.limit(most) if most is not None else placed
+    return placed.select("hole_id", (F.row_number().over(Window.orderBy("_r", "_o")) - 1).alias("place")) if most is not None else placed.select("hole_id")
+
+
+def hole_options(df: DataFrame) -> DataFrame:
+    """Distinct non-empty hole ids, sorted."""
+    return df.select(F.col("hole_id").cast("string").alias("hole_id")).filter("hole_id <> ''").distinct().orderBy("hole_id")
+
+
+def union_holes(*tables: DataFrame) -> DataFrame:
+    """Hole ids of any of the tables, once each."""
+    return reduce(DataFrame.unionByName, [t.select("hole_id") for t in tables]).dropna().distinct()
 
 
+def common_holes(one: DataFrame, two: DataFrame) -> DataFrame:
+    """hole_id: keys (trimmed, lower case) that both tables have."""
+    return one.select(hole_key(F.col("hole_id")).alias("hole_id")).intersect(two.select(hole_key(F.col("hole_id")).alias("hole_id")))

@@ -34,15 +34,15 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
 
 
 def significant_intercepts(s: SparkSession, d: str) -> DataFrame:
-    return rounded(intervals.significant_intercepts(fx.intervals(s, d), "au_ppm", 3.0, 2.0), "from", "to", "length", "grade")
+    return rounded(intervals.significant_intercepts(fx.intervals(s, d), "au_ppm", 3.0, 2.0), "from", "to", "length", "avg_grade")
 
 
 def flagship(s: SparkSession, d: str) -> DataFrame:
     """Intercepts placed on the traces and kept near a section."""
-    found = intervals.significant_intercepts(fx.intervals(s, d), "au_ppm", 3.0, 2.0).withColumn("mid", (F.col("from") + F.col("to")) / 2)
+    found = intervals.significant_intercepts(fx.intervals(s, d), "au_ppm", 3.0, 2.0, label=False).withColumn("mid", (F.col("from") + F.col("to")) / 2)
     placed = asof.nearest_vertex(found, traces(s, d), "mid", list(XYZ)).dropna(subset=["easting"])
     near = structural.section_view(placed, (502500.0, 6900000.0), 45.0, 2000.0)
-    return rounded(near.select("hole_id", "from", "to", "grade", *XYZ, "along", "across"), "grade", *XYZ, "along", "across")
+    return rounded(near.select("hole_id", "from", "to", F.col("avg_grade").alias("grade"), *XYZ, "along", "across"), "grade", *XYZ, "along", "across")
 
 
 def traces(s: SparkSession, d: str, method: str = "minimum_curvature") -> DataFrame:
@@ -82,7 +82,7 @@ def join_assays_to_traces(s: SparkSession, d: str) -> DataFrame:
 
 
 def _composited(method: str) -> Query:
-    return lambda s, d: rounded(intervals.composite(fx.intervals(s, d), "au_ppm", 3.0, method=method), "from", "to", "value")
+    return lambda s, d: rounded(intervals.composite(fx.intervals(s, d), "au_ppm", 3.0, method=method).withColumnRenamed("au_ppm", "value"), "from", "to", "value")
 
 
 def overlap_weighted_value(s: SparkSession, d: str) -> DataFrame:
@@ -138,12 +138,17 @@ def _wide(s: SparkSession, d: str) -> DataFrame:
     return fx.blocks(s, d).withColumns({c: size for c in ("dx", "dy", "dz")})
 
 
+def _hollow(s: SparkSession, d: str) -> DataFrame:
+    """Blocks of which every eleventh lies far off, so that the grid has cavities."""
+    return fx.blocks(s, d).withColumn("x", F.when(F.col("block_id") % 11 == 0, F.col("x") + 1000.0).otherwise(F.col("x")))
+
+
 def block_overlaps(s: SparkSession, d: str) -> DataFrame:
     return blockmodel.overlaps(_wide(s, d), "block_id")
 
 
 def exterior_faces(s: SparkSession, d: str) -> DataFrame:
-    return blockmodel.exterior_faces(fx.blocks(s, d).filter("block_id % 11 <> 0"), "block_id")
+    return blockmodel.exterior_faces(_hollow(s, d), "block_id")
 
 
 def validate_block_sizes(s: SparkSession, d: str) -> DataFrame:
@@ -276,9 +281,9 @@ def category_colours(s: SparkSession, d: str) -> DataFrame:
 
 
 def wrapped_comments(s: SparkSession, d: str) -> DataFrame:
-    """Whole texts of turns wrapped as log comments, by length."""
+    """Whole texts of turns wrapped as log comments."""
     words = s.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", payload.wrapped(F.col("text"), 30).alias("wrapped"))
-    return words.select("conv_id", "turn", F.size(F.split("wrapped", "<br>")).alias("n_lines"), F.length("wrapped").alias("n_chars"))
+    return words.select("conv_id", "turn", F.size(F.split("wrapped", "<br>")).cast("long").alias("n_lines"), F.sha2("wrapped", 256).alias("digest"))
 
 
 def collar_extent(s: SparkSession, d: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import BLOCK_SOURCE_NAMES, MISSING, ROW, SOURCE_NAMES
+from ..model import BLOCK_SOURCE_NAMES, DESCRIPTIONS, MISSING, ROW, SOURCE_NAMES, STRIKES
 
 
 def ref(name: str) -> Column:
@@ -16,9 +16,9 @@ def ref(name: str) -> Column:
 
 
 def number(c: Column) -> Column:
-    """c as a double; what isn't a finite number is null (NaN too, so that there is one kind of missing value)."""
+    """c as a double; what isn't a finite number is null (NaN and infinity too, so that there is one kind of missing value)."""
     value = c.try_cast("double")
-    return F.when(~F.isnan(value), value)
+    return F.when(F.abs(value) < F.lit(float("inf")), value)
 
 
 def with_row_id(df: DataFrame) -> DataFrame:
@@ -61,10 +61,20 @@ def _targets(columns: list[str], names: Mapping[str, list[str]], own: Mapping[st
     return out
 
 
+#: The other dialect's names: descriptions are a column of their own.
+OTHER_NAMES = {k: [v for v in vs if v not in DESCRIPTIONS] for k, vs in SOURCE_NAMES.items()} | {"geology_description": DESCRIPTIONS, "strike": STRIKES}
+
+
 def standardize(df: DataFrame, source_column_map: Mapping[str, str] | None = None, last_wins: bool = False) -> DataFrame:
     """Columns under their canonical names, unknown ones lower-cased and stripped. Where several sources have one
-    target, the first non-null value counts; with last_wins the last source column."""
-    return _renamed(df, _targets(df.columns, SOURCE_NAMES, source_column_map, last_wins), last_wins)
+    target, the first non-null value counts; with last_wins (the other dialect) the last source column, under that
+    dialect's names."""
+    return _renamed(df, _targets(df.columns, OTHER_NAMES if last_wins else SOURCE_NAMES, source_column_map, last_wins), last_wins)
+
+
+def lower_keys(df: DataFrame) -> DataFrame:
+    """Columns under their lower-cased, stripped names; of several with one name the last."""
+    return _renamed(df, [c.strip().lower() for c in df.columns], True)
 
 
 def standardize_blocks(df: DataFrame, source_column_map: Mapping[str, str] | None = None) -> DataFrame:

@@ -1,4 +1,9 @@
-"""Loaders of drillhole tables. Checks that must fail a whole table take one aggregate each (validate=False skips it)."""
+"""Loaders of drillhole tables.
+
+Checks that must fail a whole table take one aggregate each (validate=False skips it). Tables come in the order of their
+source; in_order() sorts them the way they are shown, once, at the end. js=True is the other dialect of the same loaders:
+last of several source columns, strict bounds, no long tables.
+"""
 
 from __future__ import annotations
 
@@ -7,144 +12,237 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import COLLAR, GEOTECHNICAL, ROW, STRUCTURE, SURVEY
+from ..model import ASSAY, COLLAR, GEOLOGY, GEOTECHNICAL, ROW, STRUCTURE, SURVEY
 from ..operators.pivot import long_to_wide
 from ..operators.validate import overlapping_intervals
-from .ingest import coerce_numeric, first_column, interval_bounds, is_missing, number, read_table, ref, standardize, with_mid
+from .ingest import coerce_numeric, first_column, interval_bounds, is_missing, number, read_table, ref, rounded, standardize, with_mid
+
+# Names of the code and value columns of long tables.
+CODES = {
+    "assays": (["assay_code", "assay_type", "analyte", "element", "code"], ["assay_value", "value", "result", "assay_result"]),
+    "geology": (["geology_code", "lith_code", "code"], ["comments", "geology_value", "value", "description"]),
+}
+
 
-CODES = {"assay": (["assay_code", "analyte", "element", "code"], ["assay_value", "value", "result"]), "geology": (["attribute", "geology_attribute", "code_type"], ["geology_value", "value"])}
+class MissingColumns(ValueError, KeyError):
+    """A table lacks columns that its kind must have."""
 
 
 def _require(df: DataFrame, columns: list[str], label: str) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:
-        raise KeyError(f"{label}: missing columns {missing}")
+        raise MissingColumns(f"{label}: missing columns {missing}")
 
 
 def _projected(df: DataFrame, columns: list[str], keep_all: bool) -> DataFrame:
     return df if keep_all else df.select(*[ref(c) for c in columns if c in df.columns])
 
 
-def _guard(df: DataFrame, bad: Column, label: str, sample: list[str]) -> None:
-    n = df.filter(bad).count()
-    if n:
+def _guard(df: DataFrame, tests: dict[str, Column], label: str, sample: list[str]) -> None:
+    """Fail if any row fails a test: how many fail each, and up to five of them, in one aggregate."""
+    bad = F.lit(False)
+    for c in tests.values():
+        bad = bad | F.coalesce(c, F.lit(True))
+    place = F.col(ROW) if ROW in df.columns else F.lit(0)
+    shown = F.when(bad, F.struct(place.alias("at"), *[ref(c).cast("string").alias(c) for c in sample]))
+    counts = df.agg(F.count_if(bad).alias("total_invalid"), F.min(shown).alias("first"), *[F.count_if(F.coalesce(c, F.lit(True))).alias(n) for n, c in tests.items()]).head()
+    if counts["total_invalid"]:
         rows = [r.asDict() for r in df.filter(bad).select(*map(ref, sample)).limit(5).collect()]
-        raise ValueError(f"{label}: {n} invalid rows, for example {rows}")
+        raise ValueError(f"{label}: missing or invalid values, {({k: v for k, v in counts.asDict().items() if k != 'first'})}, for example {rows}")
 
 
-def _bad_interval(df: DataFrame) -> Column:
-    return F.coalesce(F.trim("hole_id") == "", F.lit(True)) | ref("from").isNull() | ref("to").isNull() | (ref("to") < ref("from"))
+def in_order(df: DataFrame) -> DataFrame:
+    """Sorted by hole, then from and to (or depth), missing values last, then by source order."""
+    names = [c for c in ("hole_id", *(("from", "to") if "from" in df.columns else ("depth",)), ROW) if c in df.columns]
+    return df.orderBy(*[F.asc_nulls_last(ref(c)) for c in names])
 
 
-def load_collars(spark: SparkSession, source, crs: str | None = None, source_column_map=None, keep_all: bool = True, **read) -> DataFrame:
-    """Collars with geometry struct<x, y> and crs: longitude/latitude (EPSG:4326 unless given), else easting/northing."""
-    df = standardize(read_table(spark, source, **read), source_column_map)
+def _named(df: DataFrame) -> DataFrame:
+    return df.withColumn("hole_id", F.trim(F.col("hole_id").cast("string")))
+
+
+def load_collars(spark: SparkSession, source, crs: str | None = None, source_column_map=None, keep_all: bool = True, js: bool = False, validate: bool = True, **read) -> DataFrame:
+    """Collars with geometry struct<x, y> and geometry_crs: longitude/latitude (EPSG:4326 unless given), else easting/northing.
+
+    All columns of the model are required but the coordinates of the kind that is absent; crs isn't where there are only
+    degrees. js: an id and either pair of coordinates are enough, coordinates become numbers, and one bad row fails the table.
+    """
+    df = standardize(read_table(spark, source, **read), source_column_map, last_wins=js)
     _require(df, ["hole_id"], "collars")
     geographic, projected = ({"latitude", "longitude"} <= set(df.columns)), ({"easting", "northing"} <= set(df.columns))
+    if js:
+        df = coerce_numeric(_named(df), ["latitude", "longitude", "elevation", "easting", "northing"])
     if "datasource_hole_id" not in df.columns:
         df = df.withColumn("datasource_hole_id", F.col("hole_id"))
-    skipped = {"easting", "northing", "crs"} if geographic and not projected else {"latitude", "longitude", "crs"} if projected and not geographic else set()
+    x, y = ("longitude", "latitude") if geographic else ("easting", "northing")
+    if js:
+        _require(df, [x, y], "collars")
+        if validate:
+            _guard(df, {"missing_hole_id": F.col("hole_id") == "", "missing_coordinates": ref(x).isNull() | ref(y).isNull()}, "collars", ["hole_id", x, y])
+        return df
+    skipped = {"easting", "northing", "crs"} if geographic and not projected else {"latitude", "longitude"} if projected and not geographic else set()
     required = [c for c in COLLAR if c not in skipped]
     _require(df, required, "collars")
-    x, y = ("longitude", "latitude") if geographic else ("easting", "northing")
-    df = _projected(df, required, keep_all or ROW not in df.columns)
-    df = df.withColumn("geometry", F.struct(number(F.col(x)).alias("x"), number(F.col(y)).alias("y")))
-    return df if "crs" in df.columns else df.withColumn("crs", F.lit(crs or ("EPSG:4326" if geographic else None)).cast("string"))
+    geometry = F.struct(number(F.col(x)).alias("x"), number(F.col(y)).alias("y"))
+    return _projected(df.withColumns({"geometry": geometry, "geometry_crs": F.lit(crs or ("EPSG:4326" if geographic else None)).cast("string")}), [*required, "geometry", "geometry_crs"], keep_all)
 
 
 def load_surveys(spark: SparkSession, source, source_column_map=None, keep_all: bool = True, strict: bool = False, **read) -> DataFrame:
-    """Surveys. strict: every depth, azimuth and dip must be a number, else the table fails."""
-    df = standardize(read_table(spark, source, **read), source_column_map)
-    _require(df, SURVEY, "surveys")
+    """Surveys. strict: every depth, azimuth and dip must be a number and every id a text, else the table fails."""
+    df = standardize(read_table(spark, source, **read), source_column_map, last_wins=strict)
+    _require(df, [c for c in SURVEY if c != "to"], "surveys")
     if strict:
-        df = coerce_numeric(df, ["depth", "azimuth", "dip"])
-        _guard(df, F.col("hole_id").isNull() | F.col("depth").isNull() | F.col("azimuth").isNull() | F.col("dip").isNull(), "surveys", SURVEY)
-    return _projected(df, SURVEY, keep_all).orderBy(F.asc_nulls_last("hole_id"), F.asc_nulls_last("depth"))
+        df = coerce_numeric(_named(df), ["depth", "to", "azimuth", "dip"])
+        _guard(df, {"missing_hole_id": F.col("hole_id") == "", **{f"missing_{c}": F.col(c).isNull() for c in ("depth", "azimuth", "dip")}}, "surveys", ["hole_id", "depth", "azimuth", "dip"])
+    return _projected(df, SURVEY, keep_all)
 
 
-def parse_surveys(spark: SparkSession, source, **read) -> DataFrame:
+def parse_surveys(spark: SparkSession, source, source_column_map=None, **read) -> DataFrame:
     """Surveys without the rows that lack an id or a finite depth, dip or azimuth."""
-    df = coerce_numeric(standardize(read_table(spark, source, **read)), ["depth", "azimuth", "dip"])
-    return df.filter(~is_missing(F.col("hole_id"))).dropna(subset=["depth", "azimuth", "dip"])
+    df = coerce_numeric(standardize(read_table(spark, source, **read), source_column_map, last_wins=True), ["depth", "azimuth", "dip"])
+    return _named(df).filter("hole_id <> ''").dropna(subset=["depth", "azimuth", "dip"])
 
 
-def _intervals(df: DataFrame, label: str, validate: bool) -> DataFrame:
+def _intervals(df: DataFrame, label: str, validate: bool, strict: bool = False) -> DataFrame:
+    """Intervals with trimmed ids, numeric bounds and mid. strict: bounds as they are, and to must be greater than from."""
     _require(df, ["hole_id", "from", "to"], label)
-    df = interval_bounds(df.withColumn("hole_id", F.trim(F.col("hole_id").cast("string"))))
+    df = coerce_numeric(_named(df), ["from", "to"]) if strict else interval_bounds(_named(df))
     if validate:
-        _guard(df, _bad_interval(df), label, ["hole_id", "from", "to"])
+        wrong = ref("to") <= ref("from") if strict else ref("to") < ref("from")
+        _guard(df, {"missing_hole_id": F.col("hole_id") == "", "missing_from": ref("from").isNull(), "missing_to": ref("to").isNull(), "to_le_from": wrong}, label, ["hole_id", "from", "to"])
     return with_mid(df)
 
 
-def _sorted(df: DataFrame) -> DataFrame:
-    return df.orderBy(*[F.asc_nulls_last(ref(c)) for c in ("hole_id", "from", "to")])
+def _widened(df: DataFrame, label: str) -> DataFrame:
+    code, value = (first_column(df, c) for c in CODES[label])
+    if code is None or value is None:
+        raise MissingColumns(f"{label}: a long table needs code and value columns; found code={code}, value={value}")
+    _require(df, ["hole_id", "from", "to"], label)
+    return long_to_wide(df, code, value)
 
 
-def load_assays(spark: SparkSession, source, source_column_map=None, flat: bool = True, keep_all: bool = True, validate: bool = True, **read) -> DataFrame:
-    """Assay intervals with mid. flat: long tables (code, value) become wide. One invalid row fails the table. A null id is
-    invalid (it isn't turned into text)."""
-    df = standardize(read_table(spark, source, **read), source_column_map)
-    code, value = (first_column(df, c) for c in CODES["assay"])
-    if flat and code and value:
-        df = long_to_wide(df.drop(ROW), code, value)
-    df = _intervals(df, "assays", validate)
-    return _sorted(_projected(df, ["hole_id", "from", "to", "mid"], keep_all))
+def load_assays(spark: SparkSession, source, source_column_map=None, flat: bool = True, keep_all: bool = True, validate: bool = True, js: bool = False, **read) -> DataFrame:
+    """Assay intervals with mid. flat=False: a long table (code, value) that becomes wide. One invalid row fails the table. A
+    null id is invalid (it isn't turned into text). js: bounds aren't rounded, and equal ones are invalid."""
+    df = standardize(read_table(spark, source, **read), source_column_map, last_wins=js)
+    if not flat and not js:
+        df = _widened(df, "assays")
+    return _projected(_intervals(df, "assays", validate, strict=js), ASSAY, keep_all)
 
 
-def parse_assays(spark: SparkSession, source, hole_id: str | None = None, **read) -> DataFrame:
-    """Assay intervals without the rows that are not intervals; of one hole if asked (pushed down to the scan)."""
-    df = standardize(read_table(spark, source, **read))
+def parse_assays(spark: SparkSession, source, hole_id: str | None = None, source_column_map=None, **read) -> DataFrame:
+    """Assay intervals without the rows that are not intervals; of one hole if asked.
+
+    The hole's filter names the id as it is and as it is with blanks around it, so that the scan is asked for the exact id
+    (where no blanks are stored: exact_hole) or reads all rows (a trimmed id can't be pushed down).
+    """
+    df = standardize(read_table(spark, source, **read), source_column_map, last_wins=True)
     if hole_id is not None:
         if not hole_id.strip():
             raise ValueError("blank hole id")
-        df = df.filter(F.trim("hole_id") == hole_id.strip())
-    df = coerce_numeric(df, ["from", "to"])
-    return df.filter(~is_missing(F.col("hole_id")) & (ref("to") > ref("from")))
+        df = df.filter(F.trim(F.col("hole_id").cast("string")) == hole_id.strip())
+    return _named(coerce_numeric(df, ["from", "to"])).filter((F.col("hole_id") != "") & (ref("to") > ref("from")))
+
+
+def exact_hole(df: DataFrame, hole_id: str) -> DataFrame:
+    """Rows whose id is stored as `hole_id`: a predicate that Parquet's statistics and JDBC take over."""
+    return df.filter(F.col("hole_id") == hole_id)
 
 
 def load_structures(spark: SparkSession, source, source_column_map=None, keep_all: bool = True, **read) -> DataFrame:
     """Structural points; angles as numbers, bad ones null."""
     df = standardize(read_table(spark, source, **read), source_column_map)
     _require(df, ["hole_id", "depth"], "structures")
-    df = coerce_numeric(df, ["dip", "azimuth", "alpha", "beta"])
-    return _projected(df, STRUCTURE, keep_all).orderBy(F.asc_nulls_last("hole_id"), F.asc_nulls_last("depth"))
+    return _projected(coerce_numeric(df, ["dip", "azimuth", "alpha", "beta"]), STRUCTURE, keep_all)
 
 
-def parse_structures(spark: SparkSession, source, **read) -> DataFrame:
+def parse_structures(spark: SparkSession, source, source_column_map=None, **read) -> DataFrame:
     """Structural points or intervals, told apart by their columns (intervals win); rows that are neither go."""
-    df = standardize(read_table(spark, source, **read))
-    df = coerce_numeric(df, ["from", "to", "depth", "dip", "azimuth", "alpha", "beta"])
-    named = ~is_missing(F.col("hole_id"))
+    df = standardize(read_table(spark, source, **read), source_column_map, last_wins=True)
+    named = _named(coerce_numeric(df, ["from", "to", "depth", "dip", "azimuth", "alpha", "beta"])).filter("hole_id <> ''")
     if {"from", "to"} <= set(df.columns):
-        return with_mid(df.filter(named & (ref("to") > ref("from"))))
+        return with_mid(named.filter(ref("to") > ref("from")))
     _require(df, ["depth"], "structures")
-    return df.filter(named & F.col("depth").isNotNull())
+    return named.filter(F.col("depth").isNotNull())
 
 
 def load_geotechnical(spark: SparkSession, source, source_column_map=None, **read) -> DataFrame:
     """Geotechnical intervals with mid; the five measures as numbers."""
     df = standardize(read_table(spark, source, **read), source_column_map)
     _require(df, ["hole_id", "from", "to"], "geotechnical")
-    return _sorted(with_mid(coerce_numeric(df, ["from", "to", *GEOTECHNICAL])))
-
-
-def load_geology(spark: SparkSession, source, source_column_map=None, flat: bool = True, keep_all: bool = True, validate: bool = True, **read) -> DataFrame:
-    """Geology intervals with mid, without overlaps; the code is filled from comments where its column is absent."""
-    df = standardize(read_table(spark, source, **read), source_column_map)
-    code, value = (first_column(df, c) for c in CODES["geology"])
-    if flat and code and value:
-        df = long_to_wide(df.drop(ROW), code, value)
-    df = _intervals(df, "geology", validate)
-    if flat:
-        if "geology_code" not in df.columns and "comments" not in df.columns:
-            raise ValueError("geology: neither geology_code nor comments")
-        if "geology_code" not in df.columns:
+    return with_mid(coerce_numeric(df, ["from", "to", *GEOTECHNICAL]))
+
+
+def _filled_both_ways(df: DataFrame) -> DataFrame:
+    names = ("geology_code", "geology_description")
+    df = df.withColumns({c: F.lit(None).cast("string") for c in names if c not in df.columns})
+    said = {c: F.when(F.trim(F.col(c).cast("string")) != "", F.col(c).cast("string")) for c in names}
+    return df.withColumns({c: F.coalesce(said[c], said[o], F.col(c).cast("string")) for c, o in (names, names[::-1])})
+
+
+def load_geology(spark: SparkSession, source, source_column_map=None, flat: bool = True, keep_all: bool = True, validate: bool = True, js: bool = False, **read) -> DataFrame:
+    """Geology intervals with mid, without overlaps; the code is filled from comments where its column is absent. flat=False: a
+    long table that becomes wide. js: code and description fill each other, equal bounds become 1 mm long."""
+    df = standardize(read_table(spark, source, **read), source_column_map, last_wins=js)
+    if js:
+        _require(df, ["hole_id", "from", "to"], "geology")
+        if "geology_code" not in df.columns and "geology_description" not in df.columns:
+            raise MissingColumns("geology: neither geology_code nor geology_description")
+        same = number(ref("from")) == number(ref("to"))
+        df = coerce_numeric(df, ["from", "to"]).withColumns({"from": F.when(same, rounded(ref("from"))).otherwise(ref("from")), "to": F.when(same, rounded(ref("from")) + 0.001).otherwise(ref("to"))})
+        df = _filled_both_ways(_intervals(df, "geology", validate, strict=True))
+    else:
+        if not flat:
+            df = _widened(df, "geology")
+        df = _intervals(df, "geology", validate)
+        if flat and "geology_code" not in df.columns:
+            if "comments" not in df.columns:
+                raise MissingColumns("geology: neither geology_code nor comments")
             df = df.withColumn("geology_code", F.col("comments"))
     if validate:
         clash = overlapping_intervals(df).limit(1).collect()
         if clash:
             raise ValueError(f"geology: overlapping intervals, for example {clash[0].asDict()}")
-    return _sorted(_projected(df, ["hole_id", "from", "to", "mid", "geology_code", "comments"], keep_all))
+    return _projected(df, GEOLOGY if not js else [c if c != "comments" else "geology_description" for c in GEOLOGY], keep_all)
+
+
+def load_points(spark: SparkSession, source, source_column_map=None, **read) -> DataFrame:
+    """hole_id, order, x, y, z: points of holes that are desurveyed already, by their order column, else by source order; rows
+    without id or coordinates go, a coordinate that isn't a number is 0."""
+    df = standardize(read_table(spark, source, **read), source_column_map, last_wins=True)
+    _require(df, ["hole_id", "easting", "northing", "elevation"], "points")
+    order = F.coalesce(number(F.col("order")), F.col(ROW).cast("double")) if "order" in df.columns else F.col(ROW).cast("double")
+    kept = _named(df).filter("hole_id <> ''").dropna(subset=["easting", "northing", "elevation"])
+    return kept.select("hole_id", order.alias("order"), *[F.coalesce(number(F.col(c)), F.lit(0.0)).alias(n) for c, n in (("easting", "x"), ("northing", "y"), ("elevation", "z"))], ROW)
+
+
+def _depth_rows(df: DataFrame, kind: str) -> DataFrame:
+    """Valid intervals without angles, depth := mid, tagged."""
+    rows = with_mid(_named(coerce_numeric(df, ["from", "to"])).filter((F.col("hole_id") != "") & (ref("to") > ref("from")))).drop("dip", "azimuth")
+    return rows.withColumns({"depth": F.col("mid"), "_source": F.lit(kind)})
+
+
+def parse_interval_rows(spark: SparkSession, source, kind: str, source_column_map=None, **read) -> DataFrame:
+    """Assay or geology rows for unified holes: kind is "assay" or "geology"."""
+    return _depth_rows(standardize(read_table(spark, source, **read), source_column_map, last_wins=True), kind)
+
+
+def parse_unified(spark: SparkSession, assays=None, structures=None, geology=None, **read) -> DataFrame:
+    """Rows of up to three sources by name, tagged in _source, in the order assays, structures, geology (_part). Structural points
+    have no from and to."""
+    parts = []
+    if assays is not None:
+        parts.append(parse_interval_rows(spark, assays, "assay", **read).withColumn("_part", F.lit(0)))
+    if structures is not None:
+        parts.append(parse_structures(spark, structures, **read).withColumns({"_source": F.lit("structural"), "_part": F.lit(1)}))
+    if geology is not None:
+        parts.append(parse_interval_rows(spark, geology, "geology", **read).withColumn("_part", F.lit(2)))
+    if not parts:
+        raise ValueError("no source")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
 
 
 def unified(assays: DataFrame, structures: DataFrame, geology: DataFrame | None = None) -> DataFrame:
@@ -160,6 +258,20 @@ def unified(assays: DataFrame, structures: DataFrame, geology: DataFrame | None
     return out
 
 
+def striplog_rows(assays: DataFrame, structures: DataFrame) -> DataFrame:
+    """Assays and structures by name, tagged in data_source: structural points become intervals of 0.1 around their depth, equal
+    bounds 0.1 long; comments are also structcomment."""
+    if "comments" in structures.columns and "structcomment" not in structures.columns:
+        structures = structures.withColumn("structcomment", F.col("comments"))
+    if {"from", "to"} <= set(structures.columns):
+        a, b = number(ref("from")), number(ref("to"))
+        structures = structures.withColumn("to", F.when(a == b, b + 0.1).otherwise(b))
+    elif "depth" in structures.columns:
+        structures = structures.withColumns({"from": number(F.col("depth")) - 0.05, "to": number(F.col("depth")) + 0.05})
+    both = assays.withColumn("data_source", F.lit("assay")).unionByName(structures.withColumn("data_source", F.lit("structure")), allowMissingColumns=True)
+    return _named(both)
+
+
 def hole_ids(df: DataFrame, with_values: bool = False, skipped: frozenset[str] = frozenset()) -> DataFrame:
     """Distinct trimmed hole ids; with_values: only those with a value in a column outside the skipped ones."""
     if with_values:
@@ -171,9 +283,12 @@ def hole_ids(df: DataFrame, with_values: bool = False, skipped: frozenset[str] =
     return df.filter(~is_missing(F.col("hole_id"))).select(F.trim("hole_id").alias("hole_id")).distinct()
 
 
+TABLES = {"collars": COLLAR, "surveys": SURVEY, "assays": ASSAY, "structures": STRUCTURE, "geology": GEOLOGY, "geotechnical": ["hole_id", "from", "to", "mid", *GEOTECHNICAL]}
+
+
 @dataclass
 class Dataset:
-    """The tables of a project; absent ones are None."""
+    """The tables of a project; absent ones are None (tables() gives them as empty tables)."""
 
     collars: DataFrame | None = None
     surveys: DataFrame | None = None
@@ -183,10 +298,15 @@ class Dataset:
     geotechnical: DataFrame | None = None
     metadata: dict = field(default_factory=dict)
 
+    def tables(self, spark: SparkSession) -> dict[str, DataFrame]:
+        """All six tables by name; an absent one is empty, with the columns of its model as text."""
+        empty = lambda names: spark.createDataFrame([], ", ".join(f"`{c}` string" for c in names))
+        return {n: empty(names) if getattr(self, n) is None else getattr(self, n) for n, names in TABLES.items()}
+
     def project(self, project_id: str | None) -> Dataset:
         """All tables of one project (tables without project_id stay whole)."""
         of = lambda df: by_project(df, project_id) if df is not None else None
-        return Dataset(*(of(getattr(self, n)) for n in ("collars", "surveys", "assays", "structures", "geology", "geotechnical")), metadata=dict(self.metadata))
+        return Dataset(*(of(getattr(self, n)) for n in TABLES), metadata=dict(self.metadata))
 
 
 def by_project(df: DataFrame, project_id: str | None) -> DataFrame:

@@ -19,8 +19,8 @@ GRADES = "hole_id string, `from` double, `to` double, CU double"
 
 def test_intercepts(spark):
     rows = [("A", 0.0, 10.0, 0.3), ("A", 10.0, 20.0, 0.3), ("A", 20.0, 30.0, 0.3)]
-    (r,) = intervals.significant_intercepts(frame(spark, rows, GRADES), "CU", 0.2, 5.0, label=True).collect()
-    assert (r["from"], r["to"], r["n_samples"], r["label"]) == (0.0, 30.0, 3, "30.0 m @ 0.30 CU") and abs(r["grade"] - 0.3) < 1e-12
+    (r,) = intervals.significant_intercepts(frame(spark, rows, GRADES), "CU", 0.2, 5.0).collect()
+    assert (r["from"], r["to"], r["n_samples"], r["label"]) == (0.0, 30.0, 3, "30.0 m @ 0.30 CU") and abs(r["avg_grade"] - 0.3) < 1e-12
     split = [("A", 0.0, 20.0, 1.0), ("A", 20.0, 30.0, 0.0), ("A", 30.0, 50.0, 1.0), (None, 0.0, 50.0, 9.0)]
     out = intervals.significant_intercepts(frame(spark, split, GRADES), "CU", 0.5, 5.0).orderBy("from").collect()
     assert [(r["from"], r["to"]) for r in out] == [(0.0, 20.0), (30.0, 50.0)]
@@ -56,7 +56,7 @@ def test_loaders(spark, tmp_path):
     with pytest.raises(KeyError):
         loaders.load_collars(spark, frame(spark, [(1.0,)], "latitude double"))
     collars = loaders.load_collars(spark, frame(spark, [("A", "p", -30.0, 118.0, 5.0)], "hole_id string, project_id string, lat double, lon double, z double"))
-    assert collars.collect()[0]["crs"] == "EPSG:4326"
+    assert collars.collect()[0]["geometry_crs"] == "EPSG:4326"
     assert loaders.load_surveys(spark, frame(spark, [("A", 0.0, 1.0, 2.0)], "hole_id string, depth double, azimuth double, dip double"), keep_all=False).columns == ["hole_id", "depth", "azimuth", "dip"]
     with pytest.raises(ValueError):
         ingest.read_table(spark, "x", kind="avro2")
@@ -122,7 +122,7 @@ def test_composite_against_loop(spark):
         rows.append(("A", depth, end, random.choice([None, random.uniform(0, 5)])))
         depth = end
     for length in (2.0, 2.5, 3.0):
-        got = {r["from"]: r["value"] for r in intervals.composite(frame(spark, rows, GRADES), "CU", length).collect()}
+        got = {r["from"]: r["CU"] for r in intervals.composite(frame(spark, rows, GRADES), "CU", length).collect()}
         start, stop, want = rows[0][1], max(r[2] for r in rows), {}
         for i in range(math.ceil((stop + length - start) / length)):
             a, b = start + i * length, start + (i + 1) * length
