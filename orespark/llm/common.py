@@ -38,9 +38,23 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables that this driver has written and not cleared.
+WRITTEN: list[str] = []
+
+
+def clear_written(spark: SparkSession) -> int:
+    """Delete all tables that written() has made so far, once the results that read them have been stored; how many."""
+    jvm = spark.sparkContext._jvm
+    for path in (paths := [WRITTEN.pop() for _ in range(len(WRITTEN))]):
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the strings of `column` hold about `limit` bytes (a longer string is a slice of its own)."""
     import pyarrow.compute as pc

@@ -25,8 +25,6 @@ from .common import slices
 from .wordhash import Words, inside, windows
 
 SYMBOLS = "#*$%&|<>"
-#: Name of the column that holds the text inside the tasks.
-TEXT = "text of quality_rules"
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -219,12 +217,15 @@ def quality_rules(docs: DataFrame, trees: Trees, text_col: str = "text", thresho
     """keep_columns of docs (all by default), with the statistics, score, base_failed and kept."""
     own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score", "base_failed", "kept"]
     keep = [c for c in (docs.columns if keep_columns is None else keep_columns) if c not in own]
-    shown = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias(TEXT))
+    hidden = "_text"  # the text's name inside the tasks
+    while hidden in map(str.lower, keep):
+        hidden += "_"
+    shown = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias(hidden))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in shown.schema.fields[:-1]), *(f"{c} long" for c in STATS), "score double, base_failed boolean, kept boolean"])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, TEXT):
-            stats, x = statistics(batch.column(TEXT))
+        for batch in slices(batches, hidden):
+            stats, x = statistics(batch.column(hidden))
             score = trees.probability(x)
             failed = (stats["n_words"] < MIN_WORDS) | (100 * stats["n_repeat_words"] > REPEAT_PERCENT * stats["n_words"])
             made = [*(pa.array(stats[c], pa.int64()) for c in STATS), pa.array(score), pa.array(failed), pa.array(~failed & (score >= threshold))]

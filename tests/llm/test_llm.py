@@ -427,15 +427,166 @@ def test_pii(docs, none, rows):
     assert all(abs(a - b) < 0.06 for a, b in zip(found["secret"], (0.9, 0.8, 0.7, 0.6), strict=True))
 
 
-def test_pipeline(spark):
+def plain_stats(text):
+    """Base statistics and features of a text, by their definitions."""
+    w, t = words(text), text or ""
+    grams = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+    covered = {i + k for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for k in range(3)}
+    lines = [x for x in t.split("\n") if words(x)]
+    dup, symbols, chars = len(lines) - len(set(lines)), sum(t.count(c) for c in "#*$%&|<>"), sum(map(len, w))
+    n, c, l = max(1, len(w)), max(1, chars), max(1, len(lines))
+    count = lambda among: sum(x in among for x in t)
+    upper, digits = count("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), count("0123456789")
+    features = [np.log1p(len(w)), chars / n, symbols / n, dup / l, len(covered) / n, len(w) / l, count(".!?") / n, len(set(w)) / n, upper / c, sum(len(x) <= 3 for x in w) / n, digits / c]
+    return (len(w), chars, symbols, dup, len(covered)), features
+
+
+def plain_kept(text, trees):
+    """Base rules, then each tree followed from its root."""
+    (n, _, _, _, repeats), x = plain_stats(text)
+    margin = trees.base
+    for at in trees.roots:
+        while trees.feature[at] >= 0:
+            at = trees.left[at] + int(x[trees.feature[at]] > trees.threshold[at])
+        margin += trees.value[at]
+    return n >= 50 and 100 * repeats <= 50 * n and margin >= 0
+
+
+@pytest.fixture(scope="module")
+def corpus(spark, tmp_path_factory):
+    """A small corpus in the form of the given tables: clean and bad documents, boilerplate lines, near copies, personal data."""
+    random.seed(11)
+    vocabulary = ["".join(random.choices("abcdefgh", k=random.randint(2, 8))) for _ in range(3000)]
+    make = lambda n: "\n".join(" ".join(random.choices(vocabulary, k=15)) + "." for _ in range(n))
+    docs = []
+    for i in range(60):
+        docs.append((i, make(8) + ("\nhome about contact terms of use" if i % 2 else ""), f"s{i % 3}"))
+    docs += [(i, " ".join(random.choices(["###", "|", "$$$", *vocabulary[:6]], k=120)), "s1") for i in range(60, 90)]
+    for i in range(90, 100):
+        w = docs[3][1].split(" ")
+        w[random.randrange(len(w))] = "edited"
+        docs.append((i, " ".join(w), f"mirror{i}"))
+    docs += [(100, make(6) + "\nmail a.b@c.org or +1 415 555 0100, card 4111 1111 1111 1111, host 10.0.0.1 key = \"sk-" + "0a1B2c3D" * 4 + "\"", "s0"), (101, None, "s0"), (102, "", None), (103, "short", "s0"), (104, make(2500), "s0")]
+    folder = str(tmp_path_factory.mktemp("corpus"))
+    spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in docs], "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, int(i < 60), 0) for i in range(0, 90)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return folder, docs
+
+
+def test_quality_kept(spark, corpus):
+    """Which documents the trained trees keep, by a plain walk through their nodes."""
+    folder, docs = corpus
+    table = spark.read.parquet(f"{folder}/documents.parquet")
+    trees = quality.train(table, spark.read.parquet(f"{folder}/labels.parquet"))
+    assert len(trees.roots) > 10
+    got = {r.doc_id: r.kept for r in quality.quality_rules(table, trees).collect()}
+    assert got == {i: plain_kept(t, trees) for i, t, _ in docs} and set(got.values()) == {True, False}
+    twice = table.unionByName(table).withColumns({"_text": F.lit("clash"), "_text_": F.lit("clash")})
+    again = quality.train(twice, spark.read.parquet(f"{folder}/labels.parquet"))
+    assert (again.threshold == trees.threshold).all() and quality.quality_rules(twice, trees).count() == 2 * len(docs)
+
+
+def test_pipeline(spark, corpus):
+    """Every stage on what the one before kept, against plain versions of the same rules, and run() as a whole."""
     import corpus_pipeline as pipeline
 
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    for name, stage in pipeline.STAGES[:-1]:
-        out = stage(spark, docs, sf)
-        assert out.columns == docs.columns, name
-        assert 0 < out.count() <= docs.count()
-        docs = out.cache()
-    pieces = pipeline.STAGES[-1][1](spark, docs, sf)
-    assert pieces.select("doc_id").distinct().count() == docs.count()
+    folder, docs = corpus
+    table, stages = spark.read.parquet(f"{folder}/documents.parquet"), dict(pipeline.STAGES)
+    state = {i: (t, s) for i, t, s in docs}
+
+    def step(name):
+        nonlocal table
+        out = stages[name](spark, table, folder)
+        assert out.columns == pipeline.COLUMNS
+        table = out.cache()
+        rows = table.collect()
+        assert len({r.doc_id for r in rows}) == len(rows) and all(r.n_chars == (None if r.text is None else len(r.text)) for r in rows)
+        return {r.doc_id: (r.text, r.source) for r in rows}
+
+    trees = quality.train(table, spark.read.parquet(f"{folder}/labels.parquet"))
+    want = {i: x for i, x in state.items() if plain_kept(x[0], trees)}
+    assert step("quality_rules") == want and 50 < len(want) < len(state)
+    hosts = collections.defaultdict(list)
+    for t, s in want.values():
+        hosts[s].append({x for x in t.split("\n") if words(x)})
+    boiler = {s: {x for x in set().union(*pages) if (n := sum(x in p for p in pages)) >= 5 and n > 0.08 * len(pages)} for s, pages in hosts.items()}
+
+    def lines(t, s):
+        kept = [x for x in t.split("\n") if x not in boiler[s]]
+        return "\n".join(kept) if any(map(words, kept)) else t
+
+    want = {i: (lines(t, s), s) for i, (t, s) in want.items()}
+    assert step("line_dedup") == want and any(boiler.values())
+    sets = {i: set(zip(*(words(lowered(t))[k:] for k in range(5)), strict=False)) for i, (t, _) in want.items()}
+    root = {i: i for i in want}
+    for a in sorted(want):
+        for b in sorted(want):
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    want = {i: x for i, x in want.items() if root[i] == i}
+    assert step("near_dedup") == want and len({3, *range(90, 100)} & set(want)) == 1  # one of a text and its edits
+    model = pii.train(spark.createDataFrame([(i, t) for i, (t, _) in want.items()], "doc_id long, text string"))
+
+    def hidden(t):
+        spans, out, end = plain_spans(t), [], 0
+        spans = sorted([*spans, *model.added(t, spans)], key=lambda x: (x[1], pii.KINDS.index(x[0])))
+        for kind, a, b in spans:
+            if a >= end:
+                out += [t[end:a], f"<{kind.upper()}>"]
+            end = max(end, b)
+        return "".join([*out, t[end:]])
+
+    want = {i: (hidden(t), s) for i, (t, s) in want.items()}
+    assert step("pii") == want and all(k in want[100][0] for k in ("<EMAIL>", "<PHONE>", "<CARD>", "<IP>", "<SECRET>"))
+    tokenizer = bpe.json_tokenizer(P.path("byte_bpe_50k.json"))
+    ids = {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for i, (t, _) in want.items()}
+    for pieces in (stages["packing"](spark, table, folder).toPandas(), pipeline.run(spark, folder).toPandas()):
+        assert {i: g.length.sum() for i, g in pieces.groupby("doc_id")} == {i: len(x) for i, x in ids.items()}
+        for r in pieces.itertuples():
+            assert zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], np.uint32).tobytes()) == r.ids_crc32
+        assert (pieces.groupby("sequence_id").length.sum() <= 2048).all()
+
+
+def test_tokens_of_a_whole_table(spark):
+    """The rank file and its special token give the ids of the other library's file, over all documents of a table."""
+    encoder, tokenizer = bpe.rank_encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN, special=True), bpe.json_tokenizer(P.path("byte_bpe_50k.json"))
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()] + ["a<|endoftext|>b", "<|endoftext|>" * 3]
+    got = packing.token_ids(encoder, texts, 1)
+    assert [x.tolist() for x in got] == [[*e.ids, 1] for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_near_dedup_recall(spark):
+    """Planted pairs at similarities from 0.8 on are found; none below."""
+    rng = np.random.RandomState(5)
+    rows, want = [], set()
+    for k in range(200):
+        base = [f"w{x}" for x in rng.randint(1 << 40, size=110)]
+        other = list(base)
+        for at in rng.choice(np.arange(3, 107), 2, replace=False) if k % 2 else [50]:
+            other[at] = f"x{rng.randint(1 << 40)}"
+        a, b = (set(zip(*(w[j:] for j in range(4)), strict=False)) for w in (base, other))
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+        if 100 * len(a & b) >= 80 * len(a | b):
+            want.add(2 * k)
+    got = near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string"), size=4).filter("doc_id <> component_id").collect()
+    assert all(r.component_id == r.doc_id - 1 for r in got) and {r.component_id for r in got} <= want
+    assert len(want) > 150 and len(got) >= 0.99 * len(want)
+
+
+def test_edges(spark):
+    """Repeated rows, ties, very long texts and empty tables of the operators that no other test covers with them."""
+    many = [(i, "menu\nown line " + str(i % 4), "h") for i in range(8)] * 2 + [(90, "x " * 200_000 + "\nmenu", "h")]
+    df = spark.createDataFrame(many, "doc_id long, text string, source string")
+    out = line_dedup.line_dedup(df, ratio=0.5).collect()
+    assert counted(out, lambda r: (r.doc_id, r.text)) == counted([(i, t.replace("menu\n", "").replace("\nmenu", "")) for i, t, _ in many])
+    assert line_dedup.line_dedup(df, ratio=0.01, min_pages=1, spare_whole=False).filter("text <> ''").count() == 0
+    rules = spark.createDataFrame([("b.c", "/x", "allow"), ("c", "/xyz", "block"), ("c", "/xyz", "allow")], "host string, path string, action string")
+    urls = spark.createDataFrame([(i, u) for i, u in enumerate(["http://a.b.c/xyz", "http://b.c/x", "http://b.c/xyz"] * 2)], "page_id long, url string")
+    got = {r.url: (r.rule, r.verdict) for r in url_filter.url_filter(urls, rules).collect()}
+    assert got == {"http://a.b.c/xyz": ("b.c/x", "allow"), "http://b.c/x": ("b.c/x", "allow"), "http://b.c/xyz": ("b.c/x", "allow")}  # equal lengths: the longer host
+    assert url_filter.url_filter(urls, rules.limit(0)).filter("verdict = 'allow'").count() == 6
+    clash = spark.createDataFrame([(1, "one two three", "p", 1.0)] * 3, "doc_id long, text string, fingerprint string, near_next double")
+    assert counted(simhash.compare_with_edits(clash).collect(), lambda r: (r.doc_id, r.near_next)) == {(1, 1.0): 3}
+    tied = packing.pack(spark.createDataFrame([(7, "same words here", "p")] * 40, "doc_id long, text string, ids string"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN, shard_docs=8)
+    assert tied.count() >= 40 and tied.agg(F.sum("length")).head()[0] == 40 * tied.head().doc_tokens
