@@ -49,12 +49,12 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [("quality_rules", quality_stage), ("line_dedup", line_stage), ("near_dedup", near_stage), ("pii", pii_stage), ("packing", packing_stage)]
 
-#: SQL can't express trees, the classifier, or packing; the stages are tested against brute-force versions.
+#: SQL can't express trees, the classifier, or packing; test_pipeline compares every stage and run() with plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents. Once its rows are stored, common.clear_written() deletes the tables in between."""
     docs = read_table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
