@@ -1,8 +1,8 @@
 """Joins along a hole: nearest vertex, and linear interpolation between vertices.
 
 Both put queries and trace vertices into one ordered stream per hole (a union and two window functions) instead of a range
-join, so the cost is two sorts however many vertices a hole has. The look ahead is a look back over the reversed order: both
-are running values, linear in the rows of a hole.
+join, so the cost is one sort however many vertices a hole has. Looks back and ahead are running values over the same order,
+linear in the rows of a hole.
 """
 
 from __future__ import annotations
@@ -24,6 +24,11 @@ def _stream(queries: DataFrame, traces: DataFrame, at: Column, payload: Column,
     return q.filter("_h is not null and _t is not null").unionByName(t.filter("_h is not null and _t is not null"), allowMissingColumns=True)
 
 
+def _ahead(name: str, ties: str) -> Column:
+    """The next non-null value after a row, in the order of depth, side and ties."""
+    return F.expr(f"lead({name}, 1) ignore nulls over (partition by _h order by _t, _side, _tie {ties})")
+
+
 def nearest_vertex(queries: DataFrame, traces: DataFrame, depth_col: str, columns: list[str] | None = None, duplicates: str = "last", keep_unplaced: bool = False) -> DataFrame:
     """queries with the columns of the nearest trace vertex of their hole (nulls where the hole has no trace).
 
@@ -35,12 +40,12 @@ def nearest_vertex(queries: DataFrame, traces: DataFrame, depth_col: str, column
     ties = [ROW] if ROW in traces.columns else sorted(c for c in traces.columns if c != "hole_id")
     payload = F.struct(number(F.col("md")).alias("_md"), *[ref(c).alias(c) for c in columns])
     rows = _stream(queries, traces, number(ref(depth_col)), payload, False, ties)
-    order = [F.col("_t"), F.col("_side"), F.col("_tie").asc() if duplicates == "last" else F.col("_tie").desc()]
-    w = Window.partitionBy("_h").orderBy(*order)
-    forward = Window.partitionBy("_h").orderBy(F.col("_t").desc(), F.col("_side").desc(), F.col("_tie").asc() if duplicates == "last" else F.col("_tie").desc())
-    rows = rows.withColumn("_b", F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    # of the next depth's duplicates the wanted one must come first in the forward look
-    rows = rows.withColumn("_f", F.last("_v", ignorenulls=True).over(forward.rowsBetween(Window.unboundedPreceding, 0)))
+    tie = F.col("_tie").asc() if duplicates == "last" else F.col("_tie").desc()
+    w = Window.partitionBy("_h").orderBy("_t", "_side", tie)
+    # of vertices with equal md only the wanted one, the last in this order, is seen by queries
+    final = F.coalesce((F.lead("_t").over(w) != F.col("_t")) | (F.lead("_side").over(w) != F.col("_side")), F.lit(True))
+    rows = rows.withColumn("_v", F.when(final, F.col("_v")))
+    rows = rows.withColumns({"_b": F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_f": _ahead("_v", "asc" if duplicates == "last" else "desc")})
     rows = rows.filter("_q is not null")
     back = F.col("_f").isNull() | (F.col("_b").isNotNull() & (F.col("_t") - F.col("_b._md") <= F.col("_f._md") - F.col("_t")))
     rows = rows.withColumn("_p", F.when(back, F.col("_b")).otherwise(F.col("_f")))
@@ -82,7 +87,7 @@ def interpolate_positions(queries: DataFrame, traces: DataFrame, depth_col: str
     w = Window.partitionBy("_h").orderBy("_t", "_side", "_tie")
     rows = rows.withColumns({
         "_b": F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        "_f": F.last("_v", ignorenulls=True).over(Window.partitionBy("_h").orderBy(F.col("_t").desc(), F.col("_side").desc(), F.col("_tie").desc()).rowsBetween(Window.unboundedPreceding, 0)),
+        "_f": _ahead("_v", "asc"),
     }).filter("_q is not null and (_b is not null or _f is not null)")
     a = F.when(F.col("_b").isNull(), F.col("_f._here")).when(F.col("_b._next").isNull(), F.coalesce("_b._back", "_b._here")).otherwise(F.col("_b._here"))
     b = F.when(F.col("_b").isNull(), F.col("_f._next")).when(F.col("_b._next").isNull(), F.col("_b._here")).otherwise(F.col("_b._next"))
