@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import runs, slices, squeeze, texts, unsqueeze, written
 
 BLOCK_BYTES = 32 << 20
-#: Bytes of text whose distinct pre-tokens one part holds.
-PART_BYTES = 64 << 20
+#: Bytes of text whose distinct pre-tokens one part holds, and whose windows or shingles.
+PART_BYTES, WINDOW_PART_BYTES = 64 << 20, 24 << 20
 SPECIAL = "<|endoftext|>"
 
 
@@ -157,10 +157,10 @@ def _bounds(sizes: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes, dtype=np.int64)])
 
 
-def part_count(docs: DataFrame) -> int:
+def part_count(docs: DataFrame, part_bytes: int = PART_BYTES) -> int:
     """Parts in proportion to the bytes of text."""
     total = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    return max(8, -(-total // PART_BYTES))
+    return max(8, -(-total // part_bytes))
 
 
 def encoded_parts(table: DataFrame, encode, ids: bool) -> DataFrame:

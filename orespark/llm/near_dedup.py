@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import part_count
+from .bpe import WINDOW_PART_BYTES, part_count
 from .common import block_pairs, runs, slices, texts, written
 from .components import components
 from .wordhash import BASE, Words, inside, mix, windows
@@ -242,7 +242,7 @@ def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, tables
     reps = written(reps, "classes")
     found = written(_candidates(reps), "candidates")
     sets = written(_sets(docs, found, size), "sets")
-    shared = _shared(sets, part_count(docs))
+    shared = _shared(sets, part_count(docs, WINDOW_PART_BYTES))
     found = written(found.join(shared, "class").filter(100 * F.col("shared") >= percent * F.col("n")), "linkable")
     attributes = ["class", "n", "shared", "holders"]
     bands = found.select(*attributes, F.posexplode("left").alias("i", "g"), "right").select(*attributes, "i", "g", F.posexplode("right").alias("j", "h"))

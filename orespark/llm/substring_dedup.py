@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import part_count
+from .bpe import WINDOW_PART_BYTES, part_count
 from .common import runs, slices, squeeze, texts, unsqueeze
 from .wordhash import Words, inside, windows
 
@@ -194,7 +194,7 @@ def _later(key, group):
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the remaining words joined by spaces), or with digests kept_sha256."""
     docs = texts(docs, id_col, text_col)
-    n_parts = part_count(docs)
+    n_parts = part_count(docs, WINDOW_PART_BYTES)
     rows = docs.select(F.coalesce("doc_id", F.lit(FIRST_ID)).alias("key"), F.xxhash64("text").alias("tag"), "text")
     rows = rows.repartition("key", "tag").sortWithinPartitions("key", "tag")
     packed = rows.mapInArrow(_anchors(n_parts), PACKED)
