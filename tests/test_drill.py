@@ -224,3 +224,115 @@ def test_utm(spark):
     assert abs(got["axis"][0] - 500_000) < 1e-6 and abs(got["axis"][1] + 0.9996 * arc) < 1e-3
     assert abs(got["west"][0] + got["east"][0] - 1_000_000) < 1e-6 and abs(got["west"][1] - got["east"][1]) < 1e-6
     assert got["bad"][1] is None and got["null"] == (None, None)
+
+
+LONG = "hole_id string, `from` double, `to` double, assay_type string, assay_result double"
+
+
+def test_long_tables(spark):
+    """flat=False widens a long table, the first value in source order counts; flat=True leaves it alone."""
+    rows = [("A", 0.0, 1.0, "cu", 1.0), ("A", 0.0, 1.0, "cu", 9.0), ("A", 0.0, 1.0, "au", None), ("A", 1.0, 2.0, "au", 2.0), ("A", 1.0, 2.0, "cu", None)]
+    table = ingest.with_row_id(frame(spark, rows, LONG).coalesce(1))
+    wide = loaders.in_order(loaders.load_assays(spark, table, flat=False))
+    assert [c for c in wide.columns if c not in ("hole_id", "from", "to", "mid", "_row_id")] == ["cu", "au"]  # by appearance
+    assert [(r["from"], r["cu"], r["au"]) for r in wide.collect()] == [(0.0, 1.0, None), (1.0, None, 2.0)]
+    assert loaders.load_assays(spark, table).count() == len(rows)
+    with pytest.raises(ValueError, match="long table"):
+        loaders.load_assays(spark, table.drop("assay_type"), flat=False)
+    with pytest.raises(ValueError, match="more than 1 codes"):
+        long_to_wide(table, "assay_type", "assay_result", max_codes=1)
+    geology = frame(spark, [("A", 0.0, 10.0, "lith", "x"), ("A", 0.0, 10.0, "min", "y")], "hole_id string, `from` double, `to` double, lith_code string, description string")
+    assert loaders.load_geology(spark, geology.withColumnRenamed("description", "value"), flat=False).select("lith", "min").collect()[0] == ("x", "y")
+
+
+def test_strict_loaders(spark):
+    """What one dialect accepts and the other doesn't."""
+    equal = frame(spark, [("A", 1.0, 1.0)], "hole_id string, `from` double, `to` double")
+    assert loaders.load_assays(spark, equal).collect()[0]["to"] == 1.001
+    with pytest.raises(ValueError, match="to_le_from"):
+        loaders.load_assays(spark, equal, js=True)
+    xy = frame(spark, [("A", "1", "2")], "hole_id string, x string, y string")
+    assert loaders.load_collars(spark, xy, js=True).collect()[0]["easting"] == 1.0
+    with pytest.raises(ValueError, match="crs"):
+        loaders.load_collars(spark, xy.withColumns({"project": F.lit("p"), "z": F.lit(0.0)}))
+    with pytest.raises(ValueError, match="missing_coordinates"):
+        loaders.load_collars(spark, frame(spark, [("A", "far", "2")], "hole_id string, x string, y string"), js=True)
+    with pytest.raises(ValueError, match="missing_dip"):
+        loaders.load_surveys(spark, frame(spark, [("A", "0", "1", "?")], "hole_id string, depth string, azimuth string, dip string"), strict=True)
+    kept = loaders.load_surveys(spark, frame(spark, [("A", 0.0, 5.0, 1.0, 2.0)], "hole_id string, depth double, `to` double, azimuth double, dip double"), keep_all=False)
+    assert kept.columns == ["hole_id", "depth", "to", "azimuth", "dip"]
+    with pytest.raises(ValueError, match="neither"):
+        loaders.load_geology(spark, equal, js=True)
+    with pytest.raises(ValueError, match="blank"):
+        loaders.parse_assays(spark, equal, hole_id=" ")
+    assert ingest.coerce_numeric(frame(spark, [("Infinity",), ("NaN",), ("1e3",)], "v string"), ["v"]).collect() == [(None,), (None,), (1000.0,)]
+    empty = loaders.Dataset().tables(spark)
+    assert len(empty) == 6 and empty["collars"].count() == 0 and "hole_id" in empty["geotechnical"].columns
+
+
+def test_sinks_and_bounds(spark, tmp_path):
+    from orespark.plans import payload
+    from orespark.sources import sinks
+
+    rows = [("A", None, "p, q", 0.0, -32.0, 117.0, 0.0, -32.0, 117.0, 5.0), ("A", None, "p, q", 9.0, -32.0, 117.0, -9.0, -32.0, 117.0, 5.0), ("B", " C ", None, 0.0, -32.0, 117.0, 0.0, -32.0, 117.0, None)]
+    traces = frame(spark, rows, "hole_id string, company_hole_id string, project string, md double, lat double, lng double, z double, collar_lat double, collar_lng double, collar_elevation double")
+    path = sinks.write_csv(sinks.export_rows(traces, 50), str(tmp_path / "t"))
+    got = ingest.read_table(spark, path).orderBy("order").collect()
+    assert [(r.hole_id, r.project, r.order, r.z) for r in got] == [("A", "p, q", 0, 5.0), ("A", "p, q", 1, -4.0)] and abs(got[0].x) < 1e-6  # a hole of one point is left out
+    box = "min_x double, min_y double, max_x double, max_y double"
+    assert payload.normalized_bounds(frame(spark, [(0.0, 0.0, 1.0, 2.0)], box)).collect()[0].max_y == 2.0
+    with pytest.raises(Exception, match="positive"):
+        payload.normalized_bounds(frame(spark, [(0.0, 0.0, 0.0, 2.0)], box)).collect()
+    with pytest.raises(Exception, match="too many cells"):
+        intervals.composite(frame(spark, [("A", 0.0, 1e12, 1.0)], GRADES), "CU", 1.0).collect()
+    with pytest.raises(TypeError):
+        blockmodel.criteria_column(frame(spark, [(1,)], "x int"), 5)
+    path = str(tmp_path / "m.json")
+    with open(path, "w") as f:
+        f.write('{"name": "n"}')
+    assert blockmodel.load_metadata(path) == {"name": "n"}
+
+
+def test_block_size_classes(spark):
+    """One huge block among small ones, and blocks of all sizes, against all pairs."""
+    random.seed(9)
+    cloud = [(0, 50.0, 50.0, 50.0, 500.0, 500.0, 500.0)] + [(i, *(random.uniform(0, 100) for _ in range(3)), *(random.choice([0.3, 1.0, 4.0, 30.0]) for _ in range(3))) for i in range(1, 150)]
+    boxes = frame(spark, cloud, "block_id int, x double, y double, z double, dx double, dy double, dz double")
+    want = {(p[0], q[0]) for p in cloud for q in cloud if p[0] < q[0] and all(abs(p[k] - q[k]) < (p[k + 3] + q[k + 3]) / 2 - 1e-6 for k in (1, 2, 3))}
+    got = [tuple(r) for r in blockmodel.overlaps(boxes, "block_id").collect()]
+    assert set(got) == want and len(got) == len(want) > 149
+
+
+def test_ranks(spark):
+    """Ranks over several ranges, with ties, against a sort."""
+    from orespark.functions import scale as s
+
+    random.seed(6)
+    values = [float(random.randrange(500)) for _ in range(3000)]
+    s.PER_RANGE, kept = 400, s.PER_RANGE
+    try:
+        df = frame(spark, [(v,) for v in values], "v double").repartition(5)
+        ordered = sorted(values)
+        got = s.quantile_bins(df, "v", 7).orderBy("bin").collect()
+        assert [(b.lo, b.hi) for b in got] == [(ordered[int(i / 7 * 3000)], ordered[min(2999, int((i + 1) / 7 * 3000))]) for i in range(7)]
+        ids = spark.range(0, 9000, 3).select(F.col("id").alias("k"))
+        assert sorted(r.k for r in s.systematic_sample(ids, "k", 700).collect()) == [3 * (i * 3000 // 700) for i in range(700)]
+        assert s.systematic_sample(ids, "k", 3000).count() == 3000
+    finally:
+        s.PER_RANGE = kept
+
+
+def test_hash_units_beyond_the_plane(spark):
+    """Hashes take UTF-16 units: two for a character beyond the basic plane."""
+
+    def unit(text):
+        h = 2166136261
+        raw = text.encode("utf-16-be")
+        for i in range(0, len(raw), 2):
+            h = (h ^ int.from_bytes(raw[i : i + 2], "big")) * 16777619 % (1 << 32)
+        return h / 4294967295
+
+    texts = ["", "granite", "né", "\U0001f600 x"]
+    got = {r.t: r.u for r in frame(spark, [(t,) for t in texts], "t string").select("t", colours.seeded_unit(F.col("t")).alias("u")).collect()}
+    assert all(abs(got[t] - unit(t)) < 1e-12 for t in texts)
+    assert frame(spark, [("",)], "t string").select(colours.hsl(F.lit(0.0), 1.0, 0.5), colours.hsl(F.lit(1 / 3), 1.0, 0.5), colours.hsl(F.lit(0.6), 0.0, 0.5)).collect()[0] == ("#ff0000", "#00ff00", "#808080")
