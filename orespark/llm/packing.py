@@ -79,7 +79,10 @@ class Keys:
     def of(self, documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Centroid and two minhashes of each document (every document has its end token)."""
         flat, first = np.concatenate(documents), np.cumsum([0, *map(len, documents)])[:-1]
-        cluster = np.array([np.argmax(self.centres @ self._point(x)) for x in documents], np.int32)
+        column, owner = self.column[flat], np.repeat(np.arange(len(documents)), np.diff(np.append(first, len(flat))))
+        points = np.zeros((len(documents), len(self.common)), np.float32)
+        points[owner[column >= 0], column[column >= 0]] = 1
+        cluster = np.argmax(points @ self.centres.T.astype(np.float32), axis=1).astype(np.int32)  # a point's length doesn't change its nearest
         hashes = []
         for k in (1, 2):
             spread = mix(np.arange(1, len(self.rare) + 1, dtype=np.uint64) * np.uint64(BASE) + np.uint64(k)) >> np.uint64(1)
@@ -194,9 +197,8 @@ class Index:
         starts, sizes = starts[rare], sizes[rare]
         at = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum()) if len(sizes) else np.zeros(0, np.int64)
         out = np.bincount(self.posting[at], self.weight[at] * np.repeat(times[rare], sizes), len(self.docs))
-        query = np.zeros(len(self.dense), np.float32)
-        query[rows[rows >= 0]] = times[rows >= 0]
-        return out + query @ self.dense
+        often = rows >= 0
+        return out + times[often].astype(np.float32) @ self.dense[rows[often]]
 
 
 def fill(lengths: np.ndarray, index: Index, window: int, batch: int = 32) -> list[tuple[int, int, int, int, int]]:
