@@ -121,8 +121,10 @@ def blocks(docs: DataFrame, pattern: str, n_parts: int, counts: bool, special: s
             rank[frequent] = np.arange(len(frequent), dtype=np.uint32)
             flat, times = rank[flat], np.zeros(0, np.int64)
             if counts and len(flat):
-                keys, times = np.unique(np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes) << np.uint64(32) | flat, return_counts=True)
-                flat, sizes = keys.astype(np.uint32), np.bincount((keys >> np.uint64(32)).astype(np.int64), minlength=len(sizes)).astype(np.uint32)
+                keys, times = np.unique(np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes) << np.uint64(32) | flat,
+                    return_counts=True)
+                flat, sizes = keys.astype(np.uint32), np.bincount((keys >> np.uint64(32)).astype(np.int64),
+                    minlength=len(sizes)).astype(np.uint32)
                 flat = np.diff(flat, prepend=np.uint32(0))
             names = list(numbers)
             words = [names[i].encode() for i in frequent.tolist()]
@@ -130,7 +132,8 @@ def blocks(docs: DataFrame, pattern: str, n_parts: int, counts: bool, special: s
             rows = []
             for mine in runs(part, np.argsort(part, kind="stable")):
                 lengths, blob = pack([words[i] for i in mine])
-                rows.append({"block": block, "part": int(part[mine[0]]), "at": squeeze(np.diff(mine, prepend=0).astype(np.uint32)), "lengths": lengths, "blob": blob})
+                rows.append({"block": block, "part": int(part[mine[0]]), "at": squeeze(np.diff(mine, prepend=0).astype(np.uint32)),
+                    "lengths": lengths, "blob": blob})
             sizes_of = batch.column("text").cast(pa.binary())
             n_bytes = np.array([len(x) for x in sizes_of.to_pylist()], np.int64)
             rows.append({
@@ -182,14 +185,16 @@ def encoded_parts(table: DataFrame, encode, ids: bool) -> DataFrame:
             else:
                 n, tokens = np.fromiter(map(seen.__getitem__, ws), np.uint32, len(ws)), None
             out.append({"block": r["block"], "at": r["at"], "n": squeeze(n), "tokens": tokens})
-        return pa.Table.from_pylist(out, pa.schema([("block", pa.int64()), ("at", pa.binary()), ("n", pa.binary()), ("tokens", pa.binary())]))
+        return pa.Table.from_pylist(out, pa.schema([("block", pa.int64()), ("at", pa.binary()), ("n", pa.binary()),
+            ("tokens", pa.binary())]))
 
     return table.filter("part >= 0").select("block", "part", "at", "lengths", "blob").groupBy("part").applyInArrow(of, schema)
 
 
 def _gathered(parts: pa.Table) -> tuple[list[np.ndarray], list[np.ndarray], list[bytes]]:
     rows = parts.to_pylist()
-    return [np.cumsum(unsqueeze(r["at"], np.uint32), dtype=np.int64) for r in rows], [unsqueeze(r["n"], np.uint32) for r in rows], [r["tokens"] for r in rows]
+    return [np.cumsum(unsqueeze(r["at"], np.uint32), dtype=np.int64) for r in rows], [unsqueeze(r["n"],
+        np.uint32) for r in rows], [r["tokens"] for r in rows]
 
 
 def token_counts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,10 +215,12 @@ def token_counts(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
         numbers = np.cumsum(unsqueeze(row["numbers"], np.uint32), dtype=np.uint32)
         each = pieces[numbers] * unsqueeze(row["times"], np.uint32) if len(numbers) else np.zeros(0, np.int64)
         total = np.diff(_bounds(each)[_bounds(sizes)])
-        return pa.table({"doc_id": _ids_back(row["ids"], len(sizes)), "n_bytes": np.frombuffer(row["bytes"], np.int64), "n_tokens": total.astype(np.int64)})
+        return pa.table({"doc_id": _ids_back(row["ids"], len(sizes)), "n_bytes": np.frombuffer(row["bytes"], np.int64),
+            "n_tokens": total.astype(np.int64)})
 
     documents = table.filter("part = -1").select("block", "ids", "bytes", "sizes", "numbers", "times")
-    return documents.groupBy("block").cogroup(encoded_parts(table, encode, ids=False).groupBy("block")).applyInArrow(of, "doc_id long, n_bytes long, n_tokens long")
+    return documents.groupBy("block").cogroup(encoded_parts(table, encode, ids=False).groupBy("block")).applyInArrow(of,
+        "doc_id long, n_bytes long, n_tokens long")
 
 
 class TokenBytes:
@@ -251,13 +258,15 @@ def decode_documents(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_
                 part = batch.slice(k, 256)
                 lists = part.column("ids")
                 bounds = _bounds(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(table.decode(lists.flatten().to_numpy(zero_copy_only=False), bounds), pa.binary())], ["doc_id", "decoded"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"),
+                    pa.array(table.decode(lists.flatten().to_numpy(zero_copy_only=False), bounds), pa.binary())], ["doc_id", "decoded"])
 
     rows = encoded.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{ids_col}`").cast("array<int>").alias("ids"))
     return rows.mapInArrow(of, "doc_id long, decoded binary")
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
+    digests: bool = False) -> DataFrame:
     """doc_id, ids (array of int), decoded (binary: the ids joined with the token-byte table); with digests only
     doc_id, n_tokens, ids_sha256, decoded_sha256."""
     docs = texts(docs, id_col, text_col)
@@ -267,7 +276,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
         encoder = rank_encoder(path, pattern)
         return [np.array(encoder.encode_ordinary(w.decode()), np.uint32).tobytes() for w in words]
 
-    def assembled(sizes: np.ndarray, numbers: np.ndarray, own: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    def assembled(sizes: np.ndarray, numbers: np.ndarray, own: np.ndarray, starts: np.ndarray,
+        lengths: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         """For runs of documents: their pre-tokens' numbers, ids by position, and bounds of both for each document."""
         stops, at = _bounds(sizes), 0
         while at < len(sizes):
@@ -290,20 +300,24 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
         own = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
         sizes, numbers = np.frombuffer(row["sizes"], np.uint32), unsqueeze(row["numbers"], np.uint32)
         doc_ids, names = _ids_back(row["ids"], len(sizes)), token_bytes(path)
-        shown = [(",".join(map(str, own[a : a + k].tolist())) + ",").encode() for a, k in zip(starts.tolist(), lengths.tolist(), strict=True)] if digests else []
+        shown = [(",".join(map(str, own[a : a + k].tolist())) + ",").encode() for a,
+            k in zip(starts.tolist(), lengths.tolist(), strict=True)] if digests else []
         n_tokens, ids_out, decoded_out = [], [], []
         for mine, ids, words, bounds in assembled(sizes, numbers, own, starts, lengths):
             decoded, mine = names.decode(ids, bounds), mine.tolist()
             n_tokens += np.diff(bounds).tolist()
             if digests:
                 decoded_out += [hashlib.sha256(x).hexdigest() for x in decoded]
-                ids_out += [hashlib.sha256(b"".join(map(shown.__getitem__, mine[a:b]))[:-1]).hexdigest() for a, b in zip(words[:-1].tolist(), words[1:].tolist(), strict=True)]
+                ids_out += [hashlib.sha256(b"".join(map(shown.__getitem__, mine[a:b]))[:-1]).hexdigest() for a,
+                    b in zip(words[:-1].tolist(), words[1:].tolist(), strict=True)]
             else:
                 decoded_out += decoded
                 ids_out += np.split(ids.astype(np.int32), bounds[1:-1])
         if not digests:
-            return pa.table({"doc_id": doc_ids, "ids": pa.array(ids_out, pa.list_(pa.int32())), "decoded": pa.array(decoded_out, pa.binary())})
-        return pa.table({"doc_id": doc_ids, "n_tokens": pa.array(n_tokens, pa.int64()), "ids_sha256": pa.array(ids_out, pa.string()), "decoded_sha256": pa.array(decoded_out, pa.string())})
+            return pa.table({"doc_id": doc_ids, "ids": pa.array(ids_out, pa.list_(pa.int32())),
+                "decoded": pa.array(decoded_out, pa.binary())})
+        return pa.table({"doc_id": doc_ids, "n_tokens": pa.array(n_tokens, pa.int64()), "ids_sha256": pa.array(ids_out, pa.string()),
+            "decoded_sha256": pa.array(decoded_out, pa.string())})
 
     documents = table.filter("part = -1").select("block", "ids", "sizes", "numbers")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, ids array<int>, decoded binary"

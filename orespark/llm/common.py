@@ -74,7 +74,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
 
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns that the operators read, whatever else the table has."""
-    return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
+        F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
 
 
 SALTS = 16
@@ -92,10 +93,12 @@ def block_pairs(rows: DataFrame, keys: list[str], by: str, block: int, apart: st
     blocks of their own, which meet those of the other rows, but not each other.
     """
     values = [F.count("*").alias("k")]
-    large = (rows.groupBy(*keys, apart).agg(*values) if apart else rows.groupBy(*keys).agg(*values, F.lit(None).alias("v"))).withColumnsRenamed({apart: "v"} if apart else {})
+    large = (rows.groupBy(*keys, apart).agg(*values) if apart else rows.groupBy(*keys).agg(*values,
+        F.lit(None).alias("v"))).withColumnsRenamed({apart: "v"} if apart else {})
     large = large.groupBy(*keys).agg(F.sum("k").alias("n"), F.max(F.struct("k", "v")).alias("top")).filter(F.col("n") > block)
     main = F.col("top.k") if apart else F.lit(0)
-    large = large.select(*keys, F.col("top.v").alias("_main"), F.ceil((F.col("n") - main) / block).cast("int").alias("_mixed"), F.ceil(main / block).cast("int").alias("_pure"))
+    large = large.select(*keys, F.col("top.v").alias("_main"), F.ceil((F.col("n") - main) / block).cast("int").alias("_mixed"),
+        F.ceil(main / block).cast("int").alias("_pure"))
     large = large.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     out = rows.withColumn("salt", F.pmod(F.xxhash64(by, F.lit(1)), F.lit(SALTS)).cast("int")).join(large, [*keys, "salt"], "left")
     mixed, pure = F.coalesce("_mixed", F.lit(1)), F.coalesce("_pure", F.lit(0))
@@ -103,7 +106,8 @@ def block_pairs(rows: DataFrame, keys: list[str], by: str, block: int, apart: st
     side = F.when(own, mixed + F.pmod(F.xxhash64(by), pure)).otherwise(F.pmod(F.xxhash64(by), mixed)).cast("int")
     others = F.when(~own, F.sequence(F.lit(0), mixed + pure - 1)).when(mixed > 0, F.sequence(F.lit(0), mixed - 1))
     out = out.withColumn("side", side).select("*", F.explode(others).alias("other"))
-    out = out.withColumns({"u": F.least("side", "other"), "v": F.greatest("side", "other")}).drop("salt", "_main", "_mixed", "_pure", "other")
+    out = out.withColumns({"u": F.least("side", "other"), "v": F.greatest("side", "other")}).drop("salt", "_main", "_mixed", "_pure",
+        "other")
     pair = [*keys, "u", "v"]
     return out.repartition(*pair).withColumn("_n", F.count("*").over(Window.partitionBy(*pair))).filter("_n > 1").drop("_n")
 

@@ -32,17 +32,21 @@ def _is_text(line: Column) -> Column:
     return F.trim(F.translate(line, "\t\x0b\x0c\r", "    ")) != ""
 
 
-def boilerplate_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO,
+    min_pages: int = MIN_PAGES) -> DataFrame:
     """host, lines: array of the keys of its boilerplate lines."""
     hosts = docs.select(F.col(f"`{host_col}`").cast("string").alias("_host"), F.col(f"`{text_col}`").alias("_text"))
     totals = hosts.groupBy("_host").agg(F.count("*").alias("pages"))
-    lines = hosts.select("_host", F.explode(F.array_distinct(F.transform(F.filter(F.split("_text", "\n", -1), _is_text), _key))).alias("line"))
+    lines = hosts.select("_host", F.explode(F.array_distinct(F.transform(F.filter(F.split("_text", "\n", -1), _is_text),
+        _key))).alias("line"))
     counts = lines.groupBy("_host", "line").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
-    common = counts.join(totals.withColumnRenamed("_host", "_h"), F.col("_host").eqNullSafe(F.col("_h"))).filter(F.col("n") > F.col("pages") * F.lit(ratio))
+    common = counts.join(totals.withColumnRenamed("_host", "_h"),
+        F.col("_host").eqNullSafe(F.col("_h"))).filter(F.col("n") > F.col("pages") * F.lit(ratio))
     return common.groupBy(F.col("_host").alias("_boiler_host")).agg(F.collect_list("line").alias("_boiler"))
 
 
-def line_dedup(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, spare_whole: bool = True) -> DataFrame:
+def line_dedup(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES,
+    spare_whole: bool = True) -> DataFrame:
     """docs with boilerplate lines taken out of text_col, and n_lines and n_dropped."""
     boiler = written(boilerplate_lines(docs, host_col, text_col, ratio, min_pages), "boilerplate")
     joined = docs.join(boiler, F.col(f"`{host_col}`").cast("string").eqNullSafe(F.col("_boiler_host")), "left")
@@ -54,7 +58,8 @@ def line_dedup(docs: DataFrame, host_col: str = "source", text_col: str = "text"
     other = F.exists("_kept", _is_text) if spare_whole else F.col("_kept").isNotNull()
     joined = joined.withColumn("_kept", F.when(other, F.col("_kept")).when(text.isNotNull(), lines))
     return joined.select(
-        *[F.array_join("_kept", "\n").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")],
+        *[F.array_join("_kept", "\n").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines",
+        "n_dropped")],
         F.coalesce(F.size(F.when(text.isNotNull(), lines)), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size(F.when(text.isNotNull(), lines)) - F.size("_kept"), F.lit(0)).cast("long").alias("n_dropped"),
     )

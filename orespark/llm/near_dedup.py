@@ -93,7 +93,8 @@ def signatures(docs: DataFrame, size: int, tables: int, width: int) -> DataFrame
             sets, bounds = shingle_sets(batch.column("text"), size)
             groups = minhash_groups(sets, bounds, 2 * tables, width).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.diff(bounds).astype(np.int64)), pa.array(class_ids(sets, bounds), pa.binary()), *(pa.array(list(groups[:, a : a + tables]), pa.list_(pa.int64())) for a in (0, tables))],
+                [batch.column("doc_id"), pa.array(np.diff(bounds).astype(np.int64)), pa.array(class_ids(sets, bounds), pa.binary()),
+                *(pa.array(list(groups[:, a : a + tables]), pa.list_(pa.int64())) for a in (0, tables))],
                 ["doc_id", "n", "class", "left", "right"],
             )
 
@@ -117,7 +118,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
         for batch in slices(batches):
             sets, bounds = shingle_sets(batch.column("text"), size)
             mine = [i for i, (a, b) in enumerate(zip(class_ids(sets, bounds), batch.column("class").to_pylist(), strict=True)) if a == b]
-            yield pa.RecordBatch.from_arrays([batch.column("class").take(pa.array(mine, pa.int64())), pa.array([sets[bounds[i] : bounds[i + 1]].tobytes() for i in mine], pa.binary())], ["class", "set"])
+            yield pa.RecordBatch.from_arrays([batch.column("class").take(pa.array(mine, pa.int64())),
+                pa.array([sets[bounds[i] : bounds[i + 1]].tobytes() for i in mine], pa.binary())], ["class", "set"])
 
     rows = docs.join(wanted.select("class", "rep"), F.col("doc_id") == F.col("rep")).select("class", "text")
     return rows.mapInArrow(of, "class binary, set binary").groupBy("class").agg(F.first("set").alias("set"))
@@ -126,7 +128,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 def _shared(sets: DataFrame, n_parts: int) -> DataFrame:
     """class, shared: how many of its shingles another class has too (at least; hashes are cut to 32 bits within a part);
     holders: the classes of each of its shingles, summed."""
-    schema = pa.schema([("part", pa.int64()), ("slice", pa.int64()), ("hashes", pa.binary()), ("owners", pa.binary()), ("classes", pa.binary())])
+    schema = pa.schema([("part", pa.int64()), ("slice", pa.int64()), ("hashes", pa.binary()), ("owners", pa.binary()),
+        ("classes", pa.binary())])
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -137,7 +140,8 @@ def _shared(sets: DataFrame, n_parts: int) -> DataFrame:
             order = np.argsort(part, kind="stable")
             rows = [{"part": -1 - number, "slice": number, "classes": b"".join(batch.column("class").to_pylist())}]
             for mine in runs(part, order):
-                rows.append({"part": int(part[mine[0]]), "slice": number, "hashes": flat[mine].astype(np.uint32).tobytes(), "owners": np.diff(owner[mine], prepend=0).astype(np.uint32).tobytes()})
+                rows.append({"part": int(part[mine[0]]), "slice": number, "hashes": flat[mine].astype(np.uint32).tobytes(),
+                    "owners": np.diff(owner[mine], prepend=0).astype(np.uint32).tobytes()})
             yield pa.RecordBatch.from_pylist(rows, schema)
             number += 1
 
@@ -164,10 +168,12 @@ def _shared(sets: DataFrame, n_parts: int) -> DataFrame:
             if r["counts"] is not None:
                 found = np.frombuffer(r["counts"], np.int64).reshape(2, -1)
                 out[:, : found.shape[1]] += found
-        return pa.table({"class": pa.array([classes[i : i + 16] for i in range(0, len(classes), 16)], pa.binary()), "shared": out[0], "holders": out[1]})
+        return pa.table({"class": pa.array([classes[i : i + 16] for i in range(0, len(classes), 16)], pa.binary()), "shared": out[0],
+            "holders": out[1]})
 
     packed = sets.mapInArrow(spread, "part long, slice long, hashes binary, owners binary, classes binary")
-    return packed.groupBy("part").applyInArrow(count, "slice long, classes binary, counts binary").groupBy("slice").applyInArrow(total, "class binary, shared long, holders long")
+    return packed.groupBy("part").applyInArrow(count, "slice long, classes binary, counts binary").groupBy("slice").applyInArrow(total,
+        "class binary, shared long, holders long")
 
 
 def _possible(a: str, b: str, percent: int) -> Column:
@@ -233,19 +239,22 @@ def _compared(rest: DataFrame, percent: int, verify: bool, block: int = 256) ->
     return rows.groupBy("i", "g", "u", "v").applyInArrow(of, "x binary, y binary")
 
 
-def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, tables: int = TABLES, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, tables: int = TABLES, width: int = WIDTH, id_col: str = "doc_id",
+    text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
     docs = texts(docs, id_col, text_col)
     rows = written(signatures(docs, size, tables, width), "signatures")
     full = rows.filter("class is not null and doc_id is not null")
-    reps = full.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("left").alias("left"), F.first("right").alias("right"))
+    reps = full.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("left").alias("left"),
+        F.first("right").alias("right"))
     reps = written(reps, "classes")
     found = written(_candidates(reps), "candidates")
     sets = written(_sets(docs, found, size), "sets")
     shared = _shared(sets, part_count(docs, WINDOW_PART_BYTES))
     found = written(found.join(shared, "class").filter(100 * F.col("shared") >= percent * F.col("n")), "linkable")
     attributes = ["class", "n", "shared", "holders"]
-    bands = found.select(*attributes, F.posexplode("left").alias("i", "g"), "right").select(*attributes, "i", "g", F.posexplode("right").alias("j", "h"))
+    bands = found.select(*attributes, F.posexplode("left").alias("i", "g"), "right").select(*attributes, "i", "g",
+        F.posexplode("right").alias("j", "h"))
     bands = bands.select(*attributes, F.xxhash64("i", "g", "j", "h").alias("key"))
     rank = F.struct((F.col("holders") / F.col("n")).alias("mean"), "class", "n", "shared")
     buckets = bands.groupBy("key").agg(F.count("*").alias("k"), F.max(rank).alias("c")).filter("k > 1")
@@ -260,12 +269,15 @@ def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, tables
         return pairs.join(next(ends), "x").join(next(ends), "y").select("a", "b")
 
     twins = full.groupBy("doc_id").agg(F.min("class").alias("x"), F.max("class").alias("z")).filter("x <> z").select("doc_id", "x")
-    twins = full.select("doc_id", F.col("class").alias("y")).join(twins, "doc_id").filter("x <> y").select("x", "y").distinct()  # rows that repeat an id
+    twins = full.select("doc_id", F.col("class").alias("y")).join(twins, "doc_id").filter("x <> y").select("x",
+        "y").distinct()  # rows that repeat an id
     edges = written(links(stars.unionByName(twins)).filter("a <> b").distinct(), "edges")
     groups = components(edges)
     # what stars may have missed: pairs of a bucket in different components
-    placed = found.select("class").join(names, "class").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("class", F.coalesce("component", "rep").alias("at"))
-    mixed = bands.select("key", "class").join(placed, "class").groupBy("key").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).filter("lo <> hi").select("key")
+    placed = found.select("class").join(names, "class").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("class",
+        F.coalesce("component", "rep").alias("at"))
+    mixed = bands.select("key", "class").join(placed, "class").groupBy("key").agg(F.min("at").alias("lo"),
+        F.max("at").alias("hi")).filter("lo <> hi").select("key")
     rest = bands.select("key", "class").join(mixed, "key").select("class").distinct()
     rest = written(found.join(rest, "class").join(placed, "class").select("class", "n", "shared", "left", "right", "at"), "rest")
     open_ = _compared(rest, percent, verify=False).select(F.col("x").alias("class")).distinct()
@@ -275,7 +287,8 @@ def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, tables
         groups = components(edges.unionByName(more))
     joined = rows.join(names, "class", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
+        (F.col("doc_id").isNull() | (F.col("doc_id") == component)).alias("kept"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:

@@ -82,7 +82,8 @@ class Keys:
         column, owner = self.column[flat], np.repeat(np.arange(len(documents)), np.diff(np.append(first, len(flat))))
         points = np.zeros((len(documents), len(self.common)), np.float32)
         points[owner[column >= 0], column[column >= 0]] = 1
-        cluster = np.argmax(points @ self.centres.T.astype(np.float32), axis=1).astype(np.int32)  # a point's length doesn't change its nearest
+        cluster = np.argmax(points @ self.centres.T.astype(np.float32),
+            axis=1).astype(np.int32)  # a point's length doesn't change its nearest
         hashes = []
         for k in (1, 2):
             spread = mix(np.arange(1, len(self.rare) + 1, dtype=np.uint64) * np.uint64(BASE) + np.uint64(k)) >> np.uint64(1)
@@ -102,7 +103,8 @@ def fitted(docs: DataFrame, path: str, pattern: str, end_id: int, sample_docs: i
             found = [np.unique(x).astype(np.int32) for x in token_ids(encoder, batch.column("text").to_pylist(), end_id)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], ["tokens"])
 
-    sample = docs.filter(spread < F.lit(most)).orderBy(spread, "doc_id").limit(sample_docs).select("doc_id", "text").mapInArrow(of, "tokens array<int>")
+    sample = docs.filter(spread < F.lit(most)).orderBy(spread, "doc_id").limit(sample_docs).select("doc_id", "text").mapInArrow(of,
+        "tokens array<int>")
     return Keys([np.array(r.tokens) for r in sample.collect()], rank_encoder(path, pattern, special=True).n_vocab)
 
 
@@ -119,7 +121,8 @@ def tokenized(docs: DataFrame, path: str, pattern: str, keys: Keys, end_id: int
         for batch in slices(batches):
             ids = token_ids(encoder, batch.column("text").to_pylist(), end_id)
             rows = np.arange(row, row + len(ids))
-            columns = [pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()), *map(pa.array, keys.of(ids))]
+            columns = [pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary()),
+                *map(pa.array, keys.of(ids))]
             yield pa.RecordBatch.from_arrays([pa.array(rows), batch.column("doc_id"), *columns], names)
             row += len(ids)
 
@@ -195,7 +198,8 @@ class Index:
         rows, starts, sizes = self.row[mine], self.start[mine], self.size[mine]
         rare = sizes > 0
         starts, sizes = starts[rare], sizes[rare]
-        at = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum()) if len(sizes) else np.zeros(0, np.int64)
+        at = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum()) if len(sizes) else np.zeros(0,
+            np.int64)
         out = np.bincount(self.posting[at], self.weight[at] * np.repeat(times[rare], sizes), len(self.docs))
         often = rows >= 0
         return out + times[often].astype(np.float32) @ self.dense[rows[often]]
@@ -281,7 +285,8 @@ def _shards(batches: Iterator[pa.RecordBatch], shard_docs: int | None) -> Iterat
         yield pa.Table.from_batches(held)
 
 
-def pack(docs: DataFrame, path: str, pattern: str, window: int = 2048, end_id: int = 1, shard_docs: int | None = 4096, sample_docs: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, pattern: str, window: int = 2048, end_id: int = 1, shard_docs: int | None = 4096,
+    sample_docs: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, and ids (array), or with digests ids_crc32."""
     docs = texts(docs, id_col, text_col)
     keys = fitted(docs, path, pattern, end_id, sample_docs)
@@ -295,7 +300,8 @@ def pack(docs: DataFrame, path: str, pattern: str, window: int = 2048, end_id: i
         sequences = TaskContext.get().partitionId() << 32
         for group in _shards(batches, shard_docs):
             doc_ids, lengths = group.column("doc_id").combine_chunks(), group.column("n").to_numpy()
-            documents = [np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.uint32) for raw, n in zip(group.column("ids").to_pylist(), lengths.tolist(), strict=True)]
+            documents = [np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.uint32) for raw,
+                n in zip(group.column("ids").to_pylist(), lengths.tolist(), strict=True)]
             index = Index(*words_of(rank_encoder(path, pattern, special=True), documents), lengths.astype(np.float64))
             pieces = np.array(fill(lengths, index, window), np.int64).reshape(-1, 5)
             for k in range(0, len(pieces), 4096):
@@ -303,7 +309,8 @@ def pack(docs: DataFrame, path: str, pattern: str, window: int = 2048, end_id: i
                 made = [documents[d][a : a + n] for d, a, n in zip(doc.tolist(), start.tolist(), length.tolist(), strict=True)]
                 made = [zlib.crc32(ids.astype(np.uint32).tobytes()) for ids in made] if digests else [ids.astype(np.int32) for ids in made]
                 columns = [start, length, lengths[doc], sequence + sequences, offset]
-                yield pa.RecordBatch.from_arrays([doc_ids.take(pa.array(doc)), *map(pa.array, columns), pa.array(made, pa.int64() if digests else pa.list_(pa.int32()))], names)
+                yield pa.RecordBatch.from_arrays([doc_ids.take(pa.array(doc)), *map(pa.array, columns),
+                    pa.array(made, pa.int64() if digests else pa.list_(pa.int32()))], names)
             sequences += int(pieces[-1, 3]) + 1
 
     order = ["cluster", "first_hash", "second_hash", "row"]

@@ -61,11 +61,16 @@ FORMS = {
 }
 #: Top-level domains, toll-free and fictional area codes and trunk prefixes, published prefixes of access keys.
 GAZETTEER = {
-    "email": ("com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "dev", "app", "io", "ai", "co", "me", "tv", "eu", "de", "fr", "es", "it", "nl", "be", "ch", "at", "pl", "pt", "se", "no", "dk", "fi", "ie", "uk", "us", "ca", "mx", "br", "ar", "cl", "au", "nz", "jp", "kr", "cn", "in", "sg", "za", "ru", "tr", "gr", "cz"),
-    "phone": ("800", "888", "877", "866", "855", "844", "833", "555", "202", "212", "(800", "(888", "(877", "(866", "(555", "(202", "(212", "(0", "0"),
-    "secret": ("AKIA", "ASIA", "AIza", "ya29", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "npm_", "pypi-", "sk-", "sk_", "pk_", "rk_", "xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-", "hf_", "dop_v1_", "shpat_", "SK", "key-", "eyJ"),
+    "email": ("com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "dev", "app", "io", "ai", "co", "me", "tv", "eu", "de", "fr",
+    "es", "it", "nl", "be", "ch", "at", "pl", "pt", "se", "no", "dk", "fi", "ie", "uk", "us", "ca", "mx", "br", "ar", "cl", "au", "nz",
+    "jp", "kr", "cn", "in", "sg", "za", "ru", "tr", "gr", "cz"),
+    "phone": ("800", "888", "877", "866", "855", "844", "833", "555", "202", "212", "(800", "(888", "(877", "(866", "(555", "(202", "(212",
+    "(0", "0"),
+    "secret": ("AKIA", "ASIA", "AIza", "ya29", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "npm_", "pypi-", "sk-",
+    "sk_", "pk_", "rk_", "xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-", "hf_", "dop_v1_", "shpat_", "SK", "key-", "eyJ"),
 }
-CUES = {"email": re.compile(r"mail|contact|write", re.I), "phone": re.compile(r"tel|phone|call|fax|mobile", re.I), "secret": re.compile(r"key|token|secret|passw|pwd|auth|api", re.I)}
+CUES = {"email": re.compile(r"mail|contact|write", re.I), "phone": re.compile(r"tel|phone|call|fax|mobile", re.I),
+    "secret": re.compile(r"key|token|secret|passw|pwd|auth|api", re.I)}
 
 
 def luhn(digits: str) -> bool:
@@ -135,7 +140,8 @@ def _mixed(word: str) -> bool:
 
 
 #: Character classes of the surface features.
-LETTER_CLASSES = str.maketrans({c: k for k, cs in {"v": "aeiouAEIOU", "c": "bcdfghjklmnpqrstvwxyzBCDFGHJKLMNPQRSTVWXYZ", "0": "123456789"}.items() for c in cs})
+LETTER_CLASSES = str.maketrans({c: k for k, cs in {"v": "aeiouAEIOU", "c": "bcdfghjklmnpqrstvwxyzBCDFGHJKLMNPQRSTVWXYZ",
+    "0": "123456789"}.items() for c in cs})
 
 
 def _voted(kind: str, a: int, b: int, word: str, before: str) -> Candidate:
@@ -143,7 +149,8 @@ def _voted(kind: str, a: int, b: int, word: str, before: str) -> Candidate:
     distinct, n = len(set(word)), len(word)
     form = 1 if FORMS[kind].fullmatch(word) else -1
     if kind == "email":
-        known = 1 if word.rsplit(".", 1)[-1].strip(")] ").lower() in GAZETTEER[kind] or word.rstrip().lower().endswith(GAZETTEER[kind]) else -1
+        known = 1 if word.rsplit(".",
+            1)[-1].strip(")] ").lower() in GAZETTEER[kind] or word.rstrip().lower().endswith(GAZETTEER[kind]) else -1
         shape = 1 if digits < n / 2 else -1
     elif kind == "phone":
         known = 1 if word.startswith(GAZETTEER[kind]) else 0
@@ -154,7 +161,8 @@ def _voted(kind: str, a: int, b: int, word: str, before: str) -> Candidate:
     context = 1 if CUES[kind].search(before) else 0
     kinds = word[:256].translate(LETTER_CLASSES)  # vowels, consonants and digits alike; other characters are themselves
     changes = sum(x != y for x, y in zip(kinds, kinds[1:], strict=False)) / len(kinds)
-    surface = [1.0, min(n, 64) / 64, digits / n, uppers / n, min(distinct, 64) / 64, (n - digits - letters) / n, kinds.count("v") / len(kinds), changes, float(before[-1:] in ("=", ":", '"', "'")), float(before[-1:].isspace())]
+    surface = [1.0, min(n, 64) / 64, digits / n, uppers / n, min(distinct, 64) / 64, (n - digits - letters) / n,
+        kinds.count("v") / len(kinds), changes, float(before[-1:] in ("=", ":", '"', "'")), float(before[-1:].isspace())]
     features = [x * (kind == k) for k in CANDIDATES for x in surface]
     return Candidate((kind, a, b), (form, known, context, shape), features)
 
@@ -199,9 +207,12 @@ def train(docs: DataFrame, text_col: str = "text", max_rows: int = 20_000) -> Mo
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = [c for t in batch.column("text").to_pylist() for c in candidates(t, base_spans(t))]
-            yield pa.RecordBatch.from_arrays([pa.array([c.span[0] for c in found], pa.string()), pa.array([list(c.votes) for c in found], pa.list_(pa.int32())), pa.array([c.features for c in found], pa.list_(pa.float64()))], ["kind", "votes", "features"])
+            yield pa.RecordBatch.from_arrays([pa.array([c.span[0] for c in found], pa.string()),
+                pa.array([list(c.votes) for c in found], pa.list_(pa.int32())),
+                pa.array([c.features for c in found], pa.list_(pa.float64()))], ["kind", "votes", "features"])
 
-    found = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).mapInArrow(of, "kind string, votes array<int>, features array<double>")
+    found = docs.select(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).mapInArrow(of,
+        "kind string, votes array<int>, features array<double>")
     groups = found.groupBy("kind", "votes", "features").agg(F.count("*").alias("n")).persist()
     try:
         patterns = groups.groupBy("kind", "votes").agg(F.sum("n").alias("n")).collect()
@@ -241,7 +252,8 @@ def find(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 every = sorted([*base, *model.added(text, base)], key=lambda s: (s[1], ORDER[s[0]]))
                 spans.append(_joined(every)), n_spans.append(len(every))
             columns = np.array(counts, np.int64).reshape(-1, len(BASE)).T
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, columns), pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(n_spans, pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, columns), pa.array(digests, pa.string()),
+                pa.array(spans, pa.string()), pa.array(n_spans, pa.int64())], names)
 
     schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in BASE) + ", base_sha256 string, spans string, n_spans long"
     return texts(docs, id_col, text_col).mapInArrow(of, schema)
@@ -269,6 +281,7 @@ def redact(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             for text in batch.column(at).to_pylist():
                 base = base_spans(text) if text else []
                 made.append(redacted(text, [*base, *model.added(text, base)]) if text else text)
-            yield pa.RecordBatch.from_arrays([pa.array(made, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(made,
+                pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns)], names)
 
     return docs.mapInArrow(of, docs.schema)

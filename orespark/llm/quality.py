@@ -29,7 +29,8 @@ MIN_WORDS = 50
 REPEAT_PERCENT = 50
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Features of the trees with the sign of the allowed trend (-1: a higher value never raises the score; 0: free).
-FEATURES = {"log_words": 0, "word_length": 0, "symbols_per_word": -1, "dup_lines_per_line": -1, "repeat_words": -1, "words_per_line": 0, "ends_with_stop": 0, "distinct_words": 0, "upper_share": 0, "short_words": 0, "digit_share": 0}
+FEATURES = {"log_words": 0, "word_length": 0, "symbols_per_word": -1, "dup_lines_per_line": -1, "repeat_words": -1, "words_per_line": 0,
+    "ends_with_stop": 0, "distinct_words": 0, "upper_share": 0, "short_words": 0, "digit_share": 0}
 
 
 def _bytes(characters: str) -> np.ndarray:
@@ -71,8 +72,10 @@ def statistics(strings: pa.Array) -> tuple[dict[str, np.ndarray], np.ndarray]:
     distinct = np.bincount(doc[order], fresh, n)
     ends, upper, digits = at_text(_bytes(".!?")), at_text(_bytes(string.ascii_uppercase)), at_text(_bytes(string.digits))
     w, c, l = np.maximum(n_words, 1), np.maximum(word_chars, 1), np.maximum(n_lines, 1)
-    features = np.stack([np.log1p(n_words), word_chars / w, n_symbols / w, n_dup / l, n_repeat / w, n_words / l, ends / w, distinct / w, upper / c, per(chars <= 3) / w, digits / c], axis=1)
-    return {"n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols.astype(np.int64), "n_dup_lines": n_dup, "n_repeat_words": n_repeat}, features
+    features = np.stack([np.log1p(n_words), word_chars / w, n_symbols / w, n_dup / l, n_repeat / w, n_words / l, ends / w, distinct / w,
+        upper / c, per(chars <= 3) / w, digits / c], axis=1)
+    return {"n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols.astype(np.int64), "n_dup_lines": n_dup,
+        "n_repeat_words": n_repeat}, features
 
 
 def _lines(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +131,8 @@ class Trees:
         return 1 / (1 + np.exp(-self.margin(x)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, signs: list[int], n_trees: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 64, l2: float = 1.0, min_rows: int = 5) -> Trees:
+def fit(x: np.ndarray, y: np.ndarray, signs: list[int], n_trees: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 64,
+    l2: float = 1.0, min_rows: int = 5) -> Trees:
     """Newton boosting of the logistic loss on binned features.
 
     A split on a constrained feature is allowed only if the two children's values follow its sign; the middle of the two
@@ -188,7 +192,8 @@ def fit(x: np.ndarray, y: np.ndarray, signs: list[int], n_trees: int = 60, depth
             for side, (a, b) in zip((~goes, goes), bounds, strict=True):
                 todo.append((len(feature), rows[side], a, b, level + 1))
                 feature.append(-1), threshold.append(0.0), left.append(0), value.append(0.0)
-    trees.feature, trees.threshold, trees.left, trees.value = np.array(feature, np.int32), np.array(threshold), np.array(left, np.int32), np.array(value)
+    trees.feature, trees.threshold, trees.left, trees.value = np.array(feature, np.int32), np.array(threshold), np.array(left,
+        np.int32), np.array(value)
     return trees
 
 
@@ -196,7 +201,8 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", max_rows:
     """Trees fitted on at most max_rows labelled documents: a documented bound, for training only."""
     known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("double").alias("_y")).dropna().dropDuplicates(["_id"])
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-    rows = F.broadcast(known).join(docs.select(F.col("doc_id").alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")), "_id")
+    rows = F.broadcast(known).join(docs.select(F.col("doc_id").alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")),
+        "_id")
     rows = rows.groupBy("_id", "_y").agg(F.min("text").alias("text"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +219,8 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", max_rows:
     return fit(x[order], y[order], list(FEATURES.values()))
 
 
-def quality_rules(docs: DataFrame, trees: Trees, text_col: str = "text", threshold: float = 0.5, keep_columns: list[str] | None = None) -> DataFrame:
+def quality_rules(docs: DataFrame, trees: Trees, text_col: str = "text", threshold: float = 0.5,
+    keep_columns: list[str] | None = None) -> DataFrame:
     """keep_columns of docs (all by default), with the statistics, score, base_failed and kept."""
     own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score", "base_failed", "kept"]
     keep = [c for c in (docs.columns if keep_columns is None else keep_columns) if c not in own]
@@ -221,14 +228,16 @@ def quality_rules(docs: DataFrame, trees: Trees, text_col: str = "text", thresho
     while hidden in map(str.lower, keep):
         hidden += "_"
     shown = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias(hidden))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in shown.schema.fields[:-1]), *(f"{c} long" for c in STATS), "score double, base_failed boolean, kept boolean"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in shown.schema.fields[:-1]), *(f"{c} long" for c in STATS),
+        "score double, base_failed boolean, kept boolean"])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, hidden):
             stats, x = statistics(batch.column(hidden))
             score = trees.probability(x)
             failed = (stats["n_words"] < MIN_WORDS) | (100 * stats["n_repeat_words"] > REPEAT_PERCENT * stats["n_words"])
-            made = [*(pa.array(stats[c], pa.int64()) for c in STATS), pa.array(score), pa.array(failed), pa.array(~failed & (score >= threshold))]
+            made = [*(pa.array(stats[c], pa.int64()) for c in STATS), pa.array(score), pa.array(failed),
+                pa.array(~failed & (score >= threshold))]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *made], [*keep, *own])
 
     return shown.mapInArrow(of, schema)

@@ -67,7 +67,8 @@ def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fingerprints(batch.column("text")).view(np.int64))], ["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fingerprints(batch.column("text")).view(np.int64))],
+                ["doc_id", "fingerprint"])
 
     return texts(docs, id_col, text_col).mapInArrow(of, "doc_id long, fingerprint long")
 
@@ -142,10 +143,13 @@ def link_counts(table: DataFrame, radius: int = RADIUS, n_blocks: int = BLOCKS,
 def near_documents(table: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, class_id (smallest id with an equal fingerprint) and n_links (other fingerprints within the radius) of every
     row of table (doc_id, fingerprint). A null fingerprint has neither class nor links."""
-    classes = table.dropna(subset="fingerprint").groupBy("fingerprint").agg(F.min("doc_id").alias("class_id")).join(link_counts(table, radius), "fingerprint", "left")
-    classes = classes.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))  # a fingerprint may be a third of all rows
+    classes = table.dropna(subset="fingerprint").groupBy("fingerprint").agg(F.min("doc_id").alias("class_id")).join(link_counts(table,
+        radius), "fingerprint", "left")
+    classes = classes.select("*", F.explode(F.sequence(F.lit(0),
+        F.lit(SALTS - 1))).alias("salt"))  # a fingerprint may be a third of all rows
     salted = table.withColumn("salt", (F.rand(1) * SALTS).cast("int"))
-    return salted.join(classes, ["fingerprint", "salt"], "left").select("doc_id", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return salted.join(classes, ["fingerprint", "salt"], "left").select("doc_id", "class_id",
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -187,7 +191,8 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             last = ids[-1], own[-1], fp[-1:]
             n = len(own) - 1
             made = _compare(pa.array(ids[:-1], pa.int64()), own[:-1], own[1:], fp[:-1], fp[1:])
-            yield pa.RecordBatch.from_arrays([*made, pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())], schema=schema)
+            yield pa.RecordBatch.from_arrays([*made, pa.array(np.zeros(n, np.int32)), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()),
+                pa.nulls(n, pa.int64())], schema=schema)
         if last is not None:
             yield row(1, last[0], last[1], int(last[2].view(np.int64)[0]))
 
@@ -196,13 +201,16 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ordered = texts(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     table = written(ordered.mapInArrow(of, OUT + ", kind int, pid int, text string, fp long"), "simhash")
     heads = table.filter("kind = 2").select("pid", F.col("text").alias("next_text"), F.col("fp").alias("next_fp"))
-    places = heads.select("pid", F.coalesce(F.lead("pid").over(Window.orderBy("pid")), F.min("pid").over(Window.partitionBy())).alias("after"))  # one row per partition
-    edges = table.filter("kind = 1").select("doc_id", "pid", "text", "fp").join(places, "pid").join(heads.withColumnRenamed("pid", "after"), "after")
+    places = heads.select("pid", F.coalesce(F.lead("pid").over(Window.orderBy("pid")),
+        F.min("pid").over(Window.partitionBy())).alias("after"))  # one row per partition
+    edges = table.filter("kind = 1").select("doc_id", "pid", "text", "fp").join(places, "pid").join(heads.withColumnRenamed("pid", "after"),
+        "after")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             fp = [b.column(c).to_numpy().view(np.uint64) for c in ("fp", "next_fp")]
-            yield pa.RecordBatch.from_arrays(_compare(b.column("doc_id"), b.column("text").to_pylist(), b.column("next_text").to_pylist(), *fp), names)
+            yield pa.RecordBatch.from_arrays(_compare(b.column("doc_id"), b.column("text").to_pylist(), b.column("next_text").to_pylist(),
+                *fp), names)
 
     met = edges.select("doc_id", "text", "fp", "next_text", "next_fp").mapInArrow(meet, OUT)
     return table.filter("kind = 0").select(*names).unionByName(met)

@@ -43,7 +43,8 @@ BLOCK = SIZE // 2
 FIRST_ID = -(1 << 63)
 
 PACKED = "part long, slice long, hashes binary, gaps binary, aligned binary, keys binary, tags binary, first binary, known binary"
-PACKED_SCHEMA = pa.schema([("part", pa.int64()), ("slice", pa.int64()), *((n, pa.binary()) for n in ("hashes", "gaps", "aligned", "keys", "tags", "first", "known"))])
+PACKED_SCHEMA = pa.schema([("part", pa.int64()), ("slice", pa.int64()),
+    *((n, pa.binary()) for n in ("hashes", "gaps", "aligned", "keys", "tags", "first", "known"))])
 
 
 def _gaps(sorted_values: np.ndarray) -> bytes:
@@ -70,9 +71,11 @@ def _anchors(n_parts: int):
             any_aligned[inverse[aligned]] = True
             part = ((unique >> np.uint64(32)) % np.uint64(n_parts)).astype(np.int64)
             order = np.lexsort((index, part))
-            rows = [{"part": -1 - number, "slice": number, "keys": _int64(batch, "key"), "tags": _int64(batch, "tag"), "first": words.first.astype(np.uint32).tobytes(), "known": _gaps(at[counts[inverse] > 1])}]
+            rows = [{"part": -1 - number, "slice": number, "keys": _int64(batch, "key"), "tags": _int64(batch, "tag"),
+                "first": words.first.astype(np.uint32).tobytes(), "known": _gaps(at[counts[inverse] > 1])}]
             for mine in runs(part, order):
-                rows.append({"part": int(part[mine[0]]), "slice": number, "hashes": unique[mine].astype(np.uint32).tobytes(), "gaps": _gaps(at[index[mine]]), "aligned": np.packbits(any_aligned[mine]).tobytes()})
+                rows.append({"part": int(part[mine[0]]), "slice": number, "hashes": unique[mine].astype(np.uint32).tobytes(),
+                    "gaps": _gaps(at[index[mine]]), "aligned": np.packbits(any_aligned[mine]).tobytes()})
             yield pa.RecordBatch.from_pylist(rows, PACKED_SCHEMA)
             number += 1
 
@@ -89,7 +92,8 @@ def _probe(key, group):
         return group.select(["slice", "keys", "tags", "first", "known"]).append_column("gaps", pa.nulls(group.num_rows, pa.binary()))
     rows = group.select(["slice", "hashes", "gaps", "aligned"]).to_pylist()
     hashes = [np.frombuffer(r["hashes"], np.uint32) for r in rows]
-    aligned = np.concatenate([np.unpackbits(np.frombuffer(r["aligned"], np.uint8), count=len(h)) for r, h in zip(rows, hashes, strict=True)]).astype(bool)
+    aligned = np.concatenate([np.unpackbits(np.frombuffer(r["aligned"], np.uint8), count=len(h)) for r,
+        h in zip(rows, hashes, strict=True)]).astype(bool)
     flat = np.concatenate(hashes)
     order = np.argsort(flat, kind="stable")
     ranked = flat[order]
@@ -124,7 +128,8 @@ def _by_document(key, group):
 
 
 CANDIDATES = "part long, slice long, hashes binary, gaps binary, docs binary, starts binary, keys binary, tags binary, first binary, known binary"
-CANDIDATES_SCHEMA = pa.schema([("part", pa.int64()), ("slice", pa.int64()), *((n, pa.binary()) for n in ("hashes", "gaps", "docs", "starts", "keys", "tags", "first", "known"))])
+CANDIDATES_SCHEMA = pa.schema([("part", pa.int64()), ("slice", pa.int64()),
+    *((n, pa.binary()) for n in ("hashes", "gaps", "docs", "starts", "keys", "tags", "first", "known"))])
 
 
 def _earliest(hashes: np.ndarray, keys: np.ndarray, pos: np.ndarray) -> np.ndarray:
@@ -160,13 +165,15 @@ def _candidates(n_parts: int):
             owner = np.searchsorted(first, at, "right") - 1
             keys = batch.column("key").to_numpy(zero_copy_only=False).astype(np.int64)
             early = _earliest(hashes, keys[owner], at - first[owner])
-            rows = [{"part": -1 - number, "slice": number, "keys": keys.tobytes(), "tags": _int64(batch, "tag"), "first": first.astype(np.uint32).tobytes(), "known": _gaps(at[~early])}]
+            rows = [{"part": -1 - number, "slice": number, "keys": keys.tobytes(), "tags": _int64(batch, "tag"),
+                "first": first.astype(np.uint32).tobytes(), "known": _gaps(at[~early])}]
             kept = np.flatnonzero(early)
             part = ((hashes[kept] >> np.uint64(32)) % np.uint64(n_parts)).astype(np.int64)
             for run in runs(part, np.argsort(part, kind="stable")):
                 mine = kept[run]
                 docs, doc = np.unique(owner[mine], return_inverse=True)
-                rows.append({"part": int(part[run[0]]), "slice": number, "hashes": hashes[mine].tobytes(), "gaps": _gaps(at[mine]), "docs": _gaps(doc), "starts": first[docs].astype(np.uint32).tobytes(), "keys": keys[docs].tobytes()})
+                rows.append({"part": int(part[run[0]]), "slice": number, "hashes": hashes[mine].tobytes(), "gaps": _gaps(at[mine]),
+                    "docs": _gaps(doc), "starts": first[docs].astype(np.uint32).tobytes(), "keys": keys[docs].tobytes()})
             number += 1
             yield pa.RecordBatch.from_pylist(rows, CANDIDATES_SCHEMA)
 
@@ -220,7 +227,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 n_words.append(n), n_removed.append(n - len(words))
                 rest = b" ".join(words)
                 kept.append(hashlib.sha256(rest).hexdigest() if digests else rest.decode())
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", own])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
+                pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", own])
 
-    out = rows.join(marks, ["key", "tag"], "left").select("key", "text", "marks").mapInArrow(cut, f"doc_id long, n_words long, n_removed long, {own} string")
+    out = rows.join(marks, ["key", "tag"], "left").select("key", "text", "marks").mapInArrow(cut,
+        f"doc_id long, n_words long, n_removed long, {own} string")
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit(FIRST_ID)))

@@ -46,7 +46,9 @@ def candidate_keys(host: Column, path: Column, labels: list[int], path_lengths:
     here = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
     suffixes = F.filter(F.array(*[F.when(here >= n, F.substring_index(host, ".", -n)) for n in labels]), lambda s: s.isNotNull())
     prefixes = F.transform(F.filter(lengths, lambda n: n <= F.length(path)), lambda n: F.substring(path, F.lit(1), n))
-    pairs = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.struct((-F.length(s) - F.length(p)).alias("size"), (-F.length(s)).alias("hosts"), F.concat(s, F.lit("\t"), p).alias("key"), F.concat(s, p).alias("rule")))))
+    pairs = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes,
+        lambda p: F.struct((-F.length(s) - F.length(p)).alias("size"), (-F.length(s)).alias("hosts"),
+        F.concat(s, F.lit("\t"), p).alias("key"), F.concat(s, p).alias("rule")))))
     return F.when(host != "", F.array_sort(pairs)).otherwise(F.array_sort(F.filter(pairs, lambda x: F.lit(False))))
 
 
@@ -62,9 +64,11 @@ class Level:
         self.hashes = max(1, round(bits_per_key * math.log(2)))
         self.salt = salt
         at = F.explode(F.array(*self._places(F.col("key")))).alias("at")
-        words = keys.select(at).groupBy(F.floor(F.col("at") / WORD_BITS).cast("int").alias("i")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % WORD_BITS).cast("int"))).alias("word"))
+        words = keys.select(at).groupBy(F.floor(F.col("at") / WORD_BITS).cast("int").alias("i")).agg(F.bit_or(F.call_function("shiftleft",
+            F.lit(1).cast("long"), (F.col("at") % WORD_BITS).cast("int"))).alias("word"))
         self.words = words.agg(F.map_from_entries(F.collect_list(F.struct("i", "word"))).alias("m")).select(
-            F.transform(F.sequence(F.lit(0), F.lit((self.bits - 1) // WORD_BITS)), lambda i: F.coalesce(F.element_at(F.col("m"), i), F.lit(0).cast("long"))).alias("words")
+            F.transform(F.sequence(F.lit(0), F.lit((self.bits - 1) // WORD_BITS)),
+            lambda i: F.coalesce(F.element_at(F.col("m"), i), F.lit(0).cast("long"))).alias("words")
         )
 
     def _places(self, key: Column) -> list[Column]:
@@ -77,7 +81,8 @@ class Level:
 
     def holds(self, key: Column) -> Column:
         words = F.lit([int(x) for x in self.literal])
-        tests = [F.getbit(F.element_at(words, F.floor(p / WORD_BITS).cast("int") + 1), (p % WORD_BITS).cast("int")) == 1 for p in self._places(key)]
+        tests = [F.getbit(F.element_at(words, F.floor(p / WORD_BITS).cast("int") + 1),
+            (p % WORD_BITS).cast("int")) == 1 for p in self._places(key)]
         out = tests[0]
         for t in tests[1:]:
             out = out & t
@@ -139,7 +144,8 @@ def url_filter(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
     rules = rules.select(ascii_lower(F.col("host")).alias("host"), F.col("path"), F.col("action")).dropna()
     rules = rules.groupBy("host", "path").agg(F.max(F.col("action") == "block").alias("block"))
     rules = rules.withColumn("key", F.concat("host", F.lit("\t"), "path"))
-    shape = rules.agg(F.count("*").alias("n"), F.collect_set(F.length("path")).alias("lengths"), F.collect_set(F.size(F.split("host", r"\."))).alias("labels")).head()
+    shape = rules.agg(F.count("*").alias("n"), F.collect_set(F.length("path")).alias("lengths"),
+        F.collect_set(F.size(F.split("host", r"\."))).alias("labels")).head()
     host, path = host_path(F.col(f"`{url_col}`"))
     pages = pages.withColumns({"host": host, "path": path})
     if not shape["n"]:
@@ -159,7 +165,8 @@ def url_filter(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
 def _joined(pages: DataFrame, rules: DataFrame, keys: Column, default: str) -> DataFrame:
     """The way beyond max_bits: an equi-join per distinct (host, path)."""
     places = pages.select("host", "path").distinct()
-    hits = places.select("host", "path", F.explode(keys).alias("k")).join(rules.select(F.col("key").alias("_key"), "block"), F.col("k.key") == F.col("_key"))
+    hits = places.select("host", "path", F.explode(keys).alias("k")).join(rules.select(F.col("key").alias("_key"), "block"),
+        F.col("k.key") == F.col("_key"))
     best = hits.groupBy("host", "path").agg(F.min(F.struct("k.size", "k.hosts", "k.rule", "block")).alias("b"))
     best = best.select("host", "path", F.col("b.rule").alias("rule"), F.when(F.col("b.block"), "block").otherwise("allow").alias("_v"))
     return pages.join(best, ["host", "path"], "left").withColumn("verdict", F.coalesce("_v", F.lit(default))).drop("_v")

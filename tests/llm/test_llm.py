@@ -40,7 +40,8 @@ def rows():
             edited[random.randrange(len(edited))] = random.choice(vocabulary).upper()
         out.append((i, " ".join(edited)))
     out += [(i, make(30) + "\n" + shared + "\n" + make(20)) for i in range(40, 60)]
-    out += [(60, make(50)), (60, make(50)), (61, out[-1][1]), (61, out[-1][1]), (62, "a@b.co.uk\nor a.b@c d  +1 (415) 555-0100 and 10.0.0.255 x 300.1.1.1 y 4111 1111 1111 1111 token = \"" + "0a1b2c3d" * 5 + "\" <|endoftext|>end")]
+    out += [(60, make(50)), (60, make(50)), (61, out[-1][1]), (61, out[-1][1]),
+        (62, "a@b.co.uk\nor a.b@c d  +1 (415) 555-0100 and 10.0.0.255 x 300.1.1.1 y 4111 1111 1111 1111 token = \"" + "0a1b2c3d" * 5 + "\" <|endoftext|>end")]
     return out
 
 
@@ -59,7 +60,9 @@ def counted(got, key=lambda r: tuple(r)):
 
 
 def test_url_filter(spark):
-    urls = [None, "", "no scheme", "HTTP://A.Example.NET/en/x?q", "http://net", "http://net/", "http://x.org/fr/1#a", "http://org/de/", "http://example.com/de/1", "https://é.example.com/de/?", "http://myexample.com/de/", "http://net/", "http://org/fr/", "http://.org/fr/", "http://" + "a." * 10_000 + "org/fr/" + "x" * 10_000, "http://" + "a" * 100_000 + ".net", "://" * 30_000]
+    urls = [None, "", "no scheme", "HTTP://A.Example.NET/en/x?q", "http://net", "http://net/", "http://x.org/fr/1#a", "http://org/de/",
+        "http://example.com/de/1", "https://é.example.com/de/?", "http://myexample.com/de/", "http://net/", "http://org/fr/",
+        "http://.org/fr/", "http://" + "a." * 10_000 + "org/fr/" + "x" * 10_000, "http://" + "a" * 100_000 + ".net", "://" * 30_000]
     pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)], "page_id long, url string, verdict string")
     rules = spark.createDataFrame(url_filter.RULES, "host string, path string, action string")
 
@@ -91,7 +94,8 @@ def test_quality(docs, none, rows):
         lines = [x for x in t.split("\n") if words(x)]
         return (len(w), sum(map(len, w)), sum(t.count(c) for c in "#*$%&|<>"), len(lines) - len(set(lines)), len(covered))
 
-    assert counted(got, lambda r: (r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words)) == counted([(i, *stats(t)) for i, t in rows])
+    assert counted(got, lambda r: (r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines,
+        r.n_repeat_words)) == counted([(i, *stats(t)) for i, t in rows])
     assert all(r.part == "clash" and r.kept == (not r.base_failed) for r in got)
     assert quality.quality_rules(none, quality.Trees(base=10.0)).count() == 0
     rng = np.random.RandomState(0)
@@ -106,7 +110,8 @@ def test_quality(docs, none, rows):
 
 
 def test_line_dedup(spark, none):
-    rows = [(i, f"menu\nown {i}\n \nmenu", "h") for i in range(8)] + [(90, "menu", "h"), (91, None, "h"), (92, "menu\nrare", None), (93, "", "g")]
+    rows = [(i, f"menu\nown {i}\n \nmenu", "h") for i in range(8)] + [(90, "menu", "h"), (91, None, "h"), (92, "menu\nrare", None),
+        (93, "", "g")]
     df = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, source string, n_lines int")
     got = {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in line_dedup.line_dedup(df, ratio=0.5).collect()}
     assert got[3] == ("own 3\n ", 4, 2)
@@ -152,7 +157,8 @@ def test_compared_blocks(spark):
     rest = spark.createDataFrame(rows, "class binary, n long, shared long, left array<long>, right array<long>, at long, set binary")
     made = near_dedup._compared(rest, 80, verify=True, block=7)
     plan = made._jdf.queryExecution().toString()
-    assert "hashpartitioning(i#" in plan and re.search(r"Exchange hashpartitioning\(i#\d+, g#\d+L?, u#\d+, v#\d+", plan), "each pair of blocks is dealt on its own"
+    assert "hashpartitioning(i#" in plan and re.search(r"Exchange hashpartitioning\(i#\d+, g#\d+L?, u#\d+, v#\d+",
+        plan), "each pair of blocks is dealt on its own"
     got = [(bytes(r.x), bytes(r.y)) for r in made.collect()]
     sets = {r[0]: set(np.frombuffer(r[6], np.uint64).tolist()) for r in rows}
     want = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
@@ -288,7 +294,8 @@ def test_packing_index(docs):
     norm = packing.K1 * (1 - packing.B + packing.B * lengths / lengths.mean())
     for q in range(n):
         common = {w: np.log1p((n - df[w] + 0.5) / (df[w] + 0.5)) for w in bags[q]}
-        want = [sum(bags[q][w] * i * bags[d][w] * (packing.K1 + 1) / (bags[d][w] + norm[d]) for w, i in common.items() if w in bags[d]) for d in range(n)]
+        want = [sum(bags[q][w] * i * bags[d][w] * (packing.K1 + 1) / (bags[d][w] + norm[d]) for w,
+            i in common.items() if w in bags[d]) for d in range(n)]
         got = index.scores(q)
         assert np.allclose(np.delete(got, q), np.delete(want, q))
 
@@ -299,7 +306,8 @@ def test_packing_fill():
     for few, longest in ((3, 4), (30, 40), (300, 300)):
         terms = [np.unique(rng.randint(few, size=rng.randint(1, 6)).astype(np.uint64)) for _ in range(300)]
         lengths = rng.randint(1, longest, size=300)
-        make = lambda: packing.Index(np.concatenate(terms), np.repeat(np.arange(300), [len(t) for t in terms]), lengths.astype(float))  # noqa: B023, E731
+        make = lambda: packing.Index(np.concatenate(terms), np.repeat(np.arange(300), [len(t) for t in terms]),
+            lengths.astype(float))  # noqa: B023, E731
         index, unused, want, seed, place = make(), set(range(300)), [], None, 0
 
         while seed is not None or unused:
@@ -341,16 +349,22 @@ def test_bpe(docs, none, rows):
     path = P.path("byte_bpe_multi_50k.tiktoken")
     encoder = bpe.rank_encoder(path, P.PATTERN)
     got = bpe.encode_documents(docs, path, P.PATTERN).collect()
-    assert counted(got, lambda r: (r.doc_id, tuple(r.ids), bytes(r.decoded))) == counted([(i, tuple(encoder.encode_ordinary(t or "")), (t or "").encode()) for i, t in rows])
-    extra = docs.sparkSession.createDataFrame([(None, None, 1), (70, [], 2), (70, [], 2), (71, [0, 1, 49_000] * 50_000, 3)], "doc_id long, ids array<int>, decoded int")
-    back = bpe.decode_documents(bpe.encode_documents(docs, path, P.PATTERN).select("doc_id", "ids").unionByName(extra.drop("decoded")), path).collect()
+    assert counted(got, lambda r: (r.doc_id, tuple(r.ids),
+        bytes(r.decoded))) == counted([(i, tuple(encoder.encode_ordinary(t or "")), (t or "").encode()) for i, t in rows])
+    extra = docs.sparkSession.createDataFrame([(None, None, 1), (70, [], 2), (70, [], 2), (71, [0, 1, 49_000] * 50_000, 3)],
+        "doc_id long, ids array<int>, decoded int")
+    back = bpe.decode_documents(bpe.encode_documents(docs, path, P.PATTERN).select("doc_id", "ids").unionByName(extra.drop("decoded")),
+        path).collect()
     plain = bpe.byte_table(path)
-    assert counted(back, lambda r: (r.doc_id, bytes(r.decoded))) == counted([*((i, (t or "").encode()) for i, t in rows), (None, b""), (70, b""), (70, b""), (71, b"".join(plain[i] for i in (0, 1, 49_000)) * 50_000)])
+    assert counted(back, lambda r: (r.doc_id, bytes(r.decoded))) == counted([*((i, (t or "").encode()) for i, t in rows), (None, b""),
+        (70, b""), (70, b""), (71, b"".join(plain[i] for i in (0, 1, 49_000)) * 50_000)])
     assert counted(bpe.decode_documents(extra, path).collect(), lambda r: r.doc_id) == counted([None, 70, 70, 71], lambda x: x)
     tokenizer = bpe.json_tokenizer(P.path("byte_bpe_50k.json"))
     counts = bpe.token_counts(docs, P.path("byte_bpe_50k.json"), P.PATTERN).collect()
-    assert counted(counts) == counted([(i, len((t or "").encode()), len(tokenizer.encode(t or "", add_special_tokens=False).ids)) for i, t in rows])
-    assert bpe.encode_documents(none, path, P.PATTERN, digests=True).count() == 0 and bpe.token_counts(none, P.path("byte_bpe_50k.json"), P.PATTERN).count() == 0
+    assert counted(counts) == counted([(i, len((t or "").encode()), len(tokenizer.encode(t or "", add_special_tokens=False).ids)) for i,
+        t in rows])
+    assert bpe.encode_documents(none, path, P.PATTERN, digests=True).count() == 0 and bpe.token_counts(none, P.path("byte_bpe_50k.json"),
+        P.PATTERN).count() == 0
 
 
 def test_substring_dedup(docs, none, rows):
@@ -371,11 +385,13 @@ def test_substring_dedup(docs, none, rows):
 
 def plain_spans(text):
     """The contract's base spans by the plain patterns."""
-    kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    kinds = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
     good = {
         "email": lambda m: True,
         "ip": lambda m: all(int(x) <= 255 for x in m.split(".")),
-        "card": lambda m: 14 <= len(d := re.sub("[ -]", "", m)) <= 19 and sum((int(c) * 2 - 9 * (int(c) > 4)) if k % 2 else int(c) for k, c in enumerate(d[::-1])) % 10 == 0,
+        "card": lambda m: 14 <= len(d := re.sub("[ -]", "", m)) <= 19 and sum((int(c) * 2 - 9 * (int(c) > 4)) if k % 2 else int(c) for k,
+        c in enumerate(d[::-1])) % 10 == 0,
         "phone": lambda m: 10 <= len(re.sub("[^0-9]", "", m)) <= 15,
     }
     found = [(k, *m.span()) for k, p in kinds.items() for m in re.finditer(p, text) if good[k](m[0])]
@@ -410,7 +426,8 @@ def test_pii(docs, none, rows):
     for _ in range(5000):
         t = "".join(random.choices("a1@.-+ (9", k=random.randint(1, 30)))
         assert pii.base_spans(t) == plain_spans(t), t
-    long = {"1": "1" * 10**6, "-": "-" * 10**6 + "1", "x": "1 " + "x" * 10**6, "@": "a@" * 500_000, ".": "1." * 500_000, "+": "+1-" * 300_000, "_": "_1a" * 300_000}
+    long = {"1": "1" * 10**6, "-": "-" * 10**6 + "1", "x": "1 " + "x" * 10**6, "@": "a@" * 500_000, ".": "1." * 500_000,
+        "+": "+1-" * 300_000, "_": "_1a" * 300_000}
     for t in long.values():  # a quadratic pattern needs hours for these
         began = time.time()
         spans = pii.base_spans(t)
@@ -420,7 +437,8 @@ def test_pii(docs, none, rows):
         assert pii.base_spans(t[:3000]) == plain_spans(t[:3000]), c
     clash = docs.select("doc_id", "text", F.lit("clash").alias("spans"), F.lit(1).alias("n_ip"))
     again = pii.find(clash.unionByName(clash), model).collect()
-    assert counted(again) == counted(2 * [(i, *(sum(s[0] == k for s in plain_spans(t or "")) for k in pii.BASE), joined(plain_spans(t or "")), *added(model, t or "")) for i, t in rows])
+    assert counted(again) == counted(2 * [(i, *(sum(s[0] == k for s in plain_spans(t or "")) for k in pii.BASE),
+        joined(plain_spans(t or "")), *added(model, t or "")) for i, t in rows])
     truth = [random.random() < 0.4 for _ in range(4000)]
     votes = collections.Counter(("secret", tuple((1 if y == (random.random() < r) else -1) for r in (0.9, 0.8, 0.7, 0.6))) for y in truth)
     found, _ = pii.estimate([(k, v, n) for (k, v), n in votes.items()])
@@ -437,7 +455,8 @@ def plain_stats(text):
     n, c, l = max(1, len(w)), max(1, chars), max(1, len(lines))
     count = lambda among: sum(x in among for x in t)
     upper, digits = count("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), count("0123456789")
-    features = [np.log1p(len(w)), chars / n, symbols / n, dup / l, len(covered) / n, len(w) / l, count(".!?") / n, len(set(w)) / n, upper / c, sum(len(x) <= 3 for x in w) / n, digits / c]
+    features = [np.log1p(len(w)), chars / n, symbols / n, dup / l, len(covered) / n, len(w) / l, count(".!?") / n, len(set(w)) / n,
+        upper / c, sum(len(x) <= 3 for x in w) / n, digits / c]
     return (len(w), chars, symbols, dup, len(covered)), features
 
 
@@ -468,8 +487,10 @@ def corpus(spark, tmp_path_factory):
         docs.append((i, " ".join(w), f"mirror{i}"))
     docs += [(100, make(6) + "\nmail a.b@c.org or +1 415 555 0100, card 4111 1111 1111 1111, host 10.0.0.1 key = \"sk-" + "0a1B2c3D" * 4 + "\"", "s0"), (101, None, "s0"), (102, "", None), (103, "short", "s0"), (104, make(2500), "s0")]
     folder = str(tmp_path_factory.mktemp("corpus"))
-    spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in docs], "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{folder}/documents.parquet")
-    spark.createDataFrame([(i, int(i < 60), 0) for i in range(0, 90)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in docs],
+        "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, int(i < 60), 0) for i in range(0, 90)],
+        "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     return folder, docs
 
 
@@ -509,7 +530,8 @@ def test_pipeline(spark, corpus):
     hosts = collections.defaultdict(list)
     for t, s in want.values():
         hosts[s].append({x for x in t.split("\n") if words(x)})
-    boiler = {s: {x for x in set().union(*pages) if (n := sum(x in p for p in pages)) >= 5 and n > 0.08 * len(pages)} for s, pages in hosts.items()}
+    boiler = {s: {x for x in set().union(*pages) if (n := sum(x in p for p in pages)) >= 5 and n > 0.08 * len(pages)} for s,
+        pages in hosts.items()}
 
     def lines(t, s):
         kept = [x for x in t.split("\n") if x not in boiler[s]]
@@ -550,7 +572,8 @@ def test_pipeline(spark, corpus):
 
 def test_tokens_of_a_whole_table(spark):
     """The rank file and its special token give the ids of the other library's file, over all documents of a table."""
-    encoder, tokenizer = bpe.rank_encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN, special=True), bpe.json_tokenizer(P.path("byte_bpe_50k.json"))
+    encoder, tokenizer = bpe.rank_encoder(P.path("byte_bpe_50k.tiktoken"), P.PATTERN,
+        special=True), bpe.json_tokenizer(P.path("byte_bpe_50k.json"))
     texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()] + ["a<|endoftext|>b", "<|endoftext|>" * 3]
     got = packing.token_ids(encoder, texts, 1)
     assert [x.tolist() for x in got] == [[*e.ids, 1] for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -581,12 +604,16 @@ def test_edges(spark):
     out = line_dedup.line_dedup(df, ratio=0.5).collect()
     assert counted(out, lambda r: (r.doc_id, r.text)) == counted([(i, t.replace("menu\n", "").replace("\nmenu", "")) for i, t, _ in many])
     assert line_dedup.line_dedup(df, ratio=0.01, min_pages=1, spare_whole=False).filter("text <> ''").count() == 0
-    rules = spark.createDataFrame([("b.c", "/x", "allow"), ("c", "/xyz", "block"), ("c", "/xyz", "allow")], "host string, path string, action string")
-    urls = spark.createDataFrame([(i, u) for i, u in enumerate(["http://a.b.c/xyz", "http://b.c/x", "http://b.c/xyz"] * 2)], "page_id long, url string")
+    rules = spark.createDataFrame([("b.c", "/x", "allow"), ("c", "/xyz", "block"), ("c", "/xyz", "allow")],
+        "host string, path string, action string")
+    urls = spark.createDataFrame([(i, u) for i, u in enumerate(["http://a.b.c/xyz", "http://b.c/x", "http://b.c/xyz"] * 2)],
+        "page_id long, url string")
     got = {r.url: (r.rule, r.verdict) for r in url_filter.url_filter(urls, rules).collect()}
-    assert got == {"http://a.b.c/xyz": ("b.c/x", "allow"), "http://b.c/x": ("b.c/x", "allow"), "http://b.c/xyz": ("b.c/x", "allow")}  # equal lengths: the longer host
+    assert got == {"http://a.b.c/xyz": ("b.c/x", "allow"), "http://b.c/x": ("b.c/x", "allow"),
+        "http://b.c/xyz": ("b.c/x", "allow")}  # equal lengths: the longer host
     assert url_filter.url_filter(urls, rules.limit(0)).filter("verdict = 'allow'").count() == 6
     clash = spark.createDataFrame([(1, "one two three", "p", 1.0)] * 3, "doc_id long, text string, fingerprint string, near_next double")
     assert counted(simhash.compare_with_edits(clash).collect(), lambda r: (r.doc_id, r.near_next)) == {(1, 1.0): 3}
-    tied = packing.pack(spark.createDataFrame([(7, "same words here", "p")] * 40, "doc_id long, text string, ids string"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN, shard_docs=8)
+    tied = packing.pack(spark.createDataFrame([(7, "same words here", "p")] * 40, "doc_id long, text string, ids string"),
+        P.path("byte_bpe_50k.tiktoken"), P.PATTERN, shard_docs=8)
     assert tied.count() >= 40 and tied.agg(F.sum("length")).head()[0] == 40 * tied.head().doc_tokens
