@@ -47,7 +47,8 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, digests=True)
 
 
-STAGES = [("quality_rules", quality_stage), ("line_dedup", line_stage), ("near_dedup", near_stage), ("pii", pii_stage), ("packing", packing_stage)]
+STAGES = [("quality_rules", quality_stage), ("line_dedup", line_stage), ("near_dedup", near_stage), ("pii", pii_stage),
+    ("packing", packing_stage)]
 
 #: SQL can't express trees, the classifier, or packing; test_pipeline compares every stage and run() with plain versions.
 ORACLE_SQL = None
