@@ -77,7 +77,8 @@ def hsl(hue: Column, saturation: float, lightness: float) -> Column:
 
     def part(shift: float) -> Column:
         h = F.pmod(hue + shift, F.lit(1.0))
-        value = F.when(h < 1 / 6, low + (top - low) * 6 * h).when(h < 1 / 2, F.lit(top)).when(h < 2 / 3, low + (top - low) * 6 * (2 / 3 - h)).otherwise(F.lit(low))
+        value = F.when(h < 1 / 6, low + (top - low) * 6 * h).when(h < 1 / 2, F.lit(top)).when(h < 2 / 3,
+            low + (top - low) * 6 * (2 / 3 - h)).otherwise(F.lit(low))
         return F.lpad(F.lower(F.hex(F.floor(value * 255 + 0.5).cast("long"))), 2, "0")
 
     return F.concat(F.lit("#"), part(1 / 3), part(0.0), part(-1 / 3))

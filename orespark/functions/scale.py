@@ -41,14 +41,19 @@ def quantile_bins(df: DataFrame, value_col: str, n: int, group_cols: list[str] |
     counts = values.groupBy(*map(ref, group_cols or []), "v").agg(F.count("*").alias("k"))
     if group_cols:
         w = Window.partitionBy(*map(ref, group_cols))
-        placed = counts.withColumns({"stop": F.sum("k").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)), "N": F.sum("k").over(w)})
+        placed = counts.withColumns({"stop": F.sum("k").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)),
+            "N": F.sum("k").over(w)})
     else:
         placed = ranked(counts, "v", F.col("k")).withColumnsRenamed({"_stop": "stop", "_total": "N"})
     at = lambda i: F.least(F.col("N") - 1, F.floor(F.lit(i / n) * F.col("N")))
     holds = lambda r: (r >= F.col("stop") - F.col("k")) & (r < F.col("stop"))
     edges = F.array_compact(F.array(*[F.when(holds(at(i)), F.lit(i)) for i in range(n + 1)]))
-    found = placed.select(*map(ref, group_cols or []), "v", F.explode(edges).alias("i")).groupBy(*map(ref, group_cols or [])).agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("m"))
-    return found.select(*map(ref, group_cols or []), "m", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("bin")).select(*map(ref, group_cols or []), "bin", F.element_at("m", F.col("bin")).alias("lo"), F.element_at("m", F.col("bin") + 1).alias("hi"))
+    found = placed.select(*map(ref, group_cols or []), "v",
+        F.explode(edges).alias("i")).groupBy(*map(ref,
+        group_cols or [])).agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("m"))
+    return found.select(*map(ref, group_cols or []), "m",
+        F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("bin")).select(*map(ref, group_cols or []), "bin",
+        F.element_at("m", F.col("bin")).alias("lo"), F.element_at("m", F.col("bin") + 1).alias("hi"))
 
 
 def systematic_sample(df: DataFrame, order_col: str, most: int = 3000) -> DataFrame:
@@ -77,7 +82,8 @@ def bin_label(lo: Column, hi: Column) -> Column:
     def shown(v: Column) -> Column:
         size = F.abs(v)
         fixed = lambda k: F.format_string(f"%.{k}f", v)
-        return F.when(v.isNull(), "n/a").when(size >= 1000, fixed(0)).when(size >= 10, fixed(1)).when(size >= 0.1, fixed(2)).otherwise(fixed(3))
+        return F.when(v.isNull(), "n/a").when(size >= 1000, fixed(0)).when(size >= 10, fixed(1)).when(size >= 0.1,
+            fixed(2)).otherwise(fixed(3))
 
     return F.concat(shown(lo), F.lit(" – "), shown(hi))
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 # Canonical names and the source names that stand for them (lower case).
 SOURCE_NAMES: dict[str, list[str]] = {
     "hole_id": ["hole_id", "holeid", "hole id", "hole-id"],
-    "datasource_hole_id": ["datasource_hole_id", "datasourceholeid", "datasource hole id", "datasource-hole-id", "company_hole_id", "companyholeid", "company hole id", "company-hole-id"],
-    "project_id": ["project_id", "projectid", "project id", "project-id", "project_code", "projectcode", "project code", "project-code", "company_id", "companyid", "company id", "company-id", "dataset", "project"],
+    "datasource_hole_id": ["datasource_hole_id", "datasourceholeid", "datasource hole id", "datasource-hole-id", "company_hole_id",
+    "companyholeid", "company hole id", "company-hole-id"],
+    "project_id": ["project_id", "projectid", "project id", "project-id", "project_code", "projectcode", "project code", "project-code",
+    "company_id", "companyid", "company id", "company-id", "dataset", "project"],
     "latitude": ["latitude", "lat"],
     "longitude": ["longitude", "lon"],
     "elevation": ["elevation", "rl", "elev", "z"],
@@ -16,16 +18,19 @@ SOURCE_NAMES: dict[str, list[str]] = {
     "from": ["from", "depth_from", "from_depth", "samp_from", "sample_from", "sampfrom", "fromdepth"],
     "to": ["to", "depth_to", "to_depth", "samp_to", "sample_to", "sampto", "todepth"],
     "geology_code": ["geology_code", "geologycode", "lith1", "lith1code", "lith1_code", "lithology", "plot_lithology", "rock1"],
-    "azimuth": ["azimuth", "az", "dip_direction", "dipdir", "dip direction", "dipdrn", "dipdirection", "dip_dir", "computed_plane_azimuth", "calc_dipdir", "calc_dipdir_deg", "dipdir_calc", "dipdirect_calc"],
+    "azimuth": ["azimuth", "az", "dip_direction", "dipdir", "dip direction", "dipdrn", "dipdirection", "dip_dir", "computed_plane_azimuth",
+    "calc_dipdir", "calc_dipdir_deg", "dipdir_calc", "dipdirect_calc"],
     "dip": ["dip", "computed_plane_dip", "calc_dip", "calc_dip_deg", "dip_calc"],
     "depth": ["depth", "survey_depth", "surveydepth"],
     "alpha": ["alpha", "alpha_angle", "alpha_angle_deg", "alpha_2"],
     "beta": ["beta", "beta_angle", "beta_angle_deg", "beta_2"],
     "declination": ["declination", "dec"],
-    "comments": ["comment", "comments", "structcomment", "geology_comment", "geologycomment", "geology comment", "lithology_comment", "lithology comment", "geology_description", "geologydescription"],
+    "comments": ["comment", "comments", "structcomment", "geology_comment", "geologycomment", "geology comment", "lithology_comment",
+    "lithology comment", "geology_description", "geologydescription"],
 }
 # What differs in the other dialect of names, which keeps descriptions apart from comments and knows strikes.
-DESCRIPTIONS = ["geology_description", "geologydescription", "geology_comment", "geologycomment", "geology comment", "lithology_comment", "lithology comment", "description", "comments"]
+DESCRIPTIONS = ["geology_description", "geologydescription", "geology_comment", "geologycomment", "geology comment", "lithology_comment",
+    "lithology comment", "description", "comments"]
 STRIKES = ["strike", "str"]
 # The same for block models.
 BLOCK_SOURCE_NAMES: dict[str, list[str]] = {

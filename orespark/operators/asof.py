@@ -19,9 +19,12 @@ POSITION = ["easting", "northing", "elevation"]
 
 def _stream(queries: DataFrame, traces: DataFrame, at: Column, payload: Column, after: bool, ties: list[str]) -> DataFrame:
     """hole, t, side, q (the query row) and v (the vertex), vertices before (or after) queries of equal depth."""
-    q = queries.select(F.col("hole_id").alias("_h"), at.alias("_t"), F.lit(0 if after else 1).alias("_side"), F.struct(*map(ref, queries.columns)).alias("_q"))
-    t = traces.select(F.col("hole_id").alias("_h"), number(F.col("md")).alias("_t"), F.lit(1 if after else 0).alias("_side"), payload.alias("_v"), F.struct(*map(ref, ties)).alias("_tie"))
-    return q.filter("_h is not null and _t is not null").unionByName(t.filter("_h is not null and _t is not null"), allowMissingColumns=True)
+    q = queries.select(F.col("hole_id").alias("_h"), at.alias("_t"), F.lit(0 if after else 1).alias("_side"),
+        F.struct(*map(ref, queries.columns)).alias("_q"))
+    t = traces.select(F.col("hole_id").alias("_h"), number(F.col("md")).alias("_t"), F.lit(1 if after else 0).alias("_side"),
+        payload.alias("_v"), F.struct(*map(ref, ties)).alias("_tie"))
+    return q.filter("_h is not null and _t is not null").unionByName(t.filter("_h is not null and _t is not null"),
+        allowMissingColumns=True)
 
 
 def _ahead(name: str, ties: str) -> Column:
@@ -29,7 +32,8 @@ def _ahead(name: str, ties: str) -> Column:
     return F.expr(f"lead({name}, 1) ignore nulls over (partition by _h order by _t, _side, _tie {ties})")
 
 
-def nearest_vertex(queries: DataFrame, traces: DataFrame, depth_col: str, columns: list[str] | None = None, duplicates: str = "last", keep_unplaced: bool = False) -> DataFrame:
+def nearest_vertex(queries: DataFrame, traces: DataFrame, depth_col: str, columns: list[str] | None = None, duplicates: str = "last",
+    keep_unplaced: bool = False) -> DataFrame:
     """queries with the columns of the nearest trace vertex of their hole (nulls where the hole has no trace).
 
     At equal distance the smaller md counts; of vertices with equal md the last (or first) in source order. A clashing
@@ -45,7 +49,8 @@ def nearest_vertex(queries: DataFrame, traces: DataFrame, depth_col: str, column
     # of vertices with equal md only the wanted one, the last in this order, is seen by queries
     final = F.coalesce((F.lead("_t").over(w) != F.col("_t")) | (F.lead("_side").over(w) != F.col("_side")), F.lit(True))
     rows = rows.withColumn("_v", F.when(final, F.col("_v")))
-    rows = rows.withColumns({"_b": F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_f": _ahead("_v", "asc" if duplicates == "last" else "desc")})
+    rows = rows.withColumns({"_b": F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
+        "_f": _ahead("_v", "asc" if duplicates == "last" else "desc")})
     rows = rows.filter("_q is not null")
     back = F.col("_f").isNull() | (F.col("_b").isNotNull() & (F.col("_t") - F.col("_b._md") <= F.col("_f._md") - F.col("_t")))
     rows = rows.withColumn("_p", F.when(back, F.col("_b")).otherwise(F.col("_f")))
@@ -66,7 +71,8 @@ def attach_structure_positions(structures: DataFrame, traces: DataFrame, depth_c
     return nearest_vertex(structures, traces, depth_col if depth_col in structures.columns else "mid", POSITION)
 
 
-def interpolate_positions(queries: DataFrame, traces: DataFrame, depth_col: str = "depth", columns: list[str] | None = None, clamp: bool = False, direction: bool = False) -> DataFrame:
+def interpolate_positions(queries: DataFrame, traces: DataFrame, depth_col: str = "depth", columns: list[str] | None = None,
+    clamp: bool = False, direction: bool = False) -> DataFrame:
     """queries with `columns` interpolated at their depth: on the first segment that encloses it, beyond the ends along the
     end segments (or held at the end vertex, with clamp). A single vertex stands for every depth. Holes without a trace drop out.
 
@@ -77,7 +83,8 @@ def interpolate_positions(queries: DataFrame, traces: DataFrame, depth_col: str
     columns = columns or POSITION
     ties = [ROW] if ROW in traces.columns else columns
     w = Window.partitionBy("hole_id").orderBy("md", *map(ref, ties))
-    angles = [(number(F.col(c)) if c in traces.columns else F.lit(None).cast("double")).alias(f"_{c}") for c in ("azimuth", "dip")] if direction else []
+    angles = [(number(F.col(c)) if c in traces.columns else F.lit(None).cast("double")).alias(f"_{c}") for c in ("azimuth",
+        "dip")] if direction else []
     if direction:
         columns = [*columns, *[c for c in POSITION if c not in columns]]
     point = F.struct(number(F.col("md")).alias("md"), *[number(ref(c)).alias(c) for c in columns], *angles)
@@ -89,7 +96,8 @@ def interpolate_positions(queries: DataFrame, traces: DataFrame, depth_col: str
         "_b": F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
         "_f": _ahead("_v", "asc"),
     }).filter("_q is not null and (_b is not null or _f is not null)")
-    a = F.when(F.col("_b").isNull(), F.col("_f._here")).when(F.col("_b._next").isNull(), F.coalesce("_b._back", "_b._here")).otherwise(F.col("_b._here"))
+    a = F.when(F.col("_b").isNull(), F.col("_f._here")).when(F.col("_b._next").isNull(),
+        F.coalesce("_b._back", "_b._here")).otherwise(F.col("_b._here"))
     b = F.when(F.col("_b").isNull(), F.col("_f._next")).when(F.col("_b._next").isNull(), F.col("_b._here")).otherwise(F.col("_b._next"))
     rows = rows.withColumns({"_s": a, "_e": b}).withColumns({"_s": F.coalesce("_s", "_e"), "_e": F.coalesce("_e", "_s")})
     length = F.col("_e.md") - F.col("_s.md")
@@ -105,16 +113,20 @@ def interpolate_positions(queries: DataFrame, traces: DataFrame, depth_col: str
         step = [F.col("_e").getField(c) - F.col("_s").getField(c) for c in POSITION]
         size = F.sqrt(sum(x * x for x in step))
         known = F.col("_s._azimuth").isNotNull() & F.col("_s._dip").isNotNull()
-        turned = [F.when(alone, down).when(known, d).when(size >= 1e-10, x / size).otherwise(down).alias(n) for n, d, x, down in zip(("dir_x", "dir_y", "dir_z"), unit_direction(*angle), step, map(F.lit, (0.0, 0.0, -1.0)), strict=True)]
-    value = lambda c: F.col("_s").getField(c) + F.coalesce(part * (F.col("_e").getField(c) - F.col("_s").getField(c)), F.lit(0.0))
-    return rows.select(*[F.col("_q").getField(c).alias(c) for c in queries.columns], *[value(c).alias(c if c not in queries.columns else f"{c}_trace") for c in columns], *turned)
+        turned = [F.when(alone, down).when(known, d).when(size >= 1e-10, x / size).otherwise(down).alias(n) for n, d, x,
+            down in zip(("dir_x", "dir_y", "dir_z"), unit_direction(*angle), step, map(F.lit, (0.0, 0.0, -1.0)), strict=True)]
+    value = lambda c: F.col("_s").getField(c) + F.coalesce(part * (F.col("_e").getField(c) - F.col("_s").getField(c)),
+        F.lit(0.0))
+    return rows.select(*[F.col("_q").getField(c).alias(c) for c in queries.columns],
+        *[value(c).alias(c if c not in queries.columns else f"{c}_trace") for c in columns], *turned)
 
 
 def resample_trace(traces: DataFrame, step: float) -> DataFrame:
     """hole_id, md and position every `step` from the first vertex on; positions past the end stay at the last vertex."""
     ends = traces.groupBy("hole_id").agg(F.min("md").alias("lo"), F.max("md").alias("hi"))
     count = F.greatest(F.lit(1), F.ceil((F.col("hi") + step - F.col("lo")) / step).cast("int"))
-    marks = ends.select("hole_id", "lo", F.explode(F.sequence(F.lit(0), count - 1)).alias("k")).select("hole_id", (F.col("lo") + F.col("k") * F.lit(float(step))).alias("md_out"))
+    marks = ends.select("hole_id", "lo", F.explode(F.sequence(F.lit(0), count - 1)).alias("k")).select("hole_id",
+        (F.col("lo") + F.col("k") * F.lit(float(step))).alias("md_out"))
     return interpolate_positions(marks, traces, "md_out", clamp=True).withColumnRenamed("md_out", "md")
 
 
@@ -124,7 +136,8 @@ def join_assays_to_traces(assays: DataFrame, traces: DataFrame, on: list[str], l
     if last_only:
         others = [c for c in traces.columns if c not in on]
         row = F.struct(*[ref(c) for c in dict.fromkeys([ROW, *others]) if c in others])
-        right = traces.groupBy(*map(ref, on)).agg(F.max(row).alias("_r")).select(*map(ref, on), *[F.col("_r").getField(c).alias(c) for c in others])
+        right = traces.groupBy(*map(ref, on)).agg(F.max(row).alias("_r")).select(*map(ref, on),
+            *[F.col("_r").getField(c).alias(c) for c in others])
     right = right.select(*[ref(c).alias(f"_on_{c}" if c in on else f"{c}_trace" if c in assays.columns else c) for c in right.columns])
     same = F.lit(True)
     for c in on:

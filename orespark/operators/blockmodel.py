@@ -74,7 +74,8 @@ def numeric_stats(df: DataFrame, name: str, criteria: Criteria = None) -> DataFr
     if name not in df.columns:
         raise KeyError(name)
     v = number(ref(name))
-    return filter_blocks(df, criteria).agg(F.count(v).alias("count"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.coalesce(F.sum(v), F.lit(0.0)).alias("sum"))
+    return filter_blocks(df, criteria).agg(F.count(v).alias("count"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"),
+        F.stddev_samp(v).alias("std"), F.coalesce(F.sum(v), F.lit(0.0)).alias("sum"))
 
 
 def category_counts(df: DataFrame, name: str, criteria: Criteria = None) -> DataFrame:
@@ -84,7 +85,8 @@ def category_counts(df: DataFrame, name: str, criteria: Criteria = None) -> Data
 
 def bounding_box(df: DataFrame) -> DataFrame:
     """One row: min and max of each axis over centre -/+ half a size."""
-    return df.agg(*[f(F.col(a) + sign * F.col(f"d{a}") / 2).alias(f"{n}_{a}") for a in "xyz" for n, f, sign in (("min", F.min, -1), ("max", F.max, 1))])
+    return df.agg(*[f(F.col(a) + sign * F.col(f"d{a}") / 2).alias(f"{n}_{a}") for a in "xyz" for n, f,
+        sign in (("min", F.min, -1), ("max", F.max, 1))])
 
 
 def size_stats(df: DataFrame) -> DataFrame:
@@ -94,7 +96,8 @@ def size_stats(df: DataFrame) -> DataFrame:
 
 def property_stats(df: DataFrame, names: list[str]) -> dict[str, dict]:
     """property_table() and property_categories() as a dictionary, for small domains: categories come to the driver."""
-    marks = [f(ref(c)).alias(f"{i}{k}") for i, c in enumerate(names) for k, f in (("n", F.count), ("v", lambda x: F.count(number(x))), ("lo", lambda x: F.min(number(x))), ("hi", lambda x: F.max(number(x))))]
+    marks = [f(ref(c)).alias(f"{i}{k}") for i, c in enumerate(names) for k,
+        f in (("n", F.count), ("v", lambda x: F.count(number(x))), ("lo", lambda x: F.min(number(x))), ("hi", lambda x: F.max(number(x))))]
     row, out = df.agg(*marks).head(), {}
     for i, c in enumerate(names):
         if row[f"{i}n"] and row[f"{i}n"] == row[f"{i}v"]:
@@ -164,10 +167,13 @@ def load_metadata(source: str | Mapping) -> dict:
 def property_table(df: DataFrame, names: list[str]) -> DataFrame:
     """property, numeric, min, max, n_categories: numeric if all its non-null values are numbers, else its distinct values are
     counted. One aggregate over the blocks."""
-    marks = [F.struct(F.lit(c).alias("property"), (F.count(ref(c)) > 0).alias("some"), (F.count(ref(c)) == F.count(number(ref(c)))).alias("all"), F.min(number(ref(c))).alias("min"), F.max(number(ref(c))).alias("max"), F.count_distinct(ref(c)).alias("n")) for c in names]
+    marks = [F.struct(F.lit(c).alias("property"), (F.count(ref(c)) > 0).alias("some"),
+        (F.count(ref(c)) == F.count(number(ref(c)))).alias("all"), F.min(number(ref(c))).alias("min"), F.max(number(ref(c))).alias("max"),
+        F.count_distinct(ref(c)).alias("n")) for c in names]
     rows = df.agg(F.array(*marks).alias("m")).select(F.explode("m").alias("m")).select("m.*")
     numeric = F.col("some") & F.col("all")
-    return rows.select("property", numeric.alias("numeric"), F.when(numeric, F.col("min")).alias("min"), F.when(numeric, F.col("max")).alias("max"), F.when(~numeric, F.col("n")).alias("n_categories"))
+    return rows.select("property", numeric.alias("numeric"), F.when(numeric, F.col("min")).alias("min"),
+        F.when(numeric, F.col("max")).alias("max"), F.when(~numeric, F.col("n")).alias("n_categories"))
 
 
 def property_categories(df: DataFrame, name: str) -> DataFrame:
@@ -185,25 +191,31 @@ def overlaps(df: DataFrame, id_col: str = ROW) -> DataFrame:
     corner only, so no distinct step follows.
     """
     size = F.greatest("dx", "dy", "dz")
-    rows = df.select(ref(id_col).alias("id"), F.ceil(F.log2(F.when(size > 0, size))).cast("int").alias("class"), *[(F.col(a) + s * F.col(f"d{a}") / 2).alias(f"{n}{a}") for a in "xyz" for n, s in (("lo", -1), ("hi", 1))]).dropna()
+    rows = df.select(ref(id_col).alias("id"), F.ceil(F.log2(F.when(size > 0, size))).cast("int").alias("class"),
+        *[(F.col(a) + s * F.col(f"d{a}") / 2).alias(f"{n}{a}") for a in "xyz" for n, s in (("lo", -1), ("hi", 1))]).dropna()
     levels = sorted(r[0] for r in rows.select("class").distinct().collect())  # a few powers of two
     if not levels:
         return df.select(ref(id_col).alias("block_a"), ref(id_col).alias("block_b")).limit(0)
-    rows = rows.select("*", F.explode(F.filter(F.lit(levels), lambda k: k >= F.col("class"))).alias("level")).withColumn("cell", F.pow(F.lit(2.0), "level"))
+    rows = rows.select("*", F.explode(F.filter(F.lit(levels), lambda k: k >= F.col("class"))).alias("level")).withColumn("cell",
+        F.pow(F.lit(2.0), "level"))
     for a in "xyz":
-        rows = rows.select("*", F.explode(F.sequence(F.floor(F.col(f"lo{a}") / F.col("cell")), F.floor(F.col(f"hi{a}") / F.col("cell")))).alias(f"c{a}"))
+        rows = rows.select("*", F.explode(F.sequence(F.floor(F.col(f"lo{a}") / F.col("cell")),
+            F.floor(F.col(f"hi{a}") / F.col("cell")))).alias(f"c{a}"))
     a, b = rows.filter("class = level").alias("a"), rows.alias("b")
     cell = reduce(operator.and_, [F.col(f"a.{x}") == F.col(f"b.{x}") for x in ("level", "cx", "cy", "cz")])
-    meet = reduce(operator.and_, [(F.col(f"a.lo{x}") < F.col(f"b.hi{x}") - TOLERANCE) & (F.col(f"b.lo{x}") < F.col(f"a.hi{x}") - TOLERANCE) for x in "xyz"])
+    meet = reduce(operator.and_,
+        [(F.col(f"a.lo{x}") < F.col(f"b.hi{x}") - TOLERANCE) & (F.col(f"b.lo{x}") < F.col(f"a.hi{x}") - TOLERANCE) for x in "xyz"])
     corner = reduce(operator.and_, [F.floor(F.greatest(f"a.lo{x}", f"b.lo{x}") / F.col("a.cell")) == F.col(f"a.c{x}") for x in "xyz"])
     once = (F.col("b.class") < F.col("a.class")) & (F.col("a.id") != F.col("b.id")) | (F.col("a.id") < F.col("b.id"))
-    return a.join(b, cell & once & meet & corner).select(F.least("a.id", "b.id").alias("block_a"), F.greatest("a.id", "b.id").alias("block_b"))
+    return a.join(b, cell & once & meet & corner).select(F.least("a.id", "b.id").alias("block_a"),
+        F.greatest("a.id", "b.id").alias("block_b"))
 
 
 def exterior_faces(df: DataFrame, id_col: str = ROW) -> DataFrame:
     """id, axis, side of the faces without a block centre on their other side (at one size away, to whole units)."""
     whole = lambda c: F.floor(c + 0.5)
-    faces = F.array(*[F.struct(F.lit(a).alias("axis"), F.lit(s).alias("side"), *[whole(F.col(x) + (s * F.col(f"d{a}") if x == a else F.lit(0.0))).alias(f"k{x}") for x in "xyz"]) for a in "xyz" for s in (-1, 1)])
+    faces = F.array(*[F.struct(F.lit(a).alias("axis"), F.lit(s).alias("side"),
+        *[whole(F.col(x) + (s * F.col(f"d{a}") if x == a else F.lit(0.0))).alias(f"k{x}") for x in "xyz"]) for a in "xyz" for s in (-1, 1)])
     rows = df.select(ref(id_col), F.explode(faces).alias("f")).select(ref(id_col), "f.*")
     centres = df.select(*[whole(F.col(x)).alias(f"k{x}") for x in "xyz"])
     return rows.join(centres, ["kx", "ky", "kz"], "left_anti").select(ref(id_col), "axis", "side")

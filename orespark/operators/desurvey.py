@@ -44,7 +44,8 @@ def first_rows(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(ref(key)).agg(F.min(row).alias("_r")).select(ref(key), "_r.*")
 
 
-def desurvey_holes(collars: DataFrame, surveys: DataFrame, step: float = 1.0, method: str = "minimum_curvature", depth_col: str = "depth", z_down: bool = False, xyz: tuple[str, str, str] = ("easting", "northing", "elevation")) -> DataFrame:
+def desurvey_holes(collars: DataFrame, surveys: DataFrame, step: float = 1.0, method: str = "minimum_curvature", depth_col: str = "depth",
+    z_down: bool = False, xyz: tuple[str, str, str] = ("easting", "northing", "elevation")) -> DataFrame:
     """hole_id, md, easting, northing, elevation, azimuth, dip: vertices about every `step` along each hole.
 
     Station rows without numeric depth, azimuth or dip are left out, as are pairs that don't go deeper, collars without
@@ -54,8 +55,10 @@ def desurvey_holes(collars: DataFrame, surveys: DataFrame, step: float = 1.0, me
         raise ValueError(f"unknown method: {method}")
     step = step if step > 0 else 1.0
     tops = first_rows(collars.select(*[c for c in collars.columns if c in ("hole_id", *xyz, ROW)]), "hole_id")
-    tops = tops.select("hole_id", *[(F.coalesce(number(F.col(c)), F.lit(0.0)) if c in tops.columns else F.lit(0.0)).alias(n) for c, n in zip(xyz, ("_x", "_y", "_z"), strict=True)])
-    stations = surveys.select("hole_id", number(ref(depth_col)).alias("md"), number(F.col("azimuth")).alias("az"), number(F.col("dip")).alias("dip"), *([ROW] if ROW in surveys.columns else [])).dropna(subset=["hole_id", "md", "az", "dip"])
+    tops = tops.select("hole_id", *[(F.coalesce(number(F.col(c)), F.lit(0.0)) if c in tops.columns else F.lit(0.0)).alias(n) for c,
+        n in zip(xyz, ("_x", "_y", "_z"), strict=True)])
+    stations = surveys.select("hole_id", number(ref(depth_col)).alias("md"), number(F.col("azimuth")).alias("az"),
+        number(F.col("dip")).alias("dip"), *([ROW] if ROW in surveys.columns else [])).dropna(subset=["hole_id", "md", "az", "dip"])
     order = Window.partitionBy("hole_id").orderBy("md", *([ROW] if ROW in stations.columns else ["az", "dip"]))
     pairs = stations.withColumns({"n": F.row_number().over(order), **{f"{c}1": F.lead(c).over(order) for c in ("md", "az", "dip")}})
     length = F.coalesce(F.col("md1") - F.col("md"), F.lit(0.0))
@@ -78,7 +81,8 @@ def desurvey_holes(collars: DataFrame, surveys: DataFrame, step: float = 1.0, me
         angles = [F.when(F.col("k") == 0, F.col(c)).otherwise((F.col(c) + F.col(f"{c}1")) / 2) for c in ("az", "dip")]
     return rows.select(
         "hole_id", (F.col("md") + length * part).alias("md"),
-        *[(F.col(f"_{a}") + F.col(f"o{a}") + F.col(f"s{a}") * part).alias(n) for a, n in zip("xyz", ("easting", "northing", "elevation"), strict=True)],
+        *[(F.col(f"_{a}") + F.col(f"o{a}") + F.col(f"s{a}") * part).alias(n) for a,
+        n in zip("xyz", ("easting", "northing", "elevation"), strict=True)],
         angles[0].alias("azimuth"), angles[1].alias("dip"),
     )
 
@@ -111,13 +115,18 @@ def station_traces(collars: DataFrame, surveys: DataFrame) -> DataFrame:
     offset twice: kept as the source of these numbers has them.
     """
     key = F.lower(F.trim("hole_id"))
-    tops = first_rows(collars.select(key.alias("hole_id"), number(F.col("latitude")).alias("lat0"), number(F.col("longitude")).alias("lng0"), *([ROW] if ROW in collars.columns else [])), "hole_id")
-    origin = tops.agg(F.min_by(F.struct("lat0", "lng0"), F.col(ROW) if ROW in tops.columns else F.col("hole_id")).alias("o")).select(F.col("o.lat0").alias("rlat"), F.col("o.lng0").alias("rlng"))
+    tops = first_rows(collars.select(key.alias("hole_id"), number(F.col("latitude")).alias("lat0"),
+        number(F.col("longitude")).alias("lng0"), *([ROW] if ROW in collars.columns else [])), "hole_id")
+    origin = tops.agg(F.min_by(F.struct("lat0", "lng0"),
+        F.col(ROW) if ROW in tops.columns else F.col("hole_id")).alias("o")).select(F.col("o.lat0").alias("rlat"),
+        F.col("o.lng0").alias("rlng"))
     tops = tops.join(F.broadcast(origin))  # one row
     per_lng = F.lit(M_PER_DEGREE_EQUATOR) * F.cos(F.radians("rlat"))
-    tops = tops.select("hole_id", "rlat", "rlng", ((F.col("lng0") - F.col("rlng")) * per_lng).alias("bx"), ((F.col("lat0") - F.col("rlat")) * M_PER_DEGREE).alias("by"))
+    tops = tops.select("hole_id", "rlat", "rlng", ((F.col("lng0") - F.col("rlng")) * per_lng).alias("bx"),
+        ((F.col("lat0") - F.col("rlat")) * M_PER_DEGREE).alias("by"))
     order = Window.partitionBy("hole_id").orderBy("md", "az", "dip")
-    s = surveys.select(key.alias("hole_id"), *(number(F.col(a)).alias(b) for a, b in (("depth", "md"), ("azimuth", "az"), ("dip", "dip")))).dropna()
+    s = surveys.select(key.alias("hole_id"), *(number(F.col(a)).alias(b) for a,
+        b in (("depth", "md"), ("azimuth", "az"), ("dip", "dip")))).dropna()
     s = s.withColumns({"inc": F.radians(inclination(F.col("dip"))), "a": F.radians("az")})
     s = s.withColumns({c + "0": F.lag(c).over(order) for c in ("md", "inc", "a")})
     length = F.col("md") - F.col("md0")
@@ -129,6 +138,9 @@ def station_traces(collars: DataFrame, surveys: DataFrame) -> DataFrame:
         "dy": half * (F.sin("inc0") * F.sin("a0") + F.sin("inc") * F.sin("a")),
         "dz": half * (F.cos("inc0") + F.cos("inc")),
     }
-    s = s.withColumns({k: F.sum(F.when(length > 0, v).otherwise(0.0)).over(order.rowsBetween(Window.unboundedPreceding, 0)) for k, v in sums.items()})
+    s = s.withColumns({k: F.sum(F.when(length > 0, v).otherwise(0.0)).over(order.rowsBetween(Window.unboundedPreceding, 0)) for k,
+        v in sums.items()})
     out = s.join(tops, "hole_id").withColumns({"x": F.col("bx") + F.col("dx"), "y": F.col("by") + F.col("dy")})
-    return out.select("hole_id", "md", "x", "y", (-F.col("dz")).alias("z"), (F.col("rlat") + (F.col("by") + F.col("y")) / M_PER_DEGREE).alias("lat"), (F.col("rlng") + (F.col("bx") + F.col("x")) / per_lng).alias("lng"))
+    return out.select("hole_id", "md", "x", "y", (-F.col("dz")).alias("z"),
+        (F.col("rlat") + (F.col("by") + F.col("y")) / M_PER_DEGREE).alias("lat"),
+        (F.col("rlng") + (F.col("bx") + F.col("x")) / per_lng).alias("lng"))

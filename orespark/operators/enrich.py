@@ -27,7 +27,8 @@ def with_collar_elevation(traces: DataFrame, collars: DataFrame, z_col: str = "z
     """traces with z raised by the elevation of their collar (of several with one key the last; 0 without a collar). Blanks
     inside a collar's id don't count."""
     order = F.col(ROW) if ROW in collars.columns else F.col("elevation")
-    tops = collars.groupBy(F.replace(hole_key(F.col("hole_id")), F.lit(" "), F.lit("")).alias("_key")).agg(F.max_by(number(F.col("elevation")), order).alias("_top"))
+    tops = collars.groupBy(F.replace(hole_key(F.col("hole_id")), F.lit(" "),
+        F.lit("")).alias("_key")).agg(F.max_by(number(F.col("elevation")), order).alias("_top"))
     joined = traces.join(tops, hole_key(F.col("hole_id")) == F.col("_key"), "left")
     return joined.withColumn(z_col, ref(z_col) + F.coalesce("_top", F.lit(0.0))).drop("_key", "_top")
 
@@ -41,7 +42,8 @@ def of_holes(df: DataFrame, holes: DataFrame) -> DataFrame:
 def scene_assays(assays: DataFrame, holes: DataFrame, numeric: list[str]) -> DataFrame:
     """hole_id (key), from, to and the numeric properties of the holes' valid intervals."""
     rows = of_holes(assays, holes).filter(number(ref("to")) > number(ref("from")))
-    return rows.select("hole_id", number(ref("from")).alias("from"), number(ref("to")).alias("to"), *[number(ref(c)).alias(c) for c in numeric if c in assays.columns])
+    return rows.select("hole_id", number(ref("from")).alias("from"), number(ref("to")).alias("to"),
+        *[number(ref(c)).alias(c) for c in numeric if c in assays.columns])
 
 
 def scene_structures(structures: DataFrame, holes: DataFrame) -> DataFrame:
@@ -49,7 +51,8 @@ def scene_structures(structures: DataFrame, holes: DataFrame) -> DataFrame:
     depths = [number(F.col(c)) for c in ("depth", "mid") if c in structures.columns]
     rows = of_holes(structures, holes).withColumn("depth", F.coalesce(*depths)).dropna(subset=["depth"])
     angles = [number(F.col(c)).alias(c) for c in ("dip", "azimuth", "alpha", "beta") if c in structures.columns]
-    return rows.select("hole_id", "depth", *angles, *([F.col("structure_type").cast("string").alias("structure_type")] if "structure_type" in structures.columns else []))
+    return rows.select("hole_id", "depth", *angles,
+        *([F.col("structure_type").cast("string").alias("structure_type")] if "structure_type" in structures.columns else []))
 
 
 def intervals_of_holes(holes: DataFrame, intervals: DataFrame, list_col: str = "intervals") -> DataFrame:

@@ -15,7 +15,8 @@ FROM_NAMES = ["from", "samp_from", "sample_from", "depth_from", "fromdepth", "fr
 TO_NAMES = ["to", "samp_to", "sample_to", "depth_to", "todepth", "to_depth"]
 
 
-def significant_intercepts(df: DataFrame, field: str, min_grade: float, min_length: float, from_col: str = "from", to_col: str = "to", hole_col: str = "hole_id", label: bool = True) -> DataFrame:
+def significant_intercepts(df: DataFrame, field: str, min_grade: float, min_length: float, from_col: str = "from", to_col: str = "to",
+    hole_col: str = "hole_id", label: bool = True) -> DataFrame:
     """hole, assay_field, from, to, length, avg_grade (length-weighted), n_samples, label of runs of contiguous rows with
     grade >= min_grade; hole and bounds keep the names of their columns.
 
@@ -24,14 +25,17 @@ def significant_intercepts(df: DataFrame, field: str, min_grade: float, min_leng
     """
     if field not in df.columns:
         raise ValueError(f"no column {field}")
-    rows = df.select(ref(hole_col).alias("hole_id"), number(ref(from_col)).alias("a"), number(ref(to_col)).alias("b"), number(ref(field)).alias("g")).filter((F.col("g") >= min_grade) & F.col("hole_id").isNotNull() & F.col("a").isNotNull() & F.col("b").isNotNull())
+    rows = df.select(ref(hole_col).alias("hole_id"), number(ref(from_col)).alias("a"), number(ref(to_col)).alias("b"),
+        number(ref(field)).alias("g")).filter((F.col("g") >= min_grade) & F.col("hole_id").isNotNull() & F.col("a").isNotNull() & F.col("b").isNotNull())
     w = Window.partitionBy("hole_id").orderBy("a", "b")
     rows = rows.withColumn("new", F.coalesce((F.abs(F.col("a") - F.lag("b").over(w)) > GAP).cast("int"), F.lit(1)))
     rows = rows.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     length = F.col("b") - F.col("a")
-    out = rows.groupBy("hole_id", "run").agg(F.min("a").alias("from"), F.max_by("b", F.struct("a", "b")).alias("to"), F.try_divide(F.sum(F.col("g") * length), F.sum(length)).alias("grade"), F.count("*").alias("n_samples"))
+    out = rows.groupBy("hole_id", "run").agg(F.min("a").alias("from"), F.max_by("b", F.struct("a", "b")).alias("to"),
+        F.try_divide(F.sum(F.col("g") * length), F.sum(length)).alias("grade"), F.count("*").alias("n_samples"))
     out = out.withColumn("length", F.col("to") - F.col("from")).filter(F.col("length") >= min_length)
-    out = out.select(F.col("hole_id").alias(hole_col), F.lit(field).alias("assay_field"), F.col("from").alias(from_col), F.col("to").alias(to_col), "length", F.col("grade").alias("avg_grade"), "n_samples")
+    out = out.select(F.col("hole_id").alias(hole_col), F.lit(field).alias("assay_field"), F.col("from").alias(from_col),
+        F.col("to").alias(to_col), "length", F.col("grade").alias("avg_grade"), "n_samples")
     if not label:
         return out
 
@@ -52,7 +56,8 @@ def _few(good: Column, low: Column, high: Column) -> Column:
     return F.when(good & (high - low >= MOST_CELLS), many).when(good, F.sequence(low, high))
 
 
-def composite(df: DataFrame, value_col: str, length: float, from_col: str = "from", to_col: str = "to", method: str = "average") -> DataFrame:
+def composite(df: DataFrame, value_col: str, length: float, from_col: str = "from", to_col: str = "to",
+    method: str = "average") -> DataFrame:
     """hole_id, from, to and the value column: fixed-length bins from each hole's first depth on; overlap-weighted average, or sum of
     value * overlap. A null value weighs, but adds nothing. Bins without overlap are left out.
 
@@ -60,14 +65,16 @@ def composite(df: DataFrame, value_col: str, length: float, from_col: str = "fro
     """
     if method not in ("average", "sum"):
         raise ValueError(f"unknown method: {method}")
-    rows = df.select("hole_id", number(ref(from_col)).alias("a"), number(ref(to_col)).alias("b"), number(ref(value_col)).alias("v")).dropna(subset=["hole_id", "a", "b"])
+    rows = df.select("hole_id", number(ref(from_col)).alias("a"), number(ref(to_col)).alias("b"),
+        number(ref(value_col)).alias("v")).dropna(subset=["hole_id", "a", "b"])
     ends = rows.groupBy("hole_id").agg(F.min("a").alias("start"), F.max("b").alias("stop"))
     rows = rows.join(ends, "hole_id")
     bins = F.ceil((F.col("stop") + length - F.col("start")) / length)
     low = F.greatest(F.lit(0).cast("long"), F.floor((F.col("a") - F.col("start")) / length) - 1)
     high = F.least(bins - 1, F.ceil((F.col("b") - F.col("start")) / length))
     rows = rows.select("*", F.explode(_few(high >= low, low, high)).alias("bin"))
-    rows = rows.withColumns({"from": F.col("start") + F.col("bin") * F.lit(float(length)), "to": F.col("start") + (F.col("bin") + 1) * F.lit(float(length))})
+    rows = rows.withColumns({"from": F.col("start") + F.col("bin") * F.lit(float(length)),
+        "to": F.col("start") + (F.col("bin") + 1) * F.lit(float(length))})
     rows = rows.filter((F.col("a") < F.col("to")) & (F.col("b") > F.col("from")))
     over = F.greatest(F.lit(0.0), F.least("b", "to") - F.greatest("a", "from"))
     total = F.coalesce(F.sum(F.col("v") * over), F.lit(0.0))
@@ -84,7 +91,8 @@ def merge_numeric_categorical(numeric: DataFrame, categorical: DataFrame, on: tu
     for c in on:
         same = same & ref(c).eqNullSafe(F.col(f"`_b_{c}`"))
     joined = a.join(b, same, "full_outer")
-    return joined.select(*[F.coalesce(ref(c), F.col(f"`_b_{c}`")).alias(c) for c in on], *[ref(c) for c in [*a.columns, *b.columns] if c not in on and not c.startswith("_b_")])
+    return joined.select(*[F.coalesce(ref(c), F.col(f"`_b_{c}`")).alias(c) for c in on],
+        *[ref(c) for c in [*a.columns, *b.columns] if c not in on and not c.startswith("_b_")])
 
 
 def overlapping(segments: DataFrame, intervals: DataFrame, width: float) -> DataFrame:
@@ -93,7 +101,8 @@ def overlapping(segments: DataFrame, intervals: DataFrame, width: float) -> Data
     Both are cut into depth cells of `width`; pairs meet by an equi-join on hole and cell, and count in the cell where the
     later of the two begins, so none counts twice. A hot hole spreads over its cells.
     """
-    cells = lambda a, b: F.explode(_few(F.col(b) > F.col(a), F.floor(F.col(a) / width), F.floor(F.col(b) / width))).alias("_cell")
+    cells = lambda a, b: F.explode(_few(F.col(b) > F.col(a), F.floor(F.col(a) / width),
+        F.floor(F.col(b) / width))).alias("_cell")
     s = segments.select("*", cells("seg_from", "seg_to"))
     i = intervals.select("*", cells("from", "to"))
     joined = s.join(i, ["hole_id", "_cell"])
@@ -124,7 +133,8 @@ def with_data(segments: DataFrame, intervals: DataFrame, width: float) -> DataFr
     return segments.select(*keys).distinct().join(hit, keys, "left").select(*keys, F.coalesce("_hit", F.lit(False)).alias("has_data"))
 
 
-def interval_points(df: DataFrame, value_col: str, drop_missing: bool = True, key_with_value: bool = False, allow_points: bool = False) -> DataFrame:
+def interval_points(df: DataFrame, value_col: str, drop_missing: bool = True, key_with_value: bool = False,
+    allow_points: bool = False) -> DataFrame:
     """hole_id, z (middle), val, from_val, to_val, half: one row per interval of a hole, the first in source order (deeper
     ones first: order by z descending when shown).
 
@@ -139,20 +149,23 @@ def interval_points(df: DataFrame, value_col: str, drop_missing: bool = True, ke
     low, high = (number(ref(c)) if c else F.lit(None).cast("double") for c in (a, b))
     whole = low.isNotNull() & high.isNotNull()
     low, high = (F.when(whole, x).otherwise(F.coalesce(*points)) if points else x for x in (low, high))
-    rows = df.select("hole_id", low.alias("from_val"), high.alias("to_val"), ref(value_col).alias("val"), *[ref(c).alias(f"_o{i}") for i, c in enumerate(order)])
+    rows = df.select("hole_id", low.alias("from_val"), high.alias("to_val"), ref(value_col).alias("val"),
+        *[ref(c).alias(f"_o{i}") for i, c in enumerate(order)])
     rows = rows.filter((F.col("to_val") >= F.col("from_val")) if allow_points else (F.col("to_val") > F.col("from_val")))
     if drop_missing:
         rows = rows.filter(~is_missing(F.col("val")))
     keys = ["hole_id", "from_val", "to_val", *(["val"] if key_with_value else [])]
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*[f"_o{i}" for i in range(len(order))]))
     rows = rows.withColumn("_n", rank).filter("_n = 1")
-    return rows.select("hole_id", ((F.col("from_val") + F.col("to_val")) / 2).alias("z"), "val", "from_val", "to_val", ((F.col("to_val") - F.col("from_val")) / 2).alias("half"))
+    return rows.select("hole_id", ((F.col("from_val") + F.col("to_val")) / 2).alias("z"), "val", "from_val", "to_val",
+        ((F.col("to_val") - F.col("from_val")) / 2).alias("half"))
 
 
 def comment_points(df: DataFrame, text_col: str) -> DataFrame:
     """hole_id, from, to and the text ("" where there is none): the first row of each valid interval, blanks included."""
     texts = df.withColumn(text_col, F.coalesce(ref(text_col).cast("string"), F.lit("")))
-    return interval_points(texts, text_col, drop_missing=False).select("hole_id", F.col("from_val").alias("from"), F.col("to_val").alias("to"), F.col("val").alias(text_col))
+    return interval_points(texts, text_col, drop_missing=False).select("hole_id", F.col("from_val").alias("from"),
+        F.col("to_val").alias("to"), F.col("val").alias(text_col))
 
 
 def labelled_intervals(df: DataFrame, label_col: str) -> DataFrame:
@@ -168,7 +181,8 @@ def interval_vertices(df: DataFrame, from_col: str = "from", to_col: str = "to")
 
 def intervals_by_hole(df: DataFrame, value: Column, from_col: str = "from", to_col: str = "to") -> DataFrame:
     """hole_id, intervals: array of (from, to, value), sorted by from, the first row of equal bounds."""
-    points = df.select("hole_id", number(ref(from_col)).alias("from"), number(ref(to_col)).alias("to"), value.alias("value"), *([ROW] if ROW in df.columns else []))
+    points = df.select("hole_id", number(ref(from_col)).alias("from"), number(ref(to_col)).alias("to"), value.alias("value"),
+        *([ROW] if ROW in df.columns else []))
     points = points.filter((F.col("to") > F.col("from")) & F.col("value").isNotNull())
     one = points.groupBy("hole_id", "from", "to").agg(F.min_by("value", ROW if ROW in points.columns else "value").alias("value"))
     return one.groupBy("hole_id").agg(F.array_sort(F.collect_list(F.struct("from", "to", "value"))).alias("intervals"))

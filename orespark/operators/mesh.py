@@ -44,7 +44,8 @@ def validate_grade_blocks(meshes: DataFrame) -> DataFrame:
         area = [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
         return area[0] * area[0] + area[1] * area[1] + area[2] * area[2] < 1e-24
 
-    issue = F.when(vertices, "vertices_shape").when(triangles, "triangles_shape").when(outside, "index_out_of_range").when(F.exists("triangles", flat), "zero_area_triangle")
+    issue = F.when(vertices, "vertices_shape").when(triangles, "triangles_shape").when(outside,
+        "index_out_of_range").when(F.exists("triangles", flat), "zero_area_triangle")
     return meshes.withColumn("issue", issue).filter("issue is not null").select("id", "issue")
 
 

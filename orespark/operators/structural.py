@@ -30,7 +30,8 @@ def pole(dip: Column, azimuth: Column) -> tuple[Column, Column]:
 def normalize_dip_azimuth(df: DataFrame, dip_col: str = "dip", az_col: str = "azimuth") -> DataFrame:
     """Dip clamped to [0, 90], azimuth to [0, 360); nulls stay null."""
     dip = number(ref(dip_col))
-    return df.withColumns({dip_col: F.when(dip.isNotNull(), F.least(F.lit(90.0), F.greatest(F.lit(0.0), dip))), az_col: turned(number(ref(az_col)))})
+    return df.withColumns({dip_col: F.when(dip.isNotNull(), F.least(F.lit(90.0), F.greatest(F.lit(0.0), dip))),
+        az_col: turned(number(ref(az_col)))})
 
 
 def with_plane_geometry(df: DataFrame, dip_col: str = "dip", az_col: str = "azimuth") -> DataFrame:
@@ -38,7 +39,8 @@ def with_plane_geometry(df: DataFrame, dip_col: str = "dip", az_col: str = "azim
     dip, azimuth = number(ref(dip_col)), number(ref(az_col))
     normal = plane_normal(dip, azimuth)
     trend, plunge = pole(dip, azimuth)
-    return df.withColumns({"normal_x": normal[0], "normal_y": normal[1], "normal_z": normal[2], "strike": strike(azimuth), "pole_trend": trend, "pole_plunge": plunge})
+    return df.withColumns({"normal_x": normal[0], "normal_y": normal[1], "normal_z": normal[2], "strike": strike(azimuth),
+        "pole_trend": trend, "pole_plunge": plunge})
 
 
 def tadpole_tails(df: DataFrame, dip_col: str = "dip", az_col: str = "azimuth", scale: float = 10.0) -> DataFrame:
@@ -75,10 +77,12 @@ def _with_vector(df: DataFrame, name: str, parts: dict[str, Column], fallback: t
     if fallback is None:
         return df
     size = F.sqrt(sum(F.col(f"{name}{a}") * F.col(f"{name}{a}") for a in "xyz"))
-    return df.withColumn("_size", size).withColumns({f"{name}{a}": F.when(F.col("_size") > 0, F.col(f"{name}{a}") / F.col("_size")).otherwise(v) for a, v in zip("xyz", fallback, strict=True)}).drop("_size")
+    return df.withColumn("_size", size).withColumns({f"{name}{a}": F.when(F.col("_size") > 0,
+        F.col(f"{name}{a}") / F.col("_size")).otherwise(v) for a, v in zip("xyz", fallback, strict=True)}).drop("_size")
 
 
-def alpha_beta_normals(df: DataFrame, hole: tuple[Column, Column, Column], alpha_col: str = "alpha", beta_col: str = "beta", zero_at: str = "bottom", clockwise: bool = True) -> DataFrame:
+def alpha_beta_normals(df: DataFrame, hole: tuple[Column, Column, Column], alpha_col: str = "alpha", beta_col: str = "beta",
+    zero_at: str = "bottom", clockwise: bool = True) -> DataFrame:
     """Adds normal_x/y/z: the unit normal of a plane from its core angles and the hole's direction.
 
     Frame: right = up x hole (up is z, or y for a nearly vertical hole), bottom = hole x right. The reference line is
@@ -96,7 +100,8 @@ def alpha_beta_normals(df: DataFrame, hole: tuple[Column, Column, Column], alpha
     df = df.withColumns({"_turn": F.radians(beta if clockwise else -beta), "_tilt": F.radians(F.lit(90.0) - number(ref(alpha_col)))})
     around = {a: F.cos("_tilt") * (F.col(f"{start}{a}") * F.cos("_turn") + F.col(f"_c{a}") * F.sin("_turn")) + F.sin("_tilt") * F.col(f"_d{a}") for a in "xyz"}
     df = _with_vector(df, "normal_", around, (0.0, 0.0, 1.0))
-    return df.select(*[ref(c) for c in names if c not in ("normal_x", "normal_y", "normal_z")], *[F.when(F.col("_tilt").isNotNull(), F.col(f"normal_{a}")).alias(f"normal_{a}") for a in "xyz"])
+    return df.select(*[ref(c) for c in names if c not in ("normal_x", "normal_y", "normal_z")],
+        *[F.when(F.col("_tilt").isNotNull(), F.col(f"normal_{a}")).alias(f"normal_{a}") for a in "xyz"])
 
 
 def structural_positions(structures: DataFrame, traces: DataFrame, zero_at: str = "bottom", clockwise: bool = True) -> DataFrame:
@@ -109,14 +114,16 @@ def structural_positions(structures: DataFrame, traces: DataFrame, zero_at: str
     rows = structures.withColumns({"_own": F.col("hole_id"), "_at": F.coalesce(*depths), "hole_id": key})
     rows = rows.withColumns({c: F.lit(None).cast("double") for c in ("alpha", "beta", "dip", "azimuth") if c not in rows.columns})
     oriented = number(F.col("alpha")).isNotNull() | (number(F.col("dip")).isNotNull() & number(F.col("azimuth")).isNotNull())
-    placed = interpolate_positions(rows.filter((F.col("hole_id") != "") & oriented), traces.withColumn("hole_id", key), "_at", direction=True)
+    placed = interpolate_positions(rows.filter((F.col("hole_id") != "") & oriented), traces.withColumn("hole_id", key), "_at",
+        direction=True)
     placed = alpha_beta_normals(placed, (F.col("dir_x"), F.col("dir_y"), F.col("dir_z")), zero_at=zero_at, clockwise=clockwise)
     plane = plane_normal(number(F.col("dip")), number(F.col("azimuth")))
     placed = placed.withColumns({f"normal_{a}": F.coalesce(f"normal_{a}", c) for a, c in zip("xyz", plane, strict=True)})
     return placed.withColumn("hole_id", F.col("_own")).drop("_own", "_at", "dir_x", "dir_y", "dir_z")
 
 
-def project_to_section(df: DataFrame, origin: tuple[float, float], azimuth: float, x_col: str = "easting", y_col: str = "northing") -> DataFrame:
+def project_to_section(df: DataFrame, origin: tuple[float, float], azimuth: float, x_col: str = "easting",
+    y_col: str = "northing") -> DataFrame:
     """Adds along and across: distances along and off a vertical section through origin at an azimuth."""
     dx, dy, a = ref(x_col) - origin[0], ref(y_col) - origin[1], F.radians(F.lit(float(azimuth)))
     return df.withColumns({"along": dx * F.sin(a) + dy * F.cos(a), "across": dx * F.cos(a) - dy * F.sin(a)})
@@ -125,10 +132,12 @@ def project_to_section(df: DataFrame, origin: tuple[float, float], azimuth: floa
 def project_structures_to_section(df: DataFrame, origin: tuple[float, float], azimuth: float) -> DataFrame:
     """Adds section_along and section_depth (depth, else mid, else 0)."""
     depths = [number(F.col(c)) for c in ("depth", "mid") if c in df.columns]
-    return project_to_section(df, origin, azimuth).withColumnRenamed("along", "section_along").drop("across").withColumn("section_depth", F.coalesce(*depths, F.lit(0.0)))
+    return project_to_section(df, origin, azimuth).withColumnRenamed("along", "section_along").drop("across").withColumn("section_depth",
+        F.coalesce(*depths, F.lit(0.0)))
 
 
-def section_view(df: DataFrame, origin: tuple[float, float], azimuth: float, width: float | None = 50.0, color_by: str | None = None) -> DataFrame:
+def section_view(df: DataFrame, origin: tuple[float, float], azimuth: float, width: float | None = 50.0,
+    color_by: str | None = None) -> DataFrame:
     """The rows within width / 2 of the section (all, without a width), with color_value."""
     out = project_to_section(df, origin, azimuth)
     out = out if width is None else out.filter(F.abs("across") <= width / 2)

@@ -46,7 +46,8 @@ def validate_surveys(df: DataFrame, hole_col: str = "hole_id", depth_col: str =
     """Holes whose depths decrease somewhere in the order of the source (order_col)."""
     w = Window.partitionBy(ref(hole_col)).orderBy(ref(order_col))
     falls = df.withColumn("_falls", number(ref(depth_col)) < F.lag(number(ref(depth_col))).over(w))
-    return falls.groupBy(ref(hole_col)).agg(F.bool_or("_falls").alias("_falls")).filter("_falls").select(ref(hole_col), F.lit("non_monotonic_depth").alias("issue"))
+    return falls.groupBy(ref(hole_col)).agg(F.bool_or("_falls").alias("_falls")).filter("_falls").select(ref(hole_col),
+        F.lit("non_monotonic_depth").alias("issue"))
 
 
 def _angles() -> list[tuple[Column, str]]:
@@ -75,12 +76,15 @@ def validate_structural_intervals(df: DataFrame, from_col: str = "from", to_col:
 
 def validate_block_sizes(blocks: DataFrame, max_block_size: dict[str, float], id_col: str = ROW) -> DataFrame:
     """id, axis, issue, block_size, max_size: sizes that aren't positive, or don't divide the largest size evenly."""
-    axes = [F.struct(F.lit(a).alias("axis"), number(F.col(a)).alias("block_size"), F.lit(float(m)).alias("max_size")) for a, m in max_block_size.items() if m is not None and m > 0]
+    axes = [F.struct(F.lit(a).alias("axis"), number(F.col(a)).alias("block_size"), F.lit(float(m)).alias("max_size")) for a,
+        m in max_block_size.items() if m is not None and m > 0]
     if not axes:
-        return blocks.select(ref(id_col), F.lit("").alias("axis"), F.lit("").alias("issue"), F.lit(0.0).alias("block_size"), F.lit(0.0).alias("max_size")).limit(0)
+        return blocks.select(ref(id_col), F.lit("").alias("axis"), F.lit("").alias("issue"), F.lit(0.0).alias("block_size"),
+            F.lit(0.0).alias("max_size")).limit(0)
     rows = blocks.select(ref(id_col), F.explode(F.array(*axes)).alias("a")).select(ref(id_col), "a.*")
     ratio = F.col("max_size") / F.col("block_size")
-    issue = F.when(F.col("block_size").isNull() | (F.col("block_size") <= 0), "non_positive_block_size").when(F.abs(ratio - F.rint(ratio)) > TOLERANCE, "invalid_block_size_divisor")
+    issue = F.when(F.col("block_size").isNull() | (F.col("block_size") <= 0),
+        "non_positive_block_size").when(F.abs(ratio - F.rint(ratio)) > TOLERANCE, "invalid_block_size_divisor")
     return rows.withColumn("issue", issue).filter(F.col("issue").isNotNull()).select(ref(id_col), "axis", "issue", "block_size", "max_size")
 
 

@@ -41,7 +41,8 @@ def r(expression: str, name: str) -> str:
 def traces(method: str) -> str:
     """Traces by a method, step 5."""
     if method == "minimum_curvature":
-        move = {a: f"case when md1 > md then 0.5 * (md1 - md) * ({d0} + {d1}) * rf else 0 end" for a, d0, d1 in (("x", "x0", "x1"), ("y", "y0", "y1"), ("z", "z0", "z1"))}
+        move = {a: f"case when md1 > md then 0.5 * (md1 - md) * ({d0} + {d1}) * rf else 0 end" for a, d0,
+            d1 in (("x", "x0", "x1"), ("y", "y0", "y1"), ("z", "z0", "z1"))}
         angle = {c: f"{c} + coalesce({c}1 - {c}, 0) * f" for c in ("az", "dip")}
     elif method == "tangential":
         move = {a: f"case when md1 > md then (md1 - md) * {a}0 else 0 end" for a in "xyz"}
@@ -128,8 +129,10 @@ select hole_id, "from", "to", {r("grade", "grade")}, {POSITION}, {r("along", "al
     "filtered_volume": f"with {BLOCKS} select coalesce(sum(dx * dy * dz), 0) volume from fx_blocks where grade >= 1 and grade < 4 and rock_type is distinct from 'nothing'",
     "attribute_stats_numeric": f"with {BLOCKS} select count(grade) \"count\", {r('min(grade)', 'min')}, {r('max(grade)', 'max')}, {r('avg(grade)', 'mean')}, {r('stddev_samp(grade)', 'std')}, {r('coalesce(sum(grade), 0)', 'sum')} from fx_blocks where density > 2.5",
     "attribute_stats_categorical": f'with {BLOCKS} select rock_type as "value", count(*) as "count" from fx_blocks where rock_type is not null group by rock_type',
-    "block_bbox": f"with {BLOCKS} select " + ", ".join(f"{m}({a} {s} d{a} / 2) {m}_{a}" for a in "xyz" for m, s in (("min", "-"), ("max", "+"))) + " from fx_blocks",
-    "block_size_stats": f"with {BLOCKS} select " + ", ".join(f"{m}({c}) {m}_{c}" for c in ("dx", "dy", "dz") for m in ("min", "max")) + " from fx_blocks",
+    "block_bbox": f"with {BLOCKS} select " + ", ".join(f"{m}({a} {s} d{a} / 2) {m}_{a}" for a in "xyz" for m,
+    s in (("min", "-"), ("max", "+"))) + " from fx_blocks",
+    "block_size_stats": f"with {BLOCKS} select " + ", ".join(f"{m}({c}) {m}_{c}" for c in ("dx", "dy", "dz") for m in ("min",
+    "max")) + " from fx_blocks",
     "min_curvature_traces": _traced("minimum_curvature"),
     "tangential_traces": _traced("tangential"),
     "balanced_tangential_traces": _traced("balanced_tangential"),

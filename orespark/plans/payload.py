@@ -34,7 +34,8 @@ def scene_holes(traces: DataFrame, max_holes: int = 100) -> DataFrame:
 
 
 def tubes(intervals: DataFrame, radius: float = 1.0, color_by: str | None = None) -> DataFrame:
-    return intervals.select("hole_id", "from", "to", F.lit(radius).alias("radius"), (ref(color_by) if color_by else F.lit(None).cast("string")).alias("color"))
+    return intervals.select("hole_id", "from", "to", F.lit(radius).alias("radius"),
+        (ref(color_by) if color_by else F.lit(None).cast("string")).alias("color"))
 
 
 def annotations(intervals: DataFrame, label_col: str) -> DataFrame:
@@ -48,13 +49,16 @@ def discs(structures: DataFrame, radius: float = 5.0, color_by: str = "defect")
     dip, azimuth = number(F.col("dip")), number(F.col("azimuth"))
     n = plane_normal(dip, azimuth)
     rows = structures.dropna(subset=["easting", "northing", "elevation"]).filter(dip.isNotNull() & azimuth.isNotNull())
-    return rows.select("hole_id", "easting", "northing", "elevation", *[c.alias(f"normal_{a}") for c, a in zip(n, "xyz", strict=True)], "dip", "azimuth", F.lit(radius).alias("radius"), (ref(color_by) if color_by in structures.columns else F.lit(None)).cast("string").alias("color_value"))
+    return rows.select("hole_id", "easting", "northing", "elevation", *[c.alias(f"normal_{a}") for c, a in zip(n, "xyz", strict=True)],
+        "dip", "azimuth", F.lit(radius).alias("radius"),
+        (ref(color_by) if color_by in structures.columns else F.lit(None)).cast("string").alias("color_value"))
 
 
 def depth_markers(ranges: DataFrame, interval: float) -> DataFrame:
     """hole_id, depth: multiples of the interval from lo to hi (columns of ranges)."""
     low, high = F.ceil(F.col("lo") / interval), F.floor(F.col("hi") / interval)
-    return ranges.select("hole_id", F.explode(F.when(high >= low, F.sequence(low, high))).alias("_k")).select("hole_id", (F.col("_k") * F.lit(float(interval))).alias("depth"))
+    return ranges.select("hole_id", F.explode(F.when(high >= low, F.sequence(low, high))).alias("_k")).select("hole_id",
+        (F.col("_k") * F.lit(float(interval))).alias("depth"))
 
 
 def photo_url(lods: Column, zoom: Column, fallback: Column, breakpoints: tuple[tuple[float, str], ...] = LODS) -> Column:
@@ -87,7 +91,9 @@ def wrapped(text: Column, width: int = 40) -> Column:
 
     def step(acc: Column, w: Column) -> Column:
         fits = (acc["n"] > 0) & (acc["n"] + 1 + F.length(w) <= width)
-        return F.struct(F.when(acc["n"] == 0, w).when(fits, F.concat(acc["out"], F.lit(" "), w)).otherwise(F.concat(acc["out"], F.lit("<br>"), w)).alias("out"), F.when(fits, acc["n"] + 1 + F.length(w)).otherwise(F.length(w)).alias("n"))
+        return F.struct(F.when(acc["n"] == 0, w).when(fits,
+            F.concat(acc["out"], F.lit(" "), w)).otherwise(F.concat(acc["out"], F.lit("<br>"), w)).alias("out"),
+            F.when(fits, acc["n"] + 1 + F.length(w)).otherwise(F.length(w)).alias("n"))
 
     return F.aggregate(words, start, step, lambda acc: acc["out"])
 
@@ -95,7 +101,8 @@ def wrapped(text: Column, width: int = 40) -> Column:
 def collar_extent(collars: DataFrame) -> DataFrame:
     """One row: bounds and median centre of collars in degrees."""
     lat, lon = number(F.col("latitude")), number(F.col("longitude"))
-    return collars.agg(F.min(lon).alias("west"), F.min(lat).alias("south"), F.max(lon).alias("east"), F.max(lat).alias("north"), F.median(lat).alias("lat"), F.median(lon).alias("lon"))
+    return collars.agg(F.min(lon).alias("west"), F.min(lat).alias("south"), F.max(lon).alias("east"), F.max(lat).alias("north"),
+        F.median(lat).alias("lat"), F.median(lon).alias("lon"))
 
 
 def with_set(photos: DataFrame) -> DataFrame:
@@ -105,7 +112,8 @@ def with_set(photos: DataFrame) -> DataFrame:
 
 def photos_by_set(photos: DataFrame) -> DataFrame:
     """photo_set, first_row (sets appear in its order), photos: the set's photos by depth (a missing depth is 0), then source order."""
-    photo = F.struct(F.coalesce(number(F.col("from_depth")), F.lit(0.0)).alias("at"), F.col(ROW), *[ref(c) for c in photos.columns if c not in ("photo_set", ROW)])
+    photo = F.struct(F.coalesce(number(F.col("from_depth")), F.lit(0.0)).alias("at"), F.col(ROW),
+        *[ref(c) for c in photos.columns if c not in ("photo_set", ROW)])
     return with_set(photos).groupBy("photo_set").agg(F.min(ROW).alias("first_row"), F.array_sort(F.collect_list(photo)).alias("photos"))
 
 
@@ -120,7 +128,8 @@ def merge_holes(one: DataFrame, two: DataFrame, rows_col: str = "rows") -> DataF
     """hole_id, rows: the rows of both tables of holes, those of the first before those of the second."""
     right = two.select(F.col("hole_id").alias("_h"), ref(rows_col).alias("_more"))
     none = F.array().cast(one.schema[rows_col].dataType)
-    return one.join(right, F.col("hole_id") == F.col("_h"), "full_outer").select(F.coalesce("hole_id", "_h").alias("hole_id"), F.concat(F.coalesce(ref(rows_col), none), F.coalesce("_more", none)).alias(rows_col))
+    return one.join(right, F.col("hole_id") == F.col("_h"), "full_outer").select(F.coalesce("hole_id", "_h").alias("hole_id"),
+        F.concat(F.coalesce(ref(rows_col), none), F.coalesce("_more", none)).alias(rows_col))
 
 
 def centroid(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -153,14 +162,16 @@ def trace_pairs(traces: DataFrame) -> DataFrame:
     """hole_id, segment, seg_from, seg_to: consecutive vertices of each hole that have a depth range."""
     w = Window.partitionBy("hole_id").orderBy("md", *([ROW] if ROW in traces.columns else []))
     low, high = depth_range(number(F.col("md")), F.lead(number(F.col("md"))).over(w))
-    return traces.select("hole_id", (F.row_number().over(w) - 1).alias("segment"), low.alias("seg_from"), high.alias("seg_to")).dropna(subset=["seg_from"])
+    return traces.select("hole_id", (F.row_number().over(w) - 1).alias("segment"), low.alias("seg_from"),
+        high.alias("seg_to")).dropna(subset=["seg_from"])
 
 
 def normalized_bounds(df: DataFrame) -> DataFrame:
     """min_x, min_y, max_x, max_y from the same columns, or from x, y, width, height (missing ones 0); a box without a positive
     size fails the query when it is read."""
     if "width" in df.columns or "height" in df.columns or ("x" in df.columns and "max_x" not in df.columns):
-        x, y, width, height = (F.coalesce(number(F.col(c)), F.lit(0.0)) if c in df.columns else F.lit(0.0) for c in ("x", "y", "width", "height"))
+        x, y, width, height = (F.coalesce(number(F.col(c)), F.lit(0.0)) if c in df.columns else F.lit(0.0) for c in ("x", "y", "width",
+            "height"))
         box = {"min_x": x, "min_y": y, "max_x": x + width, "max_y": y + height}
     else:
         box = {c: number(F.col(c)) for c in ("min_x", "min_y", "max_x", "max_y")}
@@ -182,7 +193,8 @@ def focused_holes(holes: DataFrame, focus: str = "", order: str = "hole_id", mos
     rank = F.when(F.col("hole_id") == focus, 0).otherwise(1)
     placed = holes.select("hole_id", rank.alias("_r"), ref(order).alias("_o")).orderBy("_r", "_o")
     placed = placed.limit(most) if most is not None else placed
-    return placed.select("hole_id", (F.row_number().over(Window.orderBy("_r", "_o")) - 1).alias("place")) if most is not None else placed.select("hole_id")
+    return placed.select("hole_id", (F.row_number().over(Window.orderBy("_r",
+        "_o")) - 1).alias("place")) if most is not None else placed.select("hole_id")
 
 
 def hole_options(df: DataFrame) -> DataFrame:

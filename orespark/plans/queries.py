@@ -39,10 +39,12 @@ def significant_intercepts(s: SparkSession, d: str) -> DataFrame:
 
 def flagship(s: SparkSession, d: str) -> DataFrame:
     """Intercepts placed on the traces and kept near a section."""
-    found = intervals.significant_intercepts(fx.intervals(s, d), "au_ppm", 3.0, 2.0, label=False).withColumn("mid", (F.col("from") + F.col("to")) / 2)
+    found = intervals.significant_intercepts(fx.intervals(s, d), "au_ppm", 3.0, 2.0, label=False).withColumn("mid",
+        (F.col("from") + F.col("to")) / 2)
     placed = asof.nearest_vertex(found, traces(s, d), "mid", list(XYZ)).dropna(subset=["easting"])
     near = structural.section_view(placed, (502500.0, 6900000.0), 45.0, 2000.0)
-    return rounded(near.select("hole_id", "from", "to", F.col("avg_grade").alias("grade"), *XYZ, "along", "across"), "grade", *XYZ, "along", "across")
+    return rounded(near.select("hole_id", "from", "to", F.col("avg_grade").alias("grade"), *XYZ, "along", "across"), "grade", *XYZ, "along",
+        "across")
 
 
 def traces(s: SparkSession, d: str, method: str = "minimum_curvature") -> DataFrame:
@@ -54,7 +56,8 @@ def _traced(method: str) -> Query:
 
 
 def station_traces(s: SparkSession, d: str) -> DataFrame:
-    tops = fx.collars(s, d).select("hole_id", (F.lit(-30.0) + (F.col("northing") - 6900000.0) / 1e6).alias("latitude"), (F.lit(118.0) + (F.col("easting") - 500000.0) / 1e6).alias("longitude"))
+    tops = fx.collars(s, d).select("hole_id", (F.lit(-30.0) + (F.col("northing") - 6900000.0) / 1e6).alias("latitude"),
+        (F.lit(118.0) + (F.col("easting") - 500000.0) / 1e6).alias("longitude"))
     return rounded(desurvey.station_traces(tops, fx.surveys(s, d)), "md", "x", "y", "z", "lat", "lng")
 
 
@@ -78,11 +81,13 @@ def resample_trace(s: SparkSession, d: str) -> DataFrame:
 def join_assays_to_traces(s: SparkSession, d: str) -> DataFrame:
     a = fx.intervals(s, d).withColumn("md", F.col("from") / 2 * 25)
     t = fx.surveys(s, d).select("hole_id", F.col("depth").alias("md"), "azimuth", F.col("dip").alias("au_ppm"))
-    return rounded(asof.join_assays_to_traces(a, t, ["hole_id", "md"]).select("hole_id", "md", "au_ppm", "azimuth", "au_ppm_trace"), "au_ppm", "azimuth", "au_ppm_trace")
+    return rounded(asof.join_assays_to_traces(a, t, ["hole_id", "md"]).select("hole_id", "md", "au_ppm", "azimuth", "au_ppm_trace"),
+        "au_ppm", "azimuth", "au_ppm_trace")
 
 
 def _composited(method: str) -> Query:
-    return lambda s, d: rounded(intervals.composite(fx.intervals(s, d), "au_ppm", 3.0, method=method).withColumnRenamed("au_ppm", "value"), "from", "to", "value")
+    return lambda s, d: rounded(intervals.composite(fx.intervals(s, d), "au_ppm", 3.0, method=method).withColumnRenamed("au_ppm", "value"),
+        "from", "to", "value")
 
 
 def overlap_weighted_value(s: SparkSession, d: str) -> DataFrame:
@@ -99,17 +104,21 @@ def has_data_segments(s: SparkSession, d: str) -> DataFrame:
 
 def merge_numeric_categorical(s: SparkSession, d: str) -> DataFrame:
     i = fx.intervals(s, d)
-    return rounded(intervals.merge_numeric_categorical(i.filter("au_ppm >= 5").select("hole_id", "from", "to", "au_ppm"), i.filter("geology_code <> 'N'").select("hole_id", "from", "to", "geology_code")), "au_ppm")
+    return rounded(intervals.merge_numeric_categorical(i.filter("au_ppm >= 5").select("hole_id", "from", "to", "au_ppm"),
+        i.filter("geology_code <> 'N'").select("hole_id", "from", "to", "geology_code")), "au_ppm")
 
 
 def flatten_long_assays(s: SparkSession, d: str) -> DataFrame:
     i = fx.intervals(s, d)
-    long = i.select("hole_id", "from", "to", F.explode(F.array(F.struct(F.lit("au_ppm").alias("assay_code"), F.col("au_ppm").alias("assay_value")), F.struct(F.lit("au_ppb").alias("assay_code"), (F.col("au_ppm") * 1000).alias("assay_value")))).alias("p")).select("hole_id", "from", "to", "p.*")
+    long = i.select("hole_id", "from", "to", F.explode(F.array(F.struct(F.lit("au_ppm").alias("assay_code"),
+        F.col("au_ppm").alias("assay_value")), F.struct(F.lit("au_ppb").alias("assay_code"),
+        (F.col("au_ppm") * 1000).alias("assay_value")))).alias("p")).select("hole_id", "from", "to", "p.*")
     return rounded(long_to_wide(long, "assay_code", "assay_value", ["au_ppb", "au_ppm"]), "au_ppb", "au_ppm")
 
 
 def block_volume_by_class(s: SparkSession, d: str) -> DataFrame:
-    return rounded(fx.blocks(s, d).groupBy("rock_type").agg(F.sum(F.col("dx") * F.col("dy") * F.col("dz")).alias("volume"), F.stddev_samp("grade").alias("grade_std")), "volume", "grade_std")
+    return rounded(fx.blocks(s, d).groupBy("rock_type").agg(F.sum(F.col("dx") * F.col("dy") * F.col("dz")).alias("volume"),
+        F.stddev_samp("grade").alias("grade_std")), "volume", "grade_std")
 
 
 def filtered_volume(s: SparkSession, d: str) -> DataFrame:
@@ -156,13 +165,15 @@ def validate_block_sizes(s: SparkSession, d: str) -> DataFrame:
 
 
 def validate_blocks_in_bbox(s: SparkSession, d: str) -> DataFrame:
-    return validate.validate_blocks_in_bbox(_wide(s, d), {"min_x": 0.0, "max_x": 190.0, "min_y": 0.0, "max_y": 200.0, "min_z": 0.0, "max_z": 1e9}, "block_id")
+    return validate.validate_blocks_in_bbox(_wide(s, d),
+        {"min_x": 0.0, "max_x": 190.0, "min_y": 0.0, "max_y": 200.0, "min_z": 0.0, "max_z": 1e9}, "block_id")
 
 
 def _shifted(s: SparkSession, d: str) -> DataFrame:
     """Intervals of which some start too early, end where they start, or have no start."""
     k = F.substring("hole_id", 3, 20).cast("long") + (F.col("to") / 2).cast("long")
-    return fx.intervals(s, d).withColumn("from", F.when(k % 97 == 0, F.lit(None)).when(k % 53 == 0, F.col("to")).when(k % 7 == 0, F.col("from") - 0.5).otherwise(F.col("from")))
+    return fx.intervals(s, d).withColumn("from", F.when(k % 97 == 0, F.lit(None)).when(k % 53 == 0, F.col("to")).when(k % 7 == 0,
+        F.col("from") - 0.5).otherwise(F.col("from")))
 
 
 def validate_intervals(s: SparkSession, d: str) -> DataFrame:
@@ -179,7 +190,9 @@ def validate_surveys(s: SparkSession, d: str) -> DataFrame:
 
 
 def _bent(s: SparkSession, d: str) -> DataFrame:
-    return fx.structures(s, d).withColumns({"dip": F.col("dip") * 1.05, "azimuth": F.when(F.col("event_id") % 50 == 0, 360.0).otherwise(F.col("azimuth")), "depth": F.when(F.col("event_id") % 31 == 0, F.lit(None)).otherwise(F.col("depth"))})
+    return fx.structures(s, d).withColumns({"dip": F.col("dip") * 1.05,
+        "azimuth": F.when(F.col("event_id") % 50 == 0, 360.0).otherwise(F.col("azimuth")),
+        "depth": F.when(F.col("event_id") % 31 == 0, F.lit(None)).otherwise(F.col("depth"))})
 
 
 def validate_structural_points(s: SparkSession, d: str) -> DataFrame:
@@ -187,12 +200,14 @@ def validate_structural_points(s: SparkSession, d: str) -> DataFrame:
 
 
 def plane_normals(s: SparkSession, d: str) -> DataFrame:
-    out = structural.with_plane_geometry(fx.structures(s, d)).select("event_id", "normal_x", "normal_y", "normal_z", "strike", "pole_trend", "pole_plunge")
+    out = structural.with_plane_geometry(fx.structures(s, d)).select("event_id", "normal_x", "normal_y", "normal_z", "strike", "pole_trend",
+        "pole_plunge")
     return rounded(out, "normal_x", "normal_y", "normal_z", "strike", "pole_trend", "pole_plunge")
 
 
 def normalized_angles(s: SparkSession, d: str) -> DataFrame:
-    return rounded(structural.normalize_dip_azimuth(_bent(s, d).withColumn("azimuth", F.col("azimuth") - 90)).select("event_id", "dip", "azimuth"), "dip", "azimuth")
+    return rounded(structural.normalize_dip_azimuth(_bent(s, d).withColumn("azimuth", F.col("azimuth") - 90)).select("event_id", "dip",
+        "azimuth"), "dip", "azimuth")
 
 
 def tadpole_tails(s: SparkSession, d: str) -> DataFrame:
@@ -208,11 +223,13 @@ def strike_dip_symbols(s: SparkSession, d: str) -> DataFrame:
 def alpha_beta_normals(s: SparkSession, d: str) -> DataFrame:
     hole = desurvey.direction(F.lit(30.0), F.lit(-60.0))
     rows = fx.structures(s, d).withColumns({"alpha": F.col("dip") * (90 / 91), "beta": F.col("azimuth")})
-    return rounded(structural.alpha_beta_normals(rows, hole).select("event_id", "normal_x", "normal_y", "normal_z"), "normal_x", "normal_y", "normal_z")
+    return rounded(structural.alpha_beta_normals(rows, hole).select("event_id", "normal_x", "normal_y", "normal_z"), "normal_x", "normal_y",
+        "normal_z")
 
 
 def section_view(s: SparkSession, d: str) -> DataFrame:
-    return rounded(structural.section_view(fx.collars(s, d), (502500.0, 6900000.0), 45.0, 500.0).select("hole_id", "along", "across"), "along", "across")
+    return rounded(structural.section_view(fx.collars(s, d), (502500.0, 6900000.0), 45.0, 500.0).select("hole_id", "along", "across"),
+        "along", "across")
 
 
 def plan_view(s: SparkSession, d: str) -> DataFrame:
@@ -228,12 +245,15 @@ def interval_vertices(s: SparkSession, d: str) -> DataFrame:
 
 
 def labelled_intervals(s: SparkSession, d: str) -> DataFrame:
-    return intervals.labelled_intervals(_shifted(s, d).withColumn("geology_code", F.when(F.col("geology_code") == "A", " NaN ").otherwise(F.col("geology_code"))), "geology_code").select("hole_id", "from", "to", "geology_code")
+    return intervals.labelled_intervals(_shifted(s, d).withColumn("geology_code",
+        F.when(F.col("geology_code") == "A", " NaN ").otherwise(F.col("geology_code"))), "geology_code").select("hole_id", "from", "to",
+        "geology_code")
 
 
 def unified_dataset(s: SparkSession, d: str) -> DataFrame:
     out = loaders.unified(ingest.with_mid(fx.intervals(s, d)), fx.structures(s, d).select("hole_id", "depth", "dip", "azimuth"))
-    return rounded(out.select("hole_id", "from", "to", "mid", "depth", "au_ppm", "dip", "azimuth", "_source").withColumnRenamed("_source", "data_source"), "from", "to", "mid", "depth", "au_ppm")
+    return rounded(out.select("hole_id", "from", "to", "mid", "depth", "au_ppm", "dip", "azimuth", "_source").withColumnRenamed("_source",
+        "data_source"), "from", "to", "mid", "depth", "au_ppm")
 
 
 def quantile_colour_bins(s: SparkSession, d: str) -> DataFrame:
@@ -242,7 +262,8 @@ def quantile_colour_bins(s: SparkSession, d: str) -> DataFrame:
 
 def binned_values(s: SparkSession, d: str) -> DataFrame:
     edges = [(0.0, 2.0), (2.0, 5.0), (5.0, 8.0)]
-    return fx.intervals(s, d).select("hole_id", "from", scale.bin_index(F.col("au_ppm"), edges).alias("bin"), scale.equal_width_index(F.col("au_ppm"), 0.0, 10.0, 4).alias("width_bin"))
+    return fx.intervals(s, d).select("hole_id", "from", scale.bin_index(F.col("au_ppm"), edges).alias("bin"),
+        scale.equal_width_index(F.col("au_ppm"), 0.0, 10.0, 4).alias("width_bin"))
 
 
 def depth_markers(s: SparkSession, d: str) -> DataFrame:
@@ -256,7 +277,8 @@ def holes_with_assays(s: SparkSession, d: str) -> DataFrame:
 
 
 def hole_properties(s: SparkSession, d: str) -> DataFrame:
-    i = fx.intervals(s, d).select("hole_id", F.when(F.col("au_ppm") > 9, F.col("au_ppm")).alias("au_ppm"), F.when(F.col("geology_code") == "R", F.col("geology_code")).alias("geology_code"))
+    i = fx.intervals(s, d).select("hole_id", F.when(F.col("au_ppm") > 9, F.col("au_ppm")).alias("au_ppm"),
+        F.when(F.col("geology_code") == "R", F.col("geology_code")).alias("geology_code"))
     return columns.hole_properties(i, ["au_ppm", "geology_code"]).select("hole_id", F.array_join("properties", ",").alias("properties"))
 
 
@@ -267,7 +289,8 @@ def trace_segments(s: SparkSession, d: str) -> DataFrame:
 
 def intervals_by_hole(s: SparkSession, d: str) -> DataFrame:
     out = intervals.intervals_by_hole(fx.intervals(s, d), F.col("geology_code"))
-    return out.select("hole_id", F.array_join(F.transform("intervals", lambda p: F.concat(p["from"].cast("long").cast("string"), F.lit(":"), p["value"])), ",").alias("intervals"))
+    return out.select("hole_id", F.array_join(F.transform("intervals",
+        lambda p: F.concat(p["from"].cast("long").cast("string"), F.lit(":"), p["value"])), ",").alias("intervals"))
 
 
 def structure_discs(s: SparkSession, d: str) -> DataFrame:
@@ -277,13 +300,15 @@ def structure_discs(s: SparkSession, d: str) -> DataFrame:
 
 def category_colours(s: SparkSession, d: str) -> DataFrame:
     names = fx.blocks(s, d).select("rock_type").distinct()
-    return names.select("rock_type", r6(colours.seeded_unit(F.col("rock_type"))).alias("unit"), colours.colour(F.lower(F.substring("rock_type", 1, 2)), {"ST": "#111111", "pr": "#222222"}, "#999999").alias("colour"))
+    return names.select("rock_type", r6(colours.seeded_unit(F.col("rock_type"))).alias("unit"),
+        colours.colour(F.lower(F.substring("rock_type", 1, 2)), {"ST": "#111111", "pr": "#222222"}, "#999999").alias("colour"))
 
 
 def wrapped_comments(s: SparkSession, d: str) -> DataFrame:
     """Whole texts of turns wrapped as log comments."""
     words = s.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", payload.wrapped(F.col("text"), 30).alias("wrapped"))
-    return words.select("conv_id", "turn", F.size(F.split("wrapped", "<br>")).cast("long").alias("n_lines"), F.sha2("wrapped", 256).alias("digest"))
+    return words.select("conv_id", "turn", F.size(F.split("wrapped", "<br>")).cast("long").alias("n_lines"),
+        F.sha2("wrapped", 256).alias("digest"))
 
 
 def collar_extent(s: SparkSession, d: str) -> DataFrame:
@@ -293,7 +318,8 @@ def collar_extent(s: SparkSession, d: str) -> DataFrame:
 
 def projected_collars(s: SparkSession, d: str) -> DataFrame:
     """Collars as degrees in UTM zone 50 south, projected."""
-    tops = fx.collars(s, d).select("hole_id", ((F.col("northing") - 6.9e6) / 1e5 - 32).alias("latitude"), ((F.col("easting") - 5e5) / 5e3 + 116.5).alias("longitude"))
+    tops = fx.collars(s, d).select("hole_id", ((F.col("northing") - 6.9e6) / 1e5 - 32).alias("latitude"),
+        ((F.col("easting") - 5e5) / 5e3 + 116.5).alias("longitude"))
     return rounded(projection.with_utm(tops, 50, south=True).select("hole_id", "easting", "northing"), "easting", "northing")
 
 
@@ -305,16 +331,25 @@ QUERIES: dict[str, Query] = {
     "significant_intercepts": significant_intercepts, "located_intercepts_in_section": flagship,
     "block_volume_by_class": block_volume_by_class, "filtered_volume": filtered_volume, "attribute_stats_numeric": attribute_stats_numeric,
     "attribute_stats_categorical": attribute_stats_categorical, "block_bbox": block_bbox, "block_size_stats": block_size_stats,
-    "min_curvature_traces": _traced("minimum_curvature"), "tangential_traces": _traced("tangential"), "balanced_tangential_traces": _traced("balanced_tangential"), "station_traces": station_traces,
-    "attach_assay_positions": attach_assay_positions, "attach_structure_positions": attach_structure_positions, "interpolate_positions": interpolate_positions, "resample_trace": resample_trace,
+    "min_curvature_traces": _traced("minimum_curvature"), "tangential_traces": _traced("tangential"),
+    "balanced_tangential_traces": _traced("balanced_tangential"), "station_traces": station_traces,
+    "attach_assay_positions": attach_assay_positions, "attach_structure_positions": attach_structure_positions,
+    "interpolate_positions": interpolate_positions, "resample_trace": resample_trace,
     "composite_average": _composited("average"), "composite_sum": _composited("sum"),
     "overlap_weighted_value": overlap_weighted_value, "dominant_category": dominant_category, "has_data_segments": has_data_segments,
-    "merge_numeric_categorical": merge_numeric_categorical, "join_assays_to_traces": join_assays_to_traces, "flatten_long_assays": flatten_long_assays,
-    "validate_intervals": validate_intervals, "overlapping_intervals": overlapping_intervals, "validate_surveys": validate_surveys, "validate_structural_points": validate_structural_points,
-    "validate_block_sizes": validate_block_sizes, "validate_blocks_in_bbox": validate_blocks_in_bbox, "block_overlaps": block_overlaps, "exterior_faces": exterior_faces,
-    "plan_view": plan_view, "section_view": section_view, "plane_normals": plane_normals, "normalized_angles": normalized_angles, "tadpole_tails": tadpole_tails, "strike_dip_symbols": strike_dip_symbols, "alpha_beta_normals": alpha_beta_normals,
-    "interval_points": interval_points, "interval_vertices": interval_vertices, "labelled_intervals": labelled_intervals, "unified_dataset": unified_dataset,
-    "quantile_colour_bins": quantile_colour_bins, "binned_values": binned_values, "depth_markers": depth_markers, "holes_with_assays": holes_with_assays, "hole_properties": hole_properties,
-    "trace_segments": trace_segments, "intervals_by_hole": intervals_by_hole, "structure_discs": structure_discs, "category_colours": category_colours, "wrapped_comments": wrapped_comments,
+    "merge_numeric_categorical": merge_numeric_categorical, "join_assays_to_traces": join_assays_to_traces,
+    "flatten_long_assays": flatten_long_assays,
+    "validate_intervals": validate_intervals, "overlapping_intervals": overlapping_intervals, "validate_surveys": validate_surveys,
+    "validate_structural_points": validate_structural_points,
+    "validate_block_sizes": validate_block_sizes, "validate_blocks_in_bbox": validate_blocks_in_bbox, "block_overlaps": block_overlaps,
+    "exterior_faces": exterior_faces,
+    "plan_view": plan_view, "section_view": section_view, "plane_normals": plane_normals, "normalized_angles": normalized_angles,
+    "tadpole_tails": tadpole_tails, "strike_dip_symbols": strike_dip_symbols, "alpha_beta_normals": alpha_beta_normals,
+    "interval_points": interval_points, "interval_vertices": interval_vertices, "labelled_intervals": labelled_intervals,
+    "unified_dataset": unified_dataset,
+    "quantile_colour_bins": quantile_colour_bins, "binned_values": binned_values, "depth_markers": depth_markers,
+    "holes_with_assays": holes_with_assays, "hole_properties": hole_properties,
+    "trace_segments": trace_segments, "intervals_by_hole": intervals_by_hole, "structure_discs": structure_discs,
+    "category_colours": category_colours, "wrapped_comments": wrapped_comments,
     "collar_extent": collar_extent, "filter_by_project": filter_by_project, "projected_collars": projected_collars,
 }

@@ -35,9 +35,13 @@ def query(sql: str):
 select a.hole hole_id, cast(a.n as int) line, f flag, a.rid, {r("tax", "tax")} from a left join t on t.hole = a.hole and t.n = a.n and a.n <> 7""")
 def last_trace_of_assays(s: SparkSession, d: str) -> DataFrame:
     """Repeated keys: each assay gets the last trace row of its key, no fan-out; keys without one stay."""
-    t = raw.lines(s, d).select(F.col("hole").alias("hole_id"), F.when(F.col("l_linenumber") != 7, F.col("l_linenumber")).otherwise(-1).alias("line"), F.col("l_tax").alias("tax"), F.lit("trace").alias("flag"), ROW)
-    a = raw.lines(s, d).select(F.col("hole").alias("hole_id"), F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("flag"), F.col(ROW).alias("rid"))
-    return rounded(asof.join_assays_to_traces(a, t, ["hole_id", "line"], last_only=True).select("hole_id", "line", "flag", "rid", "tax"), "tax")
+    t = raw.lines(s, d).select(F.col("hole").alias("hole_id"),
+        F.when(F.col("l_linenumber") != 7, F.col("l_linenumber")).otherwise(-1).alias("line"), F.col("l_tax").alias("tax"),
+        F.lit("trace").alias("flag"), ROW)
+    a = raw.lines(s, d).select(F.col("hole").alias("hole_id"), F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("flag"),
+        F.col(ROW).alias("rid"))
+    return rounded(asof.join_assays_to_traces(a, t, ["hole_id", "line"], last_only=True).select("hole_id", "line", "flag", "rid", "tax"),
+        "tax")
 
 
 def _repeated(first: bool) -> str:
@@ -48,8 +52,11 @@ sq as (select * from fx_structures), {nearest("sq", "depth")} select event_id, h
 
 
 def _nearest(s: SparkSession, d: str, duplicates: str) -> DataFrame:
-    t = raw.lines(s, d).select(F.col("hole").alias("hole_id"), (F.col("l_linenumber") * F.lit(10.0)).alias("md"), F.col("l_partkey").cast("double").alias("easting"), F.col("l_suppkey").cast("double").alias("northing"), F.col("l_tax").alias("tax"), ROW)
-    out = asof.nearest_vertex(fx.structures(s, d), t, "depth", ["md", "easting", "northing", "tax"], duplicates=duplicates, keep_unplaced=True)
+    t = raw.lines(s, d).select(F.col("hole").alias("hole_id"), (F.col("l_linenumber") * F.lit(10.0)).alias("md"),
+        F.col("l_partkey").cast("double").alias("easting"), F.col("l_suppkey").cast("double").alias("northing"),
+        F.col("l_tax").alias("tax"), ROW)
+    out = asof.nearest_vertex(fx.structures(s, d), t, "depth", ["md", "easting", "northing", "tax"], duplicates=duplicates,
+        keep_unplaced=True)
     # coordinates to the millimetre in SQL
     return out.select("event_id", "hole_id", "depth", "md", "easting", "northing", F.round("tax", 3).alias("tax"))
 
@@ -96,21 +103,26 @@ select event_id, {r("ex / sqrt(ex * ex + ny * ny + len * len)", "dir_x")}, {r("n
 def directions_without_angles(s: SparkSession, d: str) -> DataFrame:
     """Holes whose trace has no angles: the direction of the first segment that encloses the depth."""
     holes = fx.structures(s, d).filter("event_id % 3 = 0").select("hole_id").distinct()
-    t = holes.select("hole_id", F.explode(F.array(*map(F.lit, (0.0, 10.0, 10.0, 25.0)))).alias("md")).withColumns({"easting": F.col("md") * 2, "northing": F.col("md") * F.col("md"), "elevation": -F.col("md")})
-    return rounded(asof.interpolate_positions(fx.structures(s, d), t, direction=True).select("event_id", "dir_x", "dir_y", "dir_z"), "dir_x", "dir_y", "dir_z")
+    t = holes.select("hole_id", F.explode(F.array(*map(F.lit,
+        (0.0, 10.0, 10.0, 25.0)))).alias("md")).withColumns({"easting": F.col("md") * 2, "northing": F.col("md") * F.col("md"),
+        "elevation": -F.col("md")})
+    return rounded(asof.interpolate_positions(fx.structures(s, d), t, direction=True).select("event_id", "dir_x", "dir_y", "dir_z"),
+        "dir_x", "dir_y", "dir_z")
 
 
 @query(f"""with {INTERVALS}, {raw.RAW_COLLARS}, h as (select hole_id k from rc where project_id = '1-URGENT') select lower(hole_id) hole_id, "from", "to", {r("au_ppm", "au_ppm")} from fx_intervals join h on k = lower(hole_id)""")
 def scene_assays(s: SparkSession, d: str) -> DataFrame:
     """Valid intervals of the holes of a project, by hole key."""
     holes = loaders.by_project(ingest.standardize(raw.collars(s, d)), "1-URGENT")
-    return rounded(enrich.scene_assays(fx.intervals(s, d).withColumn("hole_id", F.concat("hole_id", F.lit(" "))), holes, ["au_ppm", "absent"]), "au_ppm")
+    return rounded(enrich.scene_assays(fx.intervals(s, d).withColumn("hole_id", F.concat("hole_id", F.lit(" "))), holes,
+        ["au_ppm", "absent"]), "au_ppm")
 
 
 @query(f"""with {raw.RAW_STRUCTURES}, {raw.RAW_COLLARS} select lower(t.hole_id) hole_id, {r("depth", "depth")}, dip, azimuth, alpha, beta, event_type structure_type from rt t join rc c on c.hole_id = lower(t.hole_id) where project_id = '1-URGENT' and depth is not null""")
 def scene_structures(s: SparkSession, d: str) -> DataFrame:
     holes = loaders.by_project(ingest.standardize(raw.collars(s, d)), "1-URGENT")
-    return rounded(enrich.scene_structures(ingest.standardize(raw.structures(s, d).withColumnRenamed("Type", "structure_type")), holes), "depth")
+    return rounded(enrich.scene_structures(ingest.standardize(raw.structures(s, d).withColumnRenamed("Type", "structure_type")), holes),
+        "depth")
 
 
 @query(f"""with {INTERVALS}, n as (select hole_id, cast(substr(hole_id, 3) as bigint) k, count(*) c from fx_intervals group by hole_id) select hole_id, case when k % 3 <> 2 then c end n from n""")
@@ -118,8 +130,10 @@ def intervals_of_holes(s: SparkSession, d: str) -> DataFrame:
     """Lists stored under a hole's id as it is, or under its key, or under neither."""
     lists = intervals.intervals_by_hole(fx.intervals(s, d), F.col("geology_code"))
     k = F.substring("hole_id", 3, 20).cast("long") % 3
-    stored = lists.withColumn("hole_id", F.when(k == 0, F.col("hole_id")).when(k == 1, F.lower("hole_id")).otherwise(F.concat(F.lit("x"), "hole_id")))
-    return enrich.intervals_of_holes(lists.select("hole_id"), stored).select("hole_id", F.when(F.col("intervals").isNotNull(), F.size("intervals")).cast("long").alias("n"))
+    stored = lists.withColumn("hole_id", F.when(k == 0, F.col("hole_id")).when(k == 1,
+        F.lower("hole_id")).otherwise(F.concat(F.lit("x"), "hole_id")))
+    return enrich.intervals_of_holes(lists.select("hole_id"), stored).select("hole_id",
+        F.when(F.col("intervals").isNotNull(), F.size("intervals")).cast("long").alias("n"))
 
 
 @query(f"with {COLLARS} select hole_id, project_id from fx_collars where contains(lower(hole_id), 'h1') ")
@@ -145,7 +159,8 @@ def hole_options(s: SparkSession, d: str) -> DataFrame:
 def hole_tests(s: SparkSession, d: str) -> DataFrame:
     """Whether a hole's id has a prefix, and whether it has any value of a property."""
     high = fx.intervals(s, d).withColumn("high", F.when(F.col("au_ppm") > 9, F.col("au_ppm")))
-    return columns.hole_properties(high, ["high"]).select("hole_id", F.upper("hole_id").startswith("DH1").alias("prefixed"), (F.size("properties") > 0).alias("has_high"))
+    return columns.hole_properties(high, ["high"]).select("hole_id", F.upper("hole_id").startswith("DH1").alias("prefixed"),
+        (F.size("properties") > 0).alias("has_high"))
 
 
 # Intervals and traces
@@ -156,7 +171,8 @@ select hole_id, seg_from, case when v is null then '#9e9e9e' when v <= 2 then '#
 def segment_colours(s: SparkSession, d: str) -> DataFrame:
     """Colour of each segment's weighted value on a scale of three bins, grey without one."""
     found = intervals.weighted_value(fx.segments(s, d), fx.intervals(s, d), "au_ppm", WIDTH)
-    return found.select("hole_id", "seg_from", scale.bin_colour(F.col("value"), [(0.0, 2.0), (2.0, 5.0), (5.0, 10.0)], ["#1", "#2", "#3"], colours.GREY).alias("colour"))
+    return found.select("hole_id", "seg_from", scale.bin_colour(F.col("value"), [(0.0, 2.0), (2.0, 5.0), (5.0, 10.0)], ["#1", "#2", "#3"],
+        colours.GREY).alias("colour"))
 
 
 @query(f"with {SURVEYS}, p as (select hole_id, depth a, lead(depth) over w b, row_number() over w - 1 k from fx_surveys window w as (partition by hole_id order by depth)) select hole_id, cast(k as int) segment, a seg_from, b seg_to from p where b is not null")
@@ -179,14 +195,16 @@ def interval_points_by_value(s: SparkSession, d: str) -> DataFrame:
 def depth_points(s: SparkSession, d: str) -> DataFrame:
     """Rows without bounds are points at their depth."""
     t = fx.structures(s, d).withColumnRenamed("event_id", ROW)
-    return rounded(intervals.interval_points(t, "structure_type", key_with_value=True, allow_points=True).select("hole_id", "z", "val", "half"), "z")
+    return rounded(intervals.interval_points(t, "structure_type", key_with_value=True, allow_points=True).select("hole_id", "z", "val",
+        "half"), "z")
 
 
 @query(f"""with {raw.raw_assays(False)}, p as (select *, row_number() over (partition by hole, a, b order by rid) k from ra where b > a)
 select hole hole_id, {r("a", '"from"')}, {r("b", '"to"')}, case when m = 4 then '' else code end note from p where k = 1 and hole is not null""")
 def comment_points(s: SparkSession, d: str) -> DataFrame:
     """The first row of each valid interval, blank comments included."""
-    t = ingest.standardize(raw.assays(s, d, False).withColumn("note", F.when(F.floor(F.col(ROW) / 1_000_000_000_000) % 50 != 4, F.col("Analyte"))))
+    t = ingest.standardize(raw.assays(s, d, False).withColumn("note",
+        F.when(F.floor(F.col(ROW) / 1_000_000_000_000) % 50 != 4, F.col("Analyte"))))
     return rounded(intervals.comment_points(loaders._named(t).filter("hole_id <> ''"), "note"), "from", "to")
 
 
@@ -196,7 +214,8 @@ def category_intervals(s: SparkSession, d: str) -> DataFrame:
     """Each hole's intervals with a category, of equal bounds the first row."""
     t = loaders.parse_assays(s, raw.assays(s, d))
     out = intervals.intervals_by_hole(t, F.col("analyte"))
-    return out.select("hole_id", F.array_join(F.transform("intervals", lambda p: F.concat(F.round(p["from"] * 10000).cast("long").cast("string"), F.lit(":"), p["value"])), ",").alias("intervals"))
+    return out.select("hole_id", F.array_join(F.transform("intervals",
+        lambda p: F.concat(F.round(p["from"] * 10000).cast("long").cast("string"), F.lit(":"), p["value"])), ",").alias("intervals"))
 
 
 @query(f"""with {raw.RAW_SURVEYS}, {COLLARS}, n as (select hole_id, count(*) n, min(depth) lo, max(depth) hi from rs join fx_collars using (hole_id) group by hole_id)
@@ -206,7 +225,8 @@ def scene_holes(s: SparkSession, d: str) -> DataFrame:
     t = raw.surveys(s, d).select(F.col("HoleId").alias("hole_id"), F.col("SurveyDepth").cast("double").alias("md"))
     tops = fx.collars(s, d).withColumnRenamed("hole_id", "own")
     out = payload.scene_holes(t.join(tops, F.trim("hole_id") == F.col("own")).drop("own"))
-    return out.select("hole_id", F.size("points").cast("long").alias("n"), F.element_at("points", 1)["md"].alias("lo"), F.element_at("points", -1)["md"].alias("hi"))
+    return out.select("hole_id", F.size("points").cast("long").alias("n"), F.element_at("points", 1)["md"].alias("lo"),
+        F.element_at("points", -1)["md"].alias("hi"))
 
 
 @query(f"""with {traces("minimum_curvature")} select {", ".join(f"{r(f'{m}({a})', f'{m}_{a}').replace('6)', '3)')}" for a in XYZ for m in ("min", "max"))}, {", ".join(r(f"avg({a})", f"mean_{a}").replace("6)", "3)") for a in XYZ)} from tr""")
@@ -281,7 +301,8 @@ select hole_id, {r("a", '"from"')}, {r("b", '"to"')}, 'missing_depth' issue from
 union all select hole_id, {r("a", '"from"')}, {r("b", '"to"')}, 'overlap' from ok where a < p union all select hole_id, {r("a", '"from"')}, {r("b", '"to"')}, 'dip_out_of_range' from i where dip < 0 or dip > 90
 union all select hole_id, {r("a", '"from"')}, {r("b", '"to"')}, 'azimuth_out_of_range' from i where azimuth < 0 or azimuth >= 360""")
 def validate_structural_intervals(s: SparkSession, d: str) -> DataFrame:
-    t = _bent(s, d).withColumns({"from": F.col("depth"), "to": F.col("depth") + F.col("event_id") % 3 - 0.5}).withColumnRenamed("event_id", ROW)
+    t = _bent(s, d).withColumns({"from": F.col("depth"), "to": F.col("depth") + F.col("event_id") % 3 - 0.5}).withColumnRenamed("event_id",
+        ROW)
     return rounded(validate.validate_structural_intervals(t), "from", "to")
 
 
@@ -294,7 +315,8 @@ u as (select nm, v / cast(4294967295 as double) hue from h where i = length(k)),
 select nm "name", {r("hue", "unit")} from c""")
 def category_units(s: SparkSession, d: str) -> DataFrame:
     """Hash of each name, whatever its case: the hue of its colour."""
-    return s.read.parquet(f"{d}/part.parquet").select(F.col("p_name").alias("name")).distinct().select("name", r6(colours.seeded_unit(F.lower(F.trim("name")))).alias("unit"))
+    return s.read.parquet(f"{d}/part.parquet").select(F.col("p_name").alias("name")).distinct().select("name",
+        r6(colours.seeded_unit(F.lower(F.trim("name")))).alias("unit"))
 
 
 def _part(h: str) -> str:
@@ -308,7 +330,8 @@ def _part(h: str) -> str:
 select b brand, concat('#', {_part("h + 1 / cast(3 as double)")}, {_part("h")}, {_part("h - 1 / cast(3 as double)")}) colour from u union all select '  ', '#9e9e9e' """)
 def category_hash_colours(s: SparkSession, d: str) -> DataFrame:
     """Colour of each brand from its hash; grey for a blank one."""
-    names = s.read.parquet(f"{d}/part.parquet").select(F.col("p_brand").alias("brand")).distinct().unionByName(s.createDataFrame([("  ",)], "brand string"))
+    names = s.read.parquet(f"{d}/part.parquet").select(F.col("p_brand").alias("brand")).distinct().unionByName(s.createDataFrame([("  ",)],
+        "brand string"))
     return names.select("brand", colours.category_hash_colour(F.col("brand")).alias("colour"))
 
 
@@ -320,7 +343,8 @@ def segment_hues(s: SparkSession, d: str) -> DataFrame:
     """Hues of segments without a value, and of holes a golden angle apart."""
     w = Window.partitionBy("hole_id").orderBy("depth")
     t = fx.surveys(s, d).select("hole_id", (F.row_number().over(w) - 1).alias("segment"))
-    return rounded(t.select("hole_id", "segment", colours.segment_hash_hue(F.col("hole_id"), F.col("segment")).alias("hue"), colours.golden_hue(F.col("segment")).alias("golden")), "hue", "golden")
+    return rounded(t.select("hole_id", "segment", colours.segment_hash_hue(F.col("hole_id"), F.col("segment")).alias("hue"),
+        colours.golden_hue(F.col("segment")).alias("golden")), "hue", "golden")
 
 
 @query(f"with {BLOCKS} select block_id, {r('(1 - (grade - 0.1) / 4.9) * 240', 'hue')}, case lower(rock_type) when 'shale' then '#607D8B' else '#0' end lithology, case when block_id % 2 = 0 then '#FFD700' else '#B0BEC5' end resolved from fx_blocks")
@@ -328,13 +352,16 @@ def value_hues(s: SparkSession, d: str) -> DataFrame:
     """Hue of a value on a range, colours by built-in maps, exact or whatever the case."""
     key = F.when(F.col("block_id") % 2 == 0, "AU").otherwise("limestone")
     both = {**colours.resolve_colour_map("commodity"), **colours.resolve_colour_map(" Lithology ")}
-    return rounded(fx.blocks(s, d).select("block_id", colours.value_hue(F.col("grade"), 0.1, 5.0).alias("hue"), colours.colour(F.col("rock_type"), colours.resolve_colour_map("lithology"), "#0").alias("lithology"), colours.colour(key, both, "#0").alias("resolved")), "hue")
+    return rounded(fx.blocks(s, d).select("block_id", colours.value_hue(F.col("grade"), 0.1, 5.0).alias("hue"),
+        colours.colour(F.col("rock_type"), colours.resolve_colour_map("lithology"), "#0").alias("lithology"),
+        colours.colour(key, both, "#0").alias("resolved")), "hue")
 
 
 @query("""select unnest(['l_ag_ppm', 'cu-pct', 'Fe Total', 'tax']) "column", unnest(['#C0C0C0', '#B87333', '#8B4513', '']) colour from (select count(*) from lineitem)""")
 def commodity_colours(s: SparkSession, d: str) -> DataFrame:
     """Colours of a table's columns by the commodity in their names."""
-    t = s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_tax").alias("l_ag_ppm"), F.col("l_tax").alias("cu-pct"), F.col("l_tax").alias("Fe Total"), F.col("l_tax").alias("tax"))
+    t = s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_tax").alias("l_ag_ppm"), F.col("l_tax").alias("cu-pct"),
+        F.col("l_tax").alias("Fe Total"), F.col("l_tax").alias("tax"))
     return s.createDataFrame([(c, colours.commodity_colour(c) or "") for c in t.columns], "column string, colour string")
 
 
@@ -354,7 +381,8 @@ def bin_labels(s: SparkSession, d: str) -> DataFrame:
 def photos_by_set(s: SparkSession, d: str) -> DataFrame:
     """Photos of each set by depth."""
     out = payload.photos_by_set(raw.photos(s, d).select("photo_set", "from_depth", ROW))
-    return out.select("photo_set", "first_row", F.size("photos").cast("long").alias("n"), F.array_join(F.transform("photos", lambda p: p[ROW].cast("string")), ",").alias("ids"))
+    return out.select("photo_set", "first_row", F.size("photos").cast("long").alias("n"),
+        F.array_join(F.transform("photos", lambda p: p[ROW].cast("string")), ",").alias("ids"))
 
 
 @query(f"with {raw.RAW_PHOTOS} select rid, photo_set, from_depth from rp where from_depth < 60 and to_depth > 20")
@@ -367,9 +395,11 @@ when rid % 4 = 1 and zoom < 4 then concat('https://photos.test/t/', rid) else im
 def photo_urls(s: SparkSession, d: str) -> DataFrame:
     """URL of the detail level for a zoom, height in pixels, and the URL of a tray by number."""
     zoom = (F.col(ROW) % 9).cast("double")
-    t = payload.tray_photos(raw.photos(s, d).withColumn("tray", F.col(ROW) % 1000).withColumn("own", F.col("image_url")), "https://trays.test/x/")
+    t = payload.tray_photos(raw.photos(s, d).withColumn("tray", F.col(ROW) % 1000).withColumn("own", F.col("image_url")),
+        "https://trays.test/x/")
     pixels = payload.photo_pixels(F.coalesce(F.col("to_depth") - F.col("from_depth"), F.lit(None)), zoom)
-    return t.select(F.col(ROW).alias("rid"), payload.photo_url(F.col("lod_urls"), zoom, F.col("own")).alias("url"), pixels.alias("pixels"), F.col("image_url").alias("tray"))
+    return t.select(F.col(ROW).alias("rid"), payload.photo_url(F.col("lod_urls"), zoom, F.col("own")).alias("url"), pixels.alias("pixels"),
+        F.col("image_url").alias("tray"))
 
 
 @query(f"with {COLLARS} select hole_id, project_id color_value from fx_collars")
@@ -388,11 +418,13 @@ def raster_bounds(s: SparkSession, d: str) -> DataFrame:
 @query(f"with {COLLARS} select min(easting) west, max(easting) east, min(northing) south, max(northing) north, (min(easting) + max(easting)) / 2 centre_x, (min(northing) + max(northing)) / 2 centre_y from fx_collars")
 def extent_centre(s: SparkSession, d: str) -> DataFrame:
     """Bounds of projected collars and their middle."""
-    box = fx.collars(s, d).agg(F.min("easting").alias("west"), F.max("easting").alias("east"), F.min("northing").alias("south"), F.max("northing").alias("north"))
+    box = fx.collars(s, d).agg(F.min("easting").alias("west"), F.max("easting").alias("east"), F.min("northing").alias("south"),
+        F.max("northing").alias("north"))
     return box.withColumns({"centre_x": (F.col("west") + F.col("east")) / 2, "centre_y": (F.col("south") + F.col("north")) / 2})
 
 
 @query(f"with {BLOCKS} select block_id from fx_blocks where grade >= 2 and rock_type = 'PROMO'")
 def filtered_blocks(s: SparkSession, d: str) -> DataFrame:
     """Blocks by criteria in the other dialect: empty conditions are ignored."""
-    return blockmodel.filter_blocks(fx.blocks(s, d), {"grade": {"gte": 2.0}, "rock_type": "PROMO", "density": None}, unknown_excludes=True).select("block_id")
+    return blockmodel.filter_blocks(fx.blocks(s, d), {"grade": {"gte": 2.0}, "rock_type": "PROMO", "density": None},
+        unknown_excludes=True).select("block_id")

@@ -12,12 +12,14 @@ from ..model import ROW
 def lines(s: SparkSession, d: str) -> DataFrame:
     """All lineitems with a row id that is unique within an order, a hole, and m: which kind of bad value a row has."""
     key = F.col("l_partkey") * 1_000_000_000_000 + F.col("l_suppkey") * 10_000_000 + F.round(F.col("l_extendedprice") * 100).cast("long")
-    return s.read.parquet(f"{d}/lineitem.parquet").withColumns({ROW: key, "m": F.col("l_partkey") % 50, "hole": F.concat(F.lit("DH"), "l_orderkey")})
+    return s.read.parquet(f"{d}/lineitem.parquet").withColumns({ROW: key, "m": F.col("l_partkey") % 50,
+        "hole": F.concat(F.lit("DH"), "l_orderkey")})
 
 
 def _bounds(valid: bool, equal: bool) -> tuple[Column, Column]:
     a = (F.col("l_linenumber") - 1) * F.lit(2.0) + (F.col("l_partkey") % 3) * F.lit(0.0004)
-    b = F.when(F.col("l_partkey") % 11 == 0, a).otherwise(F.col("l_linenumber") * F.lit(2.0)) if equal else F.col("l_linenumber") * F.lit(2.0)
+    b = F.when(F.col("l_partkey") % 11 == 0,
+        a).otherwise(F.col("l_linenumber") * F.lit(2.0)) if equal else F.col("l_linenumber") * F.lit(2.0)
     return a, b if valid else F.when(F.col("m") == 9, a - 1).otherwise(b)
 
 
@@ -30,15 +32,18 @@ def assays(s: SparkSession, d: str, valid: bool = True, equal: bool = True) -> D
         hole, b = F.when(F.col("m") == 7, "  ").when(F.col("m") != 8, hole), F.when(F.col("m") == 10, "x").otherwise(b)
     value = (F.col("l_discount") * 100).cast("double")
     text = F.when(F.col("m") == 0, "Infinity").when(F.col("m") == 1, "bad").when(F.col("m") != 2, value.cast("string"))
-    return lines(s, d).select(hole.alias("Hole Id"), a.cast("string").alias("SampFrom"), b.alias("Samp_To"), F.col("l_returnflag").alias("Analyte"), text.alias("Result"), F.when(F.col("m") != 2, value).alias("number"), ROW)
+    return lines(s, d).select(hole.alias("Hole Id"), a.cast("string").alias("SampFrom"), b.alias("Samp_To"),
+        F.col("l_returnflag").alias("Analyte"), text.alias("Result"), F.when(F.col("m") != 2, value).alias("number"), ROW)
 
 
 def collars(s: SparkSession, d: str) -> DataFrame:
     """HoleID (with blanks), Project, RL, X, Y (text), EPSG of every order."""
     key = F.col("o_orderkey")
     return s.read.parquet(f"{d}/orders.parquet").select(
-        F.concat(F.lit(" dh"), key).alias("HoleID"), F.col("o_orderpriority").alias("Project"), (F.lit(300.0) + key % 37).cast("string").alias("RL"),
-        (F.lit(500000.0) + key % 100 * 50).cast("string").alias("X"), (F.lit(6900000.0) + F.floor(key / 100) * 50).cast("string").alias("Y"), F.lit("EPSG:28350").alias("EPSG"), key.alias(ROW),
+        F.concat(F.lit(" dh"), key).alias("HoleID"), F.col("o_orderpriority").alias("Project"),
+        (F.lit(300.0) + key % 37).cast("string").alias("RL"),
+        (F.lit(500000.0) + key % 100 * 50).cast("string").alias("X"),
+        (F.lit(6900000.0) + F.floor(key / 100) * 50).cast("string").alias("Y"), F.lit("EPSG:28350").alias("EPSG"), key.alias(ROW),
     )
 
 
@@ -56,9 +61,12 @@ def structures(s: SparkSession, d: str) -> DataFrame:
     """HoleId, Depth, Computed_Plane_Dip, DipDir, Alpha, Beta (text, some bad), Type of every event."""
     e = F.col("event_id")
     return s.read.parquet(f"{d}/events.parquet").select(
-        F.when(e % 41 == 0, " ").otherwise(F.concat(F.lit(" DH"), "user_id")).alias("HoleId"), F.when(e % 31 != 0, F.col("value").cast("string")).alias("Depth"),
-        F.when(e % 17 == 0, "steep").otherwise((e % 91).cast("double").cast("string")).alias("Computed_Plane_Dip"), (e * 37 % 360).cast("double").cast("string").alias("DipDir"),
-        F.when(e % 3 == 0, (e % 90).cast("double").cast("string")).alias("Alpha_Angle"), F.when(e % 6 == 0, (e * 11 % 360).cast("double").cast("string")).alias("Beta"),
+        F.when(e % 41 == 0, " ").otherwise(F.concat(F.lit(" DH"), "user_id")).alias("HoleId"),
+        F.when(e % 31 != 0, F.col("value").cast("string")).alias("Depth"),
+        F.when(e % 17 == 0, "steep").otherwise((e % 91).cast("double").cast("string")).alias("Computed_Plane_Dip"),
+        (e * 37 % 360).cast("double").cast("string").alias("DipDir"),
+        F.when(e % 3 == 0, (e % 90).cast("double").cast("string")).alias("Alpha_Angle"),
+        F.when(e % 6 == 0, (e * 11 % 360).cast("double").cast("string")).alias("Beta"),
         F.col("event_type").alias("Type"), e.alias(ROW),
     )
 
@@ -67,7 +75,8 @@ def blocks(s: SparkSession, d: str) -> DataFrame:
     """Blocks under other names, some without a centre, with an attribute that mixes numbers and text."""
     k = F.col("p_partkey")
     return s.read.parquet(f"{d}/part.parquet").select(
-        F.when(k % 13 != 0, (k % 20 * 10 + F.lit(5.0)).cast("string")).alias("XC"), (F.floor(k / 20) % 20 * 10 + F.lit(5.0)).alias("Center_Y"), (F.floor(k / 400) * 10 + F.lit(5.0)).alias("zCentre"),
+        F.when(k % 13 != 0, (k % 20 * 10 + F.lit(5.0)).cast("string")).alias("XC"),
+        (F.floor(k / 20) % 20 * 10 + F.lit(5.0)).alias("Center_Y"), (F.floor(k / 400) * 10 + F.lit(5.0)).alias("zCentre"),
         F.lit("10").alias("size_x"), F.lit(10).alias("SY"), F.lit(10.0).alias("dim_z"), (F.col("p_size") / F.lit(10.0)).alias("Grade"),
         F.when(k % 7 == 0, "mixed").otherwise(F.col("p_size").cast("string")).alias("Code"), F.col("p_type").alias("Rock"), k.alias(ROW),
     )
@@ -78,9 +87,11 @@ def photos(s: SparkSession, d: str) -> DataFrame:
     e = F.col("event_id")
     url = lambda n: F.concat(F.lit(f"https://photos.test/{n}/"), e)
     return s.read.parquet(f"{d}/events.parquet").select(
-        F.concat(F.lit("DH"), "user_id").alias("hole_id"), F.when(e % 19 != 0, F.col("value")).alias("from_depth"), (F.col("value") + 1).alias("to_depth"),
+        F.concat(F.lit("DH"), "user_id").alias("hole_id"), F.when(e % 19 != 0, F.col("value")).alias("from_depth"),
+        (F.col("value") + 1).alias("to_depth"),
         F.when(e % 5 == 0, "").when(e % 5 != 1, F.col("event_type")).alias("photo_set"), url("full").alias("image_url"),
-        F.when(e % 4 == 0, F.create_map(F.lit("thumb"), url("t"), F.lit("mid"), url("m"))).when(e % 4 == 1, F.create_map(F.lit("thumb"), url("t"), F.lit("full"), F.lit(""))).alias("lod_urls"), e.alias(ROW),
+        F.when(e % 4 == 0, F.create_map(F.lit("thumb"), url("t"), F.lit("mid"), url("m"))).when(e % 4 == 1,
+        F.create_map(F.lit("thumb"), url("t"), F.lit("full"), F.lit(""))).alias("lod_urls"), e.alias(ROW),
     )
 
 

@@ -49,7 +49,8 @@ select hole hole_id, {SHOWN}, {r("a", "a")}, {r("n", "n")}, {r("r", "r")} from g
 def load_long_assays(s: SparkSession, d: str) -> DataFrame:
     """A long table with repeated codes: the first value in source order counts."""
     long = raw.assays(s, d).drop("Result").withColumnRenamed("number", "Assay_Value")
-    return rounded(loaders.load_assays(s, long, flat=False).select("hole_id", *BOUNDS, F.col("A").alias("a"), F.col("N").alias("n"), F.col("R").alias("r")), *BOUNDS, "a", "n", "r")
+    return rounded(loaders.load_assays(s, long, flat=False).select("hole_id", *BOUNDS, F.col("A").alias("a"), F.col("N").alias("n"),
+        F.col("R").alias("r")), *BOUNDS, "a", "n", "r")
 
 
 @query(f"with {raw.raw_assays(equal=False)} select hole hole_id, {r('a', '\"from\"')}, {r('b', '\"to\"')}, {r('0.5 * (a + b)', 'mid')} from ra")
@@ -113,14 +114,16 @@ def load_structures(s: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {raw.RAW_STRUCTURES} select event_id, hole_id, {r('depth', 'depth')}, dip, azimuth, alpha, beta from rt where hole_id is not null and depth is not null")
 def parse_structural_points(s: SparkSession, d: str) -> DataFrame:
-    return rounded(loaders.parse_structures(s, raw.structures(s, d)).select(F.col(ROW).alias("event_id"), "hole_id", "depth", "dip", "azimuth", "alpha", "beta"), "depth")
+    return rounded(loaders.parse_structures(s, raw.structures(s, d)).select(F.col(ROW).alias("event_id"), "hole_id", "depth", "dip",
+        "azimuth", "alpha", "beta"), "depth")
 
 
 @query(f"""with {raw.RAW_STRUCTURES}, i as (select *, depth a, depth + event_id % 3 b from rt)
 select event_id, hole_id, {r("a", '"from"')}, {r("b", '"to"')}, {r("(a + b) * 0.5", "mid")} from i where hole_id is not null and b > a""")
 def parse_structural_intervals(s: SparkSession, d: str) -> DataFrame:
     """The same reader, told by from and to: intervals win."""
-    table = raw.structures(s, d).withColumns({"Depth_From": F.col("Depth"), "Depth_To": (F.col("Depth").try_cast("double") + F.col(ROW) % 3).cast("string")})
+    table = raw.structures(s, d).withColumns({"Depth_From": F.col("Depth"),
+        "Depth_To": (F.col("Depth").try_cast("double") + F.col(ROW) % 3).cast("string")})
     return rounded(loaders.parse_structures(s, table).select(F.col(ROW).alias("event_id"), "hole_id", *BOUNDS), *BOUNDS)
 
 
@@ -135,7 +138,8 @@ def load_geotechnical(s: SparkSession, d: str) -> DataFrame:
 def load_geology(s: SparkSession, d: str) -> DataFrame:
     """The code is filled from the comments where its column is absent; overlaps would fail."""
     i = fx.intervals(s, d)
-    table = i.select(F.col("hole_id").alias("HoleId"), F.col("from").alias("FromDepth"), F.col("to").alias("ToDepth"), F.concat(F.lit("logged "), "geology_code").alias("Geology Comment"))
+    table = i.select(F.col("hole_id").alias("HoleId"), F.col("from").alias("FromDepth"), F.col("to").alias("ToDepth"),
+        F.concat(F.lit("logged "), "geology_code").alias("Geology Comment"))
     return loaders.load_geology(s, table, keep_all=False)
 
 
@@ -143,8 +147,11 @@ def load_geology(s: SparkSession, d: str) -> DataFrame:
 from rl group by hole, l_linenumber""")
 def load_long_geology(s: SparkSession, d: str) -> DataFrame:
     """Long geology: codes with repeated values, the first in source order counts."""
-    long = raw.lines(s, d).select(F.col("hole").alias("HoleId"), ((F.col("l_linenumber") - 1) * F.lit(2.0)).alias("from_depth"), (F.col("l_linenumber") * F.lit(2.0)).alias("to_depth"), F.col("l_returnflag").alias("lith_code"), F.col("l_linestatus").alias("value"), ROW)
-    return loaders.load_geology(s, long, flat=False).select("hole_id", "from", "to", F.col("A").alias("code_a"), F.col("N").alias("code_n"), F.col("R").alias("code_r"))
+    long = raw.lines(s, d).select(F.col("hole").alias("HoleId"), ((F.col("l_linenumber") - 1) * F.lit(2.0)).alias("from_depth"),
+        (F.col("l_linenumber") * F.lit(2.0)).alias("to_depth"), F.col("l_returnflag").alias("lith_code"),
+        F.col("l_linestatus").alias("value"), ROW)
+    return loaders.load_geology(s, long, flat=False).select("hole_id", "from", "to", F.col("A").alias("code_a"), F.col("N").alias("code_n"),
+        F.col("R").alias("code_r"))
 
 
 @query(f"""with {INTERVALS}, k as (select *, cast(substr(hole_id, 3) as bigint) % 3 q from fx_intervals)
@@ -152,7 +159,8 @@ select hole_id, "from", "to", ("from" + "to") * 0.5 mid, case when q = 1 then co
 def load_described_geology(s: SparkSession, d: str) -> DataFrame:
     """The other dialect: code and description fill each other."""
     i = fx.intervals(s, d).withColumn("q", F.substring("hole_id", 3, 20).cast("long") % 3)
-    table = i.select("hole_id", "from", "to", F.when(F.col("q") == 1, " ").otherwise(F.col("geology_code")).alias("Lith1"), F.when(F.col("q") != 0, F.concat(F.lit("d"), "geology_code")).alias("Description"))
+    table = i.select("hole_id", "from", "to", F.when(F.col("q") == 1, " ").otherwise(F.col("geology_code")).alias("Lith1"),
+        F.when(F.col("q") != 0, F.concat(F.lit("d"), "geology_code")).alias("Description"))
     return loaders.load_geology(s, table, js=True, keep_all=False)
 
 
@@ -160,7 +168,8 @@ def load_described_geology(s: SparkSession, d: str) -> DataFrame:
 def load_points(s: SparkSession, d: str) -> DataFrame:
     """Points of holes that are desurveyed already."""
     t = raw.surveys(s, d).withColumn("m", F.floor(F.col(ROW) / 1_000_000_000_000) % 50)
-    table = t.select(F.when(F.col("m") == 7, " ").otherwise(F.col("HoleId")).alias("hole id"), F.col("Az").cast("double").alias("x"), F.col("DIP").cast("double").alias("y"), F.when(F.col("m") == 12, "?").when(F.col("m") != 11, F.col("SurveyDepth")).alias("z"), ROW)
+    table = t.select(F.when(F.col("m") == 7, " ").otherwise(F.col("HoleId")).alias("hole id"), F.col("Az").cast("double").alias("x"),
+        F.col("DIP").cast("double").alias("y"), F.when(F.col("m") == 12, "?").when(F.col("m") != 11, F.col("SurveyDepth")).alias("z"), ROW)
     return loaders.load_points(s, table).drop(ROW)
 
 
@@ -186,7 +195,8 @@ def unified_holes(s: SparkSession, d: str) -> DataFrame:
     """Rows of each hole: those of assays by depth, then structures in source order, then geology."""
     rows = _unified(s, d)
     parts = [payload.rows_by_hole(rows.filter(F.col("_part") == k), ["_source"], ["from", ROW] if k != 1 else [ROW]) for k in (0, 1, 2)]
-    plain = [p.select("hole_id", F.transform("rows", lambda x: F.concat(x["_source"], F.lit(":"), x[ROW].cast("string"))).alias("rows")) for p in parts]
+    plain = [p.select("hole_id", F.transform("rows",
+        lambda x: F.concat(x["_source"], F.lit(":"), x[ROW].cast("string"))).alias("rows")) for p in parts]
     holes = payload.merge_holes(payload.merge_holes(plain[0], plain[1]), plain[2])
     return holes.select("hole_id", F.size("rows").cast("long").alias("n"), F.array_join("rows", ",").alias("shown"))
 
@@ -210,7 +220,8 @@ def assay_state(s: SparkSession, d: str) -> DataFrame:
     holes = loaders.hole_ids(table, True, columns.NO_VALUES)
     focus = holes.agg(F.max("hole_id")).head()[0]
     chart = columns.chart_for(name, types, default=columns.default_chart(types[name]))
-    return payload.focused_holes(holes, focus, most=4).select("hole_id", F.col("place").cast("int").alias("place"), F.lit(name).alias("property"), F.lit(chart).alias("chart"))
+    return payload.focused_holes(holes, focus, most=4).select("hole_id", F.col("place").cast("int").alias("place"),
+        F.lit(name).alias("property"), F.lit(chart).alias("chart"))
 
 
 @query(f"""with {INTERVALS}, {STRUCTURES} select 'assays' "table", cast(count(*) as bigint) n from fx_intervals union all select 'collars', 0 union all select 'surveys', 0 union all select 'structures', count(*) from fx_structures
@@ -230,8 +241,10 @@ select nv.hole_id, "from", "to", {POSITION}, project_id from nv left join (selec
 def located_assays_of_projects(s: SparkSession, d: str) -> DataFrame:
     """End to end: collars and surveys to traces, projects onto them, assays placed on them."""
     tops = fx.collars(s, d)
-    placed = enrich.with_project(desurvey.build_traces(tops, fx.surveys(s, d), STEP), tops.withColumn("hole_id", F.concat(F.lit(" "), F.lower("hole_id"))))
-    return rounded(asof.attach_assay_positions(ingest.with_mid(fx.intervals(s, d)), placed).select("hole_id", "from", "to", *XYZ, "project_id"), *XYZ)
+    placed = enrich.with_project(desurvey.build_traces(tops, fx.surveys(s, d), STEP),
+        tops.withColumn("hole_id", F.concat(F.lit(" "), F.lower("hole_id"))))
+    return rounded(asof.attach_assay_positions(ingest.with_mid(fx.intervals(s, d)), placed).select("hole_id", "from", "to", *XYZ,
+        "project_id"), *XYZ)
 
 
 # Readers and sinks
@@ -256,7 +269,8 @@ def sql_sources(s: SparkSession, d: str) -> DataFrame:
     """A table and a query of the catalog."""
     fx.intervals(s, d).createOrReplaceTempView("orespark_intervals")
     table = ingest.read_table(s, "", "sql", table="orespark_intervals").drop(ROW).withColumn("via", F.lit("table"))
-    found = ingest.read_table(s, "", "sql", query="select * from orespark_intervals where au_ppm > 5").drop(ROW).withColumn("via", F.lit("query"))
+    found = ingest.read_table(s, "", "sql", query="select * from orespark_intervals where au_ppm > 5").drop(ROW).withColumn("via",
+        F.lit("query"))
     return rounded(table.unionByName(found), "au_ppm")
 
 
@@ -280,8 +294,13 @@ o as (select *, row_number() over (partition by hole_id order by md) - 1 i, coun
 select case when company <> '' then company else hole_id end hole_id, nullif(company, '') company_hole_id, project_id project, cast(i as int) as "order", md, round(e - (select avg(e) from xm), 3) + cast(0 as double) x, round(n - (select avg(n) from xm), 3) + cast(0 as double) y, z + elevation z from o where k >= 2""")
 def trace_csv(s: SparkSession, d: str) -> DataFrame:
     """Traces projected about the mean of the collars, written as CSV and read again."""
-    rows = fx.surveys(s, d).join(fx.collars(s, d), "hole_id").withColumns({"collar_lat": (F.col("northing") - 6.9e6) / 1e5 - 32, "collar_lng": (F.col("easting") - 5e5) / 5e3 + 116.5, "n": F.substring("hole_id", 3, 20).cast("long")})
-    rows = rows.select("hole_id", F.when(F.col("n") % 2 == 0, F.concat(F.lit(" C"), "n")).alias("company_hole_id"), F.col("project_id").alias("project"), F.col("depth").alias("md"), (F.col("collar_lat") + F.col("depth") / 1e6).alias("lat"), F.col("collar_lng").alias("lng"), (-F.col("depth")).alias("z"), "collar_lat", "collar_lng", F.col("elevation").alias("collar_elevation"))
+    rows = fx.surveys(s, d).join(fx.collars(s, d),
+        "hole_id").withColumns({"collar_lat": (F.col("northing") - 6.9e6) / 1e5 - 32, "collar_lng": (F.col("easting") - 5e5) / 5e3 + 116.5,
+        "n": F.substring("hole_id", 3, 20).cast("long")})
+    rows = rows.select("hole_id", F.when(F.col("n") % 2 == 0, F.concat(F.lit(" C"), "n")).alias("company_hole_id"),
+        F.col("project_id").alias("project"), F.col("depth").alias("md"), (F.col("collar_lat") + F.col("depth") / 1e6).alias("lat"),
+        F.col("collar_lng").alias("lng"), (-F.col("depth")).alias("z"), "collar_lat", "collar_lng",
+        F.col("elevation").alias("collar_elevation"))
     path = sinks.write_csv(sinks.export_rows(rows, 50), sinks.shared_path(s, "traces-csv"))
     out = ingest.read_table(s, path, "csv").drop(ROW)
     return out.withColumns({c: F.round(c, 3) + F.lit(0.0) for c in ("x", "y")})
@@ -290,8 +309,10 @@ def trace_csv(s: SparkSession, d: str) -> DataFrame:
 @query(f"with {raw.RAW_SURVEYS}, {raw.RAW_COLLARS} select s.hole_id, depth, -depth + coalesce(c.elevation, 0) z from rs s left join rc c on lower(s.hole_id) = c.hole_id and cast(substr(s.hole_id, 3) as bigint) % 3 <> 0")
 def elevation_corrected_traces(s: SparkSession, d: str) -> DataFrame:
     """Traces raised by the elevation of their collar (of two rows of a collar the last), 0 without one; written and read again."""
-    rows = raw.surveys(s, d).select(F.trim("HoleId").alias("hole_id"), F.col("SurveyDepth").cast("double").alias("depth"), (-F.col("SurveyDepth").cast("double")).alias("z"))
-    tops = raw.collars(s, d).filter(F.substring(F.trim("HoleID"), 3, 20).cast("long") % 3 != 0).select(F.regexp_replace("HoleID", "dh", "d h ").alias("hole_id"), F.col("RL").cast("double").alias("elevation"), ROW)
+    rows = raw.surveys(s, d).select(F.trim("HoleId").alias("hole_id"), F.col("SurveyDepth").cast("double").alias("depth"),
+        (-F.col("SurveyDepth").cast("double")).alias("z"))
+    tops = raw.collars(s, d).filter(F.substring(F.trim("HoleID"), 3, 20).cast("long") % 3 != 0).select(F.regexp_replace("HoleID", "dh",
+        "d h ").alias("hole_id"), F.col("RL").cast("double").alias("elevation"), ROW)
     twice = tops.withColumns({"elevation": F.lit(-1.0), ROW: F.col(ROW) - 1_000_000_000}).unionByName(tops)
     path = sinks.write_csv(enrich.with_collar_elevation(rows, twice), sinks.shared_path(s, "corrected-csv"))
     return ingest.read_table(s, path, "csv").drop(ROW)
@@ -348,7 +369,8 @@ def criteria_kinds(s: SparkSession, d: str) -> DataFrame:
         "mapping": {"rock_type": {"in": ["PROMO", "SMALL"]}, "grade": {"lte": 3.0}, "density": None},
     }
     parts = {n: blockmodel.criteria_column(b, c) for n, c in kinds.items()}
-    parts |= {f"unknown_{n}": blockmodel.criteria_column(b, {"nothing": 1}, unknown_excludes=x) for n, x in (("excludes", True), ("ignored", False))}
+    parts |= {f"unknown_{n}": blockmodel.criteria_column(b, {"nothing": 1}, unknown_excludes=x) for n,
+        x in (("excludes", True), ("ignored", False))}
     size = F.col("dx") * F.col("dy") * F.col("dz")
     return b.agg(*[F.coalesce(F.sum(F.when(c, size)), F.lit(0.0)).alias(n) for n, c in parts.items()])
 
@@ -360,8 +382,10 @@ def block_metadata(s: SparkSession, d: str) -> DataFrame:
     given = blockmodel.load_metadata('{"name": "given", "min_block_size": {"dx": 1.0, "dy": 1.0, "dz": 1.0}}')
     m = blockmodel.BlockModel(fx.blocks(s, d), given).metadata()
     ring = " ".join(str(float(v)) for p in m["outline_2d"]["coordinates"][0] for v in p)
-    row = (m["name"], *(m["bbox_3d"][k] for k in ("min_x", "max_x", "min_y", "max_y")), m["max_block_size"]["dx"], m["min_block_size"]["dx"], ring)
-    return s.createDataFrame([row], "name string, min_x double, max_x double, min_y double, max_y double, max_dx double, min_dx double, outline string")
+    row = (m["name"], *(m["bbox_3d"][k] for k in ("min_x", "max_x", "min_y", "max_y")), m["max_block_size"]["dx"],
+        m["min_block_size"]["dx"], ring)
+    return s.createDataFrame([row],
+        "name string, min_x double, max_x double, min_y double, max_y double, max_dx double, min_dx double, outline string")
 
 
 MESHES = f"""{BLOCKS}, mk as (select block_id, block_id % 10 q, x, y, z from fx_blocks)"""
@@ -373,9 +397,13 @@ def _documents(s: SparkSession, d: str) -> DataFrame:
     corner = lambda i, j, k: F.array(at[0] + i * 5.0, at[1] + j * 5.0, at[2] + k * 5.0)
     flat = F.when(q == 1, corner(2, 0, 0)).otherwise(corner(0, 1, 0))
     points = F.array(corner(0, 0, 0), corner(1, 0, 0), flat, F.when(q == 2, F.array(at[0], at[1])).otherwise(corner(0, 0, 1)))
-    faces = F.array(F.array(F.lit(0), F.lit(1), F.lit(2)), F.array(F.lit(0), F.lit(1), F.lit(3)), F.when(q == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0), F.lit(2), F.when(q == 4, 4).otherwise(3))))
-    shell = F.struct(F.col("block_id").cast("string").alias("id"), F.col("rock_type").alias("name"), F.when(q == 5, F.create_map(F.lit("class"), F.col("rock_type"))).alias("attributes"), points.alias("vertices"), faces.alias("triangles"))
-    return fx.blocks(s, d).select(F.to_json(F.struct(F.lit("1.0").alias("schema_version"), F.lit("m").alias("units"), F.array(shell).alias("blocks"))).alias("value"))
+    faces = F.array(F.array(F.lit(0), F.lit(1), F.lit(2)), F.array(F.lit(0), F.lit(1), F.lit(3)),
+        F.when(q == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0), F.lit(2), F.when(q == 4, 4).otherwise(3))))
+    shell = F.struct(F.col("block_id").cast("string").alias("id"), F.col("rock_type").alias("name"),
+        F.when(q == 5, F.create_map(F.lit("class"), F.col("rock_type"))).alias("attributes"), points.alias("vertices"),
+        faces.alias("triangles"))
+    return fx.blocks(s, d).select(F.to_json(F.struct(F.lit("1.0").alias("schema_version"), F.lit("m").alias("units"),
+        F.array(shell).alias("blocks"))).alias("value"))
 
 
 @query(f"""with {MESHES} select cast(block_id as varchar) id, case q when 1 then 'zero_area_triangle' when 2 then 'vertices_shape' when 3 then 'triangles_shape' else 'index_out_of_range' end issue from mk where q in (1, 2, 3, 4)""")
@@ -390,7 +418,8 @@ def mesh_issues(s: SparkSession, d: str) -> DataFrame:
 def mesh_arrays(s: SparkSession, d: str) -> DataFrame:
     """Flat position and index arrays of meshes parsed from texts."""
     flat = mesh.flat_geometry(mesh.parse_grade_blocks_text(_documents(s, d), "value"))
-    return flat.select("id", F.size("positions").cast("long").alias("n_positions"), F.size("indices").cast("long").alias("n_indices"), F.aggregate("positions", F.lit(0.0), lambda a, x: a + x).alias("total"))
+    return flat.select("id", F.size("positions").cast("long").alias("n_positions"), F.size("indices").cast("long").alias("n_indices"),
+        F.aggregate("positions", F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
 # Columns
@@ -402,8 +431,10 @@ unnest(['markers+line', 'markers+line', 'markers+line', 'categorical', 'categori
 def column_types(s: SparkSession, d: str) -> DataFrame:
     """Display types of all columns in both dialects (one aggregate each), the first chart on offer and the default one."""
     t = raw.lines(s, d).select(
-        F.col("hole").alias("hole_id"), F.lit(0.0).alias("from"), F.lit(1.0).alias("to"), F.when(F.col("m") == 3, "1.5").alias("au"), F.when(F.col("m") == 4, F.col("l_returnflag")).alias("lith"),
-        F.when(F.col("m") == 5, "seen").alias("comments"), F.col("l_tax").alias("dip"), F.lit(None).cast("string").alias("empty"), F.when(F.col("m") == 6, "yes").otherwise(" ").alias("flag"), F.col("l_linenumber").alias("sample"),
+        F.col("hole").alias("hole_id"), F.lit(0.0).alias("from"), F.lit(1.0).alias("to"), F.when(F.col("m") == 3, "1.5").alias("au"),
+        F.when(F.col("m") == 4, F.col("l_returnflag")).alias("lith"),
+        F.when(F.col("m") == 5, "seen").alias("comments"), F.col("l_tax").alias("dip"), F.lit(None).cast("string").alias("empty"),
+        F.when(F.col("m") == 6, "yes").otherwise(" ").alias("flag"), F.col("l_linenumber").alias("sample"),
     )
     python, typed = columns.classify_columns(t), columns.classify_typed(t)
     first = {c: (columns.available_charts(k) or columns.chart_options("none"))[0] for c, k in python.items()}
@@ -415,22 +446,28 @@ def column_types(s: SparkSession, d: str) -> DataFrame:
 def missing_columns(s: SparkSession, d: str) -> DataFrame:
     """Required columns that a table lacks."""
     t = ingest.standardize(raw.collars(s, d).withColumn("Az", F.lit(0.0)))
-    return s.createDataFrame([("surveys", c) for c in validate.missing_columns(t, ["hole_id", "depth", "azimuth", "dip"])], "table string, missing string")
+    return s.createDataFrame([("surveys", c) for c in validate.missing_columns(t, ["hole_id", "depth", "azimuth", "dip"])],
+        "table string, missing string")
 
 
 @query(f"""with {raw.LINES} select hole hole_id, coalesce(case when m = 3 then 'early' end, l_returnflag) geology_code, case when m = 4 then null else l_linestatus end last_code, rid from rl""")
 def standardized_names(s: SparkSession, d: str) -> DataFrame:
     """Several sources of one column: the first value counts, in the other dialect the last column."""
-    t = raw.lines(s, d).select(F.col("hole").alias("HOLE-ID"), F.when(F.col("m") == 3, "early").alias("Lith1"), F.col("l_returnflag").alias(" Rock1"), F.when(F.col("m") != 4, F.col("l_linestatus")).alias("lithology"), ROW)
+    t = raw.lines(s, d).select(F.col("hole").alias("HOLE-ID"), F.when(F.col("m") == 3, "early").alias("Lith1"),
+        F.col("l_returnflag").alias(" Rock1"), F.when(F.col("m") != 4, F.col("l_linestatus")).alias("lithology"), ROW)
     one = ingest.standardize(t).select("hole_id", "geology_code", F.col(ROW).alias("rid"))
-    two = ingest.standardize(t, last_wins=True).select(F.col("geology_code").alias("last_code"), F.col(ROW).alias("rid_2"), F.col("hole_id").alias("hole_2"))
+    two = ingest.standardize(t, last_wins=True).select(F.col("geology_code").alias("last_code"), F.col(ROW).alias("rid_2"),
+        F.col("hole_id").alias("hole_2"))
     return one.join(two, (F.col("rid") == F.col("rid_2")) & (F.col("hole_id") == F.col("hole_2"))).drop("rid_2", "hole_2")
 
 
 @query(f"""with {raw.LINES} select hole hole_id, rid, case when m = 3 then 'b' else 'A' end low, case when m <> 0 then {r("v0", "x").removesuffix(" as x")} end number, case when m = 5 then l_linestatus when m = 6 then 'z' else l_returnflag end first_value from rl""")
 def scalar_reads(s: SparkSession, d: str) -> DataFrame:
     """Lower-cased names, coerced numbers (infinity is none), first values that aren't empty."""
-    t = raw.lines(s, d).select("hole", F.col(ROW).alias("rid"), F.when(F.col("m") == 3, "b").otherwise("A").alias(" LOW "), F.when(F.col("m") == 0, "-Infinity").otherwise((F.col("l_discount") * 100).cast("double").cast("string")).alias("Number"),
-                              F.when(F.col("m") == 5, "").when(F.col("m") != 6, F.col("l_returnflag")).alias("a"), F.when(F.col("m") != 6, F.col("l_linestatus")).alias("b"), F.lit("z").alias("c"))
+    t = raw.lines(s, d).select("hole", F.col(ROW).alias("rid"), F.when(F.col("m") == 3, "b").otherwise("A").alias(" LOW "),
+        F.when(F.col("m") == 0, "-Infinity").otherwise((F.col("l_discount") * 100).cast("double").cast("string")).alias("Number"),
+                              F.when(F.col("m") == 5, "").when(F.col("m") != 6, F.col("l_returnflag")).alias("a"),
+                              F.when(F.col("m") != 6, F.col("l_linestatus")).alias("b"), F.lit("z").alias("c"))
     low = ingest.coerce_numeric(ingest.lower_keys(t), ["number", "absent"])
-    return rounded(low.select(F.col("hole").alias("hole_id"), "rid", "low", "number", ingest.first_value([F.col(c) for c in "abc"]).alias("first_value")), "number")
+    return rounded(low.select(F.col("hole").alias("hole_id"), "rid", "low", "number",
+        ingest.first_value([F.col(c) for c in "abc"]).alias("first_value")), "number")

@@ -25,7 +25,8 @@ def with_row_id(df: DataFrame) -> DataFrame:
     return df if ROW in df.columns else df.withColumn(ROW, F.monotonically_increasing_id())
 
 
-def read_table(spark: SparkSession, source: str | DataFrame, kind: str = "csv", query: str | None = None, table: str | None = None, connection: Mapping[str, str] | None = None, **options) -> DataFrame:
+def read_table(spark: SparkSession, source: str | DataFrame, kind: str = "csv", query: str | None = None, table: str | None = None,
+    connection: Mapping[str, str] | None = None, **options) -> DataFrame:
     """A source as a DataFrame with a row id. kind: csv, parquet, json, orc or sql.
 
     sql reads a query or table over JDBC if `connection` gives the reader's options (url, driver, ...), else from the
@@ -45,7 +46,8 @@ def read_table(spark: SparkSession, source: str | DataFrame, kind: str = "csv",
         if not (query or table):
             raise ValueError("a sql source needs a query or a table")
         if connection:
-            return with_row_id(spark.read.format("jdbc").options(**connection).option("query" if query else "dbtable", query or table).load())
+            return with_row_id(spark.read.format("jdbc").options(**connection).option("query" if query else "dbtable",
+                query or table).load())
         return with_row_id(spark.sql(query) if query else spark.table(table))
     raise ValueError(f"unknown kind of source: {kind}")
 
@@ -62,7 +64,8 @@ def _targets(columns: list[str], names: Mapping[str, list[str]], own: Mapping[st
 
 
 #: The other dialect's names: descriptions are a column of their own.
-OTHER_NAMES = {k: [v for v in vs if v not in DESCRIPTIONS] for k, vs in SOURCE_NAMES.items()} | {"geology_description": DESCRIPTIONS, "strike": STRIKES}
+OTHER_NAMES = {k: [v for v in vs if v not in DESCRIPTIONS] for k, vs in SOURCE_NAMES.items()} | {"geology_description": DESCRIPTIONS,
+    "strike": STRIKES}
 
 
 def standardize(df: DataFrame, source_column_map: Mapping[str, str] | None = None, last_wins: bool = False) -> DataFrame:

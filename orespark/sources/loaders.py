@@ -45,7 +45,8 @@ def _guard(df: DataFrame, tests: dict[str, Column], label: str, sample: list[str
         bad = bad | F.coalesce(c, F.lit(True))
     place = F.col(ROW) if ROW in df.columns else F.lit(0)
     shown = F.when(bad, F.struct(place.alias("at"), *[ref(c).cast("string").alias(c) for c in sample]))
-    counts = df.agg(F.count_if(bad).alias("total_invalid"), F.min(shown).alias("first"), *[F.count_if(F.coalesce(c, F.lit(True))).alias(n) for n, c in tests.items()]).head()
+    counts = df.agg(F.count_if(bad).alias("total_invalid"), F.min(shown).alias("first"),
+        *[F.count_if(F.coalesce(c, F.lit(True))).alias(n) for n, c in tests.items()]).head()
     if counts["total_invalid"]:
         rows = [r.asDict() for r in df.filter(bad).select(*map(ref, sample)).limit(5).collect()]
         raise ValueError(f"{label}: missing or invalid values, {({k: v for k, v in counts.asDict().items() if k != 'first'})}, for example {rows}")
@@ -61,7 +62,8 @@ def _named(df: DataFrame) -> DataFrame:
     return df.withColumn("hole_id", F.trim(F.col("hole_id").cast("string")))
 
 
-def load_collars(spark: SparkSession, source, crs: str | None = None, source_column_map=None, keep_all: bool = True, js: bool = False, validate: bool = True, **read) -> DataFrame:
+def load_collars(spark: SparkSession, source, crs: str | None = None, source_column_map=None, keep_all: bool = True, js: bool = False,
+    validate: bool = True, **read) -> DataFrame:
     """Collars with geometry struct<x, y> and geometry_crs: longitude/latitude (EPSG:4326 unless given), else easting/northing.
 
     All columns of the model are required but the coordinates of the kind that is absent; crs isn't where there are only
@@ -78,13 +80,17 @@ def load_collars(spark: SparkSession, source, crs: str | None = None, source_col
     if js:
         _require(df, [x, y], "collars")
         if validate:
-            _guard(df, {"missing_hole_id": F.col("hole_id") == "", "missing_coordinates": ref(x).isNull() | ref(y).isNull()}, "collars", ["hole_id", x, y])
+            _guard(df, {"missing_hole_id": F.col("hole_id") == "", "missing_coordinates": ref(x).isNull() | ref(y).isNull()}, "collars",
+                ["hole_id", x, y])
         return df
-    skipped = {"easting", "northing", "crs"} if geographic and not projected else {"latitude", "longitude"} if projected and not geographic else set()
+    skipped = {"easting", "northing", "crs"} if geographic and not projected else {"latitude",
+        "longitude"} if projected and not geographic else set()
     required = [c for c in COLLAR if c not in skipped]
     _require(df, required, "collars")
     geometry = F.struct(number(F.col(x)).alias("x"), number(F.col(y)).alias("y"))
-    return _projected(df.withColumns({"geometry": geometry, "geometry_crs": F.lit(crs or ("EPSG:4326" if geographic else None)).cast("string")}), [*required, "geometry", "geometry_crs"], keep_all)
+    return _projected(df.withColumns({"geometry": geometry,
+        "geometry_crs": F.lit(crs or ("EPSG:4326" if geographic else None)).cast("string")}), [*required, "geometry", "geometry_crs"],
+        keep_all)
 
 
 def load_surveys(spark: SparkSession, source, source_column_map=None, keep_all: bool = True, strict: bool = False, **read) -> DataFrame:
@@ -93,7 +99,8 @@ def load_surveys(spark: SparkSession, source, source_column_map=None, keep_all:
     _require(df, [c for c in SURVEY if c != "to"], "surveys")
     if strict:
         df = coerce_numeric(_named(df), ["depth", "to", "azimuth", "dip"])
-        _guard(df, {"missing_hole_id": F.col("hole_id") == "", **{f"missing_{c}": F.col(c).isNull() for c in ("depth", "azimuth", "dip")}}, "surveys", ["hole_id", "depth", "azimuth", "dip"])
+        _guard(df, {"missing_hole_id": F.col("hole_id") == "", **{f"missing_{c}": F.col(c).isNull() for c in ("depth", "azimuth", "dip")}},
+            "surveys", ["hole_id", "depth", "azimuth", "dip"])
     return _projected(df, SURVEY, keep_all)
 
 
@@ -109,7 +116,8 @@ def _intervals(df: DataFrame, label: str, validate: bool, strict: bool = False)
     df = coerce_numeric(_named(df), ["from", "to"]) if strict else interval_bounds(_named(df))
     if validate:
         wrong = ref("to") <= ref("from") if strict else ref("to") < ref("from")
-        _guard(df, {"missing_hole_id": F.col("hole_id") == "", "missing_from": ref("from").isNull(), "missing_to": ref("to").isNull(), "to_le_from": wrong}, label, ["hole_id", "from", "to"])
+        _guard(df, {"missing_hole_id": F.col("hole_id") == "", "missing_from": ref("from").isNull(), "missing_to": ref("to").isNull(),
+            "to_le_from": wrong}, label, ["hole_id", "from", "to"])
     return with_mid(df)
 
 
@@ -121,7 +129,8 @@ def _widened(df: DataFrame, label: str) -> DataFrame:
     return long_to_wide(df, code, value)
 
 
-def load_assays(spark: SparkSession, source, source_column_map=None, flat: bool = True, keep_all: bool = True, validate: bool = True, js: bool = False, **read) -> DataFrame:
+def load_assays(spark: SparkSession, source, source_column_map=None, flat: bool = True, keep_all: bool = True, validate: bool = True,
+    js: bool = False, **read) -> DataFrame:
     """Assay intervals with mid. flat=False: a long table (code, value) that becomes wide. One invalid row fails the table. A
     null id is invalid (it isn't turned into text). js: bounds aren't rounded, and equal ones are invalid."""
     df = standardize(read_table(spark, source, **read), source_column_map, last_wins=js)
@@ -180,7 +189,8 @@ def _filled_both_ways(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.coalesce(said[c], said[o], F.col(c).cast("string")) for c, o in (names, names[::-1])})
 
 
-def load_geology(spark: SparkSession, source, source_column_map=None, flat: bool = True, keep_all: bool = True, validate: bool = True, js: bool = False, **read) -> DataFrame:
+def load_geology(spark: SparkSession, source, source_column_map=None, flat: bool = True, keep_all: bool = True, validate: bool = True,
+    js: bool = False, **read) -> DataFrame:
     """Geology intervals with mid, without overlaps; the code is filled from comments where its column is absent. flat=False: a
     long table that becomes wide. js: code and description fill each other, equal bounds become 1 mm long."""
     df = standardize(read_table(spark, source, **read), source_column_map, last_wins=js)
@@ -189,7 +199,8 @@ def load_geology(spark: SparkSession, source, source_column_map=None, flat: bool
         if "geology_code" not in df.columns and "geology_description" not in df.columns:
             raise MissingColumns("geology: neither geology_code nor geology_description")
         same = number(ref("from")) == number(ref("to"))
-        df = coerce_numeric(df, ["from", "to"]).withColumns({"from": F.when(same, rounded(ref("from"))).otherwise(ref("from")), "to": F.when(same, rounded(ref("from")) + 0.001).otherwise(ref("to"))})
+        df = coerce_numeric(df, ["from", "to"]).withColumns({"from": F.when(same, rounded(ref("from"))).otherwise(ref("from")),
+            "to": F.when(same, rounded(ref("from")) + 0.001).otherwise(ref("to"))})
         df = _filled_both_ways(_intervals(df, "geology", validate, strict=True))
     else:
         if not flat:
@@ -213,12 +224,14 @@ def load_points(spark: SparkSession, source, source_column_map=None, **read) ->
     _require(df, ["hole_id", "easting", "northing", "elevation"], "points")
     order = F.coalesce(number(F.col("order")), F.col(ROW).cast("double")) if "order" in df.columns else F.col(ROW).cast("double")
     kept = _named(df).filter("hole_id <> ''").dropna(subset=["easting", "northing", "elevation"])
-    return kept.select("hole_id", order.alias("order"), *[F.coalesce(number(F.col(c)), F.lit(0.0)).alias(n) for c, n in (("easting", "x"), ("northing", "y"), ("elevation", "z"))], ROW)
+    return kept.select("hole_id", order.alias("order"),
+        *[F.coalesce(number(F.col(c)), F.lit(0.0)).alias(n) for c, n in (("easting", "x"), ("northing", "y"), ("elevation", "z"))], ROW)
 
 
 def _depth_rows(df: DataFrame, kind: str) -> DataFrame:
     """Valid intervals without angles, depth := mid, tagged."""
-    rows = with_mid(_named(coerce_numeric(df, ["from", "to"])).filter((F.col("hole_id") != "") & (ref("to") > ref("from")))).drop("dip", "azimuth")
+    rows = with_mid(_named(coerce_numeric(df, ["from", "to"])).filter((F.col("hole_id") != "") & (ref("to") > ref("from")))).drop("dip",
+        "azimuth")
     return rows.withColumns({"depth": F.col("mid"), "_source": F.lit(kind)})
 
 
@@ -249,7 +262,8 @@ def unified(assays: DataFrame, structures: DataFrame, geology: DataFrame | None
     """Assays (depth := mid), structures (intervals of 0.1 around their depth) and geology by name, tagged in _source."""
     parts = [assays.withColumns({"depth": F.col("mid"), "_source": F.lit("assay")})]
     depth = number(F.col("depth"))
-    parts.append(structures.withColumns({"from": depth - 0.05, "to": depth + 0.05, "mid": depth, "depth": depth, "_source": F.lit("structural")}))
+    parts.append(structures.withColumns({"from": depth - 0.05, "to": depth + 0.05, "mid": depth, "depth": depth,
+        "_source": F.lit("structural")}))
     if geology is not None:
         parts.append(geology.withColumns({"depth": F.col("mid"), "_source": F.lit("geology")}))
     out = parts[0]
@@ -268,7 +282,8 @@ def striplog_rows(assays: DataFrame, structures: DataFrame) -> DataFrame:
         structures = structures.withColumn("to", F.when(a == b, b + 0.1).otherwise(b))
     elif "depth" in structures.columns:
         structures = structures.withColumns({"from": number(F.col("depth")) - 0.05, "to": number(F.col("depth")) + 0.05})
-    both = assays.withColumn("data_source", F.lit("assay")).unionByName(structures.withColumn("data_source", F.lit("structure")), allowMissingColumns=True)
+    both = assays.withColumn("data_source", F.lit("assay")).unionByName(structures.withColumn("data_source", F.lit("structure")),
+        allowMissingColumns=True)
     return _named(both)
 
 
@@ -283,7 +298,8 @@ def hole_ids(df: DataFrame, with_values: bool = False, skipped: frozenset[str] =
     return df.filter(~is_missing(F.col("hole_id"))).select(F.trim("hole_id").alias("hole_id")).distinct()
 
 
-TABLES = {"collars": COLLAR, "surveys": SURVEY, "assays": ASSAY, "structures": STRUCTURE, "geology": GEOLOGY, "geotechnical": ["hole_id", "from", "to", "mid", *GEOTECHNICAL]}
+TABLES = {"collars": COLLAR, "surveys": SURVEY, "assays": ASSAY, "structures": STRUCTURE, "geology": GEOLOGY,
+    "geotechnical": ["hole_id", "from", "to", "mid", *GEOTECHNICAL]}
 
 
 @dataclass

@@ -30,14 +30,17 @@ def export_rows(traces: DataFrame, zone: int, south: bool = True) -> DataFrame:
     """
     named = traces.withColumn("company_hole_id", F.coalesce(F.trim(F.col("company_hole_id").cast("string")), F.lit("")))
     placed = with_utm(named.withColumnsRenamed({"lat": "latitude", "lng": "longitude"}), zone, south=south)
-    tops = with_utm(traces.select("hole_id", F.col("collar_lat").alias("latitude"), F.col("collar_lng").alias("longitude")).distinct(), zone, south=south)
+    tops = with_utm(traces.select("hole_id", F.col("collar_lat").alias("latitude"), F.col("collar_lng").alias("longitude")).distinct(),
+        zone, south=south)
     middle = tops.agg(F.avg("easting").alias("_cx"), F.avg("northing").alias("_cy"))  # one row
-    rows = placed.join(F.broadcast(middle)).withColumns({"x": F.col("easting") - F.col("_cx"), "y": F.col("northing") - F.col("_cy"), "z": F.col("z") + F.coalesce(number(F.col("collar_elevation")), F.lit(0.0))})
+    rows = placed.join(F.broadcast(middle)).withColumns({"x": F.col("easting") - F.col("_cx"), "y": F.col("northing") - F.col("_cy"),
+        "z": F.col("z") + F.coalesce(number(F.col("collar_elevation")), F.lit(0.0))})
     rows = rows.dropna(subset=["x", "y", "z"])
     w = Window.partitionBy("hole_id")
     rows = rows.withColumns({"_n": F.count("*").over(w), "order": F.row_number().over(w.orderBy("md")) - 1}).filter("_n >= 2")
     name = F.coalesce(F.nullif("company_hole_id", F.lit("")), F.col("hole_id").cast("string"))
-    return rows.select(name.alias("hole_id"), "company_hole_id", F.coalesce(F.col("project").cast("string"), F.lit("")).alias("project"), "order", "md", "x", "y", "z")
+    return rows.select(name.alias("hole_id"), "company_hole_id", F.coalesce(F.col("project").cast("string"), F.lit("")).alias("project"),
+        "order", "md", "x", "y", "z")
 
 
 def write_csv(df: DataFrame, path: str) -> str:

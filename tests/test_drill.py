@@ -29,7 +29,8 @@ def test_intercepts(spark):
 
 
 def test_interval_bounds(spark):
-    df = frame(spark, [("A", "10.1234", "10.1234"), ("A", "20.0004", "20.0004"), ("A", "x", "3")], "hole_id string, `from` string, `to` string")
+    df = frame(spark, [("A", "10.1234", "10.1234"), ("A", "20.0004", "20.0004"), ("A", "x", "3")],
+        "hole_id string, `from` string, `to` string")
     assert [tuple(r)[1:] for r in ingest.interval_bounds(df).collect()] == [(10.123, 10.124), (20.0, 20.001), (None, 3.0)]
 
 
@@ -55,9 +56,11 @@ def test_loaders(spark, tmp_path):
         loaders.load_assays(spark, frame(spark, [(None, 0.0, 1.0)], "hole_id string, `from` double, `to` double"))
     with pytest.raises(KeyError):
         loaders.load_collars(spark, frame(spark, [(1.0,)], "latitude double"))
-    collars = loaders.load_collars(spark, frame(spark, [("A", "p", -30.0, 118.0, 5.0)], "hole_id string, project_id string, lat double, lon double, z double"))
+    collars = loaders.load_collars(spark, frame(spark, [("A", "p", -30.0, 118.0, 5.0)],
+        "hole_id string, project_id string, lat double, lon double, z double"))
     assert collars.collect()[0]["geometry_crs"] == "EPSG:4326"
-    assert loaders.load_surveys(spark, frame(spark, [("A", 0.0, 1.0, 2.0)], "hole_id string, depth double, azimuth double, dip double"), keep_all=False).columns == ["hole_id", "depth", "azimuth", "dip"]
+    assert loaders.load_surveys(spark, frame(spark, [("A", 0.0, 1.0, 2.0)], "hole_id string, depth double, azimuth double, dip double"),
+        keep_all=False).columns == ["hole_id", "depth", "azimuth", "dip"]
     with pytest.raises(ValueError):
         ingest.read_table(spark, "x", kind="avro2")
 
@@ -75,7 +78,8 @@ def loop_trace(collar, stations, step):
     for (m0, a0, d0), (m1, a1, d1) in zip(stations, stations[1:], strict=False):
         if m1 <= m0:
             continue
-        u, v = ([math.cos(math.radians(d)) * math.sin(math.radians(a)), math.cos(math.radians(d)) * math.cos(math.radians(a)), -math.sin(math.radians(d))] for a, d in ((a0, d0), (a1, d1)))
+        u, v = ([math.cos(math.radians(d)) * math.sin(math.radians(a)), math.cos(math.radians(d)) * math.cos(math.radians(a)),
+            -math.sin(math.radians(d))] for a, d in ((a0, d0), (a1, d1)))
         b = math.acos(max(-1, min(1, sum(p * q for p, q in zip(u, v, strict=True)))))
         rf = 2 * math.tan(b / 2) / b if b > 1e-6 else 1
         n = max(1, math.ceil((m1 - m0) / step))
@@ -88,7 +92,8 @@ def loop_trace(collar, stations, step):
 def test_desurvey(spark):
     random.seed(1)
     stations = {h: sorted((random.uniform(0, 100), random.uniform(0, 360), random.uniform(-90, -40)) for _ in range(6)) for h in "ABC"}
-    collars = frame(spark, [(h, 10.0 * i, 5.0, 300.0) for i, h in enumerate("ABCD")], "hole_id string, easting double, northing double, elevation double")
+    collars = frame(spark, [(h, 10.0 * i, 5.0, 300.0) for i, h in enumerate("ABCD")],
+        "hole_id string, easting double, northing double, elevation double")
     surveys = frame(spark, [(h, *s) for h, ss in stations.items() for s in ss], "hole_id string, depth double, azimuth double, dip double")
     got = desurvey.minimum_curvature(collars, surveys, 3.0).orderBy("hole_id", "md").collect()
     want = [(h, *v) for i, h in enumerate("ABC") for v in loop_trace((10.0 * i, 5.0, 300.0), stations[h], 3.0)]
@@ -100,7 +105,8 @@ def test_desurvey(spark):
 
 
 def test_nearest_and_interpolation(spark):
-    traces = frame(spark, [("A", 0.0, 0.0), ("A", 10.0, 1.0), ("A", 10.0, 2.0), ("A", 20.0, 3.0)], "hole_id string, md double, easting double").withColumns({"northing": F.lit(0.0), "elevation": 50.0 - F.col("md")})
+    traces = frame(spark, [("A", 0.0, 0.0), ("A", 10.0, 1.0), ("A", 10.0, 2.0), ("A", 20.0, 3.0)],
+        "hole_id string, md double, easting double").withColumns({"northing": F.lit(0.0), "elevation": 50.0 - F.col("md")})
     traces = traces.withColumn("_row_id", F.monotonically_increasing_id())
     q = frame(spark, [("A", 5.0), ("A", 6.0), ("A", 99.0), ("B", 1.0)], "hole_id string, depth double")
     got = {(r[0], r[1]): r["easting"] for r in asof.attach_structure_positions(q, traces).collect()}
@@ -135,7 +141,8 @@ def test_composite_against_loop(spark):
 def test_structural(spark):
     df = frame(spark, [(45.0, 270.0), (95.0, 370.0), (None, -10.0)], "dip double, azimuth double")
     n = structural.with_plane_geometry(df).collect()[0]
-    assert all(abs(a - b) < 1e-9 for a, b in zip((n.normal_x, n.normal_y, n.normal_z), (-math.sqrt(0.5), 0, math.sqrt(0.5)), strict=True)) and n.strike == 180.0
+    assert all(abs(a - b) < 1e-9 for a, b in zip((n.normal_x, n.normal_y, n.normal_z), (-math.sqrt(0.5), 0, math.sqrt(0.5)),
+        strict=True)) and n.strike == 180.0
     assert [tuple(r) for r in structural.normalize_dip_azimuth(df).collect()] == [(45.0, 270.0), (90.0, 10.0), (None, 350.0)]
     (p,) = structural.project_to_section(frame(spark, [(10.0, 0.0)], "easting double, northing double"), (0.0, 0.0), 0.0).collect()
     assert (p.along, p.across) == (0.0, 10.0)
@@ -173,8 +180,10 @@ def test_mesh(spark, tmp_path):
 
 
 def test_columns_and_colours(spark):
-    df = frame(spark, [("A", "1.5", "note", None, 10.0, "x")], "hole_id string, au string, comments string, empty string, dip double, lith string")
-    assert columns.classify_columns(df) == {"hole_id": "hidden", "au": "numeric", "comments": "comment", "empty": "hidden", "dip": "tadpole", "lith": "categorical"}
+    df = frame(spark, [("A", "1.5", "note", None, 10.0, "x")],
+        "hole_id string, au string, comments string, empty string, dip double, lith string")
+    assert columns.classify_columns(df) == {"hole_id": "hidden", "au": "numeric", "comments": "comment", "empty": "hidden",
+        "dip": "tadpole", "lith": "categorical"}
     assert colours.commodity_colour("au_ppm") == "#FFD700" and colours.commodity_colour("x") is None
     with pytest.raises(ValueError):
         colours.resolve_colour_map("rainbow")
@@ -190,7 +199,8 @@ def test_validators(spark):
     df = frame(spark, [("A", 0.0, 5.0), ("A", 4.0, 4.0), ("A", None, 9.0)], "hole_id string, `from` double, `to` double")
     assert sorted(r.issue for r in validate.validate_intervals(df).collect()) == ["missing_depth", "non_positive_length", "overlap"]
     points = frame(spark, [("A", None, 99.0, 0.0), ("A", 1.0, 99.0, 360.0)], "hole_id string, depth double, dip double, azimuth double")
-    assert sorted(r.issue for r in validate.validate_structural_points(points).collect()) == ["azimuth_out_of_range", "dip_out_of_range", "missing_depth"]
+    assert sorted(r.issue for r in validate.validate_structural_points(points).collect()) == ["azimuth_out_of_range", "dip_out_of_range",
+        "missing_depth"]
     surveys = frame(spark, [("A", 5.0, 1), ("A", 3.0, 2), ("B", 1.0, 3)], "hole_id string, depth double, o int")
     assert [r.hole_id for r in validate.validate_surveys(surveys, depth_col="depth", order_col="o").collect()] == ["A"]
 
@@ -215,7 +225,8 @@ def test_entry(spark):
 
 def test_utm(spark):
     """Against the meridian arc by numeric integration, a published point, and symmetry about the meridian."""
-    df = frame(spark, [("tower", "43.64256", "-79.38714"), ("axis", "-31.5", "-81"), ("west", "20", "-82"), ("east", "20", "-80"), ("bad", "x", "-81"), ("null", None, None)], "id string, latitude string, longitude string")
+    df = frame(spark, [("tower", "43.64256", "-79.38714"), ("axis", "-31.5", "-81"), ("west", "20", "-82"), ("east", "20", "-80"),
+        ("bad", "x", "-81"), ("null", None, None)], "id string, latitude string, longitude string")
     got = {r.id: (r.easting, r.northing) for r in projection.with_utm(df, 17).collect()}
     assert abs(got["tower"][0] - 630084) < 2 and abs(got["tower"][1] - 4833438) < 2
     f, steps = 1 / projection.INVERSE_FLATTENING, 20_000
@@ -231,7 +242,8 @@ LONG = "hole_id string, `from` double, `to` double, assay_type string, assay_res
 
 def test_long_tables(spark):
     """flat=False widens a long table, the first value in source order counts; flat=True leaves it alone."""
-    rows = [("A", 0.0, 1.0, "cu", 1.0), ("A", 0.0, 1.0, "cu", 9.0), ("A", 0.0, 1.0, "au", None), ("A", 1.0, 2.0, "au", 2.0), ("A", 1.0, 2.0, "cu", None)]
+    rows = [("A", 0.0, 1.0, "cu", 1.0), ("A", 0.0, 1.0, "cu", 9.0), ("A", 0.0, 1.0, "au", None), ("A", 1.0, 2.0, "au", 2.0),
+        ("A", 1.0, 2.0, "cu", None)]
     table = ingest.with_row_id(frame(spark, rows, LONG).coalesce(1))
     wide = loaders.in_order(loaders.load_assays(spark, table, flat=False))
     assert [c for c in wide.columns if c not in ("hole_id", "from", "to", "mid", "_row_id")] == ["cu", "au"]  # by appearance
@@ -241,8 +253,10 @@ def test_long_tables(spark):
         loaders.load_assays(spark, table.drop("assay_type"), flat=False)
     with pytest.raises(ValueError, match="more than 1 codes"):
         long_to_wide(table, "assay_type", "assay_result", max_codes=1)
-    geology = frame(spark, [("A", 0.0, 10.0, "lith", "x"), ("A", 0.0, 10.0, "min", "y")], "hole_id string, `from` double, `to` double, lith_code string, description string")
-    assert loaders.load_geology(spark, geology.withColumnRenamed("description", "value"), flat=False).select("lith", "min").collect()[0] == ("x", "y")
+    geology = frame(spark, [("A", 0.0, 10.0, "lith", "x"), ("A", 0.0, 10.0, "min", "y")],
+        "hole_id string, `from` double, `to` double, lith_code string, description string")
+    assert loaders.load_geology(spark, geology.withColumnRenamed("description", "value"), flat=False).select("lith",
+        "min").collect()[0] == ("x", "y")
 
 
 def test_strict_loaders(spark):
@@ -258,14 +272,17 @@ def test_strict_loaders(spark):
     with pytest.raises(ValueError, match="missing_coordinates"):
         loaders.load_collars(spark, frame(spark, [("A", "far", "2")], "hole_id string, x string, y string"), js=True)
     with pytest.raises(ValueError, match="missing_dip"):
-        loaders.load_surveys(spark, frame(spark, [("A", "0", "1", "?")], "hole_id string, depth string, azimuth string, dip string"), strict=True)
-    kept = loaders.load_surveys(spark, frame(spark, [("A", 0.0, 5.0, 1.0, 2.0)], "hole_id string, depth double, `to` double, azimuth double, dip double"), keep_all=False)
+        loaders.load_surveys(spark, frame(spark, [("A", "0", "1", "?")], "hole_id string, depth string, azimuth string, dip string"),
+            strict=True)
+    kept = loaders.load_surveys(spark, frame(spark, [("A", 0.0, 5.0, 1.0, 2.0)],
+        "hole_id string, depth double, `to` double, azimuth double, dip double"), keep_all=False)
     assert kept.columns == ["hole_id", "depth", "to", "azimuth", "dip"]
     with pytest.raises(ValueError, match="neither"):
         loaders.load_geology(spark, equal, js=True)
     with pytest.raises(ValueError, match="blank"):
         loaders.parse_assays(spark, equal, hole_id=" ")
-    assert ingest.coerce_numeric(frame(spark, [("Infinity",), ("NaN",), ("1e3",)], "v string"), ["v"]).collect() == [(None,), (None,), (1000.0,)]
+    assert ingest.coerce_numeric(frame(spark, [("Infinity",), ("NaN",), ("1e3",)], "v string"), ["v"]).collect() == [(None,), (None,),
+        (1000.0,)]
     empty = loaders.Dataset().tables(spark)
     assert len(empty) == 6 and empty["collars"].count() == 0 and "hole_id" in empty["geotechnical"].columns
 
@@ -274,11 +291,14 @@ def test_sinks_and_bounds(spark, tmp_path):
     from orespark.plans import payload
     from orespark.sources import sinks
 
-    rows = [("A", None, "p, q", 0.0, -32.0, 117.0, 0.0, -32.0, 117.0, 5.0), ("A", None, "p, q", 9.0, -32.0, 117.0, -9.0, -32.0, 117.0, 5.0), ("B", " C ", None, 0.0, -32.0, 117.0, 0.0, -32.0, 117.0, None)]
-    traces = frame(spark, rows, "hole_id string, company_hole_id string, project string, md double, lat double, lng double, z double, collar_lat double, collar_lng double, collar_elevation double")
+    rows = [("A", None, "p, q", 0.0, -32.0, 117.0, 0.0, -32.0, 117.0, 5.0), ("A", None, "p, q", 9.0, -32.0, 117.0, -9.0, -32.0, 117.0, 5.0),
+        ("B", " C ", None, 0.0, -32.0, 117.0, 0.0, -32.0, 117.0, None)]
+    traces = frame(spark, rows,
+        "hole_id string, company_hole_id string, project string, md double, lat double, lng double, z double, collar_lat double, collar_lng double, collar_elevation double")
     path = sinks.write_csv(sinks.export_rows(traces, 50), str(tmp_path / "t"))
     got = ingest.read_table(spark, path).orderBy("order").collect()
-    assert [(r.hole_id, r.project, r.order, r.z) for r in got] == [("A", "p, q", 0, 5.0), ("A", "p, q", 1, -4.0)] and abs(got[0].x) < 1e-6  # a hole of one point is left out
+    assert [(r.hole_id, r.project, r.order, r.z) for r in got] == [("A", "p, q", 0, 5.0),
+        ("A", "p, q", 1, -4.0)] and abs(got[0].x) < 1e-6  # a hole of one point is left out
     box = "min_x double, min_y double, max_x double, max_y double"
     assert payload.normalized_bounds(frame(spark, [(0.0, 0.0, 1.0, 2.0)], box)).collect()[0].max_y == 2.0
     with pytest.raises(Exception, match="positive"):
@@ -296,7 +316,8 @@ def test_sinks_and_bounds(spark, tmp_path):
 def test_block_size_classes(spark):
     """One huge block among small ones, and blocks of all sizes, against all pairs."""
     random.seed(9)
-    cloud = [(0, 50.0, 50.0, 50.0, 500.0, 500.0, 500.0)] + [(i, *(random.uniform(0, 100) for _ in range(3)), *(random.choice([0.3, 1.0, 4.0, 30.0]) for _ in range(3))) for i in range(1, 150)]
+    cloud = [(0, 50.0, 50.0, 50.0, 500.0, 500.0, 500.0)] + [(i, *(random.uniform(0, 100) for _ in range(3)),
+        *(random.choice([0.3, 1.0, 4.0, 30.0]) for _ in range(3))) for i in range(1, 150)]
     boxes = frame(spark, cloud, "block_id int, x double, y double, z double, dx double, dy double, dz double")
     want = {(p[0], q[0]) for p in cloud for q in cloud if p[0] < q[0] and all(abs(p[k] - q[k]) < (p[k + 3] + q[k + 3]) / 2 - 1e-6 for k in (1, 2, 3))}
     got = [tuple(r) for r in blockmodel.overlaps(boxes, "block_id").collect()]
@@ -333,6 +354,8 @@ def test_hash_units_beyond_the_plane(spark):
         return h / 4294967295
 
     texts = ["", "granite", "né", "\U0001f600 x"]
-    got = {r.t: r.u for r in frame(spark, [(t,) for t in texts], "t string").select("t", colours.seeded_unit(F.col("t")).alias("u")).collect()}
+    got = {r.t: r.u for r in frame(spark, [(t,) for t in texts], "t string").select("t",
+        colours.seeded_unit(F.col("t")).alias("u")).collect()}
     assert all(abs(got[t] - unit(t)) < 1e-12 for t in texts)
-    assert frame(spark, [("",)], "t string").select(colours.hsl(F.lit(0.0), 1.0, 0.5), colours.hsl(F.lit(1 / 3), 1.0, 0.5), colours.hsl(F.lit(0.6), 0.0, 0.5)).collect()[0] == ("#ff0000", "#00ff00", "#808080")
+    assert frame(spark, [("",)], "t string").select(colours.hsl(F.lit(0.0), 1.0, 0.5), colours.hsl(F.lit(1 / 3), 1.0, 0.5),
+        colours.hsl(F.lit(0.6), 0.0, 0.5)).collect()[0] == ("#ff0000", "#00ff00", "#808080")
