@@ -8,7 +8,7 @@ import public_tokenizers as P
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, near_dedup, packing, pii, quality, simhash, substring_dedup, url_filter
+from . import alignment, bpe, line_dedup, near_dedup, packing, pii, quality, simhash, substring_dedup, url_filter
 from .common import read_table, written
 
 
@@ -76,6 +76,13 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(docs, pii.train(docs))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens by two tokenizers cut into the groups that end together, and how common its links are."""
+    files = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"), P.PATTERN
+    aligned = alignment.align(read_table(spark, sf_dir, "documents"), *files)
+    return alignment.summarize(aligned, alignment.pair_counts(aligned), alignment.pair_bound(*files))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_quality_rules": op2_quality_rules,
@@ -87,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_pii": op10_pii,
+    "op13_alignment": op13_alignment,
     "near_fingerprints": near_fingerprints,
 }
 
