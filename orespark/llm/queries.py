@@ -8,7 +8,7 @@ import public_tokenizers as P
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, line_dedup, near_dedup, packing, pii, quality, simhash, substring_dedup, url_filter
+from . import alignment, bpe, lexical_search, line_dedup, near_dedup, packing, pii, quality, simhash, substring_dedup, url_filter
 from .common import read_table, written
 
 
@@ -76,6 +76,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(docs, pii.train(docs))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every benchmark item."""
+    index = lexical_search.build_index(read_table(spark, sf_dir, "documents"))
+    return lexical_search.search(index, read_table(spark, sf_dir, "benchmark"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's tokens by two tokenizers cut into the groups that end together, and how common its links are."""
     files = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"), P.PATTERN
@@ -94,11 +100,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_pii": op10_pii,
+    "op11_lexical_search": op11_lexical_search,
     "op13_alignment": op13_alignment,
     "near_fingerprints": near_fingerprints,
 }
 
 ORACLES: dict[str, str] = {
+    "op11_lexical_search": r"""
+with terms as (
+  select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) term
+  from documents
+), docs as (select doc_id, count(*) n from terms group by doc_id),
+totals as (select count(*) docs, sum(n)::bigint words from docs),
+tfs as (select doc_id, term, count(*) tf from terms group by doc_id, term),
+weights as (select term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)))::bigint w from tfs, totals group by term, docs),
+asked as (
+  select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) term
+  from benchmark
+), needed as (select item_id, term, count(*) times from asked group by item_id, term),
+scores as (
+  select item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // words))))::bigint score
+  from needed join weights using (term) join tfs using (term) join docs using (doc_id), totals
+  group by item_id, doc_id
+), ranked as (select *, row_number() over (partition by item_id order by score desc, doc_id) place from scores where score > 0)
+select item_id, place::integer as rank, doc_id, score from ranked where place <= 20
+""",
     "op1_url_filter": r"""
 with u as (
   select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) end rest from pages
