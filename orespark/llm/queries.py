@@ -8,7 +8,7 @@ import public_tokenizers as P
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, lexical_search, line_dedup, near_dedup, packing, pii, quality, simhash, substring_dedup, url_filter
+from . import alignment, bpe, lexical_search, line_dedup, near_dedup, packing, pii, quality, secrets, simhash, substring_dedup, url_filter
 from .common import read_table, written
 
 
@@ -82,6 +82,11 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(index, read_table(spark, sf_dir, "benchmark"))
 
 
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: base spans, and literals that reach a sensitive name."""
+    return secrets.find(read_table(spark, sf_dir, "documents"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's tokens by two tokenizers cut into the groups that end together, and how common its links are."""
     files = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"), P.PATTERN
@@ -101,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_pii": op10_pii,
     "op11_lexical_search": op11_lexical_search,
+    "op12_secrets": op12_secrets,
     "op13_alignment": op13_alignment,
     "near_fingerprints": near_fingerprints,
 }
