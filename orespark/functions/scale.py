@@ -4,38 +4,60 @@ from __future__ import annotations
 
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..sources.ingest import number, ref
 
 
-PER_RANGE = 2_000_000
+#: Rows of a range, and keys that are sampled for each.
+PER_RANGE, SAMPLED = 500_000, 32
+
+
+def _literal(value: object) -> Column:
+    """A value as the driver got it, structs included, as a column."""
+    if isinstance(value, Row):
+        return F.struct(*[_literal(v).alias(n) for n, v in value.asDict(recursive=False).items()])
+    return F.lit(value)
+
+
+def cut_points(df: DataFrame, order_col: str) -> list[Column]:
+    """Bounds of about equal ranges of a column of any type that can be ordered, as few as its rows need: from the keys with the
+    smallest hashes, a sample that depends on the keys alone."""
+    n = min(1024, -(-df.count() // PER_RANGE))
+    if n <= 1:
+        return []
+    keys = df.select(ref(order_col).alias("k")).dropna().distinct()
+    sample = keys.orderBy(F.xxhash64("k"), "k").limit(n * SAMPLED).orderBy("k").collect()
+    kind = df.schema[order_col].dataType
+    return [_literal(sample[i * len(sample) // n]["k"]).cast(kind) for i in range(1, n)] if sample else []
 
 
 def ranked(df: DataFrame, order_col: str, weight: Column | None = None) -> DataFrame:
-    """df with _stop and _total: the running sum of weights (1 each by default) in the order of a numeric column, and their sum.
+    """df with _stop and _total: the running sum of weights (1 each by default) in the order of a column, and their sum.
 
-    Values are cut into ranges at fixed quantiles (approximate ones, one pass; about PER_RANGE rows each), and each range is
-    summed by itself and shifted by the sums of those before it: a few numbers, known before the plan is made, so that
-    neither the number of partitions nor a repeated task can change a rank.
+    Rows are cut into ranges at sampled keys (see cut_points), dealt by range, and each range is summed by itself and
+    shifted by the sums of those before it: a few numbers, known before the plan is made, so that neither the number of
+    partitions nor a repeated task can change a rank. Null keys come first. A table that one range holds is ranked in one task.
     """
     weight = F.lit(1) if weight is None else weight
-    n = max(1, min(10_000, -(-df.count() // PER_RANGE)))
-    cuts = sorted(set(df.approxQuantile(order_col, [i / n for i in range(1, n)], 1 / (4 * n)))) if n > 1 else []
-    place = F.size(F.filter(F.lit(cuts), lambda c: c < ref(order_col))) if cuts else F.lit(0)
-    rows = df.withColumns({"_range": place, "_weight": weight.cast("long")})
+    cuts = cut_points(df, order_col)
+    place = F.size(F.filter(F.array(*cuts), lambda c: c <= ref(order_col))) if cuts else F.lit(0)
+    rows = df.withColumns({"_range": F.when(ref(order_col).isNull(), 0).otherwise(place), "_weight": weight.cast("long")})
+    whole = Window.partitionBy("_range")
+    own = F.sum("_weight").over(whole.orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0))
+    if not cuts:
+        return rows.withColumns({"_stop": own, "_total": F.sum("_weight").over(whole)}).drop("_range", "_weight")
     sums = {r["_range"]: r["w"] for r in rows.groupBy("_range").agg(F.sum("_weight").alias("w")).collect()}
     before = dict(zip(sorted(sums), accumulate([0, *(sums[k] for k in sorted(sums))]), strict=False))
     shift = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("_range")) if before else F.lit(0)
-    own = F.sum("_weight").over(Window.partitionBy("_range").orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumns({"_stop": own + shift.cast("long"), "_total": F.lit(sum(sums.values()))}).drop("_range", "_weight")
 
 
 def quantile_bins(df: DataFrame, value_col: str, n: int, group_cols: list[str] | None = None) -> DataFrame:
     """group, bin, lo, hi: values at the ranks floor(i / n * N) and min(N - 1, floor((i + 1) / n * N)) of the sorted values.
 
-    Without groups, distinct values are ranked by ranges (see ranked), so no task sees all of them. With groups, ranks are per group.
+    Without groups, distinct values are ranked by ranges (see ranked), so no task sees all of many. With groups, ranks are per group.
     """
     values = df.select(*map(ref, group_cols or []), number(ref(value_col)).alias("v")).dropna(subset=["v"])
     counts = values.groupBy(*map(ref, group_cols or []), "v").agg(F.count("*").alias("k"))

@@ -1,8 +1,12 @@
 """Joins along a hole: nearest vertex, and linear interpolation between vertices.
 
-Both put queries and trace vertices into one ordered stream per hole (a union and two window functions) instead of a range
-join, so the cost is one sort however many vertices a hole has. Looks back and ahead are running values over the same order,
-linear in the rows of a hole.
+Vertices are cut into runs of RUN consecutive ones, one row each with its depth range and its vertices as an array. A query
+meets the one run whose range holds its depth (an equi-join on the hole with the range as a condition) and finds its
+place by counting in the run's array. So only vertices are sorted, queries are not; a hole with a large part of all
+queries is a skewed join key, whose queries Spark's adaptive execution deals to many tasks.
+
+Where the vertices come from a desurvey, station pairs can stand for them: `nearest_on_pairs` gets the vertex from
+the pair by arithmetic, without making the vertices, and linear interpolation needs the stations only.
 """
 
 from __future__ import annotations
@@ -12,24 +16,43 @@ from pyspark.sql import functions as F
 
 from ..model import ROW
 from ..sources.ingest import number, ref
-from .desurvey import direction as unit_direction
+from . import desurvey
 
 POSITION = ["easting", "northing", "elevation"]
-
-
-def _stream(queries: DataFrame, traces: DataFrame, at: Column, payload: Column, after: bool, ties: list[str]) -> DataFrame:
-    """hole, t, side, q (the query row) and v (the vertex), vertices before (or after) queries of equal depth."""
-    q = queries.select(F.col("hole_id").alias("_h"), at.alias("_t"), F.lit(0 if after else 1).alias("_side"),
-        F.struct(*map(ref, queries.columns)).alias("_q"))
-    t = traces.select(F.col("hole_id").alias("_h"), number(F.col("md")).alias("_t"), F.lit(1 if after else 0).alias("_side"),
-        payload.alias("_v"), F.struct(*map(ref, ties)).alias("_tie"))
-    return q.filter("_h is not null and _t is not null").unionByName(t.filter("_h is not null and _t is not null"),
-        allowMissingColumns=True)
-
-
-def _ahead(name: str, ties: str) -> Column:
-    """The next non-null value after a row, in the order of depth, side and ties."""
-    return F.expr(f"lead({name}, 1) ignore nulls over (partition by _h order by _t, _side, _tie {ties})")
+#: Vertices of a run: what a query looks through.
+RUN = 32
+
+
+def _runs(vertices: DataFrame, payload: Column, ties: list[Column], last_of_equal: bool) -> DataFrame:
+    """_hole, _lo, _hi, _first, _mds, _vs: runs of vertices by md, whose ranges from first to first vertex tile all depths. An element of _vs: v and the vertices back and next to it. last_of_equal: of equal md only the last."""
+    order = Window.partitionBy("_hole").orderBy("_md", "_tie")
+    rows = vertices.select(F.col("hole_id").alias("_hole"), number(F.col("md")).alias("_md"), F.struct(*ties).alias("_tie"),
+        payload.alias("_v")).filter("_hole is not null and _md is not null")
+    if last_of_equal:
+        rows = rows.withColumn("_more", F.lead("_md").over(order)).filter("_more is null or _more <> _md")
+    rows = rows.withColumns({"_n": F.row_number().over(order) - 1, "_next": F.lead("_v").over(order), "_back": F.lag("_v").over(order)})
+    each = F.struct("_n", "_md", F.struct(F.col("_v").alias("v"), F.col("_next").alias("next"), F.col("_back").alias("back")).alias("x"))
+    runs = rows.groupBy("_hole", F.floor(F.col("_n") / RUN).alias("_run")).agg(F.array_sort(F.collect_list(each)).alias("_all"))
+    by_run = Window.partitionBy("_hole").orderBy("_run")
+    start = F.col("_all")[0]["_md"]
+    ends = {"_lo": F.when(F.col("_run") > 0, start), "_hi": F.lead(start).over(by_run)}
+    return runs.withColumns(ends).select("_hole", "_lo", "_hi", F.col("_all._md").alias("_mds"), F.col("_all.x").alias("_vs"))
+
+
+def _placed(queries: DataFrame, runs: DataFrame, at: Column, strict: bool, how: str) -> DataFrame:
+    """queries with _t, _b (the last vertex at or before the depth, with strict before it; lo or with strict hi is the run's own) and _f (its next; the hole's first
+    vertex where there is none before), as elements of _vs."""
+    # two keys: the windows' partitioning by hole alone isn't reused, so that both sides of the join are shuffles, which adaptive
+    # execution can split where a hole has too many queries
+    q = queries.withColumns({"_t": at, "_key": F.xxhash64("hole_id")})
+    runs = runs.withColumn("_run_key", F.xxhash64("_hole"))
+    t, lo, hi = F.col("_t"), F.col("_lo"), F.col("_hi")
+    inside = (lo.isNull() | (t > lo if strict else t >= lo)) & (hi.isNull() | (t <= hi if strict else t < hi))
+    joined = q.join(runs, (F.col("_key") == F.col("_run_key")) & (F.col("hole_id") == F.col("_hole")) & t.isNotNull() & inside, how)
+    n = F.size(F.filter("_mds", lambda x: x < t if strict else x <= t))
+    joined = joined.withColumn("_i", F.when(F.col("_hole").isNotNull(), n))
+    return joined.withColumns({"_b": F.when(F.col("_i") > 0, F.element_at("_vs", F.when(F.col("_i") > 0, F.col("_i")))),
+        "_f": F.when(F.col("_i") == 0, F.element_at("_vs", 1))}).drop("_hole", "_lo", "_hi", "_mds", "_vs", "_i", "_key", "_run_key")
 
 
 def nearest_vertex(queries: DataFrame, traces: DataFrame, depth_col: str, columns: list[str] | None = None, duplicates: str = "last",
@@ -41,24 +64,50 @@ def nearest_vertex(queries: DataFrame, traces: DataFrame, depth_col: str, column
     """
     columns = columns or [c for c in traces.columns if c not in ("hole_id", ROW)]
     names = {c: f"{c}_trace" if c in queries.columns else c for c in columns}
-    ties = [ROW] if ROW in traces.columns else sorted(c for c in traces.columns if c != "hole_id")
+    ties = [ref(c) for c in ([ROW] if ROW in traces.columns else sorted(c for c in traces.columns if c != "hole_id"))]
     payload = F.struct(number(F.col("md")).alias("_md"), *[ref(c).alias(c) for c in columns])
-    rows = _stream(queries, traces, number(ref(depth_col)), payload, False, ties)
-    tie = F.col("_tie").asc() if duplicates == "last" else F.col("_tie").desc()
-    w = Window.partitionBy("_h").orderBy("_t", "_side", tie)
-    # of vertices with equal md only the wanted one, the last in this order, is seen by queries
-    final = F.coalesce((F.lead("_t").over(w) != F.col("_t")) | (F.lead("_side").over(w) != F.col("_side")), F.lit(True))
-    rows = rows.withColumn("_v", F.when(final, F.col("_v")))
-    rows = rows.withColumns({"_b": F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        "_f": _ahead("_v", "asc" if duplicates == "last" else "desc")})
-    rows = rows.filter("_q is not null")
-    back = F.col("_f").isNull() | (F.col("_b").isNotNull() & (F.col("_t") - F.col("_b._md") <= F.col("_f._md") - F.col("_t")))
-    rows = rows.withColumn("_p", F.when(back, F.col("_b")).otherwise(F.col("_f")))
-    out = rows.select("_q.*", *[F.col("_p").getField(c).alias(n) for c, n in names.items()])
-    if keep_unplaced:
-        rest = queries.filter(F.col("hole_id").isNull() | number(ref(depth_col)).isNull())
-        out = out.unionByName(rest, allowMissingColumns=True)
-    return out
+    if duplicates == "first":  # of equal md the first: before the order of ties is lost
+        traces = traces.groupBy("hole_id", number(F.col("md")).alias("md")).agg(F.min_by(payload, F.struct(*ties)).alias("_p"))
+        payload, ties = F.col("_p"), [F.lit(0)]
+    rows = _placed(queries if keep_unplaced else _askable(queries, depth_col), _runs(traces, payload, ties, True),
+        number(ref(depth_col)), False, "left")
+    b, f = F.col("_b.v"), F.coalesce("_b.next", "_f.v")
+    back = f.isNull() | (b.isNotNull() & (F.col("_t") - b["_md"] <= f["_md"] - F.col("_t")))
+    rows = rows.withColumn("_p", F.when(back, b).otherwise(f))
+    return rows.select(*map(ref, queries.columns), *[F.col("_p").getField(c).alias(n) for c, n in names.items()])
+
+
+def _askable(queries: DataFrame, depth_col: str) -> DataFrame:
+    return queries.filter(F.col("hole_id").isNotNull() & number(ref(depth_col)).isNotNull())
+
+
+def nearest_on_pairs(queries: DataFrame, pairs: DataFrame, depth_col: str, columns: list[str] | None = None,
+    method: str = "minimum_curvature", keep_unplaced: bool = False) -> DataFrame:
+    """What nearest_vertex gives for the vertices of desurvey.station_pairs (of the same method), without making them.
+
+    The pair that holds a depth gives the steps beside it; the nearer one counts, the shallower at equal distance. A pair's
+    own start is the previous pair's last vertex, with that one's angles.
+    """
+    columns = columns or ["md", *POSITION, "azimuth", "dip"]
+    names = {c: f"{c}_trace" if c in queries.columns else c for c in columns}
+    own = [c for c in pairs.columns if c != "hole_id"]
+    made = pairs.filter("steps > 0 or n = 1").withColumn("_at_end", F.struct(*[c.alias(n) for n,
+        c in desurvey.vertex(F.col("steps"), method).items()]))
+    payload = F.struct(*own, "_at_end")
+    rows = _placed(queries if keep_unplaced else _askable(queries, depth_col), _runs(made, payload, [F.col("n")], False),
+        number(ref(depth_col)), False, "left")
+    rows = rows.withColumns({"_s": F.coalesce("_b.v", "_f.v"), "_back": F.col("_b.back._at_end")})
+    of = lambda c: F.col("_s").getField(c)
+    t, steps = F.col("_t"), F.col("_s.steps")
+    low = F.when(steps > 0, F.greatest(F.lit(0), F.least(steps, F.floor((t - of("md")) * steps / of("length")).cast("int")))).otherwise(0)
+    low = F.when((low > 0) & (desurvey.vertex(low, method, of)["md"] > t), low - 1).otherwise(low)  # a step at t, but for its last bit
+    rows = rows.withColumn("_k", low)
+    here, there = (desurvey.vertex(F.col("_k") + i, method, of)["md"] for i in (0, 1))
+    rows = rows.withColumn("_k", F.when((F.col("_k") < steps) & (t > here) & (there - t < t - here), F.col("_k") + 1).otherwise(F.col("_k")))
+    there = desurvey.vertex(F.col("_k"), method, of)
+    start = (F.col("_k") == 0) & F.col("_back").isNotNull()
+    return rows.select(*map(ref, queries.columns), *[F.when(start,
+        F.col("_back").getField(c)).otherwise(there[c]).alias(n) for c, n in names.items()])
 
 
 def attach_assay_positions(assays: DataFrame, traces: DataFrame, duplicates: str = "last") -> DataFrame:
@@ -76,29 +125,23 @@ def interpolate_positions(queries: DataFrame, traces: DataFrame, depth_col: str
     """queries with `columns` interpolated at their depth: on the first segment that encloses it, beyond the ends along the
     end segments (or held at the end vertex, with clamp). A single vertex stands for every depth. Holes without a trace drop out.
 
+    Between the stations of a desurvey positions are linear (and angles, by minimum curvature): traces of stations only (a step
+    longer than any pair) give what finer ones give.
+
     direction adds dir_x, dir_y, dir_z, the unit direction of the hole there: from azimuth and dip interpolated between the
     segment's ends (its start's, if the end has none), else along the segment, else (a single vertex, or a segment without
     length) straight down.
     """
     columns = columns or POSITION
-    ties = [ROW] if ROW in traces.columns else columns
-    w = Window.partitionBy("hole_id").orderBy("md", *map(ref, ties))
+    ties = [ref(c) for c in ([ROW] if ROW in traces.columns else columns)]
     angles = [(number(F.col(c)) if c in traces.columns else F.lit(None).cast("double")).alias(f"_{c}") for c in ("azimuth",
         "dip")] if direction else []
     if direction:
         columns = [*columns, *[c for c in POSITION if c not in columns]]
     point = F.struct(number(F.col("md")).alias("md"), *[number(ref(c)).alias(c) for c in columns], *angles)
-    marked = traces.filter(number(F.col("md")).isNotNull()).withColumns({"_here": point})
-    marked = marked.withColumns({"_next": F.lead("_here").over(w), "_back": F.lag("_here").over(w)})
-    rows = _stream(queries, marked, number(ref(depth_col)), F.struct("_here", "_next", "_back"), True, ["_here"])
-    w = Window.partitionBy("_h").orderBy("_t", "_side", "_tie")
-    rows = rows.withColumns({
-        "_b": F.last("_v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        "_f": _ahead("_v", "asc"),
-    }).filter("_q is not null and (_b is not null or _f is not null)")
-    a = F.when(F.col("_b").isNull(), F.col("_f._here")).when(F.col("_b._next").isNull(),
-        F.coalesce("_b._back", "_b._here")).otherwise(F.col("_b._here"))
-    b = F.when(F.col("_b").isNull(), F.col("_f._next")).when(F.col("_b._next").isNull(), F.col("_b._here")).otherwise(F.col("_b._next"))
+    rows = _placed(queries, _runs(traces, point, ties, False), number(ref(depth_col)), True, "inner")
+    a = F.when(F.col("_b").isNull(), F.col("_f.v")).when(F.col("_b.next").isNull(), F.coalesce("_b.back", "_b.v")).otherwise(F.col("_b.v"))
+    b = F.when(F.col("_b").isNull(), F.col("_f.next")).when(F.col("_b.next").isNull(), F.col("_b.v")).otherwise(F.col("_b.next"))
     rows = rows.withColumns({"_s": a, "_e": b}).withColumns({"_s": F.coalesce("_s", "_e"), "_e": F.coalesce("_e", "_s")})
     length = F.col("_e.md") - F.col("_s.md")
     part = F.when(length > 0, (F.col("_t") - F.col("_s.md")) / length).otherwise(0.0)
@@ -107,18 +150,17 @@ def interpolate_positions(queries: DataFrame, traces: DataFrame, depth_col: str
     turned = []
     if direction:
         near = F.coalesce("_b", "_f")
-        alone = near.getField("_next").isNull() & near.getField("_back").isNull()
+        alone = near.getField("next").isNull() & near.getField("back").isNull()
         both = F.col("_e._azimuth").isNotNull() & F.col("_e._dip").isNotNull()
         angle = [F.when(both, F.col(f"_s._{c}") + part * (F.col(f"_e._{c}") - F.col(f"_s._{c}"))).otherwise(F.col(f"_s._{c}")) for c in ("azimuth", "dip")]
         step = [F.col("_e").getField(c) - F.col("_s").getField(c) for c in POSITION]
         size = F.sqrt(sum(x * x for x in step))
         known = F.col("_s._azimuth").isNotNull() & F.col("_s._dip").isNotNull()
         turned = [F.when(alone, down).when(known, d).when(size >= 1e-10, x / size).otherwise(down).alias(n) for n, d, x,
-            down in zip(("dir_x", "dir_y", "dir_z"), unit_direction(*angle), step, map(F.lit, (0.0, 0.0, -1.0)), strict=True)]
+            down in zip(("dir_x", "dir_y", "dir_z"), desurvey.direction(*angle), step, map(F.lit, (0.0, 0.0, -1.0)), strict=True)]
     value = lambda c: F.col("_s").getField(c) + F.coalesce(part * (F.col("_e").getField(c) - F.col("_s").getField(c)),
         F.lit(0.0))
-    return rows.select(*[F.col("_q").getField(c).alias(c) for c in queries.columns],
-        *[value(c).alias(c if c not in queries.columns else f"{c}_trace") for c in columns], *turned)
+    return rows.select(*map(ref, queries.columns), *[value(c).alias(c if c not in queries.columns else f"{c}_trace") for c in columns], *turned)
 
 
 def resample_trace(traces: DataFrame, step: float) -> DataFrame:

@@ -7,10 +7,12 @@ import operator
 from collections.abc import Callable, Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.expressions import predicate
+from ..functions.scale import ranked
 from ..model import GEOMETRY, ROW
 from ..sources.ingest import coerce_numeric, number, read_table, ref, standardize_blocks
 
@@ -22,14 +24,15 @@ COMPARE: dict[str, Callable[[Column, object], Column]] = {
 TOLERANCE = 1e-6
 
 
-def criteria_column(df: DataFrame, criteria: Criteria, unknown_excludes: bool = False) -> Column:
-    """One predicate, which Spark pushes into the scan. Unknown columns are ignored (or exclude every row)."""
+def criteria_column(df: DataFrame, criteria: Criteria, unknown_excludes: bool = False, given: Mapping[str, object] | None = None) -> Column:
+    """One predicate; plain comparisons reach the scan. Unknown columns of a mapping are ignored (or exclude every row). A text is a
+    data-frame query (functions.expressions), given the values of its @names."""
     if criteria is None:
         return F.lit(True)
     if callable(criteria):
         return criteria(df)
     if isinstance(criteria, str):
-        return F.expr(criteria)
+        return predicate(df, criteria, given)
     if not isinstance(criteria, Mapping):
         raise TypeError(f"criteria are a mapping, a query string or a function, not {type(criteria).__name__}")
     parts = [F.lit(True)]
@@ -179,7 +182,8 @@ def property_table(df: DataFrame, names: list[str]) -> DataFrame:
 def property_categories(df: DataFrame, name: str) -> DataFrame:
     """value, place: distinct values of a column and their place in order of appearance (by row id, else by value)."""
     seen = df.dropna(subset=[name]).groupBy(ref(name).alias("value")).agg((F.min(ROW) if ROW in df.columns else F.min(ref(name))).alias("_o"))
-    return seen.select("value", (F.rank().over(Window.orderBy("_o", "value")) - 1).alias("place"))
+    placed = ranked(seen.select("value", F.struct("_o", "value").alias("_key")), "_key")
+    return placed.select("value", (F.col("_stop") - 1).cast("int").alias("place"))
 
 
 def overlaps(df: DataFrame, id_col: str = ROW) -> DataFrame:

@@ -8,6 +8,8 @@ The vertical component is -sin(dip): with dips negative downwards, elevation ris
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,12 +46,14 @@ def first_rows(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(ref(key)).agg(F.min(row).alias("_r")).select(ref(key), "_r.*")
 
 
-def desurvey_holes(collars: DataFrame, surveys: DataFrame, step: float = 1.0, method: str = "minimum_curvature", depth_col: str = "depth",
+def station_pairs(collars: DataFrame, surveys: DataFrame, step: float = 1.0, method: str = "minimum_curvature", depth_col: str = "depth",
     z_down: bool = False, xyz: tuple[str, str, str] = ("easting", "northing", "elevation")) -> DataFrame:
-    """hole_id, md, easting, northing, elevation, azimuth, dip: vertices about every `step` along each hole.
+    """One row for each station: its number n in the hole, md, angles, position x/y/z, and the way to the next one: length,
+    steps, displacement sx/sy/sz and angles az1/dip1 (nothing, for the last station and where the next one isn't deeper).
 
-    Station rows without numeric depth, azimuth or dip are left out, as are pairs that don't go deeper, collars without
-    surveys and surveys without a collar. Missing collar coordinates count as 0.
+    The vertices of a trace are k = 0 (of n = 1 only) to steps of every pair: `vertex` gives any of them by arithmetic.
+    Station rows without numeric depth, azimuth or dip are left out, as are collars without surveys and surveys without a
+    collar. Missing collar coordinates count as 0.
     """
     if method not in METHODS:
         raise ValueError(f"unknown method: {method}")
@@ -61,30 +65,39 @@ def desurvey_holes(collars: DataFrame, surveys: DataFrame, step: float = 1.0, me
         number(F.col("dip")).alias("dip"), *([ROW] if ROW in surveys.columns else [])).dropna(subset=["hole_id", "md", "az", "dip"])
     order = Window.partitionBy("hole_id").orderBy("md", *([ROW] if ROW in stations.columns else ["az", "dip"]))
     pairs = stations.withColumns({"n": F.row_number().over(order), **{f"{c}1": F.lead(c).over(order) for c in ("md", "az", "dip")}})
-    length = F.coalesce(F.col("md1") - F.col("md"), F.lit(0.0))
-    moves = displacement(length, *(F.col(c) for c in ("az", "dip", "az1", "dip1")), method)
+    pairs = pairs.withColumn("length", F.coalesce(F.col("md1") - F.col("md"), F.lit(0.0)))
+    moves = displacement(F.col("length"), *(F.col(c) for c in ("az", "dip", "az1", "dip1")), method)
     if z_down:
         moves[2] = -moves[2]
-    pairs = pairs.withColumn("steps", F.when(length > 0, F.greatest(F.lit(1), F.ceil(length / step))).otherwise(0).cast("int"))
-    pairs = pairs.withColumns({f"s{a}": F.when(length > 0, m).otherwise(0.0) for a, m in zip("xyz", moves, strict=True)})
+    deeper = F.col("length") > 0
+    pairs = pairs.withColumns({"steps": F.when(deeper, F.greatest(F.lit(1), F.ceil(F.col("length") / step))).otherwise(0).cast("int"),
+        **{f"s{a}": F.when(deeper, m).otherwise(0.0) for a, m in zip("xyz", moves, strict=True)}})
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     pairs = pairs.withColumns({f"o{a}": F.coalesce(F.sum(f"s{a}").over(before), F.lit(0.0)) for a in "xyz"})
-    low = F.when(F.col("n") == 1, 0).otherwise(1)
-    ks = F.when(F.col("steps") >= low, F.sequence(low, F.col("steps")))
-    rows = pairs.join(tops, "hole_id").select("*", F.explode(ks).alias("k"))
-    part = F.when(F.col("steps") > 0, F.col("k") / F.col("steps")).otherwise(0.0)
+    return pairs.join(tops, "hole_id").select("hole_id", "n", "md", "length", "steps", "az", "dip", "az1", "dip1",
+        *[(F.col(f"_{a}") + F.col(f"o{a}")).alias(a) for a in "xyz"], "sx", "sy", "sz")
+
+
+def vertex(k: Column, method: str, of: Callable[[str], Column] = F.col) -> dict[str, Column]:
+    """md, easting, northing, elevation, azimuth, dip of the k-th step of a station pair; of: where the pair's columns are."""
+    part = F.when(of("steps") > 0, k / of("steps")).otherwise(0.0)
     if method == "minimum_curvature":
-        angles = [F.col(c) + F.coalesce(F.col(f"{c}1") - F.col(c), F.lit(0.0)) * part for c in ("az", "dip")]
+        angles = [of(c) + F.coalesce(of(f"{c}1") - of(c), F.lit(0.0)) * part for c in ("az", "dip")]
     elif method == "tangential":
-        angles = [F.col("az"), F.col("dip")]
+        angles = [of("az"), of("dip")]
     else:
-        angles = [F.when(F.col("k") == 0, F.col(c)).otherwise((F.col(c) + F.col(f"{c}1")) / 2) for c in ("az", "dip")]
-    return rows.select(
-        "hole_id", (F.col("md") + length * part).alias("md"),
-        *[(F.col(f"_{a}") + F.col(f"o{a}") + F.col(f"s{a}") * part).alias(n) for a,
-        n in zip("xyz", ("easting", "northing", "elevation"), strict=True)],
-        angles[0].alias("azimuth"), angles[1].alias("dip"),
-    )
+        angles = [F.when(k == 0, of(c)).otherwise((of(c) + of(f"{c}1")) / 2) for c in ("az", "dip")]
+    place = {n: of(a) + of(f"s{a}") * part for a, n in zip("xyz", ("easting", "northing", "elevation"), strict=True)}
+    return {"md": of("md") + of("length") * part, **place, "azimuth": angles[0], "dip": angles[1]}
+
+
+def desurvey_holes(collars: DataFrame, surveys: DataFrame, step: float = 1.0, method: str = "minimum_curvature", **options) -> DataFrame:
+    """hole_id, md, easting, northing, elevation, azimuth, dip: vertices about every `step` along each hole (options:
+    depth_col, z_down and xyz of station_pairs)."""
+    pairs = station_pairs(collars, surveys, step, method, **options)
+    low = F.when(F.col("n") == 1, 0).otherwise(1)
+    rows = pairs.select("*", F.explode(F.when(F.col("steps") >= low, F.sequence(low, F.col("steps")))).alias("k"))
+    return rows.select("hole_id", *[c.alias(n) for n, c in vertex(F.col("k"), method).items()])
 
 
 def minimum_curvature(collars: DataFrame, surveys: DataFrame, step: float = 1.0, **options) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scale import ranked
 from ..model import ROW
 from ..sources.ingest import number, ref
 
@@ -111,19 +112,49 @@ def with_set(photos: DataFrame) -> DataFrame:
 
 
 def photos_by_set(photos: DataFrame) -> DataFrame:
-    """photo_set, first_row (sets appear in its order), photos: the set's photos by depth (a missing depth is 0), then source order."""
+    """photo_set, first_row (sets appear in its order), photos: the set's photos by depth (a missing depth is 0), then source order.
+    A set is one row: for sets of bounded size; see photo_chunks."""
     photo = F.struct(F.coalesce(number(F.col("from_depth")), F.lit(0.0)).alias("at"), F.col(ROW),
         *[ref(c) for c in photos.columns if c not in ("photo_set", ROW)])
     return with_set(photos).groupBy("photo_set").agg(F.min(ROW).alias("first_row"), F.array_sort(F.collect_list(photo)).alias("photos"))
 
 
+def chunked(df: DataFrame, group_cols: list[str], order: list[str], columns: list[str], size: int = 1000) -> DataFrame:
+    """group_cols, chunk, n, rows: each group's rows in order, as arrays of at most `size` rows numbered from 0.
+
+    Rows are numbered in the order of group and order by ranges (see scale.ranked), so a group of any size is dealt to many
+    tasks; no array grows with its group. Rows that are equal in the order come in any order.
+    """
+    key, row = F.struct(*map(ref, [*group_cols, *order])), F.struct(*map(ref, dict.fromkeys([*order, *columns])))
+    rows = ranked(df.select(*map(ref, group_cols), key.alias("_key"), row.alias("_row")), "_key")
+    starts = rows.groupBy(*map(ref, group_cols)).agg(F.min("_stop").alias("_first"))
+    same = reduce(lambda a, b: a & b, [F.col(f"r.`{c}`").eqNullSafe(F.col(f"s.`{c}`")) for c in group_cols])
+    placed = rows.alias("r").join(starts.alias("s"), same).select("r.*", (F.col("_stop") - F.col("_first")).alias("_at"))
+    out = placed.groupBy(*map(ref, group_cols), F.floor(F.col("_at") / size).cast("int").alias("chunk"))
+    out = out.agg(F.array_sort(F.collect_list(F.struct("_at", "_row"))).alias("_all"))
+    return out.select(*map(ref, group_cols), "chunk", F.size("_all").alias("n"), F.col("_all._row").alias("rows"))
+
+
+def photo_chunks(photos: DataFrame, size: int = 1000) -> DataFrame:
+    """photo_set, chunk, n, rows: the photos of photos_by_set in arrays of at most `size`."""
+    rows = with_set(photos).withColumn("at", F.coalesce(number(F.col("from_depth")), F.lit(0.0)))
+    return chunked(rows, ["photo_set"], ["at", ROW], [c for c in photos.columns if c not in ("photo_set", ROW)], size)
+
+
 def rows_by_hole(df: DataFrame, columns: list[str], order: list[str], hole_col: str = "hole_id") -> DataFrame:
-    """hole_id, rows: each hole's rows (trimmed id, blank ones go) as an array sorted by `order`, which comes first in a row."""
+    """hole_id, rows: each hole's rows (trimmed id, blank ones go) as an array sorted by `order`, which comes first in a row. A hole is
+    one row; see row_chunks."""
     row = F.struct(*map(ref, dict.fromkeys([*order, *columns])))
     keyed = df.withColumn("hole_id", F.trim(ref(hole_col).cast("string"))).filter("hole_id <> ''")
     return keyed.groupBy("hole_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
 
 
+def row_chunks(df: DataFrame, columns: list[str], order: list[str], hole_col: str = "hole_id", size: int = 1000) -> DataFrame:
+    """hole_id, chunk, n, rows: the rows of rows_by_hole in arrays of at most `size`."""
+    keyed = df.withColumn("hole_id", F.trim(ref(hole_col).cast("string"))).filter("hole_id <> ''")
+    return chunked(keyed, ["hole_id"], order, columns, size)
+
+
 def merge_holes(one: DataFrame, two: DataFrame, rows_col: str = "rows") -> DataFrame:
     """hole_id, rows: the rows of both tables of holes, those of the first before those of the second."""
     right = two.select(F.col("hole_id").alias("_h"), ref(rows_col).alias("_more"))
@@ -192,14 +223,18 @@ def focused_holes(holes: DataFrame, focus: str = "", order: str = "hole_id", mos
     """hole_id, place: the focused hole first, then the others in their order (the first `most`: as many plots as a grid has)."""
     rank = F.when(F.col("hole_id") == focus, 0).otherwise(1)
     placed = holes.select("hole_id", rank.alias("_r"), ref(order).alias("_o")).orderBy("_r", "_o")
-    placed = placed.limit(most) if most is not None else placed
-    return placed.select("hole_id", (F.row_number().over(Window.orderBy("_r",
-        "_o")) - 1).alias("place")) if most is not None else placed.select("hole_id")
-
-
-def hole_options(df: DataFrame) -> DataFrame:
-    """Distinct non-empty hole ids, sorted."""
-    return df.select(F.col("hole_id").cast("string").alias("hole_id")).filter("hole_id <> ''").distinct().orderBy("hole_id")
+    if most is None:
+        return placed.select("hole_id")
+    first = placed.limit(most).agg(F.array_sort(F.collect_list(F.struct("_r", "_o", "hole_id"))).alias("a"))  # a grid of plots
+    return first.select(F.posexplode("a").alias("place", "h")).select("h.hole_id", "place")
+
+
+def hole_options(df: DataFrame, placed: bool = False) -> DataFrame:
+    """Distinct non-empty hole ids, sorted; placed: not sorted, but with their place (from 1) in that order, by ranges of ids."""
+    holes = df.select(F.col("hole_id").cast("string").alias("hole_id")).filter("hole_id <> ''").distinct()
+    if placed:
+        return ranked(holes, "hole_id").select("hole_id", F.col("_stop").cast("int").alias("place"))
+    return holes.orderBy("hole_id")
 
 
 def union_holes(*tables: DataFrame) -> DataFrame:

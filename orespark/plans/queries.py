@@ -41,7 +41,7 @@ def flagship(s: SparkSession, d: str) -> DataFrame:
     """Intercepts placed on the traces and kept near a section."""
     found = intervals.significant_intercepts(fx.intervals(s, d), "au_ppm", 3.0, 2.0, label=False).withColumn("mid",
         (F.col("from") + F.col("to")) / 2)
-    placed = asof.nearest_vertex(found, traces(s, d), "mid", list(XYZ)).dropna(subset=["easting"])
+    placed = asof.nearest_on_pairs(found, pairs(s, d), "mid", list(XYZ)).dropna(subset=["easting"])
     near = structural.section_view(placed, (502500.0, 6900000.0), 45.0, 2000.0)
     return rounded(near.select("hole_id", "from", "to", F.col("avg_grade").alias("grade"), *XYZ, "along", "across"), "grade", *XYZ, "along",
         "across")
@@ -51,6 +51,15 @@ def traces(s: SparkSession, d: str, method: str = "minimum_curvature") -> DataFr
     return desurvey.desurvey_holes(fx.collars(s, d), fx.surveys(s, d), STEP, method)
 
 
+def pairs(s: SparkSession, d: str) -> DataFrame:
+    return desurvey.station_pairs(fx.collars(s, d), fx.surveys(s, d), STEP)
+
+
+def station_vertices(s: SparkSession, d: str) -> DataFrame:
+    """Traces with vertices at the stations only: between them positions are linear."""
+    return desurvey.desurvey_holes(fx.collars(s, d), fx.surveys(s, d), 1e9)
+
+
 def _traced(method: str) -> Query:
     return lambda s, d: rounded(traces(s, d, method), "md", *XYZ, "azimuth", "dip")
 
@@ -62,7 +71,7 @@ def station_traces(s: SparkSession, d: str) -> DataFrame:
 
 
 def attach_assay_positions(s: SparkSession, d: str) -> DataFrame:
-    out = asof.attach_assay_positions(ingest.with_mid(fx.intervals(s, d)), traces(s, d))
+    out = asof.nearest_on_pairs(ingest.with_mid(fx.intervals(s, d)), pairs(s, d), "mid")
     return rounded(out.select("hole_id", "from", "to", "mid", "md", *XYZ), "md", *XYZ)
 
 
@@ -71,11 +80,11 @@ def attach_structure_positions(s: SparkSession, d: str) -> DataFrame:
 
 
 def interpolate_positions(s: SparkSession, d: str) -> DataFrame:
-    return rounded(asof.interpolate_positions(fx.structures(s, d), traces(s, d)).select("event_id", "hole_id", "depth", *XYZ), *XYZ)
+    return rounded(asof.interpolate_positions(fx.structures(s, d), station_vertices(s, d)).select("event_id", "hole_id", "depth", *XYZ), *XYZ)
 
 
 def resample_trace(s: SparkSession, d: str) -> DataFrame:
-    return rounded(asof.resample_trace(traces(s, d), 7.0), "md", *XYZ)
+    return rounded(asof.resample_trace(station_vertices(s, d), 7.0), "md", *XYZ)
 
 
 def join_assays_to_traces(s: SparkSession, d: str) -> DataFrame:

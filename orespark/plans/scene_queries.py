@@ -14,6 +14,7 @@ from . import payload
 from . import source_fixtures as raw
 from .oracles import BENT, BLOCKS, COLLARS, INTERVALS, POSITION, SEGMENT_JOIN, SEGMENTS, STRUCTURES, SURVEYS, interpolated, nearest, r, traces
 from .queries import STEP, WIDTH, XYZ, Query, _bent, r6, rounded
+from .queries import station_vertices
 from .queries import traces as traces_of
 
 QUERIES: dict[str, Query] = {}
@@ -92,7 +93,7 @@ select event_id, concat(' ', hole_id) hole_id, {POSITION}, round(nx, 5) + cast(0
 def structural_positions(s: SparkSession, d: str) -> DataFrame:
     """Structures on their trace with normals: from core angles and the hole's direction there, else from dip and azimuth."""
     t = loaders.load_structures(s, raw.structures(s, d)).withColumnRenamed(ROW, "event_id")
-    out = structural.structural_positions(t, traces_of(s, d).withColumn("hole_id", F.lower("hole_id")))
+    out = structural.structural_positions(t, station_vertices(s, d).withColumn("hole_id", F.lower("hole_id")))
     out = rounded(out.select("event_id", "hole_id", *XYZ, "normal_x", "normal_y", "normal_z"), *XYZ)
     return out.withColumns({c: F.round(c, 5) + F.lit(0.0) for c in ("normal_x", "normal_y", "normal_z")})
 
@@ -152,7 +153,7 @@ def hole_sets(s: SparkSession, d: str) -> DataFrame:
 @query(f"with {INTERVALS}, n as (select distinct hole_id from fx_intervals) select hole_id, cast(row_number() over (order by hole_id) as int) place from n")
 def hole_options(s: SparkSession, d: str) -> DataFrame:
     """Distinct ids and their place in the sorted list."""
-    return payload.hole_options(fx.intervals(s, d)).withColumn("place", F.row_number().over(Window.orderBy("hole_id")))
+    return payload.hole_options(fx.intervals(s, d), placed=True)
 
 
 @query(f"with {INTERVALS} select hole_id, starts_with(hole_id, 'DH1') prefixed, max(au_ppm) > 9 has_high from fx_intervals group by hole_id")

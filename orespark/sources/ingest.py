@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,37 +21,84 @@ def number(c: Column) -> Column:
     return F.when(F.abs(value) < F.lit(float("inf")), value)
 
 
-def with_row_id(df: DataFrame) -> DataFrame:
-    return df if ROW in df.columns else df.withColumn(ROW, F.monotonically_increasing_id())
+def with_row_id(df: DataFrame, kind: str | None = None) -> DataFrame:
+    """df with its rows' place in the source, unless it has one: something to order by, not a number to count with.
 
-
-def read_table(spark: SparkSession, source: str | DataFrame, kind: str = "csv", query: str | None = None, table: str | None = None,
-    connection: Mapping[str, str] | None = None, **options) -> DataFrame:
-    """A source as a DataFrame with a row id. kind: csv, parquet, json, orc or sql.
-
-    sql reads a query or table over JDBC if `connection` gives the reader's options (url, driver, ...), else from the
-    session's catalog. A DataFrame passes through, whatever the kind. CSV columns are typed by inference unless a schema
-    is given; header names that differ only by case stay apart.
+    Rows of files (of a kind that scan() reads): struct<file, block, at>, ordered by path, then by place in the file, however Spark
+    packs files into tasks. Parquet knows each row's number, so the id is deterministic and filters above it reach the scan; other
+    files know where a task's block of the file begins, and rows count upwards inside it: filter these before the id is
+    added. Other frames (no kind): their own order at the time.
     """
+    if ROW in df.columns:
+        return df
+    if kind not in ("csv", "json", "orc", "parquet"):
+        return df.withColumn(ROW, F.monotonically_increasing_id())
+    block, at = (F.lit(0).cast("long"), F.col("_metadata.row_index")) if kind == "parquet" else (F.col("_metadata.file_block_start"),
+        F.monotonically_increasing_id())
+    return df.withColumn(ROW, F.struct(F.col("_metadata.file_path").alias("file"), block.alias("block"), at.alias("at")))
+
+
+#: Tasks that read a table over JDBC.
+JDBC_PARTITIONS = 16
+
+
+def _jdbc(spark: SparkSession, query: str | None, table: str | None, connection: Mapping[str, str], partition_column: str | None,
+    hash_column: str | None, partitions: int) -> DataFrame:
+    """Over JDBC, in many connections if there is a column to cut by: a numeric one between its smallest and largest value (one query
+    finds them), or the remainders of any integer expression of the database, by predicates."""
+    reader = lambda: spark.read.format("jdbc").options(**connection)
+    source = f"({query}) orespark_q" if query else table
+    if hash_column:
+        rest = [f"MOD({hash_column}, {partitions}) = {i}" + (f" OR MOD({hash_column}, {partitions}) = {-i}" if i else f" OR {hash_column} IS NULL") for i in range(partitions)]
+        return spark.read.jdbc(connection["url"], source, predicates=rest, properties={k: v for k, v in connection.items() if k != "url"})
+    if not partition_column:
+        return reader().option("dbtable", source).load()
+    found = reader().option("dbtable", f"(SELECT MIN({partition_column}) lo, MAX({partition_column}) hi FROM {source}) orespark_b"
+        if table else f"(SELECT MIN({partition_column}) lo, MAX({partition_column}) hi FROM ({query}) orespark_i) orespark_b").load().head()
+    if found[0] is None:
+        return reader().option("dbtable", source).load()
+    return reader().options(dbtable=source, partitionColumn=partition_column, numPartitions=partitions, lowerBound=str(found[0]),
+        upperBound=str(found[1])).load()
+
+
+def scan(spark: SparkSession, source: str | DataFrame, kind: str = "csv", query: str | None = None, table: str | None = None,
+    connection: Mapping[str, str] | None = None, partition_column: str | None = None, hash_column: str | None = None,
+    partitions: int = JDBC_PARTITIONS, js: bool = False, **options) -> DataFrame:
+    """read_table() without the row id."""
     if isinstance(source, DataFrame):
-        return with_row_id(source)
+        return source
+    if js and kind not in ("csv", "json"):
+        raise ValueError(f"a {kind} source isn't read in this dialect")
     if kind == "csv":
         reader = spark.read.option("header", True)
         reader = reader.schema(options.pop("schema")) if "schema" in options else reader.option("inferSchema", True)
-        return with_row_id(reader.options(**options).csv(source))
+        return reader.options(**options).csv(source)
     if kind in ("parquet", "json", "orc"):
-        reader = spark.read.options(**options)
-        return with_row_id(getattr(reader, kind)(source))
+        return getattr(spark.read.options(**options), kind)(source) if "schema" not in options else getattr(
+            spark.read.schema(options.pop("schema")).options(**options), kind)(source)
     if kind == "sql":
         if not (query or table):
             raise ValueError("a sql source needs a query or a table")
         if connection:
-            return with_row_id(spark.read.format("jdbc").options(**connection).option("query" if query else "dbtable",
-                query or table).load())
-        return with_row_id(spark.sql(query) if query else spark.table(table))
+            return _jdbc(spark, query, table, connection, partition_column, hash_column, partitions)
+        return spark.sql(query) if query else spark.table(table)
     raise ValueError(f"unknown kind of source: {kind}")
 
 
+def read_table(spark: SparkSession, source: str | DataFrame, kind: str = "csv", where: Callable[[DataFrame], Column] | None = None,
+    **how) -> DataFrame:
+    """A source as a DataFrame with a row id. kind: csv, parquet, json, orc or sql.
+
+    where: a predicate on the source's columns, below the row id, so that the scan gets it. sql reads a query or table over JDBC if
+    `connection` gives the reader's options (url, driver, ...), else from the session's catalog; partition_column
+    (numeric) or hash_column (an integer expression of the database) spread a JDBC read over `partitions` connections. A DataFrame passes
+    through, whatever the kind. CSV columns are typed by inference unless a schema is given; header names that differ only by case
+    stay apart. js: the other dialect, which reads csv and json only.
+    """
+    df = scan(spark, source, kind, **how)
+    return with_row_id(df if where is None else df.filter(where(df)), None if isinstance(source, DataFrame) else kind)
+
+
 def _targets(columns: list[str], names: Mapping[str, list[str]], own: Mapping[str, str] | None, js: bool) -> list[str]:
     known = {variant: target for target, variants in names.items() for variant in variants}
     own = {k.strip().lower(): v for k, v in (own or {}).items()}

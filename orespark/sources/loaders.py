@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import ASSAY, COLLAR, GEOLOGY, GEOTECHNICAL, ROW, STRUCTURE, SURVEY
 from ..operators.pivot import long_to_wide
 from ..operators.validate import overlapping_intervals
-from .ingest import coerce_numeric, first_column, interval_bounds, is_missing, number, read_table, ref, rounded, standardize, with_mid
+from .ingest import coerce_numeric, first_column, interval_bounds, is_missing, number, read_table, ref, rounded, scan, standardize, with_mid, with_row_id
 
 # Names of the code and value columns of long tables.
 CODES = {
@@ -139,18 +139,20 @@ def load_assays(spark: SparkSession, source, source_column_map=None, flat: bool
     return _projected(_intervals(df, "assays", validate, strict=js), ASSAY, keep_all)
 
 
-def parse_assays(spark: SparkSession, source, hole_id: str | None = None, source_column_map=None, **read) -> DataFrame:
+def parse_assays(spark: SparkSession, source, hole_id: str | None = None, exact: bool = False, source_column_map=None,
+    **read) -> DataFrame:
     """Assay intervals without the rows that are not intervals; of one hole if asked.
 
-    The hole's filter names the id as it is and as it is with blanks around it, so that the scan is asked for the exact id
-    (where no blanks are stored: exact_hole) or reads all rows (a trimmed id can't be pushed down).
+    The hole is compared with trimmed ids, for which all rows are read, or with exact with the ids as they are stored, which the
+    scan takes over. Either way the row id comes after the filter. For many lookups see write_holes.
     """
-    df = standardize(read_table(spark, source, **read), source_column_map, last_wins=True)
+    df = standardize(scan(spark, source, **read), source_column_map, last_wins=True)
+    kind = None if isinstance(source, DataFrame) else read.get("kind", "csv")
     if hole_id is not None:
         if not hole_id.strip():
             raise ValueError("blank hole id")
-        df = df.filter(F.trim(F.col("hole_id").cast("string")) == hole_id.strip())
-    return _named(coerce_numeric(df, ["from", "to"])).filter((F.col("hole_id") != "") & (ref("to") > ref("from")))
+        df = exact_hole(df, hole_id) if exact else df.filter(F.trim(F.col("hole_id").cast("string")) == hole_id.strip())
+    return _named(coerce_numeric(with_row_id(df, kind), ["from", "to"])).filter((F.col("hole_id") != "") & (ref("to") > ref("from")))
 
 
 def exact_hole(df: DataFrame, hole_id: str) -> DataFrame:
@@ -158,6 +160,26 @@ def exact_hole(df: DataFrame, hole_id: str) -> DataFrame:
     return df.filter(F.col("hole_id") == hole_id)
 
 
+def write_holes(df: DataFrame, path: str, partitions: int | None = None, row_group_bytes: int = 16 << 20) -> str:
+    """Write a table clustered by hole, for lookups: ids trimmed (rows without one go), dealt by ranges of hole and sorted by it,
+    with a Bloom filter of the ids in each row group. A hole that fills several ranges keeps its rows together.
+
+    Returns the path. Row ids become an ordinary column.
+    """
+    named = _named(df).filter("hole_id <> ''")
+    order = [c for c in ("hole_id", *(("from",) if "from" in df.columns else ("depth",)), ROW) if c in named.columns]
+    ranged = named.repartitionByRange(partitions, *map(ref, order)) if partitions else named.repartitionByRange(*map(ref, order))
+    ranged.sortWithinPartitions(*map(ref, order)).write.options(**{"parquet.bloom.filter.enabled#hole_id": "true",
+        "parquet.block.size": str(row_group_bytes)}).parquet(path)
+    return path
+
+
+def rows_of_hole(spark: SparkSession, path: str, hole_id: str) -> DataFrame:
+    """Rows of one hole of a table that write_holes wrote: only files and row groups whose statistics and Bloom filter hold the
+    id are read."""
+    return exact_hole(spark.read.parquet(path), hole_id.strip())
+
+
 def load_structures(spark: SparkSession, source, source_column_map=None, keep_all: bool = True, **read) -> DataFrame:
     """Structural points; angles as numbers, bad ones null."""
     df = standardize(read_table(spark, source, **read), source_column_map)
@@ -218,11 +240,13 @@ def load_geology(spark: SparkSession, source, source_column_map=None, flat: bool
 
 
 def load_points(spark: SparkSession, source, source_column_map=None, **read) -> DataFrame:
-    """hole_id, order, x, y, z: points of holes that are desurveyed already, by their order column, else by source order; rows
-    without id or coordinates go, a coordinate that isn't a number is 0."""
+    """hole_id, order, x, y, z: points of holes that are desurveyed already, by their order column, else by source order (the row id
+    where it is a number, else the place in the hole); rows without id or coordinates go, a coordinate that isn't a number is 0."""
     df = standardize(read_table(spark, source, **read), source_column_map, last_wins=True)
     _require(df, ["hole_id", "easting", "northing", "elevation"], "points")
-    order = F.coalesce(number(F.col("order")), F.col(ROW).cast("double")) if "order" in df.columns else F.col(ROW).cast("double")
+    place = F.col(ROW).cast("double") if df.schema[ROW].dataType.typeName() != "struct" else (F.row_number().over(
+        Window.partitionBy("hole_id").orderBy(ROW)) - 1).cast("double")
+    order = F.coalesce(number(F.col("order")), place) if "order" in df.columns else place
     kept = _named(df).filter("hole_id <> ''").dropna(subset=["easting", "northing", "elevation"])
     return kept.select("hole_id", order.alias("order"),
         *[F.coalesce(number(F.col(c)), F.lit(0.0)).alias(n) for c, n in (("easting", "x"), ("northing", "y"), ("elevation", "z"))], ROW)
@@ -252,6 +276,9 @@ def parse_unified(spark: SparkSession, assays=None, structures=None, geology=Non
         parts.append(parse_interval_rows(spark, geology, "geology", **read).withColumn("_part", F.lit(2)))
     if not parts:
         raise ValueError("no source")
+    if len({p.schema[ROW].dataType.simpleString() for p in parts}) > 1:  # numbers beside places in files
+        parts = [p if p.schema[ROW].dataType.typeName() == "struct" else p.withColumn(ROW, F.struct(F.lit("").alias("file"),
+            F.lit(0).cast("long").alias("block"), F.col(ROW).cast("long").alias("at"))) for p in parts]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
