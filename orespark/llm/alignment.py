@@ -6,10 +6,6 @@ at that shift and jump over stretches in which every token ends with its counter
 behind moves on until the ends meet, and the shift is updated. Every common end closes a group and is a link of the two
 tokens that end there.
 
-Both encoders work on the distinct pieces of a slice that their merges can't cross: pre-tokens of the byte-level tokenizer, and
-words with the spaces before them of the sentencepiece model (whose pieces hold spaces at their start only; a model for
-which that isn't so encodes whole texts).
-
 Two tokens that end together are one a suffix of the other, so the possible id pairs are bounded by the two vocabularies
 whatever the corpus is (`pair_bound`): their counts, made by Spark, are small enough for every task.
 
@@ -21,7 +17,7 @@ table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-import re
+import json
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,101 +27,72 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import Numbers, _bounds, _ids, _ids_back, splitter
+from .bpe import _bounds, _ids, _ids_back
 from .common import slices, squeeze, texts, unsqueeze, written
 
-#: Pieces whose ids an encoder remembers between slices.
-REMEMBERED = 200_000
+#: Bytes of text of a slice.
+ALIGN_BYTES = 2 << 20
 SPACE = "▁"
 
 
 class Encoder:
-    """Ids of texts by the distinct pieces that cut() gives; a piece whose bytes its tokens don't give back has none (None)."""
+    """Ids of whole texts, and the bytes of each id."""
 
     names: list[bytes]
 
     def __init__(self) -> None:
         self.lengths = np.fromiter(map(len, self.names), np.uint32, len(self.names))
-        self.seen: dict[str, bytes | None] = {}
-
-    def cut(self, text: str) -> list[str]:
-        raise NotImplementedError
 
-    def encode(self, pieces: list[str]) -> list[list[int]]:
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a text that begins with the space that both tokenizers see."""
         raise NotImplementedError
 
-    def learn(self, pieces: Numbers) -> None:
-        if len(self.seen) > REMEMBERED:
-            self.seen.clear()
-        fresh = [p for p in pieces if p not in self.seen]
-        for i in range(0, len(fresh), 10_000):
-            part = fresh[i : i + 10_000]
-            for piece, ids in zip(part, self.encode(part), strict=True):
-                same = b"".join([self.names[x] for x in ids]) == piece.encode()
-                self.seen[piece] = np.array(ids, np.uint32).tobytes() if same else None
-
     def tokens(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of all texts one after another, their number in each text, and which texts are given back."""
-        numbers = Numbers()
-        rows = [np.fromiter(map(numbers.__getitem__, found := self.cut(s)), np.uint32, len(found)) for s in strings]
-        self.learn(numbers)
-        found = [self.seen[p] for p in numbers]
-        lost = np.fromiter((x is None for x in found), bool, len(found))
-        own = np.frombuffer(b"".join(x or b"" for x in found), np.uint32)
-        lengths = np.fromiter((len(x or b"") // 4 for x in found), np.int64, len(found))
-        places = np.concatenate(rows) if rows else np.zeros(0, np.uint32)
-        bounds = _bounds(np.array([len(r) for r in rows], np.int64))
-        n = lengths[places]
-        ends = _bounds(n)
-        ids = own[np.repeat(_bounds(lengths)[:-1][places] - ends[:-1], n) + np.arange(ends[-1])]
-        bad = np.diff(_bounds(lost[places])[bounds]) > 0
-        return ids, np.diff(ends[bounds]), ~bad
+        """Ids of all texts one after another, their number in each text, and which texts their bytes give back."""
+        found = [self.encode(s) if s else np.zeros(0, np.uint32) for s in strings]
+        kept = np.array([b"".join(map(self.names.__getitem__, x.tolist())) == s.encode() for x, s in zip(found, strings, strict=True)], bool)
+        return np.concatenate([np.zeros(0, np.uint32), *found]), np.fromiter(map(len, found), np.int64, len(found)), kept
 
 
 class ByteLevel(Encoder):
-    """A tokenizer file (.json) of byte-level BPE; its special tokens' strings are plain text."""
+    """A tokenizer file (.json) of byte-level BPE, read as ranks (its ids rise with the order of its merges) and encoded by the
+    rank library, which is several times as fast. Special tokens' strings are plain text."""
 
     def __init__(self, path: str, pattern: str):
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
         back = {chr(b): b for b in kept} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in kept)}
-        entries = self.library.get_vocab()
-        self.names = [b""] * (max(entries.values()) + 1)
-        for entry, i in entries.items():
-            self.names[i] = bytes(back[c] for c in entry) if all(c in back for c in entry) else entry.encode()
-        self.cut = splitter(pattern)
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        order = [model["vocab"][x + y] for x, y in merges]
+        if order != sorted(order):
+            raise ValueError(f"{path}: ids don't follow the merges, so they are no ranks")
+        ranks = {bytes(back[c] for c in x): model["vocab"][x] for x in {*back, *(x + y for x, y in merges)}}
+        self.names = [b""] * (max(ranks.values()) + 1)
+        for name, i in ranks.items():
+            self.names[i] = name
+        self.library = tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         super().__init__()
 
-    def encode(self, pieces: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+    def encode(self, text: str) -> np.ndarray:
+        return self.library.encode_to_numpy(text, disallowed_special=())
 
 
 class Pieces(Encoder):
-    """A sentencepiece model that puts a space before the text: `tokens` gets texts with that space."""
+    """A sentencepiece model, which puts a space before a text itself."""
 
     def __init__(self, path: str):
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
-        n = self.library.get_piece_size()
-        pieces = [self.library.id_to_piece(i) for i in range(n)]
+        pieces = [self.library.id_to_piece(i) for i in range(self.library.get_piece_size())]
         self.names = [bytes([int(p[3:5], 16)]) if self.library.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
-        #: Whether no merge reaches from a letter to a space after it.
-        self.apart = not any(SPACE in p.lstrip(SPACE) for p in pieces) and self.library.encode("a  a ", out_type=str)[-1] == SPACE
-        self.words = re.compile(r" *[^ ]+| +").findall
-        self.first = len(self.library.encode("a"))
         super().__init__()
 
-    def cut(self, text: str) -> list[str]:
-        return self.words(text) if self.apart else [text]
-
-    def encode(self, pieces: list[str]) -> list[list[int]]:
-        if self.apart:  # after a letter, as a space is added to the start of what is encoded
-            return [ids[self.first :] for ids in self.library.encode(["a" + p for p in pieces], num_threads=1)]
-        return self.library.encode([p[1:] for p in pieces], num_threads=1)
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text[1:]), np.uint32)
 
 
 @lru_cache(maxsize=2)
@@ -153,9 +120,14 @@ def common_ends(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.
                 y = b[j]
         if x != y:
             break
-        at, step, left = 1, 1, min(n_a - i, n_b - j)
+        at, step, left = 1, 1, n_a - i if n_a - i < n_b - j else n_b - j
         while at < left:  # probes of doubling length at the shift j - i
-            to = min(at + step, left)
+            if step == 1:
+                if a[i + 1] != b[j + 1]:
+                    break
+                at, step = 2, 2
+                continue
+            to = at + step if at + step < left else left
             if raw_a[4 * (i + at) : 4 * (i + to)] == raw_b[4 * (j + at) : 4 * (j + to)]:
                 at, step = to, 2 * step
                 continue
@@ -188,7 +160,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, pattern: str, id_col: str =
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, second = encoders(path_a, path_b, pattern)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=ALIGN_BYTES):
             strings = [" " + t if t else "" for t in batch.column("text").to_pylist()]
             (a, n_a, kept_a), (b, n_b, kept_b) = first.tokens(strings), second.tokens(strings)
             kept = kept_a & kept_b
