@@ -15,6 +15,14 @@ def missing_columns(df: DataFrame, required: list[str]) -> list[str]:
     return [c for c in required if c not in df.columns]
 
 
+def column_presence(df: DataFrame, wanted: list[str]) -> DataFrame:
+    """column, present, n_rows, n_values of the wanted columns: whether df has them and how many rows have a value, in one aggregate."""
+    absent = set(missing_columns(df, wanted))
+    marks = [F.struct(F.lit(c).alias("column"), F.lit(c not in absent).alias("present"), F.count("*").alias("n_rows"),
+        (F.lit(0).cast("long") if c in absent else F.count(ref(c))).alias("n_values")) for c in wanted]
+    return df.agg(F.array(*marks).alias("m")).select(F.explode("m").alias("m")).select("m.*")
+
+
 def _chain(df: DataFrame, hole_col: str, order: list[str]) -> Window:
     return Window.partitionBy(ref(hole_col)).orderBy(*[ref(c) for c in order if c in df.columns])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -80,9 +81,11 @@ def photos_in_range(photos: DataFrame, low: float, high: float) -> DataFrame:
     return named.filter((F.col("from_depth") < high) & (F.col("to_depth") > low)).orderBy("photo_set", F.coalesce("from_depth", F.lit(0.0)))
 
 
-def tray_photos(trays: DataFrame, base_url: str, pattern: str = "tray_%03d.jpg") -> DataFrame:
-    """image_url of each tray number under a base URL."""
-    return trays.withColumn("image_url", F.concat(F.lit(base_url.rstrip("/") + "/"), F.format_string(pattern, F.col("tray").cast("int"))))
+def tray_photos(trays: DataFrame, base_url: str, name: str | Callable[[Column], Column] = "tray_%03d.jpg") -> DataFrame:
+    """image_url of each tray number under a base URL; name: the format of its file name, or what makes one of the number."""
+    number_of = F.col("tray").cast("int")
+    file = name(number_of) if callable(name) else F.format_string(name, number_of)
+    return trays.withColumn("image_url", F.concat(F.lit(base_url.rstrip("/") + "/"), file))
 
 
 def wrapped(text: Column, width: int = 40) -> Column:

@@ -358,12 +358,14 @@ def value_hues(s: SparkSession, d: str) -> DataFrame:
         colours.colour(key, both, "#0").alias("resolved")), "hue")
 
 
-@query("""select unnest(['l_ag_ppm', 'cu-pct', 'Fe Total', 'tax']) "column", unnest(['#C0C0C0', '#B87333', '#8B4513', '']) colour from (select count(*) from lineitem)""")
+@query("""select unnest(['l_ag_ppm', 'cu-pct', 'Fe Total', 'tax']) "column", unnest(['#C0C0C0', '#B87333', '#8B4513', '']) colour, unnest([count(l_tax), count(l_discount) filter (where l_discount > 0), count(l_quantity) filter (where l_quantity > 10), count(l_tax)]) n_values, unnest([max(l_tax), max(l_discount), max(l_quantity), max(l_tax)])::double highest from lineitem""")
 def commodity_colours(s: SparkSession, d: str) -> DataFrame:
-    """Colours of a table's columns by the commodity in their names."""
-    t = s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_tax").alias("l_ag_ppm"), F.col("l_tax").alias("cu-pct"),
-        F.col("l_tax").alias("Fe Total"), F.col("l_tax").alias("tax"))
-    return s.createDataFrame([(c, colours.commodity_colour(c) or "") for c in t.columns], "column string, colour string")
+    """A table's columns by the commodity in their names: its colour, how many values the column has and the highest."""
+    t = s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_tax").alias("l_ag_ppm"), F.when(F.col("l_discount") > 0, F.col("l_discount")).alias("cu-pct"),
+        F.when(F.col("l_quantity") > 10, F.col("l_quantity")).alias("Fe Total"), F.col("l_tax").alias("tax"))
+    marks = [F.struct(F.lit(c).alias("column"), F.lit(colours.commodity_colour(c) or "").alias("colour"), F.count(ingest.ref(c)).alias("n_values"),
+        F.max(ingest.ref(c)).cast("double").alias("highest")) for c in t.columns]
+    return t.agg(F.array(*marks).alias("m")).select(F.explode("m").alias("m")).select("m.*")
 
 
 @query(f"""with {INTERVALS}, b as (select hole_id, max(au_ppm) hi, min(au_ppm) lo from fx_intervals group by hole_id), f as (select hole_id, unnest([lo * 200, hi * 20 + 0.5, hi / 50]) v from b)
@@ -416,14 +418,6 @@ def raster_bounds(s: SparkSession, d: str) -> DataFrame:
     return payload.normalized_bounds(payload.normalized_bounds(b).select("block_id", "min_x", "min_y", "max_x", "max_y"))
 
 
-@query(f"with {COLLARS} select min(easting) west, max(easting) east, min(northing) south, max(northing) north, (min(easting) + max(easting)) / 2 centre_x, (min(northing) + max(northing)) / 2 centre_y from fx_collars")
-def extent_centre(s: SparkSession, d: str) -> DataFrame:
-    """Bounds of projected collars and their middle."""
-    box = fx.collars(s, d).agg(F.min("easting").alias("west"), F.max("easting").alias("east"), F.min("northing").alias("south"),
-        F.max("northing").alias("north"))
-    return box.withColumns({"centre_x": (F.col("west") + F.col("east")) / 2, "centre_y": (F.col("south") + F.col("north")) / 2})
-
-
 @query(f"with {BLOCKS} select block_id from fx_blocks where grade >= 2 and rock_type = 'PROMO'")
 def filtered_blocks(s: SparkSession, d: str) -> DataFrame:
     """Blocks by criteria in the other dialect: empty conditions are ignored."""

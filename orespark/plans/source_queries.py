@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import ROW
+from ..model import COLLAR, ROW, STRUCTURE, SURVEY
 from ..operators import asof, blockmodel, columns, desurvey, enrich, mesh, validate
 from ..sources import ingest, loaders, sinks
 from . import fixtures as fx
@@ -239,12 +239,9 @@ def dataset_tables(s: SparkSession, d: str) -> DataFrame:
 @query(f"""with {traces("minimum_curvature")}, {INTERVALS}, im as (select *, ("from" + "to") * 0.5 mid from fx_intervals), {nearest("im", "mid")}
 select nv.hole_id, "from", "to", {POSITION}, project_id from nv left join (select hole_id h, project_id from fx_collars) on h = nv.hole_id and easting is not null""")
 def located_assays_of_projects(s: SparkSession, d: str) -> DataFrame:
-    """End to end: collars and surveys to traces, projects onto them, assays placed on them."""
-    tops = fx.collars(s, d)
-    placed = enrich.with_project(desurvey.build_traces(tops, fx.surveys(s, d), STEP),
-        tops.withColumn("hole_id", F.concat(F.lit(" "), F.lower("hole_id"))))
-    return rounded(asof.attach_assay_positions(ingest.with_mid(fx.intervals(s, d)), placed).select("hole_id", "from", "to", *XYZ,
-        "project_id"), *XYZ)
+    """End to end: collars and surveys to traces, assays placed on them, projects of their collars."""
+    out = loaders.located_assays(ingest.with_mid(fx.intervals(s, d)), fx.collars(s, d), fx.surveys(s, d), step=STEP)
+    return rounded(out.select("hole_id", "from", "to", *XYZ, "project_id"), *XYZ)
 
 
 # Readers and sinks
@@ -442,12 +439,15 @@ def column_types(s: SparkSession, d: str) -> DataFrame:
     return s.createDataFrame(rows, "column string, python string, typed string, first_chart string, default_chart string")
 
 
-@query("""select 'surveys' "table", 'depth' missing from (select count(*) from orders) union all select 'surveys', 'dip' from (select count(*) from orders)""")
+@query("""with o as (select count(*) n from orders), l as (select count(*) n from lineitem), e as (select count(*) n from events)
+select 'collars' "table", c "column", c in ('hole_id', 'project_id', 'elevation', 'easting', 'northing', 'crs') present, n n_rows, case when c in ('hole_id', 'project_id', 'elevation', 'easting', 'northing', 'crs') then n else 0 end n_values from o, (select unnest(['hole_id', 'project_id', 'latitude', 'longitude', 'elevation', 'easting', 'northing', 'crs']) c)
+union all select 'surveys', c, c <> 'to', n, case when c <> 'to' then n else 0 end from l, (select unnest(['hole_id', 'depth', 'to', 'azimuth', 'dip']) c)
+union all select 'structures', c, c <> 'comments', n, case when c = 'comments' then 0 when c = 'depth' then (select count(*) from events where event_id % 31 <> 0) when c = 'alpha' then (select count(*) from events where event_id % 3 = 0) when c = 'beta' then (select count(*) from events where event_id % 6 = 0) else n end from e, (select unnest(['hole_id', 'depth', 'dip', 'azimuth', 'alpha', 'beta', 'comments']) c)""")
 def missing_columns(s: SparkSession, d: str) -> DataFrame:
-    """Required columns that a table lacks."""
-    t = ingest.standardize(raw.collars(s, d).withColumn("Az", F.lit(0.0)))
-    return s.createDataFrame([("surveys", c) for c in validate.missing_columns(t, ["hole_id", "depth", "azimuth", "dip"])],
-        "table string, missing string")
+    """Columns of the model in each table of a data set: whether the table has them, and how many of its rows have a value."""
+    tables = {"collars": (raw.collars(s, d), [c for c in COLLAR if c != "datasource_hole_id"]), "surveys": (raw.surveys(s, d), SURVEY), "structures": (raw.structures(s, d), STRUCTURE)}
+    parts = [validate.column_presence(ingest.standardize(t), wanted).select(F.lit(n).alias("table"), "*") for n, (t, wanted) in tables.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query(f"""with {raw.LINES} select hole hole_id, coalesce(case when m = 3 then 'early' end, l_returnflag) geology_code, case when m = 4 then null else l_linestatus end last_code, rid from rl""")

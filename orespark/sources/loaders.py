@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import ASSAY, COLLAR, GEOLOGY, GEOTECHNICAL, ROW, STRUCTURE, SURVEY
+from ..operators.asof import nearest_on_pairs, nearest_vertex
+from ..operators.desurvey import first_rows, station_pairs
+from ..operators.enrich import hole_key
 from ..operators.pivot import long_to_wide
 from ..operators.validate import overlapping_intervals
 from .ingest import coerce_numeric, first_column, interval_bounds, is_missing, number, read_table, ref, rounded, scan, standardize, with_mid, with_row_id
@@ -52,10 +55,19 @@ def _guard(df: DataFrame, tests: dict[str, Column], label: str, sample: list[str
         raise ValueError(f"{label}: missing or invalid values, {({k: v for k, v in counts.asDict().items() if k != 'first'})}, for example {rows}")
 
 
-def in_order(df: DataFrame) -> DataFrame:
-    """Sorted by hole, then from and to (or depth), missing values last, then by source order."""
-    names = [c for c in ("hole_id", *(("from", "to") if "from" in df.columns else ("depth",)), ROW) if c in df.columns]
-    return df.orderBy(*[F.asc_nulls_last(ref(c)) for c in names])
+def in_order(df: DataFrame, columns: list[str] | None = None, locale: bool = False) -> DataFrame:
+    """Sorted by hole, then from and to (or depth), missing values last, then by source order; or by other columns.
+
+    locale: texts in the order of Unicode's collation (case and accents count after letters), as readers expect lists of names;
+    else by their bytes. Numbers sort as numbers, in a column of texts they are texts.
+    """
+    names = columns or ["hole_id", *(("from", "to") if "from" in df.columns else ("depth",))]
+    return df.orderBy(*[F.asc_nulls_last(sort_key(df, c) if locale else ref(c)) for c in [*names, ROW] if c in df.columns])
+
+
+def sort_key(df: DataFrame, name: str) -> Column:
+    """A column to sort by in locale order."""
+    return F.collate(ref(name), "UNICODE") if df.schema[name].dataType.typeName() == "string" else ref(name)
 
 
 def _named(df: DataFrame) -> DataFrame:
@@ -325,6 +337,30 @@ def hole_ids(df: DataFrame, with_values: bool = False, skipped: frozenset[str] =
     return df.filter(~is_missing(F.col("hole_id"))).select(F.trim("hole_id").alias("hole_id")).distinct()
 
 
+def located_assays(assays: DataFrame, collars: DataFrame | None = None, surveys: DataFrame | None = None, traces: DataFrame | None = None,
+    step: float = 1.0, project: str | None = None) -> DataFrame:
+    """Assays with easting, northing, elevation and project_id, end to end: on the given traces where there are any, which are preferred,
+    else on those that collars and surveys give; projects come from the collars, by hole key.
+
+    A hole that has neither leaves its assays without a place. project: only its assays.
+    """
+    placed = assays
+    names = ["md", "easting", "northing", "elevation"]
+    if traces is None and collars is not None and surveys is not None:
+        placed = nearest_on_pairs(placed, station_pairs(collars, surveys, step), "mid", names)
+    elif traces is not None:
+        placed = nearest_vertex(placed, traces, "mid", names)
+    else:
+        placed = placed.withColumns({c: F.lit(None).cast("double") for c in names})
+    if collars is not None and "project_id" in collars.columns:
+        own = collars.select(hole_key(F.col("hole_id")).alias("hole_id"), "project_id", *[c for c in (ROW,) if c in collars.columns])
+        own = first_rows(own, "hole_id").select(F.col("hole_id").alias("_key"), F.col("project_id").alias("_project"))
+        placed = placed.join(own, hole_key(F.col("hole_id")) == F.col("_key"), "left").drop("_key")
+        given = F.col("project_id") if "project_id" in placed.columns else F.lit(None)
+        placed = placed.withColumn("project_id", F.coalesce(given, F.col("_project"))).drop("_project")
+    return by_project(placed, project)
+
+
 TABLES = {"collars": COLLAR, "surveys": SURVEY, "assays": ASSAY, "structures": STRUCTURE, "geology": GEOLOGY,
     "geotechnical": ["hole_id", "from", "to", "mid", *GEOTECHNICAL]}
 

@@ -19,7 +19,21 @@ def shared_path(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="orespark-")
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    SHARED.append(path := f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return path
+
+
+#: Paths that this driver has given out and not cleared.
+SHARED: list[str] = []
+
+
+def clear_shared(spark: SparkSession) -> int:
+    """Delete what was written to all paths of shared_path() so far, once the results that read them are stored; how many."""
+    jvm = spark.sparkContext._jvm
+    for path in (paths := [SHARED.pop() for _ in range(len(SHARED))]):
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
 
 
 def export_rows(traces: DataFrame, zone: int, south: bool = True) -> DataFrame:

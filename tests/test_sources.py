@@ -99,3 +99,42 @@ def test_dialects_and_unknown_kinds(spark):
         ingest.read_table(spark, "x", "sql", js=True, table="t")
     with pytest.raises(ValueError):
         ingest.read_table(spark, "x", "sql")
+
+
+def test_projection_there_and_back(spark):
+    from orespark.functions import projection
+
+    rows = [(lat / 1.0, 114 + k * 0.37) for lat in range(-80, 0, 7) for k in range(17)]
+    df = spark.createDataFrame(rows, "latitude double, longitude double")
+    east, north = projection.utm(F.col("latitude"), F.col("longitude"), 50, south=True)
+    back = df.withColumns({"e": east, "n": north})
+    lat, lon = projection.degrees(F.col("e"), F.col("n"), 50, south=True)
+    for r in back.withColumns({"lat": lat, "lon": lon}).collect():
+        assert abs(r["lat"] - r["latitude"]) < 1e-9 and abs(r["lon"] - r["longitude"]) < 1e-9
+    assert projection.zone_of("EPSG:32719") == (19, True) and projection.zone_of(28350) == (50, True) and projection.zone_of("7850") == (50, True)
+    assert projection.zone_of("epsg:4326") is None and projection.zone_of("local grid") is None and projection.zone_of(None) is None
+    box = projection.extent(spark.createDataFrame([(1.0, 2.0), (3.0, None), (5.0, 8.0)], "easting double, northing double"))
+    assert box.collect()[0]["rectangle"] == [[2.0, 1.0], [8.0, 5.0]]
+    assert tuple(projection.with_centre(box, "local grid", lonlat=True).collect()[0][-2:]) == (3.0, 5.0)
+
+
+def test_located_assays_prefer_given_traces(spark):
+    assays = spark.createDataFrame([("A", 0.0, 2.0, 1.0), ("B", 0.0, 2.0, 1.0)], "hole_id string, `from` double, `to` double, mid double")
+    collars = spark.createDataFrame([(" a", "p", 0.0, 0.0, 0.0), ("b", "q", 0.0, 0.0, 0.0)], "hole_id string, project_id string, easting double, northing double, elevation double")
+    surveys = spark.createDataFrame([("A", 0.0, 0.0, -90.0)], "hole_id string, depth double, azimuth double, dip double")
+    traces = spark.createDataFrame([("A", 1.0, 7.0, 8.0, 9.0)], "hole_id string, md double, easting double, northing double, elevation double")
+    got = {r["hole_id"]: (r["easting"], r["project_id"]) for r in loaders.located_assays(assays, collars, surveys, traces).collect()}
+    assert got == {"A": (7.0, "p"), "B": (None, "q")}
+    top = collars.withColumn("hole_id", F.upper(F.trim("hole_id")))
+    got = {r["hole_id"]: (r["easting"], r["project_id"]) for r in loaders.located_assays(assays, top, surveys, project="p").collect()}
+    assert got == {"A": (0.0, "p")}
+    assert loaders.located_assays(assays).select("easting").distinct().collect()[0][0] is None
+
+
+def test_clearing_what_was_written(spark):
+    from orespark.sources import sinks
+
+    path = sinks.write_json(sinks.json_payload(spark.range(3).withColumn("hole_id", F.lit("A")), "hole_id"), sinks.shared_path(spark, "x"))
+    assert spark.read.json(path).count() == 3 and sinks.clear_shared(spark) >= 1
+    with pytest.raises(Exception):  # noqa: B017
+        spark.read.json(path).count()
