@@ -72,6 +72,17 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         yield batch.slice(begin)
 
 
+def hidden(df: DataFrame, *names: str) -> list[str]:
+    """Column names for use inside an operator that df doesn't have, whatever the case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns that the operators read, whatever else the table has."""
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),

@@ -10,7 +10,7 @@ A document that has no other lines is left whole (a repeated page: the near-dupl
 spare_whole=False; min_pages=1 takes every line beyond the ratio, on hosts of any size.
 Blank lines are never counted or dropped; a null text stays null; a null host is a host of its own. A line
 that repeats within a document counts once and is dropped at every place. Repeated rows count as
-documents of their own. Extra columns stay as they are.
+documents of their own. Extra columns stay as they are, whatever their names (n_lines and n_dropped are replaced).
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import hidden, written
 
 RATIO = 0.08
 MIN_PAGES = 5
@@ -48,18 +48,19 @@ def boilerplate_lines(docs: DataFrame, host_col: str = "source", text_col: str =
 def line_dedup(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES,
     spare_whole: bool = True) -> DataFrame:
     """docs with boilerplate lines taken out of text_col, and n_lines and n_dropped."""
-    boiler = written(boilerplate_lines(docs, host_col, text_col, ratio, min_pages), "boilerplate")
-    joined = docs.join(boiler, F.col(f"`{host_col}`").cast("string").eqNullSafe(F.col("_boiler_host")), "left")
+    host, drops, kept_col = hidden(docs, "_boiler_host", "_boiler", "_kept")
+    boiler = written(boilerplate_lines(docs, host_col, text_col, ratio, min_pages), "boilerplate").toDF(host, drops)
+    joined = docs.join(boiler, F.col(f"`{host_col}`").cast("string").eqNullSafe(F.col(host)), "left")
     text = F.col(f"`{text_col}`")
     lines = F.split(text, "\n", -1)
-    drop = F.coalesce(F.col("_boiler"), F.array().cast("array<struct<a:bigint,b:bigint>>"))
+    drop = F.coalesce(F.col(drops), F.array().cast("array<struct<a:bigint,b:bigint>>"))
     kept = F.filter(lines, lambda x: ~(F.array_contains(drop, _key(x)) & _is_text(x)))
-    joined = joined.withColumn("_kept", F.when(text.isNotNull() & F.col("_boiler").isNotNull(), kept))
-    other = F.exists("_kept", _is_text) if spare_whole else F.col("_kept").isNotNull()
-    joined = joined.withColumn("_kept", F.when(other, F.col("_kept")).when(text.isNotNull(), lines))
+    joined = joined.withColumn(kept_col, F.when(text.isNotNull() & F.col(drops).isNotNull(), kept))
+    other = F.exists(kept_col, _is_text) if spare_whole else F.col(kept_col).isNotNull()
+    joined = joined.withColumn(kept_col, F.when(other, F.col(kept_col)).when(text.isNotNull(), lines))
     return joined.select(
-        *[F.array_join("_kept", "\n").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines",
+        *[F.array_join(kept_col, "\n").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_lines",
         "n_dropped")],
         F.coalesce(F.size(F.when(text.isNotNull(), lines)), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size(F.when(text.isNotNull(), lines)) - F.size("_kept"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.size(F.when(text.isNotNull(), lines)) - F.size(kept_col), F.lit(0)).cast("long").alias("n_dropped"),
     )

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import WINDOW_PART_BYTES, part_count
-from .common import block_pairs, runs, slices, texts, written
+from .common import block_pairs, hidden, runs, slices, texts, written
 from .components import components
 from .wordhash import BASE, Words, inside, mix, windows
 
@@ -295,10 +295,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **par
     """docs without near duplicates: all rows but those whose id isn't its component's smallest. Of rows that
     repeat an id and text, one stays; null ids stay."""
     found = classes(docs, id_col=id_col, text_col=text_col, **parameters)
-    gone = written(found.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    left = docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
-    twice = written(found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_twice")), "repeated-ids")
+    gone_id, twice_id = hidden(docs, "_gone", "_twice")
+    gone = written(found.filter("not kept").select(F.col("doc_id").alias(gone_id)).distinct(), "gone")
+    left = docs.join(gone, F.col(f"`{id_col}`") == F.col(gone_id), "left_anti")
+    twice = written(found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(twice_id)), "repeated-ids")
     if not twice.limit(1).count():
         return left
-    alone = left.join(twice, F.col(f"`{id_col}`") == F.col("_twice"), "left_anti")
-    return alone.unionByName(left.join(twice, F.col(f"`{id_col}`") == F.col("_twice"), "left_semi").dropDuplicates([id_col, text_col]))
+    alone = left.join(twice, F.col(f"`{id_col}`") == F.col(twice_id), "left_anti")
+    return alone.unionByName(left.join(twice, F.col(f"`{id_col}`") == F.col(twice_id), "left_semi").dropDuplicates([id_col, text_col]))

@@ -198,8 +198,10 @@ def fit(x: np.ndarray, y: np.ndarray, signs: list[int], n_trees: int = 60, depth
 
 
 def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", max_rows: int = 6000) -> Trees:
-    """Trees fitted on at most max_rows labelled documents: a documented bound, for training only."""
-    known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("double").alias("_y")).dropna().dropDuplicates(["_id"])
+    """Trees fitted on at most max_rows labelled documents: a documented bound, for training only. A document with contradicting
+    labels is left out."""
+    known = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("double").alias("_y")).dropna()
+    known = known.groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_high")).filter(F.col("_y") == F.col("_high")).drop("_high")
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
     rows = F.broadcast(known).join(docs.select(F.col("doc_id").alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")),
         "_id")

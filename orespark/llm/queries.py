@@ -48,6 +48,13 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
 
 
+def line_dedup_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op5 by the ratio alone: hosts of any size, and documents that have nothing but such lines too."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    out = line_dedup.line_dedup(docs, min_pages=1, spare_whole=False)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens: one row per piece."""
     docs = read_table(spark, sf_dir, "documents")
@@ -108,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_lexical_search": op11_lexical_search,
     "op12_secrets": op12_secrets,
     "op13_alignment": op13_alignment,
+    "line_dedup_plain": line_dedup_plain,
     "near_fingerprints": near_fingerprints,
 }
 
@@ -167,3 +175,17 @@ select doc_id, n_lines, case when other then n else 0 end n_dropped, sha256(case
 from r join d using (doc_id)
 """
 }
+#: The same without the exemptions: no least number of pages, and no document stays whole.
+ORACLES["line_dedup_plain"] = r"""
+with d as (select doc_id, coalesce(source, chr(0)) host, text, string_split(text, chr(10)) lines from documents),
+e as (select doc_id, host, unnest(list_distinct(lines)) line from d),
+t as (select host, count(*) pages from d group by host),
+b as (
+  select host, line from e join t using (host) where regexp_matches(line, '[^ \t\n\v\f\r]')
+  group by host, line, pages having count(*) > pages * cast(0.08 as double)
+),
+p as (select doc_id, host, text, lines, generate_subscripts(lines, 1) i from d),
+q as (select p.doc_id, p.i, p.lines[p.i] line, b.line is null keeps from p left join b on b.host = p.host and b.line = p.lines[p.i]),
+r as (select doc_id, count(*) n_lines, count(*) filter (not keeps) n_dropped, coalesce(string_agg(line, chr(10) order by i) filter (keeps), '') rest from q group by doc_id)
+select doc_id, n_lines, n_dropped, sha256(rest) text_sha256 from r
+"""

@@ -14,8 +14,8 @@ documents share is one entry per slice. Texts are shuffled once, by document; al
 sends one row to each part that it has windows of: at most slices x parts rows, and never more than windows, so rows grow
 with the corpus beyond some terabytes (a row a window is where the packing ends).
 
-Windows are told apart by 64-bit hashes, within one of `n_parts` hash ranges: of n distinct windows about n * n / 2**65 pairs are
-taken for equal, less than one below 6e9 windows (some 50 GB of text) and about 3,000 at 3e11.
+Anchors are told apart by 64-bit hashes (a false hit costs time only). Candidate windows are told apart by two independent 64-bit
+hashes of their words' hashes: of 3e11 distinct windows the expected number of pairs taken for equal is 1e-16.
 
 Null texts count as empty. A null id sorts first. Rows that repeat an id count as the same document: a window is not
 earlier than one with the same id and start, so equal rows are judged alike. Extra columns are ignored;
@@ -36,11 +36,13 @@ from pyspark.sql import functions as F
 
 from .bpe import WINDOW_PART_BYTES, part_count
 from .common import runs, slices, squeeze, texts, unsqueeze
-from .wordhash import Words, inside, windows
+from .wordhash import Words, inside, mix, windows
 
 SIZE = 20
 BLOCK = SIZE // 2
 FIRST_ID = -(1 << 63)
+#: What makes a second word hash of the first.
+SECOND = np.uint64(0xA0761D6478BD642F)
 
 PACKED = "part long, slice long, hashes binary, gaps binary, aligned binary, keys binary, tags binary, first binary, known binary"
 PACKED_SCHEMA = pa.schema([("part", pa.int64()), ("slice", pa.int64()),
@@ -127,15 +129,15 @@ def _by_document(key, group):
     return pa.table({"key": keys[docs], "tag": tags[docs], "hits": pa.array(found, pa.binary())})
 
 
-CANDIDATES = "part long, slice long, hashes binary, gaps binary, docs binary, starts binary, keys binary, tags binary, first binary, known binary"
+CANDIDATES = "part long, slice long, hashes binary, second binary, gaps binary, docs binary, starts binary, keys binary, tags binary, first binary, known binary"
 CANDIDATES_SCHEMA = pa.schema([("part", pa.int64()), ("slice", pa.int64()),
-    *((n, pa.binary()) for n in ("hashes", "gaps", "docs", "starts", "keys", "tags", "first", "known"))])
+    *((n, pa.binary()) for n in ("hashes", "second", "gaps", "docs", "starts", "keys", "tags", "first", "known"))])
 
 
-def _earliest(hashes: np.ndarray, keys: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """Whether a window is as early as any of its content (by id, then start)."""
-    order = np.lexsort((pos, keys, hashes))
-    head = np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]])
+def _earliest(hashes: np.ndarray, second: np.ndarray, keys: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Whether a window is as early as any of its content (equal in both hashes), by id, then start."""
+    order = np.lexsort((pos, keys, second, hashes))
+    head = np.concatenate([[True], (hashes[order][1:] != hashes[order][:-1]) | (second[order][1:] != second[order][:-1])])
     lead = order[np.flatnonzero(head)[np.cumsum(head) - 1]]
     out = np.zeros(len(hashes), bool)
     out[order] = (keys[order] == keys[lead]) & (pos[order] == pos[lead])
@@ -161,10 +163,10 @@ def _candidates(n_parts: int):
             at = at[np.cumsum(near)[at] > 0]
             if not len(at):
                 continue
-            hashes = windows(words.hash, SIZE)[at]
+            hashes, second = windows(words.hash, SIZE)[at], windows(mix(words.hash + SECOND), SIZE)[at]
             owner = np.searchsorted(first, at, "right") - 1
             keys = batch.column("key").to_numpy(zero_copy_only=False).astype(np.int64)
-            early = _earliest(hashes, keys[owner], at - first[owner])
+            early = _earliest(hashes, second, keys[owner], at - first[owner])
             rows = [{"part": -1 - number, "slice": number, "keys": keys.tobytes(), "tags": _int64(batch, "tag"),
                 "first": first.astype(np.uint32).tobytes(), "known": _gaps(at[~early])}]
             kept = np.flatnonzero(early)
@@ -172,8 +174,8 @@ def _candidates(n_parts: int):
             for run in runs(part, np.argsort(part, kind="stable")):
                 mine = kept[run]
                 docs, doc = np.unique(owner[mine], return_inverse=True)
-                rows.append({"part": int(part[run[0]]), "slice": number, "hashes": hashes[mine].tobytes(), "gaps": _gaps(at[mine]),
-                    "docs": _gaps(doc), "starts": first[docs].astype(np.uint32).tobytes(), "keys": keys[docs].tobytes()})
+                rows.append({"part": int(part[run[0]]), "slice": number, "hashes": hashes[mine].tobytes(),
+                    "second": second[mine].tobytes(), "gaps": _gaps(at[mine]), "docs": _gaps(doc), "starts": first[docs].astype(np.uint32).tobytes(), "keys": keys[docs].tobytes()})
             number += 1
             yield pa.RecordBatch.from_pylist(rows, CANDIDATES_SCHEMA)
 
@@ -184,11 +186,12 @@ def _later(key, group):
     """Of a part: the offsets of all windows but each content's earliest."""
     if key[0].as_py() < 0:
         return group.select(["slice", "keys", "tags", "first", "known"]).append_column("gaps", pa.nulls(group.num_rows, pa.binary()))
-    rows = group.select(["slice", "hashes", "gaps", "docs", "starts", "keys"]).to_pylist()
+    rows = group.select(["slice", "hashes", "second", "gaps", "docs", "starts", "keys"]).to_pylist()
     at, doc = [_values(r["gaps"]) for r in rows], [_values(r["docs"]) for r in rows]
     keys = np.concatenate([np.frombuffer(r["keys"], np.int64)[d] for r, d in zip(rows, doc, strict=True)])
     pos = np.concatenate([a - np.frombuffer(r["starts"], np.uint32)[d] for r, a, d in zip(rows, at, doc, strict=True)])
-    early = _earliest(np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in rows]), keys, pos)
+    hashes, second = (np.concatenate([np.frombuffer(r[n], np.uint64) for r in rows]) for n in ("hashes", "second"))
+    early = _earliest(hashes, second, keys, pos)
     out, done = [], 0
     for r, a in zip(rows, at, strict=True):
         mine = ~early[done : done + len(a)]

@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, written
+from .common import ascii_lower, hidden, written
 
 #: The contract's rules.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -156,10 +156,11 @@ def url_filter(pages: DataFrame, rules: DataFrame, url_col: str = "url", default
         listed, blocks = Cascade(rules, universe, max_bits), Cascade(rules.filter("block"), rules.select("key"), max_bits)
     except TooLarge:
         return _joined(pages, rules, keys, default)
-    pages = pages.withColumn("_hit", F.get(F.filter(keys, lambda x: listed.holds(x["key"])), F.lit(0)))
-    action = F.when(blocks.holds(F.col("_hit.key")), "block").otherwise("allow") if blocks.levels else F.lit("allow")
-    verdict = F.when(F.col("_hit").isNull(), F.lit(default)).otherwise(action)
-    return pages.withColumns({"rule": F.col("_hit.rule"), "verdict": verdict}).drop("_hit")
+    hit, = hidden(pages, "_hit")
+    pages = pages.withColumn(hit, F.get(F.filter(keys, lambda x: listed.holds(x["key"])), F.lit(0)))
+    action = F.when(blocks.holds(F.col(f"{hit}.key")), "block").otherwise("allow") if blocks.levels else F.lit("allow")
+    verdict = F.when(F.col(hit).isNull(), F.lit(default)).otherwise(action)
+    return pages.withColumns({"rule": F.col(f"{hit}.rule"), "verdict": verdict}).drop(hit)
 
 
 def _joined(pages: DataFrame, rules: DataFrame, keys: Column, default: str) -> DataFrame:
@@ -168,5 +169,9 @@ def _joined(pages: DataFrame, rules: DataFrame, keys: Column, default: str) -> D
     hits = places.select("host", "path", F.explode(keys).alias("k")).join(rules.select(F.col("key").alias("_key"), "block"),
         F.col("k.key") == F.col("_key"))
     best = hits.groupBy("host", "path").agg(F.min(F.struct("k.size", "k.hosts", "k.rule", "block")).alias("b"))
-    best = best.select("host", "path", F.col("b.rule").alias("rule"), F.when(F.col("b.block"), "block").otherwise("allow").alias("_v"))
-    return pages.join(best, ["host", "path"], "left").withColumn("verdict", F.coalesce("_v", F.lit(default))).drop("_v")
+    pages = pages.drop("rule", "verdict")
+    h, p, rule, verdict = hidden(pages, "_host", "_path", "_rule", "_verdict")
+    best = best.select(F.col("host").alias(h), F.col("path").alias(p), F.col("b.rule").alias(rule), F.when(F.col("b.block"),
+        "block").otherwise("allow").alias(verdict))
+    joined = pages.join(best, (F.col("host") == F.col(h)) & (F.col("path") == F.col(p)), "left")
+    return joined.withColumns({"rule": F.col(rule), "verdict": F.coalesce(verdict, F.lit(default))}).drop(h, p, rule, verdict)
