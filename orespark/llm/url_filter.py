@@ -169,7 +169,6 @@ def _joined(pages: DataFrame, rules: DataFrame, keys: Column, default: str) -> D
     hits = places.select("host", "path", F.explode(keys).alias("k")).join(rules.select(F.col("key").alias("_key"), "block"),
         F.col("k.key") == F.col("_key"))
     best = hits.groupBy("host", "path").agg(F.min(F.struct("k.size", "k.hosts", "k.rule", "block")).alias("b"))
-    pages = pages.drop("rule", "verdict")
     h, p, rule, verdict = hidden(pages, "_host", "_path", "_rule", "_verdict")
     best = best.select(F.col("host").alias(h), F.col("path").alias(p), F.col("b.rule").alias(rule), F.when(F.col("b.block"),
         "block").otherwise("allow").alias(verdict))
