@@ -186,6 +186,15 @@ def property_categories(df: DataFrame, name: str) -> DataFrame:
     return placed.select("value", (F.col("_stop") - 1).cast("int").alias("place"))
 
 
+def _in_cells(rows: DataFrame) -> DataFrame:
+    """rows once for each cell that a block covers in the grid of its level."""
+    size = F.pow(F.lit(2.0), "level")
+    along = {a: F.sequence(F.floor(F.col(f"lo{a}") / size), F.floor(F.col(f"hi{a}") / size)) for a in "xyz"}
+    cells = F.transform(along["x"], lambda x: F.flatten(F.transform(along["y"],
+        lambda y: F.transform(along["z"], lambda z: F.struct(x.alias("cx"), y.alias("cy"), z.alias("cz"))))))
+    return rows.select("*", size.alias("cell"), F.explode(F.flatten(cells)).alias("c")).select("*", "c.*").drop("c")
+
+
 def overlaps(df: DataFrame, id_col: str = ROW) -> DataFrame:
     """Pairs (block_a < block_b) of blocks that overlap on all axes.
 
@@ -197,15 +206,10 @@ def overlaps(df: DataFrame, id_col: str = ROW) -> DataFrame:
     size = F.greatest("dx", "dy", "dz")
     rows = df.select(ref(id_col).alias("id"), F.ceil(F.log2(F.when(size > 0, size))).cast("int").alias("class"),
         *[(F.col(a) + s * F.col(f"d{a}") / 2).alias(f"{n}{a}") for a in "xyz" for n, s in (("lo", -1), ("hi", 1))]).dropna()
-    levels = sorted(r[0] for r in rows.select("class").distinct().collect())  # a few powers of two
-    if not levels:
-        return df.select(ref(id_col).alias("block_a"), ref(id_col).alias("block_b")).limit(0)
-    rows = rows.select("*", F.explode(F.filter(F.lit(levels), lambda k: k >= F.col("class"))).alias("level")).withColumn("cell",
-        F.pow(F.lit(2.0), "level"))
-    for a in "xyz":
-        rows = rows.select("*", F.explode(F.sequence(F.floor(F.col(f"lo{a}") / F.col("cell")),
-            F.floor(F.col(f"hi{a}") / F.col("cell")))).alias(f"c{a}"))
-    a, b = rows.filter("class = level").alias("a"), rows.alias("b")
+    levels = rows.agg(F.collect_set("class").alias("levels"))  # one row: a few powers of two
+    larger = F.explode(F.filter("levels", lambda k: k >= F.col("class")))
+    a = _in_cells(rows.withColumn("level", F.col("class"))).alias("a")
+    b = _in_cells(rows.join(F.broadcast(levels)).select("*", larger.alias("level")).drop("levels")).alias("b")
     cell = reduce(operator.and_, [F.col(f"a.{x}") == F.col(f"b.{x}") for x in ("level", "cx", "cy", "cz")])
     meet = reduce(operator.and_,
         [(F.col(f"a.lo{x}") < F.col(f"b.hi{x}") - TOLERANCE) & (F.col(f"b.lo{x}") < F.col(f"a.hi{x}") - TOLERANCE) for x in "xyz"])
