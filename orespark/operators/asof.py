@@ -1,9 +1,9 @@
 """Joins along a hole: nearest vertex, and linear interpolation between vertices.
 
-Vertices are cut into runs of RUN consecutive ones, one row each with its depth range and its vertices as an array. A query
-meets the one run whose range holds its depth (an equi-join on the hole with the range as a condition) and finds its
-place by counting in the run's array. So only vertices are sorted, queries are not; a hole with a large part of all
-queries is a skewed join key, whose queries Spark's adaptive execution deals to many tasks.
+Every vertex is given the range of depths from it to the next one (the first and last of a hole reach on without end), so a query
+meets the one vertex whose range holds its depth: an equi-join on the hole with the range as a condition. So only vertices are
+windowed, queries are not; a hole with a large part of all queries is a skewed join key, whose queries Spark's adaptive
+execution deals to many tasks. A query is compared with the vertices of its hole, which its depth bounds.
 
 Where the vertices come from a desurvey, station pairs can stand for them: `nearest_on_pairs` gets the vertex from
 the pair by arithmetic, without making the vertices, and linear interpolation needs the stations only.
@@ -19,40 +19,32 @@ from ..sources.ingest import number, ref
 from . import desurvey
 
 POSITION = ["easting", "northing", "elevation"]
-#: Vertices of a run: what a query looks through.
-RUN = 32
 
 
-def _runs(vertices: DataFrame, payload: Column, ties: list[Column], last_of_equal: bool) -> DataFrame:
-    """_hole, _lo, _hi, _first, _mds, _vs: runs of vertices by md, whose ranges from first to first vertex tile all depths. An element of _vs: v and the vertices back and next to it. last_of_equal: of equal md only the last."""
+def _ranges(vertices: DataFrame, payload: Column, ties: list[Column], around: tuple[str, ...], last_of_equal: bool = False) -> DataFrame:
+    """_hole, _md, _lo, _hi, _v and, as far as they are in `around`, _next and _back: each vertex with its range and the vertices
+    beside it. _lo is its md, or null for a hole's first vertex, _hi the next one's. last_of_equal: of equal md only the last."""
     order = Window.partitionBy("_hole").orderBy("_md", "_tie")
     rows = vertices.select(F.col("hole_id").alias("_hole"), number(F.col("md")).alias("_md"), F.struct(*ties).alias("_tie"),
         payload.alias("_v")).filter("_hole is not null and _md is not null")
     if last_of_equal:
-        rows = rows.withColumn("_more", F.lead("_md").over(order)).filter("_more is null or _more <> _md")
-    rows = rows.withColumns({"_n": F.row_number().over(order) - 1, "_next": F.lead("_v").over(order), "_back": F.lag("_v").over(order)})
-    each = F.struct("_n", "_md", F.struct(F.col("_v").alias("v"), F.col("_next").alias("next"), F.col("_back").alias("back")).alias("x"))
-    runs = rows.groupBy("_hole", F.floor(F.col("_n") / RUN).alias("_run")).agg(F.array_sort(F.collect_list(each)).alias("_all"))
-    by_run = Window.partitionBy("_hole").orderBy("_run")
-    start = F.col("_all")[0]["_md"]
-    ends = {"_lo": F.when(F.col("_run") > 0, start), "_hi": F.lead(start).over(by_run)}
-    return runs.withColumns(ends).select("_hole", "_lo", "_hi", F.col("_all._md").alias("_mds"), F.col("_all.x").alias("_vs"))
-
-
-def _placed(queries: DataFrame, runs: DataFrame, at: Column, strict: bool, how: str) -> DataFrame:
-    """queries with _t, _b (the last vertex at or before the depth, with strict before it; lo or with strict hi is the run's own) and _f (its next; the hole's first
-    vertex where there is none before), as elements of _vs."""
+        rows = rows.withColumn("_more", F.lead("_md").over(order)).filter("_more is null or _more <> _md").drop("_more")
+    beside = {"_next": F.lead("_v").over(order), "_back": F.lag("_v").over(order)}
+    ends = {"_lo": F.when(F.row_number().over(order) > 1, F.col("_md")), "_hi": F.lead("_md").over(order)}
+    return rows.withColumns(ends | {n: beside[n] for n in around}).drop("_tie")
+
+
+def _placed(queries: DataFrame, ranges: DataFrame, at: Column, strict: bool, how: str) -> DataFrame:
+    """queries with _t and the vertex whose range holds it (with strict, a range ends with its upper depth), and _before: whether the
+    depth lies before the hole's first vertex."""
     # two keys: the windows' partitioning by hole alone isn't reused, so that both sides of the join are shuffles, which adaptive
     # execution can split where a hole has too many queries
     q = queries.withColumns({"_t": at, "_key": F.xxhash64("hole_id")})
-    runs = runs.withColumn("_run_key", F.xxhash64("_hole"))
+    r = ranges.withColumn("_range_key", F.xxhash64("_hole"))
     t, lo, hi = F.col("_t"), F.col("_lo"), F.col("_hi")
     inside = (lo.isNull() | (t > lo if strict else t >= lo)) & (hi.isNull() | (t <= hi if strict else t < hi))
-    joined = q.join(runs, (F.col("_key") == F.col("_run_key")) & (F.col("hole_id") == F.col("_hole")) & t.isNotNull() & inside, how)
-    n = F.size(F.filter("_mds", lambda x: x < t if strict else x <= t))
-    joined = joined.withColumn("_i", F.when(F.col("_hole").isNotNull(), n))
-    return joined.withColumns({"_b": F.when(F.col("_i") > 0, F.element_at("_vs", F.when(F.col("_i") > 0, F.col("_i")))),
-        "_f": F.when(F.col("_i") == 0, F.element_at("_vs", 1))}).drop("_hole", "_lo", "_hi", "_mds", "_vs", "_i", "_key", "_run_key")
+    joined = q.join(r, (F.col("_key") == F.col("_range_key")) & (F.col("hole_id") == F.col("_hole")) & t.isNotNull() & inside, how)
+    return joined.withColumn("_before", t <= F.col("_md") if strict else t < F.col("_md")).drop("_hole", "_lo", "_key", "_range_key")
 
 
 def nearest_vertex(queries: DataFrame, traces: DataFrame, depth_col: str, columns: list[str] | None = None, duplicates: str = "last",
@@ -65,15 +57,14 @@ def nearest_vertex(queries: DataFrame, traces: DataFrame, depth_col: str, column
     columns = columns or [c for c in traces.columns if c not in ("hole_id", ROW)]
     names = {c: f"{c}_trace" if c in queries.columns else c for c in columns}
     ties = [ref(c) for c in ([ROW] if ROW in traces.columns else sorted(c for c in traces.columns if c != "hole_id"))]
-    payload = F.struct(number(F.col("md")).alias("_md"), *[ref(c).alias(c) for c in columns])
+    payload = F.struct(*[ref(c).alias(c) for c in columns])
     if duplicates == "first":  # of equal md the first: before the order of ties is lost
         traces = traces.groupBy("hole_id", number(F.col("md")).alias("md")).agg(F.min_by(payload, F.struct(*ties)).alias("_p"))
         payload, ties = F.col("_p"), [F.lit(0)]
-    rows = _placed(queries if keep_unplaced else _askable(queries, depth_col), _runs(traces, payload, ties, True),
-        number(ref(depth_col)), False, "left")
-    b, f = F.col("_b.v"), F.coalesce("_b.next", "_f.v")
-    back = f.isNull() | (b.isNotNull() & (F.col("_t") - b["_md"] <= f["_md"] - F.col("_t")))
-    rows = rows.withColumn("_p", F.when(back, b).otherwise(f))
+    ranges = _ranges(traces, payload, ties, ("_next",), last_of_equal=True)
+    rows = _placed(queries if keep_unplaced else _askable(queries, depth_col), ranges, number(ref(depth_col)), False, "left")
+    ahead = ~F.col("_before") & (F.col("_t") - F.col("_md") > F.col("_hi") - F.col("_t"))
+    rows = rows.withColumn("_p", F.when(F.coalesce(ahead, F.lit(False)), F.col("_next")).otherwise(F.col("_v")))
     return rows.select(*map(ref, queries.columns), *[F.col("_p").getField(c).alias(n) for c, n in names.items()])
 
 
@@ -85,29 +76,25 @@ def nearest_on_pairs(queries: DataFrame, pairs: DataFrame, depth_col: str, colum
     method: str = "minimum_curvature", keep_unplaced: bool = False) -> DataFrame:
     """What nearest_vertex gives for the vertices of desurvey.station_pairs (of the same method), without making them.
 
-    The pair that holds a depth gives the steps beside it; the nearer one counts, the shallower at equal distance. A pair's
-    own start is the previous pair's last vertex, with that one's angles.
+    The step nearest to a depth is its place in the pair that holds it, rounded, halves down. A pair's own start is the
+    previous pair's last vertex, with that one's angles.
     """
     columns = columns or ["md", *POSITION, "azimuth", "dip"]
     names = {c: f"{c}_trace" if c in queries.columns else c for c in columns}
-    own = [c for c in pairs.columns if c != "hole_id"]
-    made = pairs.filter("steps > 0 or n = 1").withColumn("_at_end", F.struct(*[c.alias(n) for n,
-        c in desurvey.vertex(F.col("steps"), method).items()]))
-    payload = F.struct(*own, "_at_end")
-    rows = _placed(queries if keep_unplaced else _askable(queries, depth_col), _runs(made, payload, [F.col("n")], False),
+    before = Window.partitionBy("hole_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    end = desurvey.vertex(F.col("steps"), method)
+    made = pairs.filter("steps > 0 or n = 1").withColumns({f"_end_{c}": F.last(end[c]).over(before) for c in ("azimuth", "dip")})
+    payload = F.struct(*[c for c in made.columns if c != "hole_id"])
+    rows = _placed(queries if keep_unplaced else _askable(queries, depth_col), _ranges(made, payload, [F.col("n")], ()),
         number(ref(depth_col)), False, "left")
-    rows = rows.withColumns({"_s": F.coalesce("_b.v", "_f.v"), "_back": F.col("_b.back._at_end")})
-    of = lambda c: F.col("_s").getField(c)
-    t, steps = F.col("_t"), F.col("_s.steps")
-    low = F.when(steps > 0, F.greatest(F.lit(0), F.least(steps, F.floor((t - of("md")) * steps / of("length")).cast("int")))).otherwise(0)
-    low = F.when((low > 0) & (desurvey.vertex(low, method, of)["md"] > t), low - 1).otherwise(low)  # a step at t, but for its last bit
-    rows = rows.withColumn("_k", low)
-    here, there = (desurvey.vertex(F.col("_k") + i, method, of)["md"] for i in (0, 1))
-    rows = rows.withColumn("_k", F.when((F.col("_k") < steps) & (t > here) & (there - t < t - here), F.col("_k") + 1).otherwise(F.col("_k")))
-    there = desurvey.vertex(F.col("_k"), method, of)
-    start = (F.col("_k") == 0) & F.col("_back").isNotNull()
-    return rows.select(*map(ref, queries.columns), *[F.when(start,
-        F.col("_back").getField(c)).otherwise(there[c]).alias(n) for c, n in names.items()])
+    of = lambda c: F.col("_v").getField(c)
+    steps = of("steps")
+    k = F.when(steps > 0, F.greatest(F.lit(0), F.least(steps, F.ceil((F.col("_t") - of("md")) * steps / of("length") - 0.5).cast("int")))).otherwise(0)
+    rows = rows.withColumn("_k", k)
+    found = desurvey.vertex(F.col("_k"), method, of)
+    start = (F.col("_k") == 0) & (of("n") > 1)
+    found |= {c: F.when(start, of(f"_end_{c}")).otherwise(found[c]) for c in ("azimuth", "dip")}
+    return rows.select(*map(ref, queries.columns), *[found[c].alias(n) for c, n in names.items()])
 
 
 def attach_assay_positions(assays: DataFrame, traces: DataFrame, duplicates: str = "last") -> DataFrame:
@@ -139,18 +126,17 @@ def interpolate_positions(queries: DataFrame, traces: DataFrame, depth_col: str
     if direction:
         columns = [*columns, *[c for c in POSITION if c not in columns]]
     point = F.struct(number(F.col("md")).alias("md"), *[number(ref(c)).alias(c) for c in columns], *angles)
-    rows = _placed(queries, _runs(traces, point, ties, False), number(ref(depth_col)), True, "inner")
-    a = F.when(F.col("_b").isNull(), F.col("_f.v")).when(F.col("_b.next").isNull(), F.coalesce("_b.back", "_b.v")).otherwise(F.col("_b.v"))
-    b = F.when(F.col("_b").isNull(), F.col("_f.next")).when(F.col("_b.next").isNull(), F.col("_b.v")).otherwise(F.col("_b.next"))
-    rows = rows.withColumns({"_s": a, "_e": b}).withColumns({"_s": F.coalesce("_s", "_e"), "_e": F.coalesce("_e", "_s")})
+    rows = _placed(queries, _ranges(traces, point, ties, ("_next", "_back")), number(ref(depth_col)), True, "inner")
+    a = F.when(~F.col("_before") & F.col("_next").isNull(), F.coalesce("_back", "_v")).otherwise(F.col("_v"))
+    b = F.when(~F.col("_before") & F.col("_next").isNull(), F.col("_v")).otherwise(F.coalesce("_next", "_v"))
+    rows = rows.withColumns({"_s": a, "_e": b})
     length = F.col("_e.md") - F.col("_s.md")
     part = F.when(length > 0, (F.col("_t") - F.col("_s.md")) / length).otherwise(0.0)
     if clamp:
         part = F.least(F.lit(1.0), F.greatest(F.lit(0.0), part))
     turned = []
     if direction:
-        near = F.coalesce("_b", "_f")
-        alone = near.getField("next").isNull() & near.getField("back").isNull()
+        alone = F.col("_next").isNull() & F.col("_back").isNull()
         both = F.col("_e._azimuth").isNotNull() & F.col("_e._dip").isNotNull()
         angle = [F.when(both, F.col(f"_s._{c}") + part * (F.col(f"_e._{c}") - F.col(f"_s._{c}"))).otherwise(F.col(f"_s._{c}")) for c in ("azimuth", "dip")]
         step = [F.col("_e").getField(c) - F.col("_s").getField(c) for c in POSITION]
