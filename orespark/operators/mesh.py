@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..model import ROW
+
 VERSION = "1.0"
 BLOCK = "struct<id:string,name:string,attributes:map<string,string>,material:struct<color:string,opacity:double>,vertices:array<array<double>>,triangles:array<array<int>>>"
 DOCUMENT = f"schema_version string, units string, blocks array<{BLOCK}>"
@@ -25,13 +27,63 @@ def parse_grade_blocks(docs: DataFrame) -> DataFrame:
     bad = docs.filter((F.coalesce("schema_version", F.lit("")) != VERSION) | F.col("blocks").isNull())
     if bad.limit(1).count():
         raise ValueError("grade blocks: schema_version must be 1.0 and blocks a list")
-    blocks = docs.select("units", F.explode("blocks").alias("b")).select("units", "b.*")
+    return _checked(docs.select("units", F.explode("blocks").alias("b")).select("units", "b.*"))
+
+
+def _checked(blocks: DataFrame) -> DataFrame:
     blocks = blocks.withColumn("attributes", F.coalesce("attributes", F.expr("map()").cast("map<string,string>")))
     if blocks.filter("id is null or name is null or vertices is null or triangles is null").limit(1).count():
         raise ValueError("grade blocks: id, name, vertices and triangles are required")
     return blocks
 
 
+def _count(text: Column, mark: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
+
+
+def _context(pieces: DataFrame) -> DataFrame:
+    """pieces (file, ROW, value: the text up to a closing brace, which is left out) with ends: whether that brace ends a mesh, and
+    mesh: how many have ended before. Depths and quotes are running sums along the file."""
+    order = Window.partitionBy("file").orderBy(ROW)
+    before, here = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = pieces.withColumn("_plain", F.regexp_replace("value", r"\\.", ""))  # without escapes
+    rows = rows.withColumn("_quotes", _count(F.col("_plain"), '"'))
+    rows = rows.withColumn("_inside", F.coalesce(F.sum("_quotes").over(before), F.lit(0)) % 2)
+    bare = F.regexp_replace(F.concat(F.when(F.col("_inside") == 1, '"').otherwise(""), F.col("_plain")), '"[^"]*("|$)', "")
+    rows = rows.withColumns({"_bare": bare, "_outside": (F.col("_inside") + F.col("_quotes")) % 2 == 0})
+    rows = rows.withColumns({"_opened": _count(F.col("_bare"), "["), "_braces": F.sum(_count(F.col("_bare"), "{") - F.col("_outside").cast("int")).over(here),
+        "_brackets": F.sum(_count(F.col("_bare"), "[") - _count(F.col("_bare"), "]")).over(here)})
+    # the array at the root that holds the meshes, by the key before its bracket
+    closed = _count(F.substring_index("_bare", "[", 1), "]")  # before the piece opens one
+    starts = (F.col("_opened") > 0) & (closed >= F.coalesce(F.lag("_brackets").over(order), F.lit(0)))
+    key = F.regexp_extract("value", r'"([^"\\]*)"\s*:\s*\[\s*\{', 1)
+    rows = rows.withColumn("_key", F.last(F.when(starts, key), ignorenulls=True).over(here))
+    ends = F.col("_outside") & (F.col("_braces") == 1) & (F.col("_brackets") == 1) & (F.col("_key") == "blocks")
+    rows = rows.withColumn("ends", F.coalesce(ends, F.lit(False)))
+    return rows.withColumn("mesh", F.coalesce(F.sum(F.col("ends").cast("long")).over(before), F.lit(0))).select("file", ROW, "value", "ends", "mesh")
+
+
+def load_large_grade_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """load_grade_blocks() for documents of any size, one a file: a document is read in pieces, up to each closing brace, and put
+    together mesh by mesh, so no row holds more than a mesh. Wrong version or missing parts fail."""
+    text = spark.read.option("lineSep", "}").text(path)
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    rows = _context(text.select(F.col("_metadata.file_path").alias("file"), place.alias(ROW), "value"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(ROW, "value"))), lambda x: x["value"]), "}")
+    parts = rows.groupBy("file", "mesh").agg(whole.alias("text"), F.bool_or("ends").alias("ended"))
+    # what isn't a mesh: the document before the first one and after the last one
+    head = F.regexp_extract("text", r'^([\s\S]*?"blocks"\s*:\s*\[)', 1)
+    frame = parts.select("file", F.when(~F.col("ended"), F.col("text")).when(F.col("mesh") == 0, head).alias("text")).dropna()
+    said = lambda k: F.max(F.nullif(F.regexp_extract("text", f'"{k}"\\s*:\\s*"([^"]*)"', 1), F.lit("")))
+    known = frame.groupBy("file").agg(said("schema_version").alias("schema_version"), said("units").alias("units"),
+        F.max(F.col("text").rlike(r'"blocks"\s*:\s*\[')).alias("listed"))
+    if known.filter(~F.col("schema_version").eqNullSafe(F.lit(VERSION)) | ~F.col("listed")).limit(1).count():
+        raise ValueError("grade blocks: schema_version must be 1.0 and blocks a list")
+    own = F.regexp_replace(F.when(F.col("mesh") == 0, F.regexp_replace("text", r'^[\s\S]*?"blocks"\s*:\s*\[', "")).otherwise(F.col("text")), r"^[\s,]+", "")
+    meshes = parts.filter("ended").select("file", F.from_json(F.concat(own, F.lit("}")), BLOCK).alias("b"))
+    return _checked(meshes.join(known.select("file", "units"), "file").select("units", "b.*"))
+
+
 def validate_grade_blocks(meshes: DataFrame) -> DataFrame:
     """id, issue of each mesh: vertices not (n, 3), triangles not (m, 3), an index out of range, a triangle without area."""
     vertices = F.exists("vertices", lambda v: F.size(v) != 3)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import COLLAR, ROW, STRUCTURE, SURVEY
@@ -388,19 +388,23 @@ def block_metadata(s: SparkSession, d: str) -> DataFrame:
 MESHES = f"""{BLOCKS}, mk as (select block_id, block_id % 10 q, x, y, z from fx_blocks)"""
 
 
-def _documents(s: SparkSession, d: str) -> DataFrame:
-    """One document with a tetrahedron for each block; some are broken."""
+def _shell() -> Column:
+    """A tetrahedron for a block; some are broken."""
     q, at = F.col("block_id") % 10, [F.col(c) for c in "xyz"]
     corner = lambda i, j, k: F.array(at[0] + i * 5.0, at[1] + j * 5.0, at[2] + k * 5.0)
     flat = F.when(q == 1, corner(2, 0, 0)).otherwise(corner(0, 1, 0))
     points = F.array(corner(0, 0, 0), corner(1, 0, 0), flat, F.when(q == 2, F.array(at[0], at[1])).otherwise(corner(0, 0, 1)))
     faces = F.array(F.array(F.lit(0), F.lit(1), F.lit(2)), F.array(F.lit(0), F.lit(1), F.lit(3)),
         F.when(q == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0), F.lit(2), F.when(q == 4, 4).otherwise(3))))
-    shell = F.struct(F.col("block_id").cast("string").alias("id"), F.col("rock_type").alias("name"),
+    return F.struct(F.col("block_id").cast("string").alias("id"), F.col("rock_type").alias("name"),
         F.when(q == 5, F.create_map(F.lit("class"), F.col("rock_type"))).alias("attributes"), points.alias("vertices"),
         faces.alias("triangles"))
+
+
+def _documents(s: SparkSession, d: str) -> DataFrame:
+    """A document for each block."""
     return fx.blocks(s, d).select(F.to_json(F.struct(F.lit("1.0").alias("schema_version"), F.lit("m").alias("units"),
-        F.array(shell).alias("blocks"))).alias("value"))
+        F.array(_shell()).alias("blocks"))).alias("value"))
 
 
 @query(f"""with {MESHES} select cast(block_id as varchar) id, case q when 1 then 'zero_area_triangle' when 2 then 'vertices_shape' when 3 then 'triangles_shape' else 'index_out_of_range' end issue from mk where q in (1, 2, 3, 4)""")
@@ -411,6 +415,19 @@ def mesh_issues(s: SparkSession, d: str) -> DataFrame:
     return mesh.validate_grade_blocks(mesh.load_grade_blocks(s, path, lines=True))
 
 
+@query(ORACLES["mesh_issues"])
+def large_mesh_issues(s: SparkSession, d: str) -> DataFrame:
+    """One document with all meshes, in one file, read mesh by mesh."""
+    blocks = fx.blocks(s, d)
+    first = blocks.agg(F.min("block_id")).head()[0]
+    line = F.concat(F.when(F.col("block_id") == first, "").otherwise(","), F.to_json(_shell()))
+    rows = blocks.select(F.lit(1).alias("part"), "block_id", line.alias("value"))
+    ends = s.createDataFrame([(0, 0, '{"schema_version": "1.0", "blocks": ['), (2, 0, '], "units": "m"}')], "part int, block_id long, value string")
+    path = sinks.shared_path(s, "mesh-document")
+    rows.unionByName(ends).coalesce(1).sortWithinPartitions("part", "block_id").select("value").write.text(path)
+    return mesh.validate_grade_blocks(mesh.load_large_grade_blocks(s, path))
+
+
 @query(f"""with {MESHES} select cast(block_id as varchar) id, cast(case when q = 2 then 11 else 12 end as bigint) n_positions, cast(case when q = 3 then 8 else 9 end as bigint) n_indices, case when q = 2 then 4 * x + 4 * y + 3 * z + 10 when q = 1 then 4 * (x + y + z) + 20 else 4 * (x + y + z) + 15 end total from mk""")
 def mesh_arrays(s: SparkSession, d: str) -> DataFrame:
     """Flat position and index arrays of meshes parsed from texts."""
