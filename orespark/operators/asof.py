@@ -39,8 +39,8 @@ def _placed(queries: DataFrame, ranges: DataFrame, at: Column, strict: bool, how
     depth lies before the hole's first vertex."""
     # two keys: the windows' partitioning by hole alone isn't reused, so that both sides of the join are shuffles, which adaptive
     # execution can split where a hole has too many queries
-    q = queries.withColumns({"_t": at, "_key": F.xxhash64("hole_id")})
-    r = ranges.withColumn("_range_key", F.xxhash64("_hole"))
+    q = queries.withColumns({"_t": at, "_key": F.xxhash64(F.col("hole_id").cast("string"))})
+    r = ranges.withColumn("_range_key", F.xxhash64(F.col("_hole").cast("string")))
     t, lo, hi = F.col("_t"), F.col("_lo"), F.col("_hi")
     inside = (lo.isNull() | (t > lo if strict else t >= lo)) & (hi.isNull() | (t <= hi if strict else t < hi))
     joined = q.join(r, (F.col("_key") == F.col("_range_key")) & (F.col("hole_id") == F.col("_hole")) & t.isNotNull() & inside, how)
