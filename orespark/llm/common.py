@@ -123,6 +123,22 @@ def block_pairs(rows: DataFrame, keys: list[str], by: str, block: int, apart: st
     return out.repartition(*pair).withColumn("_n", F.count("*").over(Window.partitionBy(*pair))).filter("_n > 1").drop("_n")
 
 
+#: A key is hot with more than a 1,000th of all rows, and this many at least: there are fewer than 1,000 hot keys.
+HOT, LEAST_HOT = 1000, 100_000
+
+
+def keyed(rows: DataFrame, table: DataFrame, key: str, n_rows: int) -> DataFrame:
+    """rows joined with a written table of one row a key, whose k is how many rows the key has; n_rows: the sum of k.
+
+    Rows of hot keys stay where they are: those keys' part of the table, fewer than HOT rows, is broadcast. The others are shuffled.
+    """
+    most = max(LEAST_HOT, n_rows // HOT)
+    if n_rows <= most:  # no key can be hot
+        return rows.join(table, key)
+    hot, cold = F.broadcast(table.filter(F.col("k") > most)), table.filter(F.col("k") <= most)
+    return rows.join(hot.select(key), key, "left_anti").join(cold, key).unionByName(rows.join(hot, key))
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import WINDOW_PART_BYTES, part_count
-from .common import block_pairs, hidden, runs, slices, texts, written
+from .common import block_pairs, hidden, keyed, runs, slices, texts, written
 from .components import components
 from .wordhash import BASE, Words, inside, mix, windows
 
@@ -182,22 +182,37 @@ def _possible(a: str, b: str, percent: int) -> Column:
     return 100 * most >= percent * (F.col(f"{a}.n") + F.col(f"{b}.n") - most)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (x, y, of classes) with 100 * |X and Y| >= percent * |X or Y|."""
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, block: int = 256) -> DataFrame:
+    """The pairs (x, y, of classes; centre: one of them; k: about how many the centre has) with
+    100 * |X and Y| >= percent * |X or Y|.
+
+    A centre's pairs are dealt over k / block salts. The centre's set goes to each of its salts once and comes before the sets of the other
+    ends, which stream past it: no task gets a whole star, no row has two sets, and memory is bounded by a slice.
+    """
+    ends = pairs.select("centre", F.when(F.col("x") == F.col("centre"), F.col("y")).otherwise(F.col("x")).alias("member"),
+        F.ceil(F.col("k") / block).alias("salts"))
+    ends = ends.withColumn("salt", F.pmod(F.xxhash64("member"), F.col("salts"))).drop("salts")
+    heads = ends.select("centre", "salt").distinct().select("*", F.lit(None).cast("binary").alias("member"))
+    rows = heads.withColumn("class", F.col("centre")).unionByName(ends.withColumn("class", F.col("member"))).join(sets, "class")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(slices(batches, "x_set"), "y_set"):
+        head = np.zeros(0, np.uint64)
+        for batch in slices(batches, "set"):
             good = []
-            for i, (x, y) in enumerate(zip(batch.column("x_set"), batch.column("y_set"), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.sort(np.concatenate([x, y]))
+            for i, (member, raw) in enumerate(zip(batch.column("member"), batch.column("set"), strict=True)):
+                own = np.frombuffer(raw.as_buffer(), np.uint64)
+                if not member.is_valid:
+                    head = own.copy()
+                    continue
+                both = np.sort(np.concatenate([head, own]))
                 common = int((both[1:] == both[:-1]).sum())
                 if 100 * common >= percent * (len(both) - common):
                     good.append(i)
-            yield batch.select(["x", "y"]).take(pa.array(good, pa.int64()))
+            yield batch.select(["centre", "member"]).take(pa.array(good, pa.int64()))
 
-    one, two = (sets.select(F.col("class").alias(c), F.col("set").alias(f"{c}_set")) for c in "xy")
-    return pairs.join(one, "x").join(two, "y").select("x", "y", "x_set", "y_set").mapInArrow(of, "x binary, y binary")
+    dealt = rows.repartition("centre", "salt").sortWithinPartitions("centre", "salt", F.col("member").asc_nulls_first())
+    found = dealt.select("centre", "member", "set").mapInArrow(of, "centre binary, member binary")
+    return found.select(F.least("centre", "member").alias("x"), F.greatest("centre", "member").alias("y"))
 
 
 def _links(group: pa.Table, i: int, crossed: bool, percent: int, verify: bool) -> list[tuple[bytes, bytes]]:
@@ -257,10 +272,11 @@ def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, tables
         F.posexplode("right").alias("j", "h"))
     bands = bands.select(*attributes, F.xxhash64("i", "g", "j", "h").alias("key"))
     rank = F.struct((F.col("holders") / F.col("n")).alias("mean"), "class", "n", "shared")
-    buckets = bands.groupBy("key").agg(F.count("*").alias("k"), F.max(rank).alias("c")).filter("k > 1")
-    bands = written(bands.join(buckets, "key"), "bands")
+    buckets = written(bands.groupBy("key").agg(F.count("*").alias("k"), F.max(rank).alias("c")).filter("k > 1"), "buckets")
+    bands = written(keyed(bands, buckets, "key", buckets.agg(F.sum("k")).first()[0] or 0), "bands")
     pairs = bands.alias("a").filter(F.col("c.class") != F.col("class")).filter(_possible("a", "c", percent))
-    pairs = pairs.select(F.least("class", "c.class").alias("x"), F.greatest("class", "c.class").alias("y")).distinct()
+    pairs = pairs.select(F.least("class", "c.class").alias("x"), F.greatest("class", "c.class").alias("y"), "c.class", "k")
+    pairs = pairs.groupBy("x", "y").agg(F.min("class").alias("centre"), F.max("k").alias("k"))
     stars = written(_verified(pairs, sets, percent), "stars")
     names = reps.select("class", "rep")
 
@@ -276,9 +292,10 @@ def classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, tables
     # what stars may have missed: pairs of a bucket in different components
     placed = found.select("class").join(names, "class").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("class",
         F.coalesce("component", "rep").alias("at"))
-    mixed = bands.select("key", "class").join(placed, "class").groupBy("key").agg(F.min("at").alias("lo"),
-        F.max("at").alias("hi")).filter("lo <> hi").select("key")
-    rest = bands.select("key", "class").join(mixed, "key").select("class").distinct()
+    mixed = bands.select("key", "class", "k").join(placed, "class").groupBy("key").agg(F.max("k").alias("k"), F.min("at").alias("lo"),
+        F.max("at").alias("hi")).filter("lo <> hi").select("key", "k")
+    mixed = written(mixed, "mixed")
+    rest = keyed(bands.select("key", "class"), mixed, "key", mixed.agg(F.sum("k")).first()[0] or 0).select("class").distinct()
     rest = written(found.join(rest, "class").join(placed, "class").select("class", "n", "shared", "left", "right", "at"), "rest")
     open_ = _compared(rest, percent, verify=False).select(F.col("x").alias("class")).distinct()
     rest = rest.join(open_, "class", "left_semi").join(sets, "class")

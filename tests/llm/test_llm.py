@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orespark.llm.wordhash import BASE, BYTES, mix
-from orespark.llm import bpe, components, line_dedup, near_dedup, packing, pii, quality, simhash, substring_dedup, url_filter
+from orespark.llm import bpe, common, components, line_dedup, near_dedup, packing, pii, quality, simhash, substring_dedup, url_filter
 
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, source string, part string, kept string"
@@ -119,7 +119,9 @@ def test_line_dedup(spark, none):
     assert line_dedup.line_dedup(none).count() == 0
 
 
-def test_near_dedup(docs, none, rows):
+@pytest.mark.parametrize("least", [common.LEAST_HOT, 3])
+def test_near_dedup(docs, none, rows, monkeypatch, least):
+    monkeypatch.setattr(common, "LEAST_HOT", least)
     sets = collections.defaultdict(list)
     for i, t in rows:
         w = words(lowered(t))
@@ -180,9 +182,38 @@ def test_compared_blocks(spark):
         assert all(at[a] != at[b] for a, b in got) and roots([*known, *got]) == roots([*known, *(p for p in want if at[p[0]] != at[p[1]])])
 
 
-def test_components(spark):
+def test_verified_stars(spark):
+    """A star dealt over salts: all links of its centre, whichever end it is, and no other."""
+    random.seed(4)
+    sets = {k.to_bytes(16, "big"): np.unique(np.array([x if random.random() > 0.003 * k else random.randrange(1000, 10**9) for x in range(100)],
+        np.uint64)) for k in range(60)}
+    names = sorted(sets)
+    pairs = [(min(c, x), max(c, x), c, 59) for c in (names[7], names[40]) for x in names if x != c and {c, x} != {names[7], names[40]}]
+    pairs.append((names[7], names[40], names[40], 2))
+    table = spark.createDataFrame([(k, v.tobytes()) for k, v in sets.items()], "class binary, set binary")
+    made = near_dedup._verified(spark.createDataFrame(pairs, "x binary, y binary, centre binary, k long"), table, 80, block=8)
+    got = sorted((bytes(r.x), bytes(r.y)) for r in made.collect())
+    alike = lambda a, b: 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))
+    assert got == sorted((x, y) for x, y, _, _ in pairs if alike(x, y)) and 20 < len(got) < len(pairs)
+
+
+@pytest.mark.parametrize("least", [common.LEAST_HOT, 3])
+def test_keyed(spark, monkeypatch, least):
+    """Rows of hot keys meet a broadcast, the others a shuffle; together they are the plain join."""
+    monkeypatch.setattr(common, "LEAST_HOT", least)
+    rows = spark.createDataFrame([(i % 50 if i < 100 else 7, i) for i in range(300)], "key long, v long")
+    table = common.written(rows.groupBy("key").agg(F.count("*").alias("k")), "keys")
+    made = common.keyed(rows, table, "key", 300)
+    assert counted(made.select("key", "v", "k").collect()) == counted(rows.join(table, "key").select("key", "v", "k").collect())
+    assert made.filter("k > 3").count() == 202 and made.count() == 300
+
+
+@pytest.mark.parametrize("least", [common.LEAST_HOT, 3])
+def test_components(spark, monkeypatch, least):
+    monkeypatch.setattr(common, "LEAST_HOT", least)
     random.seed(5)
     pairs = [(random.randrange(300), random.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(1000, 1100)]
+    pairs += [(2500, i) for i in range(2000, 2060)] + [(3000, i) for i in range(3001, 3060)]  # stars of the largest and the smallest node
     parent = {x: x for p in pairs for x in p}
 
     def find(a):
