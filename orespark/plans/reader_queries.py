@@ -177,7 +177,7 @@ def extent_centre(s: SparkSession, d: str) -> DataFrame:
     box = projection.with_centre(box, "EPSG:28350").withColumnsRenamed({"centre_x": "raw_x", "centre_y": "raw_y"})
     box = projection.with_centre(box, "EPSG:28350", lonlat=True).withColumnsRenamed({"centre_x": "lon", "centre_y": "lat"})
     box = projection.with_centre(box, "EPSG:1234", lonlat=True).withColumnRenamed("centre_x", "unknown_x").drop("centre_y")
-    shown = F.concat_ws(" ", F.transform(F.flatten("rectangle"), lambda v: v.cast("string")))
+    shown = F.concat_ws(" ", F.transform(F.flatten("rectangle"), ingest.plain_text))
     return box.withColumn("rectangle", shown).withColumns({c: F.round(c, 7) for c in ("lon", "lat")})
 
 

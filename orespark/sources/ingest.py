@@ -152,6 +152,12 @@ def coerce_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: number(ref(c)) for c in columns if c in df.columns})
 
 
+def plain_text(c: Column) -> Column:
+    """A double as a text: the digits of a cast, but without an exponent from 0.0001 up to 1e16."""
+    size, digits = F.abs(c), F.regexp_replace(c.cast("decimal(38,21)").cast("string"), r"(\.\d+?)0+$", "$1")
+    return F.when(((size >= 1e7) & (size < 1e16)) | ((size >= 1e-4) & (size < 1e-3)), digits).otherwise(c.cast("string"))
+
+
 def rounded(c: Column) -> Column:
     """To 3 decimals, half to even on the scaled value."""
     return F.rint(c * 1000) / 1000
