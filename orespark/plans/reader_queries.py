@@ -222,11 +222,11 @@ def streamed_intercepts(s: SparkSession, d: str) -> DataFrame:
     seconds = F.col("from").cast("long") * 300
     rows = rows.withColumns({"at": F.timestamp_seconds(F.lit(1_700_000_000) + seconds), "batch": F.least(F.lit(2), F.floor((seconds + late) / 1500)).cast("int")})
     path = sinks.shared_path(s, "interval-stream")
-    end = rows.limit(1).select(F.lit("").alias("hole_id"), F.lit(0.0).alias("from"), F.lit(0.0).alias("to"), F.lit(0.0).alias("au_ppm"), "geology_code",
-        F.timestamp_seconds(F.lit(1_900_000_000)).alias("at"))
-    for k in range(3):  # three deliveries, then the end of the log
-        rows.filter(F.col("batch") == k).drop("batch").write.parquet(f"{path}/{k}")
-    end.write.parquet(f"{path}/3")
+    rows.write.partitionBy("batch").parquet(path)  # three deliveries, then the end of the log
+    rows = rows.drop("batch")
+    end = s.read.schema(rows.schema).parquet(path).limit(1).select(F.lit("").alias("hole_id"), F.lit(0.0).alias("from"), F.lit(0.0).alias("to"),
+        F.lit(0.0).alias("au_ppm"), "geology_code", F.timestamp_seconds(F.lit(1_900_000_000)).alias("at"))
+    end.write.parquet(f"{path}/end")
     out = sinks.shared_path(s, "streamed-intercepts")
     before = {k: s.conf.get(k, None) for k in STORE}
     try:
