@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Row, Window
@@ -24,15 +25,29 @@ def _literal(value: object) -> Column:
 def cut_points(df: DataFrame, order_col: str) -> list[Column]:
     """Bounds of about equal ranges of a column of any type that can be ordered, as few as its rows need: from the keys with the
     smallest hashes, a sample that depends on the keys alone."""
-    n = min(1024, -(-df.count() // PER_RANGE))
+    total = df.count()
+    n = min(1024, -(-total // PER_RANGE))
     if n <= 1:
         return []
-    keys = df.select(ref(order_col).alias("k")).dropna().distinct()
-    sample = keys.orderBy(F.xxhash64("k"), "k").limit(n * SAMPLED).orderBy("k").collect()
+    keys, most = df.select(ref(order_col).alias("k")).dropna(), n * SAMPLED
+    smallest = lambda rows: rows.distinct().orderBy(F.xxhash64("k"), "k").limit(most).orderBy("k").collect()
+    # below this hash there are about four times as many, unless keys repeat: then all are looked through
+    sample = smallest(keys.filter(F.xxhash64("k") < int(-2**63 + 2**64 * 4 * most / total))) if 4 * most < total else []
+    sample = sample if len(sample) == most else smallest(keys)
     kind = df.schema[order_col].dataType
     return [_literal(sample[i * len(sample) // n]["k"]).cast(kind) for i in range(1, n)] if sample else []
 
 
+def _place(cuts: list[Column], value: Column) -> Column:
+    """How many of the ascending cuts are at most a value: first among every so manieth, then among those up to the next one."""
+    if not cuts:
+        return F.lit(0)
+    wide = math.isqrt(len(cuts) - 1) + 1
+    blocks = [F.array(*cuts[i:i + wide]) for i in range(0, len(cuts), wide)]
+    passed = F.size(F.filter(F.array(*cuts[::wide]), lambda c: c <= value))
+    return F.coalesce(F.size(F.filter(F.get(F.array(*blocks), passed - 1), lambda c: c <= value)) + (passed - 1) * wide, F.lit(0))
+
+
 def ranked(df: DataFrame, order_col: str, weight: Column | None = None) -> DataFrame:
     """df with _stop and _total: the running sum of weights (1 each by default) in the order of a column, and their sum.
 
@@ -42,8 +57,7 @@ def ranked(df: DataFrame, order_col: str, weight: Column | None = None) -> DataF
     """
     weight = F.lit(1) if weight is None else weight
     cuts = cut_points(df, order_col)
-    place = F.size(F.filter(F.array(*cuts), lambda c: c <= ref(order_col))) if cuts else F.lit(0)
-    rows = df.withColumns({"_range": F.when(ref(order_col).isNull(), 0).otherwise(place), "_weight": weight.cast("long")})
+    rows = df.withColumns({"_range": F.when(ref(order_col).isNull(), 0).otherwise(_place(cuts, ref(order_col))), "_weight": weight.cast("long")})
     whole = Window.partitionBy("_range")
     own = F.sum("_weight").over(whole.orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0))
     if not cuts:

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scale
 from ..functions.scale import ranked
 from ..model import ROW
 from ..sources.ingest import number, ref
@@ -125,17 +126,45 @@ def photos_by_set(photos: DataFrame) -> DataFrame:
 def chunked(df: DataFrame, group_cols: list[str], order: list[str], columns: list[str], size: int = 1000) -> DataFrame:
     """group_cols, chunk, n, rows: each group's rows in order, as arrays of at most `size` rows numbered from 0.
 
-    Rows are numbered in the order of group and order by ranges (see scale.ranked), so a group of any size is dealt to many
-    tasks; no array grows with its group. Rows that are equal in the order come in any order.
+    Groups of up to scale.PER_RANGE rows are numbered each in a task, in the only shuffle. Rows of larger ones are numbered in the order
+    of group and order by ranges (see scale.ranked), so a group of any size is dealt to many tasks; no array grows with its group. Rows that
+    are equal in the order come in any order.
     """
+    groups = [*map(ref, group_cols)]
     key, row = F.struct(*map(ref, [*group_cols, *order])), F.struct(*map(ref, dict.fromkeys([*order, *columns])))
-    rows = ranked(df.select(*map(ref, group_cols), key.alias("_key"), row.alias("_row")), "_key")
-    starts = rows.groupBy(*map(ref, group_cols)).agg(F.min("_stop").alias("_first"))
-    same = reduce(lambda a, b: a & b, [F.col(f"r.`{c}`").eqNullSafe(F.col(f"s.`{c}`")) for c in group_cols])
-    placed = rows.alias("r").join(starts.alias("s"), same).select("r.*", (F.col("_stop") - F.col("_first")).alias("_at"))
-    out = placed.groupBy(*map(ref, group_cols), F.floor(F.col("_at") / size).cast("int").alias("chunk"))
-    out = out.agg(F.array_sort(F.collect_list(F.struct("_at", "_row"))).alias("_all"))
-    return out.select(*map(ref, group_cols), "chunk", F.size("_all").alias("n"), F.col("_all._row").alias("rows"))
+    rows = df.select(*groups, key.alias("_key"), row.alias("_row"))
+    small = lambda some: some.withColumn("_at", F.row_number().over(Window.partitionBy(*groups).orderBy("_key")) - 1)
+    same = lambda: reduce(lambda a, b: a & b, [F.col(f"r.`{c}`").eqNullSafe(F.col(f"s.`{c}`")) for c in group_cols])
+    large = _large_groups(df, group_cols)
+    if large is None:
+        parts = [small(rows)]
+    else:
+        many = ranked(rows.alias("r").join(F.broadcast(large.alias("s")), same(), "left_semi"), "_key")
+        starts = many.groupBy(*groups).agg(F.min("_stop").alias("_first"))
+        placed = many.alias("r").join(F.broadcast(starts.alias("s")), same()).select("r.*", (F.col("_stop") - F.col("_first")).alias("_at"))
+        parts = [small(rows.alias("r").join(F.broadcast(large.alias("s")), same(), "left_anti")), placed]
+
+    def arrays(some: DataFrame) -> DataFrame:
+        out = some.groupBy(*groups, F.floor(F.col("_at") / size).cast("int").alias("chunk"))
+        out = out.agg(F.array_sort(F.collect_list(F.struct("_at", "_row"))).alias("_all"))
+        return out.select(*groups, "chunk", F.size("_all").alias("n"), F.col("_all._row").alias("rows"))
+
+    return reduce(DataFrame.unionByName, map(arrays, parts))
+
+
+#: Hashes by which groups are counted together.
+COUNTED = 1 << 16
+
+
+def _large_groups(df: DataFrame, group_cols: list[str]) -> DataFrame | None:
+    """The groups with more than scale.PER_RANGE rows, known before the plan is made, or None: hashes are counted first, then the groups
+    of those that have so many rows."""
+    groups, most = [*map(ref, group_cols)], scale.PER_RANGE
+    hashed = df.select(*groups).withColumn("_hash", F.pmod(F.xxhash64(*groups), F.lit(COUNTED)))
+    over = [r["_hash"] for r in hashed.groupBy("_hash").count().filter(F.col("count") > most).collect()]
+    kept = hashed if len(over) == COUNTED else hashed.filter(F.col("_hash").isin(over))
+    found = kept.groupBy(*groups).count().filter(F.col("count") > most).select(*groups).collect() if over else []
+    return df.sparkSession.createDataFrame(found, df.select(*groups).schema) if found else None
 
 
 def photo_chunks(photos: DataFrame, size: int = 1000) -> DataFrame:
