@@ -424,7 +424,7 @@ def large_mesh_issues(s: SparkSession, d: str) -> DataFrame:
     rows = blocks.select(F.lit(1).alias("part"), "block_id", line.alias("value"))
     ends = s.createDataFrame([(0, 0, '{"schema_version": "1.0", "blocks": ['), (2, 0, '], "units": "m"}')], "part int, block_id long, value string")
     path = sinks.shared_path(s, "mesh-document")
-    rows.unionByName(ends).coalesce(1).sortWithinPartitions("part", "block_id").select("value").write.text(path)
+    rows.unionByName(ends).repartition(1).sortWithinPartitions("part", "block_id").select("value").write.text(path)
     return mesh.validate_grade_blocks(mesh.load_large_grade_blocks(s, path))
 
 
