@@ -46,6 +46,12 @@ def first_rows(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(ref(key)).agg(F.min(row).alias("_r")).select(ref(key), "_r.*")
 
 
+def first_and_last(df: DataFrame, key: str, value: str) -> DataFrame:
+    """key, first and last value of each key's rows in source order, and their number n: in one shuffle, which carries a row once."""
+    at = df.select(ref(key), ref(value).alias("_v"), ROW).repartition(ref(key)).groupBy(ref(key))
+    return at.agg(F.min_by("_v", ROW).alias("first"), F.max_by("_v", ROW).alias("last"), F.count("*").alias("n"))
+
+
 def station_pairs(collars: DataFrame, surveys: DataFrame, step: float = 1.0, method: str = "minimum_curvature", depth_col: str = "depth",
     z_down: bool = False, xyz: tuple[str, str, str] = ("easting", "northing", "elevation")) -> DataFrame:
     """One row for each station: its number n in the hole, md, angles, position x/y/z, and the way to the next one: length,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import projection
 from ..model import ROW
-from ..operators import asof, blockmodel, columns, desurvey
+from ..operators import blockmodel, columns, desurvey
 from ..sources import ingest, loaders, sinks
 from ..streaming.intercepts import STORE, stream_intercepts
 from . import fixtures as fx
@@ -40,25 +40,29 @@ BY_FILE = f"""{raw.LINES}, fl as (select *, {FILE} f from rl),
 fo as (select hole hole_id, arg_min(rid, (f, rid)) first_rid, arg_max(rid, (f, rid)) last_rid, count(*) n from fl group by hole)"""
 
 
-def _files(s: SparkSession, d: str, kind: str) -> DataFrame:
-    """All lines, written to folders of several files and read again: the source's order is that of paths, then of rows in a file."""
+def _written_files(s: SparkSession, d: str, kind: str) -> str:
+    """All lines, written to folders of several files, to be read again: the source's order is that of paths, then of rows in a file."""
     rows = raw.lines(s, d).select(F.col("hole").alias("hole_id"), F.col(ROW).alias("rid"), F.expr(FILE).alias("f"))
     path = sinks.shared_path(s, f"order-{kind}")
-    dealt = rows.repartitionByRange(8, "f", "rid").sortWithinPartitions("f", "rid").write.partitionBy("f")
+    dealt = rows.repartitionByRange("f", "rid").sortWithinPartitions("f", "rid").write.partitionBy("f")
     dealt.option("header", True).csv(path) if kind == "csv" else dealt.format(kind).save(path)
-    return ingest.read_table(s, path, kind)
+    return path
 
 
 @query(f"with {BY_FILE} select hole_id, first_rid, last_rid, n, kind from fo, (select unnest(['csv', 'parquet', 'json']) kind)")
 def source_order(s: SparkSession, d: str) -> DataFrame:
-    """First and last row of each hole in the order of its source, a table in several files of unequal sizes, by three readers."""
+    """First and last row of each hole in the order of its source, a table in several files of unequal sizes, by three readers: one after
+    the other, each one's files and shuffles deleted when its rows are stored."""
 
     def of(kind: str) -> DataFrame:
-        rows = _files(s, d, kind).select("hole_id", F.col("rid").cast("long").alias("rid"), ROW)
-        first = desurvey.first_rows(rows, "hole_id").select("hole_id", F.col("rid").alias("first_rid"))
-        n = rows.groupBy("hole_id").agg(F.count("*").alias("n"))
-        last = asof.join_assays_to_traces(n, rows.withColumnRenamed("rid", "last_rid"), ["hole_id"], last_only=True)
-        return first.join(last.select("hole_id", "last_rid", "n"), "hole_id").withColumn("kind", F.lit(kind))
+        out = sinks.shared_path(s, f"order-of-{kind}")
+        with sinks.shuffles_dropped(s):
+            path = _written_files(s, d, kind)
+            rows = ingest.read_table(s, path, kind).select("hole_id", F.col("rid").cast("long").alias("rid"), ROW)
+            found = desurvey.first_and_last(rows, "hole_id", "rid").withColumnsRenamed({"first": "first_rid", "last": "last_rid"})
+            found.write.parquet(out)
+        sinks.clear_shared(s, path)
+        return s.read.schema(found.schema).parquet(out).withColumn("kind", F.lit(kind))
 
     return reduce(DataFrame.unionByName, map(of, ("csv", "parquet", "json")))
 

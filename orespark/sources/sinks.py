@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,15 +29,29 @@ def shared_path(spark: SparkSession, name: str) -> str:
 SHARED: list[str] = []
 
 
-def clear_shared(spark: SparkSession) -> int:
-    """Delete what was written to all paths of shared_path() so far, once the results that read them are stored; how many."""
-    jvm = spark.sparkContext._jvm
-    for path in (paths := [SHARED.pop() for _ in range(len(SHARED))]):
+def clear_shared(spark: SparkSession, *only: str) -> int:
+    """Delete what was written to all paths of shared_path() so far, or to some of them only, once the results that read them are
+    stored; how many."""
+    jvm, paths = spark.sparkContext._jvm, [p for p in SHARED if not only or p in only]
+    for path in paths:
+        SHARED.remove(path)
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
     return len(paths)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Inside, what a write has shuffled is deleted as soon as the write is done, not when the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def export_rows(traces: DataFrame, zone: int, south: bool = True) -> DataFrame:
     """hole_id, company_hole_id, project, order, md, x, y, z of holes with at least two points: degrees projected to UTM metres
     about the mean of the collars, z raised by the collar's elevation.
